@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strandlake.llm import minhash
+from strandlake.llm import minhash, mixing, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,7 +16,16 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
-QUERIES = {"op3_minhash_near_dedup": op3_minhash_near_dedup}
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents")).taken().select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.shard_rows(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+QUERIES = {"op1_mixing": op1_mixing, "op3_minhash_near_dedup": op3_minhash_near_dedup, "op4_sharding": op4_sharding}
 ORACLE: dict[str, str] = {}
 
 WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
@@ -36,3 +46,26 @@ SELECT t.doc_id, CAST(len(t.s) AS BIGINT) AS n_shingles, CASE WHEN len(t.s) = 0
   CASE WHEN len(t.s) = 0 THEN true ELSE t.doc_id = l.c END AS kept
 FROM sets t JOIN kinds k ON list_sort(t.s) = k.s JOIN least l ON l.a = k.id
 """
+
+ORACLE["op1_mixing"] = r"""
+WITH RECURSIVE sizes AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+    md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')) AS h FROM documents),
+kinds AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS s, [3.0, 1.0, 2.0][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)]::DOUBLE AS w
+  FROM sizes GROUP BY source),
+fill AS (
+  SELECT 0 AS turn, source, s, w, false AS full_, 1.5 * sum(s) OVER () AS open_, sum(w) OVER () AS rest FROM kinds
+  UNION ALL
+  SELECT turn + 1, source, s, w, f, 1.5 * sum(s) OVER () - sum(CASE WHEN f THEN 2.0 * s ELSE 0 END) OVER (),
+    sum(CASE WHEN f THEN 0 ELSE w END) OVER ()
+  FROM (SELECT *, full_ OR w * (open_ / rest) >= 2.0 * s AS f, count(*) OVER () AS k FROM fill WHERE rest > 0) WHERE turn < k),
+level AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY turn DESC) AS last_ FROM fill) WHERE last_ = 1),
+targets AS (SELECT source, s, CASE WHEN full_ THEN 2.0 * s ELSE w * (open_ / rest) END AS target FROM level),
+placed AS (
+  SELECT z.*, t.s, t.target, CAST(round(t.target) AS BIGINT) AS q,
+    sum(size) OVER (PARTITION BY z.source ORDER BY h, size, doc_id ROWS UNBOUNDED PRECEDING) - size AS o
+  FROM sizes z JOIN targets t ON z.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, s AS source_size, CAST(target AS DOUBLE) AS target,
+  CAST(greatest(0, least(size, q - o)) + greatest(0, least(size, q - s - o)) AS BIGINT) AS taken FROM placed
+"""
