@@ -171,6 +171,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     doc_id counts as larger than all; its component_id is null, and it is kept, if no id is in its component. An empty
     table gives an empty result. Other columns are not looked at.
     """
+    return classes(docs, shingle, percent).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def classes(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """What ``near_duplicates`` returns, with the set's fingerprint ``f`` and the component's node ``c``, null for empty sets."""
     spark = docs.sparkSession
     tx.small_batches(spark)
     scratch = Scratch(spark)
@@ -207,7 +212,41 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 
     tops = nodes.join(labels, nodes.f == labels.v, "left").select("f", "min_id", F.coalesce("label", "f").alias("c"))
     least = tops.groupBy("c").agg(F.min("min_id").alias("component_id"))
-    found = tops.join(least, "c").select(F.col("f").alias("g"), "component_id")
+    found = tops.join(least, "c").select(F.col("f").alias("g"), "c", "component_id")
     out = sigs.select("doc_id", F.col("n").alias("n_shingles"), "f").join(found, F.col("f") == F.col("g"), "left")
     component = F.when(F.col("f").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "f", "c")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs(doc_id, text, ...)``, with all their columns, less all but one of each component.
+
+    The row with the smallest doc_id stays. Where rows repeat that id, one of those with the smallest fingerprint stays.
+    Rows with an empty set all stay.
+    """
+    spark = docs.sparkSession
+    scratch = Scratch(spark)
+    rows = scratch.save(classes(docs, shingle, percent), "classes")
+    chosen = rows.where("kept and f is not null").groupBy("c", "doc_id").agg(F.min("f").alias("f")).select("doc_id", "f")
+    chosen = chosen.union(rows.where("f is null").select("doc_id", "f")).distinct()
+    counts = rows.groupBy("doc_id").agg(F.count("*").alias("rows"))
+    chosen = scratch.save(chosen.select(F.col("doc_id").alias("__id"), F.col("f").alias("__f")), "chosen")
+    repeated = scratch.save(counts.where("rows > 1").select(F.col("doc_id").alias("__id")), "repeated")
+    once = chosen.select("__id").distinct().join(repeated.select(F.col("__id").alias("__r")), F.col("__id").eqNullSafe(F.col("__r")), "left_anti")
+    out = docs.join(once, docs.doc_id.eqNullSafe(once["__id"]), "left_semi")
+    if repeated.isEmpty():
+        return out
+    names = docs.columns
+    kinds = docs.schema.add("__f", "long")
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(x, shingle) for x in tx.binaries(batch.column(names.index("text")))]
+            marks = pa.array([fingerprint(x) if len(x) else None for x in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, marks], [*names, "__f"])
+
+    more = docs.join(repeated, docs.doc_id.eqNullSafe(repeated["__id"]), "left_semi").mapInArrow(marked, kinds)
+    fine = chosen.select("__id", F.col("__f").alias("__g"))
+    more = more.join(fine, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("__f").eqNullSafe(F.col("__g")), "left_semi")
+    same = more.where("__f is not null").dropDuplicates(["doc_id", "__f"])
+    return out.unionByName(same.drop("__f")).unionByName(more.where("__f is null").drop("__f"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import minhash, mixing, sharding
+from strandlake.llm import knn, minhash, mixing, sharding, simhash, stages
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,7 +25,18 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op3_minhash_near_dedup": op3_minhash_near_dedup, "op4_sharding": op4_sharding}
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document and benchmark item that it holds."""
+    return simhash.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = knn.quality_scores(_table(spark, sf_dir, "documents"), stages.training_labels(_table(spark, sf_dir, "labels")))
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
+    return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= stages.QUALITY).cast("int").alias("predicted"))
+
+
+QUERIES = {"op1_mixing": op1_mixing, "op3_minhash_near_dedup": op3_minhash_near_dedup, "op4_sharding": op4_sharding, "op5_decontamination": op5_decontamination, "op8_quality": op8_quality}
 ORACLE: dict[str, str] = {}
 
 WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
