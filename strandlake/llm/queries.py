@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import html, knn, langid, minhash, mixing, sharding, simhash, stages
+from strandlake.llm import html, knn, langid, minhash, mixing, sharding, simhash, stages, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,7 +46,11 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op3_minhash_near_dedup": op3_minhash_near_dedup, "op4_sharding": op4_sharding, "op5_decontamination": op5_decontamination, "op8_quality": op8_quality, "op2_language_id": op2_language_id, "op10_html_extraction": op10_html_extraction}
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.write(_table(spark, sf_dir, "pages")).records().drop("url")
+
+
+QUERIES = {"op1_mixing": op1_mixing, "op3_minhash_near_dedup": op3_minhash_near_dedup, "op4_sharding": op4_sharding, "op5_decontamination": op5_decontamination, "op8_quality": op8_quality, "op2_language_id": op2_language_id, "op9_warc": op9_warc, "op10_html_extraction": op10_html_extraction}
 ORACLE: dict[str, str] = {}
 
 WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
