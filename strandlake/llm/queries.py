@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import html, knn, langid, minhash, mixing, sharding, simhash, stages, warc
+from strandlake.llm import html, knn, langid, minhash, mixing, ngram_lm, permutation, sharding, simhash, stages, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,7 +50,16 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.write(_table(spark, sf_dir, "pages")).records().drop("url")
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op3_minhash_near_dedup": op3_minhash_near_dedup, "op4_sharding": op4_sharding, "op5_decontamination": op5_decontamination, "op8_quality": op8_quality, "op2_language_id": op2_language_id, "op9_warc": op9_warc, "op10_html_extraction": op10_html_extraction}
+def op6_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation.neighbours(_table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = ngram_lm.backoff_scores(_table(spark, sf_dir, "documents"))
+    return scores.select("doc_id", "n_words", F.round("log2_score", 3).alias("log2_score"))
+
+
+QUERIES = {"op1_mixing": op1_mixing, "op3_minhash_near_dedup": op3_minhash_near_dedup, "op4_sharding": op4_sharding, "op5_decontamination": op5_decontamination, "op8_quality": op8_quality, "op2_language_id": op2_language_id, "op6_permutation_index": op6_permutation_index, "op7_lm_scoring": op7_lm_scoring, "op9_warc": op9_warc, "op10_html_extraction": op10_html_extraction}
 ORACLE: dict[str, str] = {}
 
 WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
@@ -94,3 +103,21 @@ placed AS (
 SELECT doc_id, size, s AS source_size, CAST(target AS DOUBLE) AS target,
   CAST(greatest(0, least(size, q - o)) + greatest(0, least(size, q - s - o)) AS BIGINT) AS taken FROM placed
 """
+
+ORACLE["op7_lm_scoring"] = rf"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS w FROM documents),
+t AS (SELECT r, unnest(w) AS w, unnest(range(len(w))) AS i FROM w),
+g AS (SELECT r, i, w AS c, lag(w) OVER o AS b, lag(w, 2) OVER o AS a FROM t WINDOW o AS (PARTITION BY r ORDER BY i)),
+k1 AS (SELECT c, count(*) AS n FROM g GROUP BY ALL), o1 AS (SELECT r, c, count(*) AS n FROM g GROUP BY ALL),
+k2 AS (SELECT b, c, count(*) AS n FROM g WHERE b IS NOT NULL GROUP BY ALL), o2 AS (SELECT r, b, c, count(*) AS n FROM g WHERE b IS NOT NULL GROUP BY ALL),
+k3 AS (SELECT a, b, c, count(*) AS n FROM g WHERE a IS NOT NULL GROUP BY ALL), o3 AS (SELECT r, a, b, c, count(*) AS n FROM g WHERE a IS NOT NULL GROUP BY ALL),
+x AS (
+  SELECT g.r, g.i, k1.n - o1.n AS n1, k2.n - o2.n AS n2, k3.n - o3.n AS n3, (SELECT count(*) FROM t) - l.m AS others
+  FROM g JOIN k1 USING (c) JOIN o1 ON o1.r = g.r AND o1.c = g.c LEFT JOIN k2 ON k2.b = g.b AND k2.c = g.c
+  LEFT JOIN o2 ON o2.r = g.r AND o2.b = g.b AND o2.c = g.c LEFT JOIN k3 ON k3.a = g.a AND k3.b = g.b AND k3.c = g.c
+  LEFT JOIN o3 ON o3.r = g.r AND o3.a = g.a AND o3.b = g.b AND o3.c = g.c JOIN (SELECT r, count(*) AS m FROM t GROUP BY r) l ON l.r = g.r),
+y AS (SELECT *, lag(n1) OVER o AS p1, lag(n2) OVER o AS p2, (CASE WHEN n1 > 0 THEN n1 ELSE 0.4::DOUBLE END) / greatest(others, 1) AS s1 FROM x WINDOW o AS (PARTITION BY r ORDER BY i)),
+z AS (SELECT *, CASE WHEN i < 1 THEN s1 WHEN n2 > 0 THEN n2 / p1 ELSE 0.4::DOUBLE * s1 END AS s2 FROM y),
+f AS (SELECT r, sum(log2(CASE WHEN i < 2 THEN s2 WHEN n3 > 0 THEN n3 / p2 ELSE 0.4::DOUBLE * s2 END)) AS s, count(*) AS n FROM z GROUP BY r)
+SELECT w.doc_id, CAST(coalesce(f.n, 0) AS BIGINT) AS n_words, round(coalesce(f.s, 0), 3) AS log2_score FROM w LEFT JOIN f USING (r)
+"""
