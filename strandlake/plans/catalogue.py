@@ -1,6 +1,570 @@
-"""Every registered query of the sequence engine and its SQL oracle."""
+"""Every registered query of the sequence engine and its SQL oracle, which works on whole documents and knows no blocks."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from strandlake.functions import bases as B
+from strandlake.operators import edits, joins, kmers, timings, training
+from strandlake.operators.cohort import Cohort
+from strandlake.plans import datasets as D
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+_BASES = f"regexp_replace(translate(lower(text), '{D.LETTERS}', '{('ACGT' * 8)[: len(D.LETTERS)]}'), '[^ACGT]', 'N', 'g')"
+_RC = "reverse(translate({0}, 'ACGTacgt', 'TGCAtgca'))"
+_BASE = f"""
+base AS (SELECT doc_id, source, lang, {_BASES} AS fwd FROM documents),
+asm AS (SELECT source, CAST(row_number() OVER (ORDER BY source) - 1 AS INT) AS asm_id FROM (SELECT DISTINCT source FROM base))"""
+_TEXT = f"""{_BASE},
+contigs AS (
+  SELECT asm_id, source AS assembly, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS INT) AS contig_ix, doc_id, 'doc' || doc_id AS name,
+    concat_ws(' ', 'doc' || doc_id, lang) AS header, CASE WHEN doc_id % 4 = 3 THEN {_RC.format('fwd')} ELSE fwd END AS seq, CAST(length(fwd) AS BIGINT) AS len,
+    CAST(coalesce(sum(length(fwd)) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS boff
+  FROM base JOIN asm USING (source)),
+streams AS (SELECT asm_id, assembly, string_agg(seq, '' ORDER BY contig_ix) AS seq, CAST(sum(len) AS BIGINT) AS n FROM contigs GROUP BY ALL)"""
+_REF = f"""{_BASE},
+ref AS (SELECT doc_id, fwd AS seq, CAST(length(fwd) AS BIGINT) AS len, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS INT) AS contig_ix,
+  CAST(coalesce(sum(length(fwd)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS boff FROM base WHERE source = '{D.REF}')"""
+_MUTATED = f"""{_REF},
+contigs AS (
+  SELECT CAST(i AS INT) AS asm_id, contig_ix, len, array_to_string(list_transform(range(len), lambda p:
+    CASE WHEN (p * 7919 + i * 104729) % 300 = 0 THEN translate(seq[p + 1], 'ACGT', 'TGCA') ELSE seq[p + 1] END), '') AS seq
+  FROM ref, range({D.HAPLOTYPES}) t(i))"""
+_PATTERNS = f"""
+windows AS (
+  SELECT item_id * 1000 + offs AS n, CASE WHEN item_id % 2 = 0 THEN 'even' ELSE 'odd' END AS class, substr(seq, CAST(offs + 1 AS INT), 23) AS seq
+  FROM (SELECT item_id, {_BASES} AS seq FROM benchmark) b, LATERAL (SELECT unnest(range(0, length(seq) - 22, 16)) AS offs)),
+patterns AS (SELECT seq, min(n) FILTER (class = c) AS pid, c AS class FROM (SELECT *, min(class) OVER (PARTITION BY seq) AS c FROM windows WHERE regexp_matches(seq, '^[ACGT]+$')) GROUP BY seq, c)"""
+
+
+def _kmers(table: str, k: int = 23) -> str:
+    return f"kmers AS (SELECT *, substr(seq, CAST(pos + 1 AS INT), {k}) AS kmer FROM (SELECT *, unnest(range(greatest(length(seq) - {k - 1}, 0))) AS pos FROM {table}))"
+
+
+_HITS = f"""hits AS (
+  SELECT asm_id, contig_ix, pos, pid, class, 0 AS strand FROM kmers JOIN patterns p ON kmer = p.seq
+  UNION ALL SELECT asm_id, contig_ix, pos, pid, class, 1 FROM kmers JOIN patterns p ON kmer = {_RC.format('p.seq')})"""
+_GUIDES = """
+sites AS (SELECT substr(kmer, 1, 20) AS spacer, (contig_ix * 7919 + pos * 104729) % 1000003 AS o, contig_ix, pos FROM kmers WHERE regexp_matches(kmer, '^[ACGT]+$') AND substr(kmer, 22, 2) = 'GG'),
+guides AS (SELECT spacer, o * 1000 + pos % 1000 AS gid FROM (SELECT *, row_number() OVER (PARTITION BY spacer ORDER BY o, contig_ix, pos) AS i FROM sites) WHERE i = 1 ORDER BY o, contig_ix, pos, spacer LIMIT 40)"""
+_LOWER = "array_to_string(list_transform(range(CAST({n} AS INT)), lambda j: CASE WHEN ({p} + j) % 100 BETWEEN 10 AND 29 AND ({p} + j) // 100 * 100 + 30 <= {total} THEN lower(({s})[CAST(j + 1 AS INT)]) ELSE ({s})[CAST(j + 1 AS INT)] END), '')"
+
+
+def query(oracle: str | None = None):
+    def add(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLE[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def _rows(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---------------------------------------------------------------- metadata
+
+
+@query(f"WITH {_TEXT} SELECT asm_id, assembly, contig_ix, name, header, len, boff FROM contigs")
+def contig_table(spark, sf_dir):
+    return D.world(spark, sf_dir).text.contigs.select("asm_id", "assembly", "contig_ix", "name", "header", "len", "boff")
+
+
+@query(f"WITH {_TEXT} SELECT asm_id, assembly, count(*) AS contigs, CAST(sum(len) AS BIGINT) AS nbases, CAST((sum(len) + 1023) // 1024 AS BIGINT) AS nblocks, 1024 AS q FROM contigs GROUP BY ALL")
+def assembly_info(spark, sf_dir):
+    return D.world(spark, sf_dir).text.info()
+
+
+@query(f"""WITH {_TEXT}, b AS (SELECT asm_id, unnest(range((n + 1023) // 1024)) AS block_ix, seq FROM streams)
+SELECT asm_id, block_ix, block_ix * 1024 AS bstart, CAST(length(substr(seq, CAST(block_ix * 1024 + 1 AS INT), 1024)) AS INT) AS blen, sha256(substr(seq, CAST(block_ix * 1024 + 1 AS INT), 1024)) AS sha256 FROM b""")
+def block_table(spark, sf_dir):
+    return D.world(spark, sf_dir).text.blocks.select("asm_id", "block_ix", "bstart", "blen", "sha256")
+
+
+@query(f"""WITH {_TEXT}, r AS (SELECT sum(n) AS a, sum((n + 1023) // 1024) * 16 AS b, sum(CASE WHEN n >= 30 THEN (n - 30) // 100 + 1 ELSE 0 END) * 16 AS c FROM streams),
+d AS (SELECT count(*) * 24 + sum(strlen(header)) AS d FROM contigs), u AS (SELECT 'bases' AS component, a AS bytes FROM r UNION ALL SELECT 'block table', b FROM r UNION ALL SELECT 'case runs', c FROM r UNION ALL SELECT 'contigs', d FROM d)
+SELECT component, CAST(bytes AS BIGINT) AS bytes FROM u UNION ALL SELECT 'total', CAST(sum(bytes) AS BIGINT) FROM u""")
+def resident_bytes(spark, sf_dir):
+    return D.world(spark, sf_dir).text.resident_bytes()
+
+
+@query(f"WITH {_TEXT} SELECT asm_id, CAST(k * 100 + 10 AS BIGINT) AS start, CAST(20 AS BIGINT) AS len FROM (SELECT asm_id, unnest(range((n - 30) // 100 + 1)) AS k FROM streams WHERE n >= 30)")
+def case_runs(spark, sf_dir):
+    return D.world(spark, sf_dir).text.case_runs
+
+
+@query(f"WITH {_TEXT} SELECT assembly, regexp_extract(assembly, '^(?:[^_]*_)?([^._]+)', 1) AS person FROM streams")
+def individuals(spark, sf_dir):
+    return D.world(spark, sf_dir).text.names().select("assembly", B.individual(F.col("assembly")).alias("person"))
+
+
+# ---------------------------------------------------------------- windows by coordinate
+
+
+def _requests(c: Cohort) -> DataFrame:
+    n = F.regexp_extract("name", r"(\d+)", 1).cast("long")
+    return c.contigs.where("len > 64").select(F.col("name").alias("id"), "assembly", F.col("name").alias("contig"), (n * 37 % (F.col("len") - 50)).alias("start0"), F.lit(50).cast("long").alias("length"), (n % 2 == 1).alias("rc"))
+
+
+_FETCH = f"""WITH {_TEXT}, r AS (SELECT c.*, doc_id * 37 % (len - 50) AS start0, s.n FROM contigs c JOIN streams s USING (asm_id) WHERE len > 64),
+w AS (SELECT name AS id, assembly, name AS contig, start0, CAST(50 AS BIGINT) AS length, doc_id % 2 = 1 AS rc, boff, n, substr(seq, CAST(start0 + 1 AS INT), 50) AS u FROM r),
+z AS (SELECT *, {_LOWER.format(n=50, p='boff + start0', total='n', s='u')} AS s FROM w)"""
+
+
+@query(f"{_FETCH} SELECT id, assembly, contig, start0, length, rc, CASE WHEN rc THEN {_RC.format('s')} ELSE s END AS seq FROM z")
+def fetch_regions(spark, sf_dir):
+    c = D.world(spark, sf_dir).text
+    return c.fetch(_requests(c))
+
+
+@query(f"{_FETCH} SELECT id, translate(CASE WHEN rc THEN {_RC.format('u')} ELSE u END, 'ACGTN', '01234') AS tokens FROM z")
+def fetch_tokens(spark, sf_dir):
+    c = D.world(spark, sf_dir).text
+    return c.fetch(_requests(c), tokens=True).select("id", F.col("seq").alias("tokens"))
+
+
+@query(f"""{_FETCH}, q AS (SELECT id, assembly, contig || ':' || (start0 + 1) || '-' || (start0 + 50) AS region, s FROM z)
+SELECT id, '>' || region || chr(10) || s || chr(10) AS fasta FROM q""")
+def fetch_cli_regions(spark, sf_dir):
+    c = D.world(spark, sf_dir).text
+    region = F.concat("contig", F.lit(":"), F.col("start0") + 1, F.lit("-"), F.col("start0") + F.col("length"))
+    return c.regions(_requests(c).select("id", "assembly", region.alias("region")))
+
+
+@query(f"""WITH {_TEXT}, r AS (SELECT asm_id * 100 + i AS id, asm_id, (i * 7919 + asm_id * 104729) % (n - 2500) AS start, i % 2 = 1 AS rc, seq FROM streams, range(8) t(i) WHERE n > 2500)
+SELECT id, asm_id, start, CAST(2500 AS BIGINT) AS length, rc, CASE WHEN rc THEN {_RC.format('substr(seq, CAST(start + 1 AS INT), 2500)')} ELSE substr(seq, CAST(start + 1 AS INT), 2500) END AS seq FROM r""")
+def windows_stream(spark, sf_dir):
+    """Windows over the stream, which cross blocks and contigs."""
+    c = D.world(spark, sf_dir).text
+    n = c.contigs.groupBy("asm_id").agg(F.sum("len").alias("n")).where("n > 2500")
+    r = n.select("asm_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))).alias("i"))
+    r = r.select((F.col("asm_id") * 100 + F.col("i")).alias("id"), "asm_id", ((F.col("i") * 7919 + F.col("asm_id") * 104729) % (F.col("n") - 2500)).alias("start"), F.lit(2500).cast("long").alias("length"), (F.col("i") % 2 == 1).alias("rc"))
+    return c.windows(r, case=False)
+
+
+_SAMPLE = f"""WITH {_TEXT}, v AS (SELECT *, len - 255 AS valid, coalesce(sum(len - 255) OVER (ORDER BY asm_id, contig_ix ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo FROM contigs WHERE len >= 256),
+u AS (SELECT id, ((id * 7919 + 7 * 104729 + 1) % 1000003 * 15485863 + id) % (SELECT sum(valid) FROM v) AS pos, (id * 31 + 7 * 17) % 100 < 50 AS rc FROM range(2000) t(id)),
+s AS (SELECT id, asm_id, contig_ix, CAST(pos - lo AS BIGINT) AS start0, rc, substr(seq, CAST(pos - lo + 1 AS INT), 256) AS w FROM u JOIN v ON pos >= lo AND pos < lo + valid)"""
+
+
+@query(f"{_SAMPLE} SELECT id, asm_id, contig_ix, start0, rc FROM s")
+def sample_coordinates(spark, sf_dir):
+    return D.world(spark, sf_dir).text.sample_coordinates(2000, 256, seed=7, rc_percent=50).select("id", "asm_id", "contig_ix", "start0", "rc")
+
+
+@query(f"{_SAMPLE} SELECT id, asm_id, contig_ix, start0, rc, translate(CASE WHEN rc THEN {_RC.format('w')} ELSE w END, 'ACGTN', '01234') AS tokens FROM s")
+def sample_windows(spark, sf_dir):
+    rows = D.world(spark, sf_dir).text.sample(2000, 256, seed=7, rc_percent=50, tokens=True)
+    return rows.select("id", "asm_id", "contig_ix", "start0", "rc", F.col("seq").alias("tokens"))
+
+
+@query(f"{_SAMPLE.replace('(id * 31', '(id * 31')}, b AS (SELECT (c.boff + s.start0 + 255) // 1024 - (c.boff + s.start0) // 1024 + 1 AS blocks FROM s JOIN contigs c USING (asm_id, contig_ix)) SELECT CAST(blocks AS BIGINT) AS blocks, count(*) AS windows FROM b GROUP BY ALL")
+def blocks_touched(spark, sf_dir):
+    rows = D.world(spark, sf_dir).text.sample_coordinates(2000, 256, seed=7, rc_percent=50)
+    return rows.groupBy(B.blocks_touched(F.col("start"), F.col("length"), D.Q).alias("blocks")).agg(F.count("*").alias("windows"))
+
+
+# ---------------------------------------------------------------- reconstruction
+
+_CASED = _LOWER.format(n="len", p="boff", total="n", s="seq")
+_WHOLE = f"WITH {_TEXT}, c AS (SELECT c.*, s.n FROM contigs c JOIN streams s USING (asm_id)), z AS (SELECT asm_id, contig_ix, header, len, {_CASED.replace('seq', 'c.seq')} AS s FROM c)"
+
+
+@query(f"{_WHOLE} SELECT asm_id, contig_ix, len, sha256(s) AS sha256, true AS complete FROM z")
+def check_full(spark, sf_dir):
+    return D.world(spark, sf_dir).text.check_full()
+
+
+@query(f"{_WHOLE} SELECT asm_id, contig_ix, sha256('>' || header || chr(10) || regexp_replace(s, '(.{{1,60}})', '\\1' || chr(10), 'g')) AS sha256 FROM z")
+def rebuild_fasta(spark, sf_dir):
+    return D.world(spark, sf_dir).text.fasta_records().select("asm_id", "contig_ix", F.sha2("record", 256).alias("sha256"))
+
+
+@query(f"WITH {_TEXT} SELECT asm_id, base, CAST(sum(n) AS BIGINT) AS n FROM (SELECT asm_id, base, length(seq) - length(replace(seq, base, '')) AS n FROM contigs, (SELECT unnest(['A', 'C', 'G', 'T', 'N']) AS base)) GROUP BY ALL")
+def base_counts(spark, sf_dir):
+    c = D.world(spark, sf_dir).text.decode(case=False)
+    n = lambda b: F.length("seq") - F.length(F.replace("seq", F.lit(b), F.lit("")))
+    rows = c.select("asm_id", F.explode(F.array(*(F.struct(F.lit(b).alias("base"), n(b).cast("long").alias("n")) for b in "ACGTN"))).alias("x"))
+    return rows.groupBy("asm_id", "x.base").agg(F.sum("x.n").alias("n"))
+
+
+@query(f"{_FETCH}, t AS (SELECT id, sha256(CASE WHEN rc THEN {_RC.format('s')} ELSE s END) AS sha FROM z) SELECT id, sha AS sha256, true AS ok FROM t")
+def answers_against_truth(spark, sf_dir):
+    """Each answer's hash against that of the same region cut from the whole contig."""
+    c = D.world(spark, sf_dir).text
+    asked = _requests(c)
+    whole = c.contig_sequences().select("asm_id", F.col("name").alias("contig"), F.col("seq").alias("whole")).join(joins.broadcast_if_small(c.names()), "asm_id").drop("asm_id")
+    cut = asked.join(whole, ["assembly", "contig"]).withColumn("cut", F.substring("whole", (F.col("start0") + 1).cast("int"), F.col("length").cast("int")))
+    truth = cut.select("id", F.sha2(F.when(F.col("rc"), B.reverse_complement(F.col("cut"))).otherwise(F.col("cut")), 256).alias("truth"))
+    answers = c.fetch(asked).select("id", F.sha2("seq", 256).alias("sha256"))
+    return answers.join(truth, "id").select("id", "sha256", (F.col("sha256") == F.col("truth")).alias("ok"))
+
+
+# ---------------------------------------------------------------- exact search
+
+
+@query(f"WITH {_PATTERNS.strip()} SELECT pid, class, seq FROM patterns")
+def patterns(spark, sf_dir):
+    return D.world(spark, sf_dir).patterns
+
+
+@query(f"WITH {_PATTERNS.strip()}, s AS (SELECT *, row_number() OVER (PARTITION BY class ORDER BY pid * 7919 % 1000003, pid) AS i FROM patterns) SELECT class, pid FROM s WHERE i <= CASE class WHEN 'even' THEN 100 ELSE 20 END")
+def pattern_sample(spark, sf_dir):
+    """A capped sample of each class, in the order of a hash of the id."""
+    rank = F.row_number().over(W.partitionBy("class").orderBy(F.col("pid") * 7919 % 1000003, "pid"))
+    cap = F.when(F.col("class") == "even", 100).otherwise(20)
+    return D.world(spark, sf_dir).patterns.withColumn("i", rank).where(F.col("i") <= cap).select("class", "pid")
+
+
+_TEXT_HITS = f"WITH {_TEXT}, {_PATTERNS}, {_kmers('contigs')}, {_HITS}"
+_MUTATED_HITS = f"WITH {_MUTATED}, {_PATTERNS}, {_kmers('contigs')}, {_HITS}"
+
+
+@query(f"{_TEXT_HITS} SELECT asm_id, contig_ix, pos, pid, strand FROM hits")
+def kmer_exact_hits(spark, sf_dir):
+    w = D.world(spark, sf_dir)
+    return kmers.search(w.text, w.patterns)
+
+
+@query(f"{_TEXT_HITS} SELECT asm_id, class, count(*) AS hits, count(DISTINCT pid) AS patterns FROM hits GROUP BY ALL")
+def hits_by_class(spark, sf_dir):
+    w = D.world(spark, sf_dir)
+    hits = kmers.search(w.text, w.patterns).join(joins.broadcast_if_small(w.patterns.select("pid", "class")), "pid")
+    return hits.groupBy("asm_id", "class").agg(F.count("*").alias("hits"), F.countDistinct("pid").alias("patterns"))
+
+
+_LINE = "lpad(contig_ix::VARCHAR, 8, '0') || ':' || lpad(pos::VARCHAR, 12, '0') || ':' || lpad(pid::VARCHAR, 12, '0') || ':' || strand"
+
+
+@query(f"{_TEXT_HITS} SELECT asm_id, count(*) AS hits, sha256(string_agg({_LINE}, chr(10) ORDER BY {_LINE})) AS digest FROM hits GROUP BY asm_id")
+def hits_digest(spark, sf_dir):
+    w = D.world(spark, sf_dir)
+    return kmers.digest(kmers.search(w.text, w.patterns), ["asm_id"])
+
+
+@query(f"{_MUTATED_HITS} SELECT asm_id, contig_ix, pos, pid, strand FROM hits")
+def hits_by_transfer(spark, sf_dir):
+    """The reference scanned once and its hits carried through the edits, and the windows that no run holds scanned."""
+    w = D.world(spark, sf_dir)
+    spans = _spans(spark, sf_dir)
+    return edits.search_by_transfer(w.mutated, w.reference, spans, w.patterns).drop("origin")
+
+
+@query(f"{_TEXT_HITS} SELECT asm_id, contig_ix, pos, pid, strand FROM hits")
+def hits_by_transfer_text(spark, sf_dir):
+    """The same over the text cohort, most of which the reference doesn't hold, with runs on both strands."""
+    w = D.world(spark, sf_dir)
+    spans = edits.runs(w.text, _ops(spark, sf_dir, "text"))
+    return edits.search_by_transfer(w.text, w.reference, spans, w.patterns).drop("origin")
+
+
+@query(f"{_MUTATED_HITS} SELECT pid, count(*) AS total FROM hits GROUP BY pid")
+def origin_totals(spark, sf_dir):
+    w = D.world(spark, sf_dir)
+    return edits.origin_split(edits.search_by_transfer(w.mutated, w.reference, _spans(spark, sf_dir), w.patterns), "pid").select("pid", "total")
+
+
+@query()
+def origin_split(spark, sf_dir):
+    w = D.world(spark, sf_dir)
+    hits = edits.search_by_transfer(w.mutated, w.reference, _spans(spark, sf_dir), w.patterns)
+    return edits.origin_split(hits, "pid").join(edits.contexts(w.mutated, hits.drop("origin"), kmers.K), "pid")
+
+
+_CONTEXTS = f"""{_TEXT_HITS}, x AS (SELECT pid, strand, substr(seq, CAST(greatest(pos - 20, 0) + 1 AS INT), CAST(least(pos + 43, len) - greatest(pos - 20, 0) AS INT)) AS c FROM hits JOIN contigs USING (asm_id, contig_ix))
+SELECT pid, count(DISTINCT CASE WHEN strand = 1 THEN {_RC.format('c')} ELSE c END) AS unique_contexts FROM x GROUP BY pid"""
+
+
+@query(_CONTEXTS)
+def unique_contexts(spark, sf_dir):
+    w = D.world(spark, sf_dir)
+    return edits.contexts(w.text, kmers.search(w.text, w.patterns), kmers.K)
+
+
+@query(f"WITH {_REF}, {_PATTERNS}, {_kmers('ref')}, k AS (SELECT kmer, count(*) AS n FROM kmers GROUP BY kmer) SELECT p.seq, CAST(coalesce(a.n, 0) + coalesce(b.n, 0) AS BIGINT) AS occurrences FROM patterns p LEFT JOIN k a ON a.kmer = p.seq LEFT JOIN k b ON b.kmer = {_RC.format('p.seq')}")
+def kmerscan(spark, sf_dir):
+    w = D.world(spark, sf_dir)
+    return kmers.kmer_counts(w.reference, w.patterns)
+
+
+@query(f"WITH {_REF}, {_PATTERNS}, {_kmers('ref')} SELECT pid FROM patterns p WHERE seq NOT IN (SELECT kmer FROM kmers) AND {_RC.format('p.seq')} NOT IN (SELECT kmer FROM kmers)")
+def absent_kmers(spark, sf_dir):
+    w = D.world(spark, sf_dir)
+    return w.patterns.join(kmers.search(w.reference, w.patterns), "pid", "left_anti").select("pid")
+
+
+@query(f"WITH {_REF}, {_kmers('ref', 8)} SELECT least(kmer, {_RC.format('kmer')}) AS canonical, count(*) AS n FROM kmers WHERE regexp_matches(kmer, '^[ACGT]+$') GROUP BY ALL")
+def canonical_kmer_counts(spark, sf_dir):
+    rows = kmers.extract(D.world(spark, sf_dir).reference, 8).where(B.is_acgt(F.col("kmer")))
+    return rows.groupBy(B.canonical(F.col("kmer")).alias("canonical")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_PATTERNS.strip()}, c AS (SELECT pid, seq, list_transform(['A', 'C', 'G', 'T'], lambda b: (length(seq) - length(replace(seq, b, ''))) / 23.0::DOUBLE) AS p FROM patterns),
+e AS (SELECT pid, seq, list_sum(list_transform(list_filter(p, lambda x: x > 0), lambda x: -x * log2(x))) AS h FROM c),
+s AS (SELECT pid, h, list_transform([1, 2, 3], lambda d: len(list_filter(range(d, 23), lambda i: seq[i + 1] = seq[i + 1 - d])) / (23.0::DOUBLE - d)) AS r FROM e)
+SELECT pid, h < 1.5 OR r[1] >= 0.9 OR r[2] >= 0.9 OR r[3] >= 0.9 AS simple FROM s""")
+def repeat_class(spark, sf_dir):
+    return D.world(spark, sf_dir).patterns.select("pid", B.is_simple_repeat(F.col("seq"), kmers.K).alias("simple"))
+
+
+# ---------------------------------------------------------------- guides
+
+_SITES = f"""pam AS (
+  SELECT asm_id, contig_ix, pos, 0 AS strand, substr(kmer, 1, 20) AS s FROM kmers2 WHERE regexp_matches(kmer, '^[ACGT]+$') AND substr(kmer, 22, 2) = 'GG'
+  UNION ALL SELECT asm_id, contig_ix, pos, 1, substr({_RC.format('kmer')}, 1, 20) FROM kmers2 WHERE regexp_matches(kmer, '^[ACGT]+$') AND substr(kmer, 1, 2) = 'CC'),
+found AS (SELECT asm_id, contig_ix, pos, gid, strand, CAST(hamming(s, spacer) AS INT) AS mm FROM pam, guides WHERE hamming(s, spacer) <= 4)"""
+
+
+def _guide_sql(table: str, base: str) -> str:
+    return f"WITH {base}, {_kmers('ref')}, {_GUIDES}, {_kmers(table).replace('kmers AS', 'kmers2 AS', 1)}, {_SITES}"
+
+
+_MUTATED_SITES = _guide_sql("contigs", _MUTATED)
+
+
+@query(f"WITH {_REF}, {_kmers('ref')}, {_GUIDES} SELECT gid, spacer FROM guides")
+def guides(spark, sf_dir):
+    return D.world(spark, sf_dir).guides
+
+
+@query(f"{_MUTATED_SITES} SELECT asm_id, contig_ix, pos, gid, strand, mm FROM found")
+def guide_sites(spark, sf_dir):
+    w = D.world(spark, sf_dir)
+    return kmers.guide_sites(w.mutated, w.guides, 4)
+
+
+@query(f"{_MUTATED_SITES} SELECT asm_id, contig_ix, pos, gid, strand, mm FROM found")
+def guide_sites_by_transfer(spark, sf_dir):
+    w = D.world(spark, sf_dir)
+    return edits.sites_by_transfer(w.mutated, w.reference, _spans(spark, sf_dir), w.guides, 4).drop("origin")
+
+
+@query(f"{_MUTATED_SITES} SELECT asm_id, contig_ix, pos, gid, strand, mm FROM found")
+def guide_sites_by_seeds(spark, sf_dir):
+    w = D.world(spark, sf_dir)
+    return kmers.seeded_sites(w.mutated, w.guides, 4)
+
+
+@query(_guide_sql("(SELECT 0 AS asm_id, contig_ix, seq FROM ref)", _REF) + " SELECT asm_id, contig_ix, pos, gid, strand, mm FROM found")
+def guide_refscan(spark, sf_dir):
+    w = D.world(spark, sf_dir)
+    return kmers.guide_sites(w.reference, w.guides, 4)
+
+
+@query(f"{_MUTATED_SITES} SELECT gid, mm, count(*) AS sites, count(DISTINCT asm_id) AS assemblies FROM found GROUP BY ALL")
+def guide_mm_histogram(spark, sf_dir):
+    w = D.world(spark, sf_dir)
+    return kmers.guide_sites(w.mutated, w.guides, 4).groupBy("gid", "mm").agg(F.count("*").alias("sites"), F.countDistinct("asm_id").alias("assemblies"))
+
+
+@query()
+def guide_origin(spark, sf_dir):
+    w = D.world(spark, sf_dir)
+    return edits.origin_split(edits.sites_by_transfer(w.mutated, w.reference, _spans(spark, sf_dir), w.guides, 4), "gid")
+
+
+@query()
+def residual_kmers(spark, sf_dir):
+    """Distinct sites that the reference doesn't hold, with what they are and where the first is."""
+    w = D.world(spark, sf_dir)
+    gone = edits.sites_by_transfer(w.mutated, w.reference, _spans(spark, sf_dir), w.guides, 4).where("origin = 'residual'").drop("origin")
+    text = kmers.extract(w.mutated, kmers.K)
+    return kmers.residual_guides(gone, text.join(gone.select("asm_id", "contig_ix", "pos").distinct(), ["asm_id", "contig_ix", "pos"], "left_semi"))
+
+
+# ---------------------------------------------------------------- edits and coordinates
+
+_cache: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _ops(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
+    key = (spark.sparkContext.applicationId, sf_dir, which)
+    if key not in _cache:
+        w = D.world(spark, sf_dir)
+        _cache[key] = edits.align(getattr(w, which), w.reference)
+    return _cache[key]
+
+
+def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = (spark.sparkContext.applicationId, sf_dir, "spans")
+    if key not in _cache:
+        from strandlake.scratch import Scratch
+
+        _cache[key] = Scratch(spark).save(edits.runs(D.world(spark, sf_dir).mutated, _ops(spark, sf_dir, "mutated")), "runs")
+    return _cache[key]
+
+
+@query(f"""WITH {_MUTATED}, s AS (SELECT asm_id, string_agg(seq, '' ORDER BY contig_ix) AS seq, sum(len) AS n FROM contigs GROUP BY asm_id), b AS (SELECT asm_id, unnest(range(CAST((n + 1023) // 1024 AS BIGINT))) AS block_ix, seq FROM s)
+SELECT asm_id, CAST(block_ix AS BIGINT) AS block_ix, sha256(substr(seq, CAST(block_ix * 1024 + 1 AS INT), 1024)) AS sha256 FROM b""")
+def edits_executed(spark, sf_dir):
+    """Every block from its edits and the reference."""
+    rows = edits.execute(_ops(spark, sf_dir, "mutated"), D.world(spark, sf_dir).reference)
+    return rows.select("asm_id", "block_ix", F.sha2("seq", 256).alias("sha256"))
+
+
+@query()
+def copy_statistics(spark, sf_dir):
+    return edits.copy_statistics(_ops(spark, sf_dir, "text"))
+
+
+@query()
+def reference_runs(spark, sf_dir):
+    return _spans(spark, sf_dir)
+
+
+@query()
+def literal_records(spark, sf_dir):
+    return edits.literal_records(D.world(spark, sf_dir).text, _ops(spark, sf_dir, "text"))
+
+
+@query()
+def located_bases(spark, sf_dir):
+    """Every hundredth base by class, and how many of those located have the base that the reference has there."""
+    w = D.world(spark, sf_dir)
+    blocks = w.text.decode(case=False).select("asm_id", "bstart", "seq", F.explode(F.sequence(F.lit(0), F.length("seq") - 1, F.lit(100))).alias("o"))
+    points = blocks.select("asm_id", (F.col("bstart") + F.col("o")).alias("pos"), F.substring("seq", F.col("o") + 1, F.lit(1)).alias("base"))
+    found = edits.locate(w.text, _ops(spark, sf_dir, "text"), points)
+    ask = found.where("ref_pos is not null").select(F.struct("asm_id", "pos").alias("id"), F.lit(0).alias("asm_id"), F.col("ref_pos").alias("start"), F.lit(1).cast("long").alias("length"), (F.col("ref_strand") == "-").alias("rc"))
+    there = w.reference.windows(ask, case=False).select("id.asm_id", "id.pos", F.col("seq").alias("ref_base"))
+    return found.join(there, ["asm_id", "pos"], "left").groupBy("cls").agg(F.count("*").alias("n"), F.count_if(F.col("base") == F.col("ref_base")).alias("same"))
+
+
+@query()
+def tilemap(spark, sf_dir):
+    return edits.tilemap(D.world(spark, sf_dir).mutated, _ops(spark, sf_dir, "mutated"), 256)
+
+
+@query()
+def leak_people(spark, sf_dir):
+    w = D.world(spark, sf_dir).mutated
+    return edits.leak(None, 256, edits.by_people(edits.tilemap(w, _ops(spark, sf_dir, "mutated"), 256), w.names()))
+
+
+@query()
+def leak_locus(spark, sf_dir):
+    w = D.world(spark, sf_dir).mutated
+    return edits.leak(None, 256, edits.by_locus(edits.tilemap(w, _ops(spark, sf_dir, "mutated"), 256), 8192))
+
+
+# ---------------------------------------------------------------- intervals
+
+_SPANS = "spans AS (SELECT l_suppkey AS k, l_partkey * 7 + l_linenumber AS lo, l_partkey * 7 + l_linenumber + CAST(l_quantity AS BIGINT) % 40 AS hi FROM lineitem)"
+_UNION = f"""{_SPANS}, f AS (SELECT *, max(hi) OVER (PARTITION BY k ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM spans WHERE hi > lo),
+g AS (SELECT *, sum(CASE WHEN top IS NULL OR lo > top THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS run FROM f), u AS (SELECT k, min(lo) AS lo, max(hi) AS hi FROM g GROUP BY k, run)"""
+
+
+def _intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lo = F.col("l_partkey") * 7 + F.col("l_linenumber")
+    return _rows(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("k"), lo.alias("lo"), (lo + F.col("l_quantity").cast("long") % 40).alias("hi"))
+
+
+@query(f"WITH {_UNION} SELECT k, CAST(lo AS BIGINT) AS lo, CAST(hi AS BIGINT) AS hi FROM u")
+def interval_union(spark, sf_dir):
+    return joins.merged(_intervals(spark, sf_dir), ["k"])
+
+
+@query(f"""WITH {_UNION}, t AS (SELECT o_custkey % 100 + 1 AS k, o_orderkey AS id, o_orderkey % 14000 AS lo, o_orderkey % 14000 + 64 AS hi FROM orders)
+SELECT t.id, CAST(coalesce(sum(CASE WHEN u.k IS NULL THEN 0 ELSE least(t.hi, u.hi) - greatest(t.lo, u.lo) END), 0) AS BIGINT) AS covered FROM t LEFT JOIN u ON t.k = u.k AND t.lo < u.hi AND u.lo < t.hi GROUP BY t.id""")
+def interval_coverage(spark, sf_dir):
+    union = joins.merged(_intervals(spark, sf_dir), ["k"]).select("k", F.col("lo").alias("rlo"), F.col("hi").alias("rhi"))
+    lo = F.col("o_orderkey") % 14000
+    t = _rows(spark, sf_dir, "orders").select((F.col("o_custkey") % 100 + 1).alias("k"), F.col("o_orderkey").alias("id"), lo.alias("lo"), (lo + 64).alias("hi"))
+    hit = joins.overlap_join(t, union, ["k"], 64).groupBy("id").agg(F.sum(F.least("hi", "rhi") - F.greatest("lo", "rlo")).alias("covered"))
+    return t.join(hit, "id", "left").select("id", F.coalesce("covered", F.lit(0)).alias("covered"))
+
+
+_TYPE = "(SELECT min(event_type) FROM events)"
+
+
+@query(f"""WITH r AS (SELECT user_id, event_id AS "at", event_id * 3 AS value FROM events WHERE event_type = {_TYPE}), l AS (SELECT user_id, event_id AS pos FROM events WHERE event_type <> {_TYPE}),
+b AS (SELECT user_id, pos, (SELECT max("at") FROM r WHERE r.user_id = l.user_id AND "at" <= pos) AS a, (SELECT min("at") FROM r WHERE r.user_id = l.user_id) AS f FROM l)
+SELECT user_id, pos, coalesce(a, f) AS "at", coalesce(a, f) * 3 AS value FROM b""")
+def as_of_anchor(spark, sf_dir):
+    """The last anchor at or before each position, or the first one."""
+    e = _rows(spark, sf_dir, "events")
+    first = F.broadcast(e.agg(F.min("event_type").alias("t")))
+    e = e.join(first)  # one row
+    right = e.where("event_type = t").select("user_id", F.col("event_id").alias("at"), (F.col("event_id") * 3).alias("value"))
+    return joins.as_of(e.where("event_type <> t").select("user_id", F.col("event_id").alias("pos")), right, ["user_id"], "value")
+
+
+# ---------------------------------------------------------------- timings
+
+_TIMES = """times AS (SELECT l_returnflag AS label, [1, 8192, 65536][l_linenumber % 3 + 1] AS w, CAST(floor(l_extendedprice) AS BIGINT) + [20000, 26000, 60000][l_linenumber % 3 + 1] AS ns FROM lineitem),
+dec AS (SELECT l_returnflag AS label, l_suppkey % 12 AS run, CAST(200000 AS BIGINT) AS bases, CAST(100000 + l_partkey AS BIGINT) AS ns FROM lineitem)"""
+_P50 = "p50 AS (SELECT label, w, min(ns) FILTER (i >= (50 * n + 99) // 100) AS p50, min(ns) FILTER (i >= (95 * n + 99) // 100) AS p95, min(ns) FILTER (i >= (99 * n + 99) // 100) AS p99 FROM (SELECT *, row_number() OVER (PARTITION BY label, w ORDER BY ns) AS i, count(*) OVER (PARTITION BY label, w) AS n FROM times) GROUP BY label, w)"
+
+
+def _times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pick = lambda *x: F.element_at(F.array(*map(F.lit, x)), F.col("l_linenumber") % 3 + 1)
+    return _rows(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("label"), pick(1, 8192, 65536).alias("w"), (F.floor("l_extendedprice") + pick(20000, 26000, 60000)).alias("ns"))
+
+
+@query(f"WITH {_TIMES}, {_P50} SELECT * FROM p50")
+def latency_percentiles(spark, sf_dir):
+    return timings.nearest_rank(_times(spark, sf_dir), ["label", "w"], "ns")
+
+
+@query(f"""WITH {_TIMES}, {_P50}, d AS (SELECT label, median(bases / ns) AS d_q FROM dec WHERE run >= 3 GROUP BY label),
+x AS (SELECT p.label, p.w, p.p50, d_q, o.p50 - 1024 / d_q AS c0 FROM p50 p JOIN p50 o ON o.label = p.label AND o.w = 1 JOIN d ON d.label = p.label), y AS (SELECT *, c0 + (w + 1023) / d_q AS t FROM x)
+SELECT label, w, p50, round(c0, 6) AS c0, round(t, 6) AS predicted, round(100 * (t - p50) / p50, 6) AS error_pct, c0 >= 0 AND abs(100 * (t - p50) / p50) <= 20 AS pass FROM y""")
+def window_law(spark, sf_dir):
+    runs = _rows(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("label"), (F.col("l_suppkey") % 12).alias("run"), F.lit(200000).cast("long").alias("bases"), (F.col("l_partkey") + 100000).alias("ns"))
+    rows = timings.window_law(_times(spark, sf_dir), timings.decode_rate(runs), D.Q)
+    return rows.select("label", "w", "p50", F.round("c0", 6).alias("c0"), F.round("predicted", 6).alias("predicted"), F.round("error_pct", 6).alias("error_pct"), "pass")
+
+
+@query(f"""WITH {_TIMES}, s AS (SELECT *, row_number() OVER (PARTITION BY label, w ORDER BY ns) AS i, count(*) OVER (PARTITION BY label, w) AS c FROM times)
+SELECT label, w, count(*) AS n, median(ns) AS median, round(avg(ns), 4) AS mean, min(ns) AS least, max(ns) AS most, min(ns) FILTER (i = CAST(floor(0.9::DOUBLE * (c - 1)) AS BIGINT) + 1) AS p90 FROM s GROUP BY label, w""")
+def bench_summary(spark, sf_dir):
+    return timings.summary(_times(spark, sf_dir), ["label", "w"], "ns").withColumn("mean", F.round("mean", 4))
+
+
+@query(f"WITH {_TIMES} SELECT label, median(ns) FILTER (w = 1) AS w1, median(ns) FILTER (w = 8192) AS w8192, median(ns) FILTER (w = 65536) AS w65536 FROM times GROUP BY label")
+def bench_pivot(spark, sf_dir):
+    rows = timings.pivot(_times(spark, sf_dir), "label", "w", [1, 8192, 65536], "ns")
+    return rows.select("label", *(F.col(str(w)).alias(f"w{w}") for w in (1, 8192, 65536)))
+
+
+@query(f"WITH {_TIMES} SELECT label, round(quantile_cont(ns, 0.9), 4) AS p, round(max(ns) / min(ns), 9) AS spread FROM times GROUP BY label")
+def draw_spread(spark, sf_dir):
+    rows = timings.interpolated(_times(spark, sf_dir), ["label"], "ns")
+    return rows.select("label", F.round("p", 4).alias("p"), F.round("spread", 9).alias("spread"))
+
+
+@query(f"WITH {_TIMES} SELECT label, round(regr_intercept(ns, w), 3) AS alpha, round(regr_slope(ns, w), 6) AS beta FROM times GROUP BY label")
+def alpha_beta(spark, sf_dir):
+    rows = timings.fit(_times(spark, sf_dir), ["label"], "w", "ns")
+    return rows.select("label", F.round("alpha", 3).alias("alpha"), F.round("beta", 6).alias("beta"))
+
+
+# ---------------------------------------------------------------- training views
+
+_TOKENS = "list_transform(string_split(seq, ''), lambda c: CASE c WHEN 'A' THEN 8 WHEN 'C' THEN 5 WHEN 'G' THEN 6 WHEN 'T' THEN 7 ELSE 9 END)"
+
+
+@query(f"WITH {_TEXT} SELECT asm_id, contig_ix, name, CAST(len + 1 AS BIGINT) AS n_tokens, sha256(array_to_string(list_append({_TOKENS}, 12), ',')) AS sha256 FROM contigs")
+def training_documents(spark, sf_dir):
+    rows = training.document_tokens(D.world(spark, sf_dir).text)
+    return rows.select("asm_id", "contig_ix", "name", F.size("tokens").cast("long").alias("n_tokens"), F.sha2(F.array_join("tokens", ","), 256).alias("sha256"))
+
+
+@query(f"""WITH {_TEXT}, s AS (SELECT string_agg(seq || 'E', '' ORDER BY asm_id, contig_ix) AS s, sum(len + 1) AS n FROM contigs),
+r AS (SELECT row_ AS r, substr(s, CAST(row_ * 512 + 1 AS INT), 513) AS x FROM s, LATERAL (SELECT unnest(range(CAST((n - 1) // 512 AS BIGINT))) AS row_)),
+k AS (SELECT r, x, list_transform(string_split(x, ''), lambda c: CASE c WHEN 'A' THEN 8 WHEN 'C' THEN 5 WHEN 'G' THEN 6 WHEN 'T' THEN 7 WHEN 'E' THEN 12 ELSE 9 END) AS t FROM r),
+e AS (SELECT r, x, list_prepend(0, list_filter(range(1, 512), lambda i: x[i] = 'E')) AS cuts FROM r),
+p AS (SELECT r, CAST(list_sum(list_transform(range(1, len(cuts) + 1), lambda j: ((CASE WHEN j < len(cuts) THEN cuts[j + 1] ELSE 512 END) - cuts[j]) * ((CASE WHEN j < len(cuts) THEN cuts[j + 1] ELSE 512 END) - cuts[j] - 1) // 2)) AS BIGINT) AS s FROM e)
+SELECT r AS row, sha256(array_to_string(t[1:512], ',')) AS tokens, sha256(array_to_string(t[2:513], ',')) AS labels, CAST(512 - (length(substr(x, 1, 512)) - length(replace(substr(x, 1, 512), 'E', ''))) AS BIGINT) AS loss_places, s AS position_sum
+FROM k JOIN p USING (r)""")
+def training_batch(spark, sf_dir):
+    rows = training.batches(D.world(spark, sf_dir).text, 512)
+    total = lambda c, t: F.aggregate(c, F.lit(0).cast(t), lambda a, x: a + x).cast("long")
+    return rows.select("row", F.sha2(F.array_join("tokens", ","), 256).alias("tokens"), F.sha2(F.array_join("labels", ","), 256).alias("labels"), total("loss_mask", "float").alias("loss_places"), total("position_ids", "int").alias("position_sum"))
