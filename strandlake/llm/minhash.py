@@ -7,8 +7,9 @@ node from the start, so groups of copies cost one node. A pair at the threshold
 probability 5e-8, and the estimate drops it with probability under 1e-8.
 
 In a bucket, every node is compared with the bucket's smallest one only; then those that this left in other components
-than it are compared with all of their bucket. So no two nodes in a bucket stay apart untested, and a bucket of near
-copies costs as many comparisons as it has nodes.
+than it are compared with all of their bucket that are in other components than theirs, in tiles of bounded size, each pair
+in the first band that it shares. A tile gives one link for each two components that it finds linked, no pairs. So no two
+nodes of a bucket stay apart untested.
 
 Nodes are 64-bit fingerprints of sets: among n different sets, about n^2 / 2^65 pairs would be taken as equal.
 """
@@ -32,6 +33,8 @@ HASHES, BITS, ROWS = 128, 4, 4
 LONGS = HASHES * BITS // 64
 #: How far under the threshold an estimate may lie: six standard deviations of 128 draws at 0.8.
 MARGIN = 0.22
+#: Nodes on the two sides of a tile, and bytes of their sets, about.
+OUT, ALL, TILE_BYTES = 512, 1024, 2**23
 #: Sets that one hub's set is compared with in one sorted run.
 RUN = 256
 
@@ -40,20 +43,21 @@ def shingle_set(data: bytes | None, width: int) -> np.ndarray:
     return np.unique(tx.ngrams(tx.hashed(tx.ascii_words(data or b"")), width))
 
 
-def minima(items: np.ndarray) -> np.ndarray:
-    rng = np.random.default_rng(20_011)
-    a, b = (rng.integers(0, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1) for _ in range(2))
+def minima(items: np.ndarray, hashes: int = HASHES) -> np.ndarray:
+    rng = np.random.default_rng(20_011 + hashes)
+    a, b = (rng.integers(0, 2**31, hashes, dtype=np.uint32) * np.uint32(2) + np.uint32(1) for _ in range(2))
     low, high = items.astype(np.uint32), (items >> np.uint64(32)).astype(np.uint32)
-    out = np.full(HASHES, 2**32 - 1, np.uint32)
-    for k in range(0, len(items), 1024):
-        out = np.minimum(out, (low[k : k + 1024, None] * a + high[k : k + 1024, None] * b).min(axis=0))
+    out = np.full(hashes, 2**32 - 1, np.uint32)
+    step = 131_072 // hashes
+    for k in range(0, len(items), step):
+        out = np.minimum(out, (low[k : k + step, None] * a + high[k : k + step, None] * b).min(axis=0))
     return out
 
 
-def packed(m: np.ndarray) -> np.ndarray:
-    """The low BITS bits of each minimum, 16 to a long."""
-    part = (m & np.uint32(2**BITS - 1)).astype(np.uint64).reshape(LONGS, -1)
-    return np.bitwise_or.reduce(part << (np.arange(part.shape[1], dtype=np.uint64) * np.uint64(BITS)), axis=1).view(np.int64)
+def packed(m: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """The low bits of each minimum, as many to a long as it holds."""
+    part = (m & np.uint32(2**bits - 1)).astype(np.uint64).reshape(-1, 64 // bits)
+    return np.bitwise_or.reduce(part << (np.arange(part.shape[1], dtype=np.uint64) * np.uint64(bits)), axis=1).view(np.int64)
 
 
 def band_keys(m: np.ndarray) -> np.ndarray:
@@ -106,6 +110,68 @@ def _sets(width: int):
     return run
 
 
+def _sets_and_bands(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [(f, x) for f, data in zip(batch.column(0).to_pylist(), tx.binaries(batch.column(1)), strict=True) if len(x := shingle_set(data, width)) and fingerprint(x) == f]
+            columns = [pa.array([f for f, _ in own], pa.int64()), pa.array([band_keys(minima(x)).tobytes() for _, x in own], pa.binary()), pa.array([x.tobytes() for _, x in own], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["f", "bands", "items"])
+
+    return run
+
+
+def _tile(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        key, left = table.column("key")[0].as_py(), table.column("left").to_numpy()
+        f, c, out = (table.column(n).to_numpy() for n in ("f", "c", "out"))
+        bands = np.stack([np.frombuffer(x, np.int64) for x in table.column("bands").to_pylist()])
+        items = [np.frombuffer(x, np.uint64) for x in table.column("items").to_pylist()]
+        sizes, here = np.array([len(x) for x in items]), np.flatnonzero(~left)
+        root = {int(x): int(x) for x in np.unique(c)}
+
+        def top(x: int) -> int:
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        a, b = [], []
+        for i in np.flatnonzero(left).tolist():
+            own = here[(c[here] != c[i]) & ~(out[here] & (f[here] < f[i]))]
+            own = own[(100 * np.minimum(sizes[own], sizes[i]) >= percent * np.maximum(sizes[own], sizes[i]))]
+            same = bands[own] == bands[i]
+            own = own[bands[i][same.argmax(axis=1)] == key] if len(own) else own
+            own = own[np.array([top(int(x)) != top(int(c[i])) for x in c[own]], bool)] if len(own) else own
+            if not len(own):
+                continue
+            flat = np.concatenate([items[j] for j in own])
+            hit = items[i][np.minimum(np.searchsorted(items[i], flat), sizes[i] - 1)] == flat
+            both = np.add.reduceat(hit, np.concatenate(([0], np.cumsum(sizes[own])[:-1])), dtype=np.int64)
+            for j in own[100 * both >= percent * (sizes[i] + sizes[own] - both)].tolist():
+                x, y = top(int(c[i])), top(int(c[j]))
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    a.append(int(f[i]))
+                    b.append(int(f[j]))
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def _tiles(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links ``(a, b)`` between components of a bucket, from ``mixed(key, f, c, out)`` and ``sets(f, bands, items)``."""
+    sized = mixed.join(sets.select("f", F.octet_length("items").alias("b")), "f")
+    blocks = lambda n, b, most: (F.floor(F.greatest(n / most, b / TILE_BYTES)) + 1).cast("long")
+    some = F.coalesce(F.sum(F.when(F.col("out"), F.col("b"))), F.lit(0))
+    counts = sized.groupBy("key").agg(blocks(F.count_if("out"), some, OUT).alias("outs"), blocks(F.count("*"), F.sum("b"), ALL).alias("alls"))
+    rows = mixed.join(counts, "key")
+    at = lambda n: F.pmod(F.xxhash64("f", F.lit(n)), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = rows.where("out").select("key", "f", "c", "out", F.lit(True).alias("left"), at("outs").alias("i"), every("alls").alias("j"))
+    right = rows.select("key", "f", "c", "out", F.lit(False).alias("left"), at("alls").alias("j"), every("outs").alias("i"))
+    both = left.unionByName(right).join(sets, "f").select("key", "i", "j", "f", "c", "out", "left", "bands", "items")
+    return both.groupBy("key", "i", "j").applyInArrow(_tile(percent), "a long, b long")
+
+
 def _compare(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, items = None, None
@@ -127,27 +193,40 @@ def _compare(percent: int):
     return run
 
 
-def estimate(x: str, y: str) -> Column:
+def estimate(x: str, y: str, hashes: int = HASHES, bits: int = BITS) -> Column:
     """The similarity from packed signatures: the share of equal parts, less what chance makes equal."""
-    same = 0x1111111111111111
-    fold = lambda d: F.bit_count((d.bitwiseOR(F.shiftright(d, 1)).bitwiseOR(F.shiftright(d, 2)).bitwiseOR(F.shiftright(d, 3))).bitwiseAND(F.lit(same)))
-    off = reduce(lambda p, q: p + q, (fold(F.col(f"{x}.s{i}").bitwiseXOR(F.col(f"{y}.s{i}"))) for i in range(LONGS)))
-    chance = 2.0**-BITS
-    return ((HASHES - off) / F.lit(float(HASHES)) - chance) / (1 - chance)
+    ones = sum(1 << k for k in range(0, 64, bits))
+    fold = lambda d: F.bit_count(reduce(lambda p, q: p.bitwiseOR(q), (F.shiftright(d, k) for k in range(1, bits)), d).bitwiseAND(F.lit(ones)))
+    off = reduce(lambda p, q: p + q, (fold(F.col(f"{x}.s{i}").bitwiseXOR(F.col(f"{y}.s{i}"))) for i in range(hashes * bits // 64)))
+    chance = 2.0**-bits
+    return ((hashes - off) / F.lit(float(hashes)) - chance) / (1 - chance)
 
 
-def _near(x: str, y: str, percent: int) -> Column:
-    """May the pair reach the threshold? By sizes, which is exact, and by the estimate."""
+def _sizes_near(x: str, y: str, percent: int) -> Column:
+    """An exact bound: the similarity is at most the ratio of the sizes."""
     small, large = F.least(F.col(f"{x}.n"), F.col(f"{y}.n")), F.greatest(F.col(f"{x}.n"), F.col(f"{y}.n"))
-    return (small * 100 >= large * percent) & (estimate(x, y) >= percent / 100 - MARGIN)
+    return small * 100 >= large * percent
+
+
+def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(key, f, c, out)`` of the buckets that hold several components; ``out`` if f's component isn't the hub's."""
+    placed = members.join(labels, members.f == labels.v, "left").select("key", "hub", "f", F.coalesce("label", "f").alias("c"))
+    heads = labels.select(F.col("v").alias("hv"), F.col("label").alias("hc"))
+    placed = placed.join(heads, F.col("hub") == F.col("hv"), "left").select("key", "f", "c", (F.col("c") != F.coalesce("hc", "hub")).alias("out"))
+    mixed = placed.groupBy("key").agg(F.max("out").alias("out"), F.count("*").alias("k")).where("out and k > 1").select("key")
+    return placed.join(mixed, "key")
+
+
+def _texts(nodes: DataFrame, wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """``(f, text)`` for the nodes ``wanted(f)``: of the rows with the node's smallest id, of which one at least has its set."""
+    need = nodes.join(wanted.distinct(), "f").select("f", "min_id")
+    return docs.join(need, docs.doc_id.eqNullSafe(need.min_id)).select("f", "text")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
     """Of ``pairs(a, b)``, those whose full sets are near enough. Sets are made anew from texts, for the nodes in pairs only."""
-    nodes_in = pairs.select(F.col("a").alias("f")).union(pairs.select(F.col("b").alias("f"))).distinct()
-    need = nodes.join(nodes_in, "f").select("f", "min_id")
-    text = docs.join(need, docs.doc_id.eqNullSafe(need.min_id)).select("f", "text")
-    sets = scratch.save(text.mapInArrow(_sets(width), "f long, items binary"), "sets")
+    wanted = pairs.select(F.col("a").alias("f")).union(pairs.select(F.col("b").alias("f")))
+    sets = scratch.save(_texts(nodes, wanted, docs).mapInArrow(_sets(width), "f long, items binary"), "sets")
     salts = pairs.groupBy("a").agg(F.count("*").alias("c")).select("a", F.explode(F.sequence(F.lit(0), F.floor(F.col("c") / RUN).cast("int"))).alias("salt"))
     counts = pairs.groupBy("a").agg((F.floor(F.count("*") / RUN) + 1).cast("int").alias("runs"))
     dealt = pairs.join(counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("runs")).cast("int").alias("salt"))
@@ -191,23 +270,17 @@ def classes(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
 
     stars = members.select("hub", "f").distinct()
     a, b = nodes.alias("x"), nodes.alias("y")
-    near = stars.join(a, stars.hub == F.col("x.f")).join(b, stars.f == F.col("y.f")).where(_near("x", "y", percent))
+    near = stars.join(a, stars.hub == F.col("x.f")).join(b, stars.f == F.col("y.f")).where(_sizes_near("x", "y", percent) & (estimate("x", "y") >= percent / 100 - MARGIN))
     near = scratch.save(near.select(F.col("hub").alias("a"), F.col("y.f").alias("b")), "pairs")
     links = _verified(near, nodes, docs, shingle, percent, scratch)
     labels = components(links, scratch)
 
-    placed = members.join(labels, members.f == labels.v, "left").select("key", "hub", "f", F.coalesce("label", "f").alias("c"))
-    heads = labels.select(F.col("v").alias("hv"), F.col("label").alias("hc"))
-    placed = placed.join(heads, F.col("hub") == F.col("hv"), "left").select("key", "f", "c", (F.col("c") != F.coalesce("hc", "hub")).alias("out"))
-    mixed = placed.groupBy("key").agg(F.max("out").alias("out"), F.count("*").alias("k")).where("out and k > 1").select("key")
-    rest = placed.join(mixed, "key").join(nodes.drop("min_id"), "f")
-    rest = scratch.save(rest, "rest")
-    x, y = rest.where("out").alias("x"), rest.alias("y")
-    apart = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.c") != F.col("y.c")) & _near("x", "y", percent))
-    apart = apart.select(F.least("x.f", "y.f").alias("a"), F.greatest("x.f", "y.f").alias("b")).distinct()
-    apart = scratch.save(apart, "apart")
-    if not apart.isEmpty():
-        more = _verified(apart, nodes, docs, shingle, percent, scratch)
+    mixed = scratch.save(_mixed(members, labels), "mixed")
+    sets = _texts(nodes, mixed.select("f"), docs).mapInArrow(_sets_and_bands(shingle), "f long, bands binary, items binary")
+    sets = scratch.save(sets.dropDuplicates(["f"]), "sets")
+    more = scratch.save(_tiles(mixed, sets, percent), "more")
+    scratch.drop(mixed, sets)
+    if not more.isEmpty():
         labels = components(links.union(more), scratch)
 
     tops = nodes.join(labels, nodes.f == labels.v, "left").select("f", "min_id", F.coalesce("label", "f").alias("c"))
