@@ -156,6 +156,8 @@ class Cohort:
         bad = (F.col("start0") < 0) | (F.col("length") < 0) | (F.col("start0") + F.col("length") > F.col("__len"))
         start = F.when(F.col("__len").isNull(), F.raise_error(F.concat(F.lit("no such contig: "), label))).when(bad, F.raise_error(F.concat(F.lit("out of the contig: "), label)))
         r = r.withColumn("start", start.otherwise(F.col("boff") + F.col("start0"))).drop("__len", "boff")
+        # a request without an assembly must fail, not drop out of the joins below
+        r = r.withColumn("asm_id", F.when(F.col("start").isNotNull(), F.coalesce("asm_id", F.lit(-1))))
         return self.windows(r, case, tokens).select(*requests.columns, "seq")
 
     def regions(self, requests: DataFrame, line: int = 60) -> DataFrame:

@@ -568,3 +568,79 @@ def training_batch(spark, sf_dir):
     rows = training.batches(D.world(spark, sf_dir).text, 512)
     total = lambda c, t: F.aggregate(c, F.lit(0).cast(t), lambda a, x: a + x).cast("long")
     return rows.select("row", F.sha2(F.array_join("tokens", ","), 256).alias("tokens"), F.sha2(F.array_join("labels", ","), 256).alias("labels"), total("loss_mask", "float").alias("loss_places"), total("position_ids", "int").alias("position_sum"))
+
+
+# ---------------------------------------------------------------- archives
+
+
+def _archive_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(assembly, fasta, edits)`` of the mutated cohort: an archive is one file, so an assembly is one row from here on."""
+    w = D.world(spark, sf_dir)
+    records = w.mutated.fasta_records().groupBy("asm_id").agg(F.array_sort(F.collect_list(F.struct("contig_ix", "record"))).alias("r"))
+    records = records.select("asm_id", F.array_join(F.transform("r", lambda x: x["record"]), "").cast("binary").alias("fasta"))
+    one = F.struct("op_ix", F.struct("kind", "dst", "len", "src").alias("op"))
+    blocks = _ops(spark, sf_dir, "mutated").groupBy("asm_id", "block_ix").agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["op"]).alias("ops"))
+    edits_ = blocks.groupBy("asm_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("block_ix", "ops"))), lambda x: x["ops"]).alias("edits"))
+    return records.join(edits_, "asm_id").join(w.mutated.names(), "asm_id").select("assembly", "fasta", "edits")
+
+
+def _reference_bases(spark: SparkSession, sf_dir: str) -> bytes:
+    """The format bounds a reference at 2^32 bases; the driver holds it to share it."""
+    return b"".join(bytes(r.seq) for r in D.world(spark, sf_dir).reference.blocks.orderBy("block_ix").select("seq").toLocalIterator())
+
+
+def _archives(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, bytes]:
+    from strandlake.scratch import Scratch
+    from strandlake.sources import archive
+
+    ref, key = _reference_bases(spark, sf_dir), (spark.sparkContext.applicationId, sf_dir, "archives")
+    if key not in _cache:
+        _cache[key] = Scratch(spark).save(archive.encode_files(_archive_rows(spark, sf_dir), ref, D.REF, D.Q), "archives")
+    return _cache[key], ref
+
+
+_SUMS = f"""WITH {_MUTATED}, f AS (SELECT c.asm_id, string_agg('>doc' || r.doc_id || ' ' || b.lang || chr(10) || regexp_replace(c.seq, '(.{{1,60}})', '\\1' || chr(10), 'g'), '' ORDER BY contig_ix) AS fasta
+  FROM contigs c JOIN ref r USING (contig_ix) JOIN base b ON b.doc_id = r.doc_id GROUP BY c.asm_id)
+SELECT 'y1_P' || (asm_id // 2) || '.' || (asm_id % 2 + 1) AS assembly, sha256(fasta) AS sha256 FROM f"""
+
+
+@query(_SUMS)
+def archive_roundtrip(spark, sf_dir):
+    """Encoded, opened with every check, decoded: the source file again."""
+    from strandlake.sources import archive
+
+    files, ref = _archives(spark, sf_dir)
+    return archive.decode_fasta(files, ref).select("assembly", F.sha2("fasta", 256).alias("sha256"))
+
+
+@query(f"""WITH {_MUTATED}, s AS (SELECT asm_id, string_agg(seq, '' ORDER BY contig_ix) AS seq, sum(len) AS n FROM contigs GROUP BY asm_id), b AS (SELECT asm_id, unnest(range(CAST((n + 1023) // 1024 AS BIGINT))) AS block_ix, seq FROM s)
+SELECT 'y1_P' || (asm_id // 2) || '.' || (asm_id % 2 + 1) AS assembly, CAST(block_ix AS BIGINT) AS block_ix, sha256(substr(seq, CAST(block_ix * 1024 + 1 AS INT), 1024)) AS sha256 FROM b""")
+def archive_blocks(spark, sf_dir):
+    from strandlake.sources import archive
+
+    files, ref = _archives(spark, sf_dir)
+    return archive.decode_blocks(files, ref).select("assembly", "block_ix", F.sha2("seq", 256).alias("sha256"))
+
+
+@query()
+def archive_headers(spark, sf_dir):
+    from strandlake.sources import archive
+
+    return archive.headers(_archives(spark, sf_dir)[0])
+
+
+@query()
+def archive_recode(spark, sf_dir):
+    """A manifest over two block sizes. Edits are given for one block size only, so here all blocks are literal."""
+    from strandlake.sources import archive
+
+    rows = _archive_rows(spark, sf_dir).withColumn("edits", F.lit(None).cast("array<array<struct<kind:int,dst:int,len:int,src:bigint>>>"))
+    return archive.recode(rows, _reference_bases(spark, sf_dir), D.REF)
+
+
+@query()
+def corruption_matrix(spark, sf_dir):
+    from strandlake.sources import archive
+
+    files, ref = _archives(spark, sf_dir)
+    return archive.corruption(files.where("assembly = 'y1_P0.1'"), ref, 10)
