@@ -41,6 +41,20 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def save_by(self, df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+        """A table in buckets of ``key``: a join or group by that key doesn't shuffle it again.
+
+        Only the catalog knows of buckets, so the files get an entry there until the frame is analysed.
+        """
+        path = new_path(self.spark, name)
+        table = f"strandlake_{uuid.uuid4().hex}"
+        df.write.bucketBy(buckets, key).option("path", path).format("parquet").saveAsTable(table)
+        out = self.spark.table(table)
+        out.schema  # noqa: B018
+        self.spark.sql(f"DROP TABLE {table}")
+        out._scratch_path = path
+        return out
+
     def drop(self, *frames: DataFrame) -> None:
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
