@@ -14,7 +14,9 @@ import secrets
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,17 +25,39 @@ from strandlake.scratch import Scratch
 
 ORDER, ALPHA = 3, 0.4
 #: Words of a batch, and n-grams of a partition of the count table, about.
-BATCH_WORDS, PART_KEYS = 1_000_000, 2_000_000
+BATCH_WORDS, PART_KEYS = 700_000, 1_000_000
+#: Bits that tell the n-grams of one partition apart: one agrees with another of a million with probability 4e-9.
+LOW = 48
+#: Bits of a word's hash: of n different words, one agrees with another with probability n / 2^48.
+WORD = 48
 
 
 def planes(x: np.ndarray) -> bytes:
-    """Numbers byte plane by byte plane, so that the shuffle's compression finds the empty ones."""
-    return x.view(np.uint8).reshape(len(x), -1).T.tobytes()
+    """Numbers byte plane by byte plane, packed: the empty planes take no room, the narrow ones little."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes())
 
 
 def unplanes(data: bytes, kind: type) -> np.ndarray:
     size = np.dtype(kind).itemsize
-    return np.frombuffer(data, np.uint8).reshape(size, -1).T.copy().view(kind).ravel()
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(size, -1).T.copy().view(kind).ravel()
+
+
+def gaps(x: np.ndarray) -> bytes:
+    return planes(np.diff(x, prepend=np.uint64(0)))
+
+
+def ungaps(data: bytes) -> np.ndarray:
+    return np.cumsum(unplanes(data, np.uint64), dtype=np.uint64)
+
+
+def placed(h: np.ndarray, parts: int) -> tuple[np.ndarray, int]:
+    """Keys that sort by partition of the count table, and the bits under the partition: LOW, or what 64 leave.
+
+    A partition holds about as many n-grams at any size of the corpus, so 48 bits tell all but some 4e-9 of them apart.
+    """
+    low = min(LOW, 64 - parts.bit_length())
+    part = ((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    return (part << np.uint64(low)) | (h & np.uint64(2**low - 1)), low
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -41,17 +65,17 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def flush() -> pa.RecordBatch:
         words = np.concatenate([np.zeros(0, np.uint64), *held])
-        vocabulary, codes = np.unique(words, return_inverse=True)
+        codes, vocabulary = pd.factorize(words)  # frequent words come early, so most codes are small
         known = np.array([x is not None for x in ids], bool)
         columns = [
             pa.array([secrets.randbits(63)], pa.int64()), pa.array([len(words)], pa.int64()),
-            *(pa.array([x], pa.binary()) for x in (np.array([x or 0 for x in ids], np.int64).tobytes(), known.tobytes(), np.array(lens, np.int64).tobytes(), vocabulary.tobytes(), planes(codes.astype(np.uint32)))),
+            *(pa.array([x], pa.binary()) for x in (np.array([x or 0 for x in ids], np.int64).tobytes(), known.tobytes(), np.array(lens, np.int64).tobytes(), planes(vocabulary), planes(codes.astype(np.uint32)))),
         ]
         return pa.RecordBatch.from_arrays(columns, ["batch", "words", "ids", "known", "lens", "vocabulary", "codes"])
 
     for b in batches:
         for i, data in zip(b.column(0).to_pylist(), tx.binaries(b.column(1)), strict=True):
-            w = tx.hashed(tx.ascii_words(data or b""))
+            w = tx.hashed(tx.ascii_words(data or b"")) >> np.uint64(64 - WORD)
             ids.append(i)
             lens.append(len(w))
             held.append(w)
@@ -63,28 +87,52 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _grams(vocabulary: bytes, codes: bytes, lens: bytes) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each order, the hash of the n-gram that ends at each word, and whether it lies within the document."""
-    words, lens = np.frombuffer(vocabulary, np.uint64)[unplanes(codes, np.uint32)], np.frombuffer(lens, np.int64)
-    place = np.arange(len(words)) - np.repeat(np.cumsum(lens) - lens, lens)
-    h, out = tx.mix(words + np.uint64(1)), []
-    out.append((h, np.ones(len(words), bool)))
-    for n in range(1, ORDER):
-        older = np.concatenate((np.zeros(min(n, len(words)), np.uint64), words[:-n] if len(words) > n else words[:0]))
-        h = tx.mix(h * np.uint64(0x9E3779B97F4A7C15) + older + np.uint64(n))
-        out.append((h, place >= n))
-    return out
+class Grams:
+    """A batch's n-grams: for each order, the local number of the one that ends at each word (-1 where none does), and hashes."""
+
+    def __init__(self, vocabulary: bytes, codes: bytes, lens: bytes):
+        words, codes = unplanes(vocabulary, np.uint64), unplanes(codes, np.uint32).astype(np.int64)
+        self.lens = np.frombuffer(lens, np.int64)
+        place = np.arange(len(codes)) - np.repeat(np.cumsum(self.lens) - self.lens, self.lens)
+        first = tx.mix(words + np.uint64(1))
+        self.ids, self.hashes = [codes], [first]
+        for n in range(1, ORDER):
+            ok = np.flatnonzero(place >= n)
+            own, both = pd.factorize(self.ids[-1][ok - 1] * len(words) + codes[ok])
+            ids = np.full(len(codes), -1, np.int64)
+            ids[ok] = own
+            self.ids.append(ids)
+            older, last = (both // max(1, len(words))).astype(np.int64), (both % max(1, len(words))).astype(np.int64)
+            self.hashes.append(tx.mix(self.hashes[-1][older] * np.uint64(0x9E3779B97F4A7C15) + first[last] + np.uint64(n)))
+        self.counts = [np.bincount(ids[ids >= 0], minlength=len(h)) for ids, h in zip(self.ids, self.hashes, strict=True)]
+
+    def keys(self, parts: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """The keys of all n-grams in order, where each stands, and the bits under the partition."""
+        keys, low = placed(np.concatenate(self.hashes), parts)
+        order = np.argsort(keys, kind="stable")
+        return keys[order], order, low
+
+    def own(self, n: int) -> np.ndarray:
+        """How often its document holds the n-gram that ends at each word."""
+        ids, out = self.ids[n], (self.ids[n] >= 0).astype(np.int64)
+        some = np.flatnonzero(ids >= 0)
+        some = some[self.counts[n][ids[some]] > 1]  # what the batch has once, its document has once
+        doc = np.repeat(np.arange(len(self.lens)), self.lens)[some]
+        at, _ = pd.factorize(doc * len(self.hashes[n]) + ids[some])
+        out[some] = np.bincount(at)[at] if len(at) else 0
+        return out
 
 
 def _requests(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for batch, vocabulary, codes, lens in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
-                keys, counts = np.unique(np.concatenate([h[ok] for h, ok in _grams(vocabulary, codes, lens)]), return_counts=True)
-                ends = np.searchsorted(keys, np.array([p * 2**64 // parts for p in range(1, parts)], np.uint64))
-                cut = [0, *ends.tolist(), len(keys)]
+                grams = Grams(vocabulary, codes, lens)
+                keys, order, low = grams.keys(parts)
+                counts = np.concatenate(grams.counts)[order]
+                cut = np.searchsorted(keys, np.arange(parts + 1, dtype=np.uint64) << np.uint64(low)).tolist() if parts > 1 else [0, len(keys)]
                 own = [p for p in range(parts) if cut[p] < cut[p + 1]]
-                blobs = [planes(np.diff(keys[cut[p] : cut[p + 1]], prepend=np.uint64(0))) for p in own]
+                blobs = [gaps(keys[cut[p] : cut[p + 1]]) for p in own]
                 sums = [planes(counts[cut[p] : cut[p + 1]].astype(np.uint32)) for p in own]
                 yield pa.RecordBatch.from_arrays([pa.array([batch] * len(own), pa.int64()), pa.array(own, pa.int32()), pa.array(blobs, pa.binary()), pa.array(sums, pa.binary())], ["batch", "part", "keys", "counts"])
 
@@ -92,46 +140,36 @@ def _requests(parts: int):
 
 
 def _added(table: pa.Table) -> pa.Table:
-    """Of one partition of the count table: the whole count of each key asked for, in the order asked."""
-    asked = [np.cumsum(unplanes(x, np.uint64), dtype=np.uint64) for x in table.column("keys").to_pylist()]
-    counts = [unplanes(x, np.uint32) for x in table.column("counts").to_pylist()]
-    keys, at = np.unique(np.concatenate(asked), return_inverse=True)
-    total = np.bincount(at, np.concatenate(counts), len(keys)).astype(np.uint64)[at]
-    runs = np.split(total, np.cumsum([len(x) for x in asked])[:-1])
-    return pa.table([table.column("batch"), table.column("part"), pa.array([planes(x) for x in runs], pa.binary())], ["batch", "part", "totals"])
-
+    """Of one partition of the count table: what all other batches have of each key asked for, in the order asked."""
+    asked = [ungaps(x) for x in table.column("keys").to_pylist()]
+    counts = np.concatenate([unplanes(x, np.uint32) for x in table.column("counts").to_pylist()])
+    at, keys = pd.factorize(np.concatenate(asked))
+    others = np.bincount(at, counts, len(keys)).astype(np.uint64)[at] - counts
+    runs = np.split(others, np.cumsum([len(x) for x in asked])[:-1])
+    return pa.table([table.column("batch"), table.column("part"), pa.array([planes(x) for x in runs], pa.binary())], ["batch", "part", "others"])
 
-def _own(doc: np.ndarray, at: np.ndarray, ok: np.ndarray) -> np.ndarray:
-    """How often a document holds the n-gram that ends at each of its words."""
-    out = np.zeros(len(at), np.int64)
-    if ok.any():
-        _, where, n = np.unique(doc[ok] * (int(at.max()) + 1) + at[ok], return_inverse=True, return_counts=True)
-        out[ok] = n[where]
-    return out
 
-
-def _scores(corpus: int):
+def _scores(corpus: int, parts: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, known, lens, vocabulary, codes = (left.column(c)[0].as_py() for c in ("ids", "known", "lens", "vocabulary", "codes"))
-        grams = _grams(vocabulary, codes, lens)
-        lens = np.frombuffer(lens, np.int64)
-        doc = np.repeat(np.arange(len(lens)), lens)
-        keys = np.unique(np.concatenate([h[ok] for h, ok in grams])) if len(doc) else np.zeros(0, np.uint64)
-        runs = sorted(zip(right.column("part").to_pylist(), right.column("totals").to_pylist(), strict=True))
-        totals = np.concatenate([np.zeros(0, np.int64), *(unplanes(x, np.uint64).astype(np.int64) for _, x in runs)])
-        if len(totals) != len(keys):
+        grams = Grams(vocabulary, codes, lens)
+        lens, words = grams.lens, len(grams.ids[0])
+        keys, order, _ = grams.keys(parts)
+        runs = sorted(zip(right.column("part").to_pylist(), right.column("others").to_pylist(), strict=True))
+        got = np.concatenate([np.zeros(0, np.int64), *(unplanes(x, np.uint64).astype(np.int64) for _, x in runs)])
+        if len(got) != len(keys):
             raise ValueError("counts are missing")
-        rest = []
-        for h, ok in grams:
-            at = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
-            rest.append(np.where(ok, totals[at] - _own(doc, at, ok), 0) if len(keys) else at)
-        others = np.maximum(corpus - lens, 1)[doc]
+        totals = np.concatenate(grams.counts).astype(np.int64)
+        totals[order] += got
+        totals = np.split(totals, np.cumsum([len(h) for h in grams.hashes])[:-1])
+        rest = [np.where(i >= 0, t[i], 0) - grams.own(n) if len(t) else np.zeros(words, np.int64) for n, (i, t) in enumerate(zip(grams.ids, totals, strict=True))]
+        doc = np.repeat(np.arange(len(lens)), lens)
         with np.errstate(divide="ignore", invalid="ignore"):
-            score = np.where(rest[0] > 0, rest[0], ALPHA) / others
+            score = np.where(rest[0] > 0, rest[0], ALPHA) / np.maximum(corpus - lens, 1)[doc]
             for n in range(1, ORDER):
-                before = np.concatenate((np.zeros(1, np.int64), rest[n - 1][:-1])) if len(doc) else rest[0]
-                score = np.where(grams[n][1], np.where(rest[n] > 0, rest[n] / before, ALPHA * score), score)
-        logs = np.bincount(doc, np.log2(score), len(lens)) if len(doc) else np.zeros(len(lens))
+                before = np.concatenate((np.zeros(1, np.int64), rest[n - 1]))[:-1]
+                score = np.where(grams.ids[n] >= 0, np.where(rest[n] > 0, rest[n] / before, ALPHA * score), score)
+        logs = np.bincount(doc, np.log2(score), len(lens)) if words else np.zeros(len(lens))
         mask = ~np.frombuffer(known, bool)
         return pa.table([pa.array(np.frombuffer(ids, np.int64), mask=mask), pa.array(lens), pa.array(logs)], ["doc_id", "n_words", "log2_score"])
 
@@ -153,9 +191,10 @@ def backoff_scores(docs: DataFrame) -> DataFrame:
     tx.small_batches(spark)
     scratch = Scratch(spark)
     kinds = "batch long, words long, ids binary, known binary, lens binary, vocabulary binary, codes binary"
-    corpus = scratch.save(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_packed, kinds), "batches")
+    packed = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_packed, kinds)
+    corpus = scratch.save_by(packed, "batches", "batch", int(spark.conf.get("spark.sql.shuffle.partitions")))
     words = corpus.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
     parts = max(1, -(-words * ORDER // PART_KEYS))
     asked = corpus.select("batch", "vocabulary", "codes", "lens").mapInArrow(_requests(parts), "batch long, part int, keys binary, counts binary")
-    totals = asked.groupBy("part").applyInArrow(_added, "batch long, part int, totals binary")
-    return corpus.groupBy("batch").cogroup(totals.groupBy("batch")).applyInArrow(_scores(words), "doc_id long, n_words long, log2_score double")
+    totals = asked.groupBy("part").applyInArrow(_added, "batch long, part int, others binary")
+    return corpus.groupBy("batch").cogroup(totals.groupBy("batch")).applyInArrow(_scores(words, parts), "doc_id long, n_words long, log2_score double")
