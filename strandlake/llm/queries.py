@@ -121,3 +121,30 @@ z AS (SELECT *, CASE WHEN i < 1 THEN s1 WHEN n2 > 0 THEN n2 / p1 ELSE 0.4::DOUBL
 f AS (SELECT r, sum(log2(CASE WHEN i < 2 THEN s2 WHEN n3 > 0 THEN n3 / p2 ELSE 0.4::DOUBLE * s2 END)) AS s, count(*) AS n FROM z GROUP BY r)
 SELECT w.doc_id, CAST(coalesce(f.n, 0) AS BIGINT) AS n_words, round(coalesce(f.s, 0), 3) AS log2_score FROM w LEFT JOIN f USING (r)
 """
+
+ORACLE["op5_decontamination"] = r"""
+WITH words AS (
+  SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark),
+split AS (
+  SELECT kind, id, list_filter(string_split(regexp_replace(lower(text), '[\x00-\x2F\x3A-\x40\x5B-\x5E\x60\x7B-\x7F]', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM words),
+grams AS (SELECT kind, id, len(w) AS n, list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i : i + 4], ' ')) AS g FROM split WHERE len(w) > 0),
+each AS (SELECT DISTINCT kind, id, unnest(g) AS x FROM grams),
+pairs AS (SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM each d JOIN each i ON d.kind = 'd' AND i.kind = 'i' AND d.x = i.x),
+windows AS (
+  SELECT doc_id, item_id, s, i.g AS ig, d.g[s : s + least(len(i.g), len(d.g)) - 1] AS wg
+  FROM pairs JOIN grams d ON d.kind = 'd' AND d.id = doc_id JOIN grams i ON i.kind = 'i' AND i.id = item_id,
+  LATERAL (SELECT unnest(range(1, greatest(len(d.g) - len(i.g), 0) + 2)) AS s)),
+scored AS (
+  SELECT doc_id, item_id, s, shared / (len(wg) + len(ig) - shared) AS similarity
+  FROM (SELECT *, list_sum(list_transform(list_distinct(wg), lambda x: least(len(list_filter(wg, lambda y: y = x)), len(list_filter(ig, lambda y: y = x))))) AS shared FROM windows))
+SELECT doc_id, item_id, max(similarity) AS similarity, arg_max(s, (similarity, -s)) - 1 AS start_word FROM scored WHERE similarity >= 0.8 GROUP BY ALL
+"""
+
+ORACLE["op9_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS x, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((CAST('0x' || substr(x, CAST(1 + 5 * (i // 4) AS INT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31) AS INT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM d
+"""
