@@ -199,6 +199,28 @@ class Cohort:
     def sample(self, n: int, w: int, seed: int = 0, rc_percent: int = 0, tokens: bool = False) -> DataFrame:
         return self.windows(self.sample_coordinates(n, w, seed, rc_percent), tokens=tokens)
 
+    def sample_variable(self, n: int, seed: int = 0) -> DataFrame:
+        """Requests for ``fetch``: contigs weighted by length, lengths uniform over octaves up to 2^20, starts uniform.
+
+        ``(id, assembly, contig, start0, length, rc)``, by integer arithmetic on (id, seed) like ``sample_coordinates``.
+        """
+        mixed = lambda k: (F.col("id") * 7919 + (seed * 31 + k) * 104729 + 1) % 1_000_003 * 15_485_863 + F.col("id")
+        starts = self.starts(1)
+        total = starts.agg(F.coalesce(F.sum("valid"), F.lit(0))).first()[0]
+        if not total:
+            raise ValueError("the cohort has no bases")
+        ids = self.spark.range(n).withColumn("pos", mixed(0) % total)
+        drawn = joins.point_join(ids, starts, [], max(1, total // 4096))
+        octave = F.element_at(F.array(*(F.lit(2**k).cast("long") for k in range(20))), (mixed(1) % 20 + 1).cast("int"))
+        drawn = drawn.withColumn("length", F.least(F.col("len"), octave + mixed(2) % octave))
+        start0 = mixed(3) % (F.col("len") - F.col("length") + 1)
+        return drawn.select("id", "assembly", F.col("name").alias("contig"), start0.alias("start0"), "length", (mixed(4) % 2 == 1).alias("rc"))
+
+    def contig_of(self, points: DataFrame) -> DataFrame:
+        """``points(.., asm_id, pos)`` on the streams -> with ``contig_ix`` and ``start0`` in the contig."""
+        spans = self.contigs.select("asm_id", "contig_ix", F.col("boff").alias("lo"), (F.col("boff") + F.col("len")).alias("hi"))
+        return joins.point_join(points, spans, ["asm_id"], 4 * self.q).select(*points.columns, "contig_ix", (F.col("pos") - F.col("lo")).alias("start0"))
+
     # ---- whole assemblies
 
     def decode(self, case: bool = True) -> DataFrame:

@@ -270,3 +270,56 @@ def literal_records(cohort: Cohort, ops: DataFrame, least: int = 64) -> DataFram
     """Literal runs of ``least`` bases and more, as FASTA records."""
     name = F.concat(F.lit(">"), F.col("asm_id").cast("string"), F.lit(":"), (F.col("block_ix") * cohort.q + F.col("dst")).cast("string"))
     return ops.where((F.col("kind") == 0) & (F.col("len") >= least)).select(F.concat(name, F.lit("\n"), F.col("lit").cast("string"), F.lit("\n")).alias("record"))
+
+
+def pattern_candidates(cohort: Cohort, ops: DataFrame, spans: DataFrame, k: int = kmers.K) -> DataFrame:
+    """``(class, asm_id, contig_ix, pos)``: places for test patterns by what the edits are there.
+
+    ``lit`` inside a literal run, ``boundary`` across a run's end, ``short_ins`` across a literal run shorter than k between two
+    runs, ``ref`` inside a run, ``contig_end`` at a contig's last window, ``block_edge`` across a block's end.
+    """
+    c = cohort.contigs.where(F.col("len") >= k).select("asm_id", "contig_ix", "len", "boff")
+    by = W.partitionBy("asm_id", "contig_ix").orderBy("a", "end")
+    ends = c.select("asm_id", "contig_ix", F.explode(F.array(F.lit(0).cast("long"), F.col("len"))).alias("a")).withColumn("end", F.col("a"))
+    marks = spans.select("asm_id", "contig_ix", "a", (F.col("a") + F.col("len")).alias("end")).union(ends)
+    after = marks.withColumn("next", F.lead("a").over(by)).withColumn("len", F.col("end") - F.col("a"))
+    pick = lambda df, name, pos: df.select(F.lit(name).alias("class"), "asm_id", "contig_ix", pos.cast("long").alias("pos"))
+    gap = F.col("next") - F.col("end")
+    parts = [
+        pick(after.where(F.col("len") >= k), "ref", F.col("a") + F.floor((F.col("len") - k) / 2)),
+        pick(after.where((gap == 0) & (F.col("len") > 0)), "boundary", F.col("end") - k // 2),
+        pick(after.where((gap > 0) & (gap < k) & (F.col("len") > 0)), "short_ins", F.col("end") - F.floor((k - gap) / 2)),
+        pick(after.where(gap >= k), "lit", F.col("end") + F.floor((gap - k) / 2)),
+        pick(c, "contig_end", F.col("len") - k),
+    ]
+    edges = c.withColumn("b", joins.bins(F.col("boff") + 1, F.col("boff") + F.col("len"), cohort.q)).where("b > 0")
+    parts.append(pick(edges, "block_edge", F.col("b") * cohort.q - F.col("boff") - k // 2))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out.join(c.select("asm_id", "contig_ix", "len"), ["asm_id", "contig_ix"]).where((F.col("pos") >= 0) & (F.col("pos") + k <= F.col("len"))).select("class", "asm_id", "contig_ix", "pos")
+
+
+def generate_patterns(cohort: Cohort, candidates: DataFrame, caps: dict[str, int], k: int = kmers.K) -> DataFrame:
+    """``(pid, class, seq)``: a capped sample of each class, in the order of a hash of the place; of equal sequences one stays."""
+    spread = F.xxhash64("asm_id", "contig_ix", "pos")
+    cap = F.coalesce(*(F.when(F.col("class") == name, n) for name, n in caps.items()), F.lit(0))
+    rank = F.row_number().over(W.partitionBy("class").orderBy(spread, "asm_id", "contig_ix", "pos"))
+    some = candidates.distinct().withColumn("i", rank).where(F.col("i") <= cap).drop("i")
+    c = cohort.contigs.select("asm_id", "contig_ix", "boff")
+    rows = some.join(joins.broadcast_if_small(c), ["asm_id", "contig_ix"])
+    rows = rows.select(F.struct("class", "asm_id", "contig_ix", "pos").alias("id"), "asm_id", (F.col("boff") + F.col("pos")).alias("start"), F.lit(k).cast("long").alias("length"), F.lit(False).alias("rc"))
+    seqs = cohort.windows(rows, case=False).where(B.is_acgt(F.col("seq")))
+    one = seqs.groupBy("seq").agg(F.min("id").alias("id"))
+    return one.select(F.pmod(F.xxhash64("id"), F.lit(2**53)).alias("pid"), F.col("id.class").alias("class"), "seq")
+
+
+def jump_histogram(ops: DataFrame) -> DataFrame:
+    """Copies by strand change and log2 of the distance between where the copy before leads and where they are."""
+    by = W.partitionBy("asm_id", "block_ix").orderBy("op_ix")
+    copies = ops.where("kind in (1, 3)")
+    diag = F.when(F.col("kind") == 1, F.col("src") - F.col("dst")).otherwise(F.col("src") + F.col("len") - 1 + F.col("dst"))
+    copies = copies.withColumn("diag", diag).withColumn("was", F.lag("diag").over(by)).withColumn("kind0", F.lag("kind").over(by)).where("was is not null")
+    locus = F.when(F.col("kind0") == 1, F.col("was") + F.col("dst")).otherwise(F.col("was") - F.col("dst"))
+    here = F.when(F.col("kind") == 1, F.col("src")).otherwise(F.col("src") + F.col("len") - 1)
+    return copies.groupBy((F.col("kind") == F.col("kind0")).alias("same_strand"), F.ceil(F.log2(F.abs(here - locus) + 1)).alias("log2_distance")).agg(F.count("*").alias("n"))

@@ -172,6 +172,27 @@ def blocks_touched(spark, sf_dir):
     return rows.groupBy(B.blocks_touched(F.col("start"), F.col("length"), D.Q).alias("blocks")).agg(F.count("*").alias("windows"))
 
 
+_MIX = "((id * 7919 + (5 * 31 + {0}) * 104729 + 1) % 1000003 * 15485863 + id)"
+
+
+@query(f"""WITH {_TEXT}, v AS (SELECT *, coalesce(sum(len) OVER (ORDER BY asm_id, contig_ix ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo FROM contigs WHERE len > 0),
+u AS (SELECT id, {_MIX.format(0)} % (SELECT sum(len) FROM v) AS pos, CAST(1 AS BIGINT) << CAST({_MIX.format(1)} % 20 AS INT) AS octave FROM range(1000) t(id)),
+s AS (SELECT *, least(len, octave + {_MIX.format(2)} % octave) AS length FROM u JOIN v ON pos >= lo AND pos < lo + len)
+SELECT id, assembly, name AS contig, {_MIX.format(3)} % (len - length + 1) AS start0, length, {_MIX.format(4)} % 2 = 1 AS rc FROM s""")
+def sample_variable(spark, sf_dir):
+    """Regions of lengths over many octaves, contigs weighted by length."""
+    return D.world(spark, sf_dir).text.sample_variable(1000, seed=5)
+
+
+@query(f"""WITH {_TEXT}, p AS (SELECT asm_id, unnest(range(0, n, 997)) AS pos FROM streams)
+SELECT p.asm_id, p.pos, contig_ix, p.pos - boff AS start0 FROM p JOIN contigs c ON c.asm_id = p.asm_id AND p.pos >= boff AND p.pos < boff + len""")
+def contig_of_position(spark, sf_dir):
+    c = D.world(spark, sf_dir).text
+    n = c.contigs.groupBy("asm_id").agg(F.sum("len").alias("n")).where("n > 0")
+    points = n.select("asm_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(997).cast("long"))).alias("pos"))
+    return c.contig_of(points)
+
+
 # ---------------------------------------------------------------- reconstruction
 
 _CASED = _LOWER.format(n="len", p="boff", total="n", s="seq")
@@ -420,6 +441,19 @@ def reference_runs(spark, sf_dir):
     return _spans(spark, sf_dir)
 
 
+@query()
+def jump_histogram(spark, sf_dir):
+    return edits.jump_histogram(_ops(spark, sf_dir, "text"))
+
+
+@query()
+def generated_patterns(spark, sf_dir):
+    """Test patterns by class of place: in literals, across run ends, short insertions, contig ends and block edges."""
+    w = D.world(spark, sf_dir).text
+    ops = _ops(spark, sf_dir, "text")
+    return edits.generate_patterns(w, edits.pattern_candidates(w, ops, edits.runs(w, ops)), {"ref": 1000, "lit": 1000, "boundary": 200, "short_ins": 200, "contig_end": 200, "block_edge": 200})
+
+
 @query()
 def literal_records(spark, sf_dir):
     return edits.literal_records(D.world(spark, sf_dir).text, _ops(spark, sf_dir, "text"))

@@ -253,6 +253,24 @@ def test_runs_are_maximal_spans(cohort, ref, spans):
         assert s == (rc(t) if r.dir else t)
 
 
+def test_generated_patterns_are_found_where_they_were_cut(spark, cohort, ref, ops, spans):
+    places = edits.pattern_candidates(cohort, ops, spans)
+    assert {r["class"] for r in places.select("class").distinct().collect()} >= {"ref", "lit", "contig_end", "block_edge"}
+    made = edits.generate_patterns(cohort, places, {"ref": 30, "lit": 30, "boundary": 20, "short_ins": 20, "contig_end": 20, "block_edge": 20})
+    hit = {r.pid for r in kmers.search(cohort, made).select("pid").distinct().collect()}
+    assert hit == {r.pid for r in made.collect()} and hit
+    assert edits.jump_histogram(ops).count() > 0
+
+
+def test_contig_of_and_variable_samples(spark, cohort):
+    points = spark.createDataFrame([(k, p) for k, a in enumerate(ASM) for p in range(0, len(stream(a)), 501)], "asm_id int, pos long")
+    for r in cohort.contig_of(points).collect():
+        sizes = [len(s) for s in list(ASM.values())[r.asm_id].values()]
+        assert sum(sizes[: r.contig_ix]) + r.start0 == r.pos and r.start0 < sizes[r.contig_ix]
+    asked = cohort.sample_variable(300, seed=2)
+    assert cohort.fetch(asked).where(F.length("seq") == F.col("length")).count() == 300
+
+
 def test_leak(spark, cohort, ops):
     w = 256
     tiles = edits.tilemap(cohort, ops, w).collect()
