@@ -38,13 +38,15 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 SCOPES = frozenset("table td th ul ol dl article section div body main blockquote html".split())
 
 
-def boilerplate(tag: str, attrs: dict[str, str | None], inside: bool) -> bool:
-    if tag in CUT or (tag == "header" and not inside) or "hidden" in attrs or (attrs.get("role") or "").lower() in ROLES:
-        return True
-    if tag in ("html", "body", "article", "main"):
+def cut_by_tag(tag: str, attrs: dict[str, str | None], inside: bool) -> bool:
+    return tag in CUT or (tag == "header" and not inside) or "hidden" in attrs or (attrs.get("role") or "").lower() in ROLES
+
+
+def cut_by_name(tag: str, attrs: dict[str, str | None], inside: bool) -> bool:
+    if tag in ("article", "main"):
         return False
     names = re.findall("[a-z]+", f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower())
-    return not NAMES.isdisjoint(names)
+    return not NAMES.isdisjoint(names) or (not inside and "header" in names)
 
 
 class Tree(HTMLParser):
@@ -52,7 +54,7 @@ class Tree(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.tags, self.parents, self.cut = ["body"], [-1], [False]
+        self.tags, self.parents, self.by_tag, self.by_name = ["body"], [-1], [False], [False]
         self.open = [0]
         self.pieces: list[tuple[int, str] | None] = []
 
@@ -69,11 +71,21 @@ class Tree(HTMLParser):
             self.pieces.append((self.open[-1], " "))
         up = self.open[-1]
         inside = any(self.tags[i] in ("article", "main") for i in self.open)
+        if tag in ("article", "main"):
+            for i in self.open:  # what holds the article isn't cut for its name, such as a page "with-sidebar"
+                self.by_name[i] = False
         if tag not in VOID:
             self.open.append(len(self.tags))
         self.tags.append(tag)
         self.parents.append(up)
-        self.cut.append(self.cut[up] or boilerplate(tag, dict(attrs), inside))
+        self.by_tag.append(cut_by_tag(tag, dict(attrs), inside))
+        self.by_name.append(cut_by_name(tag, dict(attrs), inside))
+
+    def cuts(self) -> list[bool]:
+        out = []
+        for i, up in enumerate(self.parents):
+            out.append(self.by_tag[i] or self.by_name[i] or (up >= 0 and out[up]))
+        return out
 
     def _close(self, tags: set[str] | frozenset[str], stop: set[str] | frozenset[str]) -> None:
         for k in range(len(self.open) - 1, 0, -1):
@@ -122,7 +134,7 @@ def main_text(html: str | None) -> str:
     tree = Tree()
     tree.feed(html)
     tree.close()
-    tags, parents, cut = tree.tags, tree.parents, tree.cut
+    tags, parents, cut = tree.tags, tree.parents, tree.cuts()
     n = len(tags)
     chars, links, count, link_count, total = [0] * n, [0] * n, [0] * n, [0] * n, [0.0] * n
     linked = [False] * n

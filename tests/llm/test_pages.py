@@ -21,6 +21,8 @@ def test_main_text():
     assert html.main_text(PAGE) == TEXT
     assert html.main_text(PAGE.replace("<article>", '<div class="post"><div>').replace("</article>", "</div></div>")) == TEXT
     assert html.main_text(PAGE[: PAGE.index("<aside>")]) == TEXT
+    held = PAGE.replace("<nav>", '<div class="page with-sidebar"><div id="header">Head</div><nav>').replace("<footer>", "</div><footer>")
+    assert html.main_text(held) == TEXT
 
 
 def test_main_text_of_odd_pages():
