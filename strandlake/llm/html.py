@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -38,15 +38,15 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 SCOPES = frozenset("table td th ul ol dl article section div body main blockquote html".split())
 
 
-def cut_by_tag(tag: str, attrs: dict[str, str | None], inside: bool) -> bool:
-    return tag in CUT or (tag == "header" and not inside) or "hidden" in attrs or (attrs.get("role") or "").lower() in ROLES
+def cut_by_tag(tag: str, attrs: dict[str, str | None], inside: Callable[[], bool]) -> bool:
+    return tag in CUT or (tag == "header" and not inside()) or "hidden" in attrs or (attrs.get("role") or "").lower() in ROLES
 
 
-def cut_by_name(tag: str, attrs: dict[str, str | None], inside: bool) -> bool:
+def cut_by_name(tag: str, attrs: dict[str, str | None], inside: Callable[[], bool]) -> bool:
     if tag in ("article", "main"):
         return False
     names = re.findall("[a-z]+", f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower())
-    return not NAMES.isdisjoint(names) or (not inside and "header" in names)
+    return not NAMES.isdisjoint(names) or ("header" in names and not inside())
 
 
 class Tree(HTMLParser):
@@ -70,7 +70,6 @@ class Tree(HTMLParser):
         if tag in ("br", "hr"):
             self.pieces.append((self.open[-1], " "))
         up = self.open[-1]
-        inside = any(self.tags[i] in ("article", "main") for i in self.open)
         if tag in ("article", "main"):
             for i in self.open:  # what holds the article isn't cut for its name, such as a page "with-sidebar"
                 self.by_name[i] = False
@@ -78,8 +77,11 @@ class Tree(HTMLParser):
             self.open.append(len(self.tags))
         self.tags.append(tag)
         self.parents.append(up)
-        self.by_tag.append(cut_by_tag(tag, dict(attrs), inside))
-        self.by_name.append(cut_by_name(tag, dict(attrs), inside))
+        self.by_tag.append(cut_by_tag(tag, dict(attrs), self._inside))
+        self.by_name.append(cut_by_name(tag, dict(attrs), self._inside))
+
+    def _inside(self) -> bool:
+        return any(self.tags[i] in ("article", "main") for i in self.open)
 
     def cuts(self) -> list[bool]:
         out = []
