@@ -21,6 +21,8 @@ from strandlake.operators.cohort import Cohort
 from strandlake.scratch import Scratch
 
 SEED, STRIDE, CANDIDATES, MIN_COPY = 24, 8, 32, 20
+#: Bases of a reference that goes to every executor, with an eighth as many seeds of 16 bytes.
+LOCAL = 2**26
 OPS = "asm_id int, block_ix long, op_ix int, kind int, dst int, len int, src long, lit binary"
 _COMP = np.arange(256, dtype=np.uint8)
 _COMP[[65, 67, 71, 84]] = [84, 71, 67, 65]
@@ -84,9 +86,63 @@ def align(cohort: Cohort, reference: Cohort) -> DataFrame:
 
     A block takes its 32 diagonals with the most seeds; a seed that the reference has very often adds none of its own (its
     places are cut to the first 32), which costs compression, never correctness: what no diagonal covers is literal.
+
+    A reference of up to LOCAL bases, which is checked, goes to every executor, and blocks are aligned where they are read, without
+    a shuffle. A larger one is joined by seed. Both ways give the same ops.
     """
-    spark = cohort.spark
-    scratch = Scratch(spark)
+    total = reference.contigs.agg(F.coalesce(F.sum("len"), F.lit(0))).first()[0]
+    rows = _hinted_locally(cohort, reference) if total <= LOCAL else _hinted_by_join(cohort, reference, total)
+    return Scratch(cohort.spark).save(rows, "ops")
+
+
+def _hinted_locally(cohort: Cohort, reference: Cohort) -> DataFrame:
+    seq = b"".join(bytes(r.seq) for r in reference.blocks.orderBy("block_ix").select("seq").toLocalIterator())
+    bounds = [(r.boff, r.boff + r.len) for r in reference.contigs.orderBy("contig_ix").select("boff", "len").collect()]
+    c, ok = kmers.codes(seq, SEED)
+    places = [np.arange(lo, hi - SEED + 1, STRIDE) for lo, hi in bounds if hi - lo >= SEED]
+    places = np.concatenate([np.zeros(0, np.int64), *places]).astype(np.int64)
+    places = places[ok[places]] if len(places) else places
+    order = np.argsort(c[places], kind="stable") if len(places) else places
+    places = places[order]
+    known = c[places] if len(places) else np.zeros(0, np.uint64)
+    first = np.searchsorted(known, known, "left")
+    keep = np.arange(len(known)) - first < CANDIDATES
+    shared = cohort.spark.sparkContext.broadcast((seq, known[keep], places[keep]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ref, codes, at = shared.value
+
+        def found(c: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            lo, hi = np.searchsorted(codes, c, "left"), np.searchsorted(codes, c, "right")
+            n = hi - lo
+            return np.repeat(where, n), at[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+
+        for b in batches:
+            hints = []
+            for x in b.column(2).to_pylist():
+                c, ok = kmers.codes(x, SEED)
+                where = np.flatnonzero(ok)
+                o, p = found(c[where], where)
+                o2, p2 = found(kmers.rc_codes(c[where], SEED), where)
+                diag = np.concatenate([p - o, p2 + (SEED - 1) + o2])
+                turn = np.repeat([0, 1], [len(o), len(o2)])
+                pairs, n = np.unique(np.stack([turn, diag]), axis=1, return_counts=True)
+                best = np.lexsort((pairs[1], pairs[0], -n))[:CANDIDATES]
+                own = []
+                for d, g in zip(pairs[0][best].tolist(), pairs[1][best].tolist(), strict=True):
+                    lo = g - len(x) + 1 if d else g
+                    start, end = max(lo, 0), min(lo + len(x), len(ref))
+                    if start < end:
+                        own.append({"dir": d, "diag": g, "skip": lo + len(x) - end if d else start - lo, "ref": ref[start:end]})
+                hints.append(own)
+            kind = pa.list_(pa.struct([("dir", pa.int32()), ("diag", pa.int64()), ("skip", pa.int32()), ("ref", pa.binary())]))
+            yield from _tile(iter([pa.RecordBatch.from_arrays([*b.columns, pa.array(hints, kind)], ["asm_id", "block_ix", "seq", "hints"])]))
+
+    return cohort.blocks.select("asm_id", "block_ix", "seq").mapInArrow(run, OPS)
+
+
+def _hinted_by_join(cohort: Cohort, reference: Cohort, total: int) -> DataFrame:
+    scratch = Scratch(cohort.spark)
     seeds = reference_seeds(reference)
     first = F.row_number().over(W.partitionBy("kmer").orderBy("rpos"))
     seeds = scratch.save(seeds.withColumn("i", first).where(F.col("i") <= CANDIDATES).drop("i"), "seeds")
@@ -99,7 +155,6 @@ def align(cohort: Cohort, reference: Cohort) -> DataFrame:
     hints = hints.withColumn("i", rank).where(F.col("i") <= CANDIDATES).drop("i", "n")
     sizes = cohort.blocks.select("asm_id", "block_ix", "blen")
     hints = hints.join(sizes, ["asm_id", "block_ix"])
-    total = reference.contigs.agg(F.coalesce(F.sum("len"), F.lit(0))).first()[0]
     lo = F.when(F.col("dir") == 0, F.col("diag")).otherwise(F.col("diag") - F.col("blen") + 1)
     hi = lo + F.col("blen")
     hints = hints.withColumn("start", F.greatest(lo, F.lit(0))).withColumn("end", F.least(hi, F.lit(total)))
@@ -109,7 +164,7 @@ def align(cohort: Cohort, reference: Cohort) -> DataFrame:
     refs = reference.windows(spans, case=False).select("id", F.col("seq").cast("binary").alias("ref"))
     own = hints.join(refs, "id").groupBy("asm_id", "block_ix").agg(F.collect_list(F.struct("dir", "diag", "skip", "ref")).alias("hints"))
     rows = cohort.blocks.select("asm_id", "block_ix", "seq").join(own, ["asm_id", "block_ix"], "left")
-    return scratch.save(rows.mapInArrow(_tile, OPS), "ops")
+    return rows.mapInArrow(_tile, OPS)
 
 
 def execute(ops: DataFrame, reference: Cohort) -> DataFrame:

@@ -234,6 +234,12 @@ def test_edits_give_the_blocks_back(spark, cohort, ref, ops):
     assert set(kinds) == {0, 1, 3} and kinds[1] + kinds[3] > 0.7 * sum(kinds.values())
 
 
+def test_both_ways_to_align_agree(cohort, ref, ops, monkeypatch):
+    monkeypatch.setattr(edits, "LOCAL", 0)
+    joined = edits.align(cohort, ref)
+    assert joined.exceptAll(ops).isEmpty() and ops.exceptAll(joined).isEmpty()
+
+
 def test_located_bases_are_the_references(spark, cohort, ref, ops):
     points = spark.createDataFrame([(k, p) for k, a in enumerate(ASM) for p in range(0, len(stream(a)), 37)], "asm_id int, pos long")
     whole = "".join(REF.values())
