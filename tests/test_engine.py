@@ -353,6 +353,10 @@ def test_archives_in_a_folder(spark, cohort, ref, ops, tmp_path):
     got = archive.decode_blocks(archive.read_files(spark, str(tmp_path), "q1k", ["two"]), whole)
     assert "".join(bytes(r.seq).decode() for r in got.orderBy("block_ix").collect()) == "".join(ASM["y1_P1.1"].values())
     assert archive.headers(back).first().nbases == len("".join(ASM["y1_P1.1"].values()))
+    assert archive.block_size(back) == Q
+    other = spark.createDataFrame([("four", bytearray(codec.encode(data, whole, "ref", 2048, [])))], "assembly string, content binary")
+    with pytest.raises(fasta.FormatError, match="mixed"):
+        archive.block_size(back.union(other))
     with pytest.raises(FileNotFoundError):
         archive.read_files(spark, str(tmp_path), "q1k", ["three"])
     with pytest.raises(ValueError):
