@@ -24,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandlake.llm import text as tx
 from strandlake.llm.components import components
@@ -310,7 +311,7 @@ def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFra
     if repeated.isEmpty():
         return out
     names = docs.columns
-    kinds = docs.schema.add("__f", "long")
+    kinds = T.StructType([*docs.schema.fields, T.StructField("__f", T.LongType())])
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
