@@ -21,9 +21,12 @@ from strandlake.operators.cohort import Cohort
 from strandlake.scratch import Scratch
 
 SEED, STRIDE, CANDIDATES, MIN_COPY = 24, 8, 32, 20
+#: Diagonals of a block that one pass tries at most; passes go on until none is left.
+PASS = 1024
 #: Bases of a reference that goes to every executor, with an eighth as many seeds of 16 bytes.
 LOCAL = 2**26
 OPS = "asm_id int, block_ix long, op_ix int, kind int, dst int, len int, src long, lit binary"
+TURNED = 2**40  # added to diagonals of the other strand, to sort them after the rest
 _COMP = np.arange(256, dtype=np.uint8)
 _COMP[[65, 67, 71, 84]] = [84, 71, 67, 65]
 
@@ -47,45 +50,84 @@ def _runs_of_true(x: np.ndarray) -> np.ndarray:
     return np.minimum.accumulate(ends[::-1])[::-1] - np.arange(len(x))
 
 
-def _tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cover each block greedily: at every place the longest match of any candidate diagonal, if it is long enough."""
-    for b in batches:
-        out = []
-        for asm, block, seq, hints in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-            x = np.frombuffer(seq, np.uint8)
-            n = len(x)
-            best, diag, turn = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int8)
-            for h in sorted(hints or (), key=lambda h: (h["dir"], h["diag"])):
-                r = np.frombuffer(h["ref"], np.uint8)
-                y = np.zeros(n, np.uint8)  # the reference under the block, 0 where it ends
-                y[h["skip"] : h["skip"] + len(r)] = _COMP[r[::-1]] if h["dir"] else r
-                got = _runs_of_true(x == y)
-                better = got > best
-                best, diag, turn = np.where(better, got, best), np.where(better, h["diag"], diag), np.where(better, h["dir"], turn)
-            o, lit, ops = 0, 0, []
-            while o < n:
-                near = np.flatnonzero(best[o:] >= MIN_COPY)
-                at = o + int(near[0]) if len(near) else n
-                if at > o:
-                    ops.append((0, o, at - o, 0, seq[o:at]))
-                if at < n:
-                    size, d = int(best[at]), int(diag[at])
-                    # forward: reference = diag + offset; other strand: reference = diag - offset, lowest at the copy's end
-                    ops.append((3, at, size, d - at - size + 1, None) if turn[at] else (1, at, size, d + at, None))
-                    o = at + size
-                else:
-                    o = n
-            out += [(asm, block, i, *op) for i, op in enumerate(ops)]
-        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
-        names = ["asm_id", "block_ix", "op_ix", "kind", "dst", "len", "src", "lit"]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names)
+class _Cover:
+    """A block, the longest match at each of its places among the diagonals tried so far, and the seeds that name diagonals.
+
+    ``turn`` and ``diag`` are the block's diagonals, sorted; hit i is a seed at ``at[i]`` on diagonal ``of[i]``.
+    """
+
+    def __init__(self, seq: bytes, turn: np.ndarray, diag: np.ndarray, of: np.ndarray, at: np.ndarray, state: bytes | None = None):
+        n = len(seq)
+        self.seq, self.x, self.turn, self.diag, self.of, self.at = seq, np.frombuffer(seq, np.uint8), turn, diag, of, at
+        if state is None:
+            state = bytes(4 + 17 * n + len(turn))
+        cut = np.cumsum([4, 8 * n, 8 * n, n])
+        parts = [state[lo:hi] for lo, hi in zip([0, *cut], [*cut, len(state)], strict=True)]
+        self.passes, self.best, self.best_diag, self.best_turn, self.tried = (np.frombuffer(p, t).copy() for p, t in zip(parts, (np.int32, np.int64, np.int64, np.int8, bool), strict=True))
+
+    def state(self) -> bytes:
+        return b"".join(a.tobytes() for a in (self.passes, self.best, self.best_diag, self.best_turn, self.tried))
+
+    def copies(self) -> list[tuple[int, int]]:
+        """Greedy: at the first place that has one, the longest match, if it is long enough; then on from its end."""
+        out, o, places = [], 0, np.flatnonzero(self.best >= MIN_COPY)
+        while (k := int(np.searchsorted(places, o))) < len(places):
+            at = int(places[k])
+            out.append((at, int(self.best[at])))
+            o = at + out[-1][1]
+        return out
+
+    def pick(self) -> np.ndarray:
+        """The next diagonals: of those not tried with seeds that touch literal bases, the ones with the most such seeds."""
+        if not len(self.of):
+            return self.of
+        literal = np.ones(len(self.seq), np.int64)
+        for at, size in self.copies():
+            literal[at : at + size] = 0
+        before = np.concatenate(([0], np.cumsum(literal)))
+        untried = ~self.tried[self.of] & (before[self.at + SEED] > before[self.at])
+        n = np.bincount(self.of[untried], minlength=len(self.turn))
+        best = np.argsort(-n, kind="stable")[: min(CANDIDATES << min(int(self.passes[0]), 16), PASS)]
+        best = np.sort(best[n[best] > 0])
+        self.passes += 1
+        self.tried[best] = True
+        return best
+
+    def extend(self, turn: int, diag: int, skip: int, ref: bytes) -> None:
+        r = np.frombuffer(ref, np.uint8)
+        y = np.zeros(len(self.x), np.uint8)  # the reference under the block, 0 where it ends
+        y[skip : skip + len(r)] = _COMP[r[::-1]] if turn else r
+        got = _runs_of_true(self.x == y)
+        better = got > self.best
+        self.best[better], self.best_diag[better], self.best_turn[better] = got[better], diag, turn
+
+    def ops(self) -> list[tuple]:
+        o, out = 0, []
+        for at, size in self.copies():
+            if at > o:
+                out.append((0, o, at - o, 0, self.seq[o:at]))
+            d = int(self.best_diag[at])
+            # forward: reference = diag + offset; other strand: reference = diag - offset, lowest at the copy's end
+            out.append((3, at, size, d - at - size + 1, None) if self.best_turn[at] else (1, at, size, d + at, None))
+            o = at + size
+        if o < len(self.seq):
+            out.append((0, o, len(self.seq) - o, 0, self.seq[o:]))
+        return out
+
+
+def _ops_batch(covers: Iterator[tuple[int, int, _Cover]]) -> pa.RecordBatch:
+    out = [(asm, block, i, *op) for asm, block, cover in covers for i, op in enumerate(cover.ops())]
+    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+    names = ["asm_id", "block_ix", "op_ix", "kind", "dst", "len", "src", "lit"]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names)
 
 
 def align(cohort: Cohort, reference: Cohort) -> DataFrame:
     """``ops`` for every block: diagonals from seeds that occur in the reference, then a greedy cover.
 
-    A block takes its 32 diagonals with the most seeds; a seed that the reference has very often adds none of its own (its
-    places are cut to the first 32), which costs compression, never correctness: what no diagonal covers is literal.
+    A block tries its 32 diagonals with the most seeds, then, pass by pass, twice as many (up to PASS at once) of those with the
+    most seeds that touch what is still literal, until no such seed has a diagonal untried. A seed has the first 32 of its places
+    in the reference, as there.
 
     A reference of up to LOCAL bases, which is checked, goes to every executor, and blocks are aligned where they are read, without
     a shuffle. A larger one is joined by seed. Both ways give the same ops.
@@ -117,26 +159,24 @@ def _hinted_locally(cohort: Cohort, reference: Cohort) -> DataFrame:
             n = hi - lo
             return np.repeat(where, n), at[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
 
-        for b in batches:
-            hints = []
-            for x in b.column(2).to_pylist():
-                c, ok = kmers.codes(x, SEED)
-                where = np.flatnonzero(ok)
-                o, p = found(c[where], where)
-                o2, p2 = found(kmers.rc_codes(c[where], SEED), where)
-                diag = np.concatenate([p - o, p2 + (SEED - 1) + o2])
-                turn = np.repeat([0, 1], [len(o), len(o2)])
-                pairs, n = np.unique(np.stack([turn, diag]), axis=1, return_counts=True)
-                best = np.lexsort((pairs[1], pairs[0], -n))[:CANDIDATES]
-                own = []
-                for d, g in zip(pairs[0][best].tolist(), pairs[1][best].tolist(), strict=True):
+        def covered(x: bytes) -> _Cover:
+            c, ok = kmers.codes(x, SEED)
+            where = np.flatnonzero(ok)
+            o, p = found(c[where], where)
+            o2, p2 = found(kmers.rc_codes(c[where], SEED), where)
+            keys, of = np.unique(np.concatenate([p - o, TURNED + p2 + (SEED - 1) + o2]), return_inverse=True)
+            turn = (keys >= TURNED // 2).astype(np.int64)
+            cover = _Cover(x, turn, keys - TURNED * turn, of, np.concatenate([o, o2]))
+            while len(best := cover.pick()):
+                for d, g in zip(cover.turn[best].tolist(), cover.diag[best].tolist(), strict=True):
                     lo = g - len(x) + 1 if d else g
                     start, end = max(lo, 0), min(lo + len(x), len(ref))
-                    if start < end:
-                        own.append({"dir": d, "diag": g, "skip": lo + len(x) - end if d else start - lo, "ref": ref[start:end]})
-                hints.append(own)
-            kind = pa.list_(pa.struct([("dir", pa.int32()), ("diag", pa.int64()), ("skip", pa.int32()), ("ref", pa.binary())]))
-            yield from _tile(iter([pa.RecordBatch.from_arrays([*b.columns, pa.array(hints, kind)], ["asm_id", "block_ix", "seq", "hints"])]))
+                    cover.extend(d, g, lo + len(x) - end if d else start - lo, ref[start:end])
+            return cover
+
+        for b in batches:
+            asm, block, seq = (b.column(i).to_pylist() for i in range(3))
+            yield _ops_batch((a, k, covered(x)) for a, k, x in zip(asm, block, seq, strict=True))
 
     return cohort.blocks.select("asm_id", "block_ix", "seq").mapInArrow(run, OPS)
 
@@ -147,24 +187,59 @@ def _hinted_by_join(cohort: Cohort, reference: Cohort, total: int) -> DataFrame:
     first = F.row_number().over(W.partitionBy("kmer").orderBy("rpos"))
     seeds = scratch.save(seeds.withColumn("i", first).where(F.col("i") <= CANDIDATES).drop("i"), "seeds")
     mine = _block_windows(cohort)
-    fwd = mine.join(seeds, "kmer").select("asm_id", "block_ix", F.lit(0).alias("dir"), (F.col("rpos") - F.col("o")).alias("diag"))
+    fwd = mine.join(seeds, "kmer").select("asm_id", "block_ix", "o", F.lit(0).alias("dir"), (F.col("rpos") - F.col("o")).alias("diag"))
     back = mine.withColumn("kmer", B.reverse_complement(F.col("kmer"))).join(seeds, "kmer")
-    back = back.select("asm_id", "block_ix", F.lit(1).alias("dir"), (F.col("rpos") + (SEED - 1) + F.col("o")).alias("diag"))
-    hints = fwd.union(back).groupBy("asm_id", "block_ix", "dir", "diag").agg(F.count("*").alias("n"))
-    rank = F.row_number().over(W.partitionBy("asm_id", "block_ix").orderBy(F.desc("n"), "dir", "diag"))
-    hints = hints.withColumn("i", rank).where(F.col("i") <= CANDIDATES).drop("i", "n")
-    sizes = cohort.blocks.select("asm_id", "block_ix", "blen")
-    hints = hints.join(sizes, ["asm_id", "block_ix"])
-    lo = F.when(F.col("dir") == 0, F.col("diag")).otherwise(F.col("diag") - F.col("blen") + 1)
-    hi = lo + F.col("blen")
-    hints = hints.withColumn("start", F.greatest(lo, F.lit(0))).withColumn("end", F.least(hi, F.lit(total)))
-    skip = F.when(F.col("dir") == 0, F.col("start") - lo).otherwise(hi - F.col("end")).cast("int")
-    hints = scratch.save(hints.withColumn("skip", skip).where("start < end").withColumn("id", F.monotonically_increasing_id()), "hints")
-    spans = hints.select("id", F.lit(0).alias("asm_id"), "start", (F.col("end") - F.col("start")).alias("length"), F.lit(False).alias("rc"))
-    refs = reference.windows(spans, case=False).select("id", F.col("seq").cast("binary").alias("ref"))
-    own = hints.join(refs, "id").groupBy("asm_id", "block_ix").agg(F.collect_list(F.struct("dir", "diag", "skip", "ref")).alias("hints"))
-    rows = cohort.blocks.select("asm_id", "block_ix", "seq").join(own, ["asm_id", "block_ix"], "left")
-    return rows.mapInArrow(_tile, OPS)
+    back = back.select("asm_id", "block_ix", "o", F.lit(1).alias("dir"), (F.col("rpos") + (SEED - 1) + F.col("o")).alias("diag"))
+    hits = fwd.union(back).groupBy("asm_id", "block_ix", "dir", "diag").agg(F.collect_list("o").alias("at"))
+    hits = hits.groupBy("asm_id", "block_ix").agg(F.array_sort(F.collect_list(F.struct("dir", "diag", "at"))).alias("hits"))
+    todo = cohort.blocks.select("asm_id", "block_ix", "seq").join(hits, ["asm_id", "block_ix"], "left")
+    todo = scratch.save(todo.select("*", F.lit(None).cast("binary").alias("state"), F.lit(None).cast(_HINTS).alias("hints")).mapInArrow(_one_pass, _TODO), "pass")
+    done = todo.where("size(picked) = 0")
+    while not (todo := todo.where("size(picked) > 0")).isEmpty():
+        at = todo.select("asm_id", "block_ix", F.length("seq").alias("blen"), F.explode("picked").alias("p")).select("asm_id", "block_ix", "blen", "p.dir", "p.diag")
+        lo = F.when(F.col("dir") == 0, F.col("diag")).otherwise(F.col("diag") - F.col("blen") + 1)
+        hi = lo + F.col("blen")
+        at = at.withColumn("start", F.greatest(lo, F.lit(0))).withColumn("end", F.least(hi, F.lit(total)))
+        skip = F.when(F.col("dir") == 0, F.col("start") - lo).otherwise(hi - F.col("end")).cast("int")
+        at = at.withColumn("skip", skip).where("start < end")
+        spans = at.select(F.struct("asm_id", "block_ix", "dir", "diag", "skip").alias("id"), F.lit(0).alias("asm_id"), "start", (F.col("end") - F.col("start")).alias("length"), F.lit(False).alias("rc"))
+        refs = reference.windows(spans, case=False).select("id.*", F.col("seq").cast("binary").alias("ref"))
+        own = refs.groupBy("asm_id", "block_ix").agg(F.array_sort(F.collect_list(F.struct("dir", "diag", "skip", "ref"))).alias("hints"))
+        todo = scratch.save(todo.drop("picked").join(own, ["asm_id", "block_ix"], "left").mapInArrow(_one_pass, _TODO), "pass")
+        done = done.union(todo.where("size(picked) = 0"))
+    return done.mapInArrow(_finished, OPS)
+
+
+_HINTS = "array<struct<dir:int,diag:bigint,skip:int,ref:binary>>"
+_HITS = "array<struct<dir:int,diag:bigint,at:array<int>>>"
+_TODO = f"asm_id int, block_ix long, seq binary, hits {_HITS}, state binary, picked array<struct<dir:int,diag:bigint>>"
+
+
+def _covers(b: pa.RecordBatch) -> Iterator[tuple[int, int, _Cover]]:
+    """Of rows that begin with ``asm_id, block_ix, seq, hits, state``."""
+    for asm, block, seq, hits, state in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+        turn, diag = (np.array([h[k] for h in hits or ()], np.int64) for k in ("dir", "diag"))
+        of = np.repeat(np.arange(len(turn)), [len(h["at"]) for h in hits or ()]).astype(np.int64)
+        yield asm, block, _Cover(seq, turn, diag, of, np.array([o for h in hits or () for o in h["at"]], np.int64), state)
+
+
+def _one_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Take the reference under the diagonals picked before, and pick the next ones; none are left where ``picked`` is empty."""
+    for b in batches:
+        states, picked = [], []
+        for (_, _, cover), hints in zip(_covers(b), b.column(5).to_pylist(), strict=True):
+            for h in hints or ():
+                cover.extend(h["dir"], h["diag"], h["skip"], h["ref"])
+            best = cover.pick()
+            picked.append([{"dir": d, "diag": g} for d, g in zip(cover.turn[best].tolist(), cover.diag[best].tolist(), strict=True)])
+            states.append(cover.state())
+        kind = pa.list_(pa.struct([("dir", pa.int32()), ("diag", pa.int64())]))
+        yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(states, pa.binary()), pa.array(picked, kind)], ["asm_id", "block_ix", "seq", "hits", "state", "picked"])
+
+
+def _finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield _ops_batch(_covers(b))
 
 
 def execute(ops: DataFrame, reference: Cohort) -> DataFrame:

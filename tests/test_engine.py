@@ -240,6 +240,19 @@ def test_both_ways_to_align_agree(cohort, ref, ops, monkeypatch):
     assert joined.exceptAll(ops).isEmpty() and ops.exceptAll(joined).isEmpty()
 
 
+def test_no_diagonal_is_lost_behind_many_others(spark, monkeypatch):
+    often, once = dna(924, 900), dna(100, 901)
+    own = {f"copy{k}": dna(k % 8, 910 + k) + often for k in range(45)} | {"one": dna(500, 902) + once + dna(500, 903)}
+    reference = Cohort.build(contigs(spark, {"ref": own}), Q)
+    read = Cohort.build(contigs(spark, {"a": {"x": often + once}, "b": {"x": rc(often + once)}}), Q)
+    ops = edits.align(read, reference)
+    assert ops.where("kind = 0").isEmpty()
+    assert ops.where("kind = 1").count() == ops.where("kind = 3").count() == 2
+    monkeypatch.setattr(edits, "LOCAL", 0)
+    joined = edits.align(read, reference)
+    assert joined.exceptAll(ops).isEmpty() and ops.exceptAll(joined).isEmpty()
+
+
 def test_located_bases_are_the_references(spark, cohort, ref, ops):
     points = spark.createDataFrame([(k, p) for k, a in enumerate(ASM) for p in range(0, len(stream(a)), 37)], "asm_id int, pos long")
     whole = "".join(REF.values())
