@@ -607,15 +607,14 @@ def training_batch(spark, sf_dir):
 # ---------------------------------------------------------------- archives
 
 
-def _archive_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(assembly, fasta, edits)`` of the mutated cohort: an archive is one file, so an assembly is one row from here on."""
-    w = D.world(spark, sf_dir)
-    records = w.mutated.fasta_records().groupBy("asm_id").agg(F.array_sort(F.collect_list(F.struct("contig_ix", "record"))).alias("r"))
+def _archive_rows(mutated: Cohort, ops: DataFrame) -> DataFrame:
+    """``(assembly, fasta, edits)`` of a cohort: an archive is one file, so an assembly is one row from here on."""
+    records = mutated.fasta_records().groupBy("asm_id").agg(F.array_sort(F.collect_list(F.struct("contig_ix", "record"))).alias("r"))
     records = records.select("asm_id", F.array_join(F.transform("r", lambda x: x["record"]), "").cast("binary").alias("fasta"))
     one = F.struct("op_ix", F.struct("kind", "dst", "len", "src").alias("op"))
-    blocks = _ops(spark, sf_dir, "mutated").groupBy("asm_id", "block_ix").agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["op"]).alias("ops"))
+    blocks = ops.groupBy("asm_id", "block_ix").agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["op"]).alias("ops"))
     edits_ = blocks.groupBy("asm_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("block_ix", "ops"))), lambda x: x["ops"]).alias("edits"))
-    return records.join(edits_, "asm_id").join(w.mutated.names(), "asm_id").select("assembly", "fasta", "edits")
+    return records.join(edits_, "asm_id").join(mutated.names(), "asm_id").select("assembly", "fasta", "edits")
 
 
 def _reference_bases(spark: SparkSession, sf_dir: str) -> bytes:
@@ -629,7 +628,7 @@ def _archives(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, bytes]:
 
     ref, key = _reference_bases(spark, sf_dir), (spark.sparkContext.applicationId, sf_dir, "archives")
     if key not in _cache:
-        _cache[key] = Scratch(spark).save(archive.encode_files(_archive_rows(spark, sf_dir), ref, D.REF, D.Q), "archives")
+        _cache[key] = Scratch(spark).save(archive.encode_files(_archive_rows(D.world(spark, sf_dir).mutated, _ops(spark, sf_dir, "mutated")), ref, D.REF, D.Q), "archives")
     return _cache[key], ref
 
 
@@ -665,10 +664,13 @@ def archive_headers(spark, sf_dir):
 
 @query()
 def archive_recode(spark, sf_dir):
-    """A manifest over two block sizes. Edits are given for one block size only, so here all blocks are literal."""
+    """A manifest over two block sizes, the mutated cohort cut and aligned at each."""
     from strandlake.sources import archive
 
-    rows = _archive_rows(spark, sf_dir).withColumn("edits", F.lit(None).cast("array<array<struct<kind:int,dst:int,len:int,src:bigint>>>"))
+    w, rows = D.world(spark, sf_dir), {}
+    for q in (4096, 16384):
+        mutated = Cohort.build(w.people, q)
+        rows[q] = _archive_rows(mutated, edits.align(mutated, w.reference))
     return archive.recode(rows, _reference_bases(spark, sf_dir), D.REF)
 
 

@@ -34,6 +34,7 @@ class World:
     reference: Cohort
     patterns: DataFrame
     guides: DataFrame
+    people: DataFrame  # the contigs of the mutated cohort, for cohorts of other block sizes
 
 
 _made: dict[tuple[str, str], World] = {}
@@ -77,7 +78,7 @@ def world(spark: SparkSession, sf_dir: str) -> World:
         patterns = scratch.save(first_of_each(windows.where(B.is_acgt(F.col("seq")))), "patterns")
         reference = Cohort.build(ref, Q)
         guides = scratch.save(guides_of(reference, 40), "guides")
-        _made[key] = World(Cohort.build(text, Q, case_runs(text)), Cohort.build(people, Q), reference, patterns, guides)
+        _made[key] = World(Cohort.build(text, Q, case_runs(text)), Cohort.build(people, Q), reference, patterns, guides, people)
     return _made[key]
 
 

@@ -379,6 +379,16 @@ def test_archives_in_a_folder(spark, cohort, ref, ops, tmp_path):
     assert {r.outcome for r in archive.corruption(back.limit(1), whole, 5).collect()} <= {"refused", "caught", "harmless"}
 
 
+def test_recoded_archives_hold_copies_at_every_block_size(spark):
+    from strandlake.plans import catalogue
+    from strandlake.plans import datasets as D
+
+    sf_dir = "/root/testdata/sf0.001"
+    rows = catalogue.archive_recode(spark, sf_dir).collect()
+    assert len(rows) == 2 * D.HAPLOTYPES and {r.q for r in rows} == {4096, 16384} and {r.status for r in rows} == {"ok"}
+    assert all(r.bytes < r.fasta_bytes / 8 for r in rows)  # two bits a base, without one copy, is more
+
+
 def test_tables(spark, tmp_path):
     (tmp_path / "requests.tsv").write_text('r1\ty1_P1.1\tctg#1\t5\t10\nr2\t"q\tc\t0\t1\n')
     rows = tables.read_tsv(spark, str(tmp_path / "requests.tsv"), "requests").collect()
