@@ -1,8 +1,10 @@
 """Main-text extraction by composite text density.
 
 The page becomes a tree; scripts, styles, menus, headers, footers, sidebars, forms, adverts, notices and comments are cut off
-by their tags, roles, classes and ids. Every block node then gets its composite text density, characters per tag lowered by
-the share of links, and the sum of its children's densities. The node with the largest sum is the main text. The smallest
+by their tags, roles, classes and ids. What is cut as a form or by its name stays if it holds an article or most of the page's
+text outside links (three quarters, where a class or id is such names alone), an article's text counted four times; a container
+of comments stays only if there is no other text. Every block node then gets its composite text density, characters per tag
+lowered by the share of links, and the sum of its children's densities. The node with the largest sum is the main text. The smallest
 density on its path to the body is the threshold: of every node that reaches it, the descendant with the largest sum is main
 text too.
 """
@@ -33,28 +35,39 @@ NAMES = frozenset(
     "alert popup modal overlay newsletter subscribe signup sidebar side menu nav navbar navigation breadcrumb breadcrumbs footer masthead toolbar "
     "comment comments disqus reply replies respond share sharing social related recommended teaser pagination pager widget search login".split()
 )
+#: A class or id of these words alone, one of the first among them, is a container of comments.
+COMMENTS = frozenset("comment comments disqus reply replies respond".split())
+AROUND = COMMENTS | frozenset("list section area wrapper wrap container box thread block form body content item entry the post user reader".split())
 #: An open one of the second ends where one of the first begins.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("table td th ul ol dl article section div body main blockquote html".split())
 
 
 def cut_by_tag(tag: str, attrs: dict[str, str | None], inside: Callable[[], bool]) -> bool:
-    return tag in CUT or (tag == "header" and not inside()) or "hidden" in attrs or (attrs.get("role") or "").lower() in ROLES
+    return (tag in CUT and tag != "form") or (tag == "header" and not inside()) or "hidden" in attrs or (attrs.get("role") or "").lower() in ROLES
 
 
 def cut_by_name(tag: str, attrs: dict[str, str | None], inside: Callable[[], bool]) -> bool:
     if tag in ("article", "main"):
         return False
+    if tag == "form":
+        return True
     names = re.findall("[a-z]+", f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower())
     return not NAMES.isdisjoint(names) or ("header" in names and not inside())
 
 
+def holds_comments(attrs: dict[str, str | None]) -> bool:
+    tokens = (set(re.findall("[a-z]+", x)) for x in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower().split())
+    return any(words <= AROUND and words & COMMENTS for words in tokens)
+
+
 class Tree(HTMLParser):
     """Nodes in page order. Text goes to ``pieces`` as (node, text), None where a block begins or ends."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.tags, self.parents, self.by_tag, self.by_name = ["body"], [-1], [False], [False]
+        self.comments, self.plain = [False], [False]
         self.open = [0]
         self.pieces: list[tuple[int, str] | None] = []
 
@@ -70,7 +83,8 @@ class Tree(HTMLParser):
         if tag in ("br", "hr"):
             self.pieces.append((self.open[-1], " "))
         up = self.open[-1]
-        if tag in ("article", "main"):
+        comments = tag != "main" and holds_comments(dict(attrs))
+        if tag in ("article", "main") and not comments and not any(self.comments[i] for i in self.open):
             for i in self.open:  # what holds the article isn't cut for its name, such as a page "with-sidebar"
                 self.by_name[i] = False
         if tag not in VOID:
@@ -78,15 +92,31 @@ class Tree(HTMLParser):
         self.tags.append(tag)
         self.parents.append(up)
         self.by_tag.append(cut_by_tag(tag, dict(attrs), self._inside))
+        self.comments.append(comments)
+        self.plain.append(any(set(re.findall("[a-z]+", x) or [""]) <= NAMES for x in f"{dict(attrs).get('class') or ''} {dict(attrs).get('id') or ''}".lower().split()))
         self.by_name.append(cut_by_name(tag, dict(attrs), self._inside))
 
     def _inside(self) -> bool:
         return any(self.tags[i] in ("article", "main") for i in self.open)
 
     def cuts(self) -> list[bool]:
+        n = len(self.tags)
+        own, hard, link, comments = [0] * n, list(self.by_tag), [False] * n, list(self.comments)
+        weight = [4 if tag in ("article", "main") else 1 for tag in self.tags]  # text of an article counts four times
+        for i in range(1, n):
+            up = self.parents[i]
+            hard[i], link[i], comments[i] = hard[i] or hard[up], link[up] or self.tags[i] == "a", comments[i] or comments[up]
+            weight[i] = max(weight[i], weight[up])
+        texts = [(i, sum(map(len, x.split()))) for i, x in filter(None, self.pieces) if not hard[i] and not link[i]]
+        rest = any(size for i, size in texts if not comments[i])
+        for i, size in texts:
+            own[i] += size * weight[i] * (not rest or not comments[i])
+        for i in range(n - 1, 0, -1):
+            own[self.parents[i]] += own[i]
         out = []
         for i, up in enumerate(self.parents):
-            out.append(self.by_tag[i] or self.by_name[i] or (up >= 0 and out[up]))
+            weak = (self.by_name[i] and own[i] <= (0.75 if self.plain[i] else 0.5) * own[0]) or (rest and self.comments[i])
+            out.append(self.by_tag[i] or weak or (up >= 0 and out[up]))
         return out
 
     def _close(self, tags: set[str] | frozenset[str], stop: set[str] | frozenset[str]) -> None:

@@ -25,6 +25,19 @@ def test_main_text():
     assert html.main_text(held) == TEXT
 
 
+def test_names_and_forms_around_the_main_text():
+    body = "<p>" + "Plain words of the story go on. " * 9 + "</p>"
+    want = ("Plain words of the story go on. " * 9).strip()
+    assert html.main_text(f"<body><form action=x><nav><a href=/>Home</a></nav><article>{body}</article></form>") == want
+    assert html.main_text(f"<body><form action=x><div>{body}</div></form>") == want
+    for name in ("no-sidebar", "post comments-open", "has-share"):
+        assert html.main_text(f"<body><nav>Menu</nav><div class='{name}'>{body}</div><form><label>Search</label>Go</form>") == want
+    reader = "<article class='comment'><p>" + "A reader has very much to say about it. " * 30 + "</p></article>"
+    for page in (f"<article>{body}</article>", f"<div>{body}</div>", f"<form>{body}</form>"):
+        assert html.main_text(f"<body>{page}<section id='comments'>{reader}</section>") == want
+    assert html.main_text("<body><div id='comments'><p>All there is.</p></div>") == "All there is."
+
+
 def test_main_text_of_odd_pages():
     assert html.main_text(None) == html.main_text("") == html.main_text("<p></p>") == html.main_text("<script>x</script>") == ""
     assert html.main_text("just text &eacute;") == "just text é"
