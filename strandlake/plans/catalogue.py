@@ -679,4 +679,4 @@ def corruption_matrix(spark, sf_dir):
     from strandlake.sources import archive
 
     files, ref = _archives(spark, sf_dir)
-    return archive.corruption(files.where("assembly = 'y1_P0.1'"), ref, 10)
+    return archive.corruption(files, ref, 10)

@@ -389,6 +389,15 @@ def test_recoded_archives_hold_copies_at_every_block_size(spark):
     assert all(r.bytes < r.fasta_bytes / 8 for r in rows)  # two bits a base, without one copy, is more
 
 
+def test_every_archive_is_damaged(spark):
+    from strandlake.plans import catalogue
+    from strandlake.plans import datasets as D
+
+    rows = catalogue.corruption_matrix(spark, "/root/testdata/sf0.001").collect()
+    assert {r.kind for r in rows} == set(archive.KINDS) and sum(r.n for r in rows) == D.HAPLOTYPES * len(archive.KINDS) * 10
+    assert {r.outcome for r in rows} <= {"refused", "caught", "harmless"}
+
+
 def test_tables(spark, tmp_path):
     (tmp_path / "requests.tsv").write_text('r1\ty1_P1.1\tctg#1\t5\t10\nr2\t"q\tc\t0\t1\n')
     rows = tables.read_tsv(spark, str(tmp_path / "requests.tsv"), "requests").collect()
