@@ -5,8 +5,9 @@ payload. Spark's text writer lays the records end to end (the blank lines that e
 archives are plain WARC/1.1 files on any file system that Spark writes to.
 
 Index: one line for each record, keyed by the URL with its host reversed, sorted by range over all partitions and cut into
-compressed blocks of lines; a sparse directory keeps each block's first key. A lookup searches the directory by bisection,
-reads one block, searches that by bisection, and reads the record's bytes by offset and length.
+compressed blocks of lines; each block's row has its first and last key. A lookup filters the blocks by those keys in a scan,
+searches the lines of a block by bisection, and reads the record's bytes by offset and length. Reading every record loads the
+archives whole.
 """
 
 from __future__ import annotations
