@@ -1,19 +1,23 @@
 """Main-text extraction by composite text density.
 
-The page becomes a tree; scripts, styles, menus, headers, footers, sidebars, forms, adverts, notices and comments are cut off
-by their tags, roles, classes and ids. What is cut as a form or by its name stays if it holds an article or most of the page's
-text outside links (three quarters, where a class or id is such names alone), an article's text counted four times; a container
-of comments stays only if there is no other text. Every block node then gets its composite text density, characters per tag
-lowered by the share of links, and the sum of its children's densities. The node with the largest sum is the main text. The smallest
-density on its path to the body is the threshold: of every node that reaches it, the descendant with the largest sum is main
-text too.
+The page becomes a tree; scripts, styles, menus, headers, footers, sidebars, forms, adverts, notices and comments are cut off.
+Tags and roles cut for sure. A class or id cuts where one of its tokens is made of such names and of words that say nothing
+("cookie-notice", "site-footer"), unless the node holds three quarters of the page's text outside links, an article's text
+counted four times; a token that only contains such a name ("related-work", "side-by-side") cuts only what is mostly links. A
+form stays if it holds most of that text, a container of comments only if there is no other text.
+
+Every DOM node then gets its composite text density, characters per tag lowered by the share of links, and the sum of its
+children's densities. The node with the largest sum, or the block that it stands in, is the main text. The smallest density on
+its path to the body is the threshold: of every node that reaches it, the descendant with the largest sum is main text too. Beside
+the path, up to the article that holds it or the body, a line stays unless a third of it is links: a title or a last sentence in
+a node of its own is too short for any density, and nothing but the kinds above may be dropped.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -27,38 +31,51 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-CUT = frozenset("script style noscript template head title nav aside footer form button select option textarea iframe object svg canvas audio video menu dialog label input".split())
+CUT = frozenset("script style noscript template head title nav aside footer select option textarea iframe object svg canvas audio video menu dialog input".split())
+#: Left out where they make up most of their line.
+CONTROLS = frozenset("label button".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar toolbar".split())
 #: Parts of classes and ids, cut at other characters than letters.
 NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification "
-    "alert popup modal overlay newsletter subscribe signup sidebar side menu nav navbar navigation breadcrumb breadcrumbs footer masthead toolbar "
-    "comment comments disqus reply replies respond share sharing social related recommended teaser pagination pager widget search login".split()
+    "popup modal overlay newsletter subscribe signup sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead toolbar "
+    "comment comments disqus reply replies respond share sharing social pagination pager login".split()
+)
+#: These alone say too little.
+MAYBE = NAMES | frozenset("side alert related recommended teaser widget search".split())
+#: Words that leave a name what it is.
+AROUND = frozenset(
+    "site page top bottom left right main primary secondary inner outer box wrapper wrap container block area section list item items bar link links content "
+    "text body form message module panel region column col row slot thread entry the post user reader header".split()
 )
-#: A class or id of these words alone, one of the first among them, is a container of comments.
 COMMENTS = frozenset("comment comments disqus reply replies respond".split())
-AROUND = COMMENTS | frozenset("list section area wrapper wrap container box thread block form body content item entry the post user reader".split())
 #: An open one of the second ends where one of the first begins.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("table td th ul ol dl article section div body main blockquote html".split())
 
 
-def cut_by_tag(tag: str, attrs: dict[str, str | None], inside: Callable[[], bool]) -> bool:
-    return (tag in CUT and tag != "form") or (tag == "header" and not inside()) or "hidden" in attrs or (attrs.get("role") or "").lower() in ROLES
+def tokens(attrs: dict[str, str | None]) -> list[frozenset[str]]:
+    """The words of each class and of the id."""
+    return [frozenset(re.findall("[a-z]+", x)) for x in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower().split()]
 
 
-def cut_by_name(tag: str, attrs: dict[str, str | None], inside: Callable[[], bool]) -> bool:
-    if tag in ("article", "main"):
-        return False
-    if tag == "form":
-        return True
-    names = re.findall("[a-z]+", f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower())
-    return not NAMES.isdisjoint(names) or ("header" in names and not inside())
+def made_of(words: frozenset[str], names: frozenset[str]) -> bool:
+    """Is one of these words such a name, and does none of the others say more?"""
+    return not names.isdisjoint(words) and all(x in names or x in AROUND or x in NAMES or len(x) == 1 for x in words)
+
 
+def cut_by_tag(tag: str, attrs: dict[str, str | None], inside: bool) -> bool:
+    return tag in CUT or (tag == "header" and not inside) or "hidden" in attrs or (attrs.get("role") or "").lower() in ROLES
 
-def holds_comments(attrs: dict[str, str | None]) -> bool:
-    tokens = (set(re.findall("[a-z]+", x)) for x in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower().split())
-    return any(words <= AROUND and words & COMMENTS for words in tokens)
+
+def cut_by_name(tag: str, words: list[frozenset[str]], inside: bool) -> int:
+    """2 if the names alone cut this node, 1 if they do so only where it is mostly links, else 0."""
+    if tag in ("article", "main"):
+        return 0
+    heads = not inside and any("header" in x and x <= AROUND for x in words)
+    if heads or any(made_of(x, NAMES) for x in words):
+        return 2
+    return int(any(not MAYBE.isdisjoint(x) for x in words))
 
 
 class Tree(HTMLParser):
@@ -66,8 +83,8 @@ class Tree(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.tags, self.parents, self.by_tag, self.by_name = ["body"], [-1], [False], [False]
-        self.comments, self.plain = [False], [False]
+        self.tags, self.parents, self.by_tag, self.by_name = ["body"], [-1], [False], [0]
+        self.comments, self.inside = [False], [False]
         self.open = [0]
         self.pieces: list[tuple[int, str] | None] = []
 
@@ -76,47 +93,49 @@ class Tree(HTMLParser):
             return
         if tag in BLOCK:
             self.pieces.append(None)
-            if tag != "html":
-                self._close({"p"}, SCOPES - {"html"})
+            self._close({"p"}, SCOPES - {"html"})
         if tag in CLOSES:
             self._close(CLOSES[tag], SCOPES - CLOSES[tag])
         if tag in ("br", "hr"):
             self.pieces.append((self.open[-1], " "))
-        up = self.open[-1]
-        comments = tag != "main" and holds_comments(dict(attrs))
+        up, own = self.open[-1], dict(attrs)
+        words, inside = tokens(own), self.inside[up]
+        comments = tag != "main" and any(made_of(x, COMMENTS) for x in words)
         if tag in ("article", "main") and not comments and not any(self.comments[i] for i in self.open):
             for i in self.open:  # what holds the article isn't cut for its name, such as a page "with-sidebar"
-                self.by_name[i] = False
+                self.by_name[i] = 0
         if tag not in VOID:
             self.open.append(len(self.tags))
         self.tags.append(tag)
         self.parents.append(up)
-        self.by_tag.append(cut_by_tag(tag, dict(attrs), self._inside))
+        self.by_tag.append(cut_by_tag(tag, own, inside))
         self.comments.append(comments)
-        self.plain.append(any(set(re.findall("[a-z]+", x) or [""]) <= NAMES for x in f"{dict(attrs).get('class') or ''} {dict(attrs).get('id') or ''}".lower().split()))
-        self.by_name.append(cut_by_name(tag, dict(attrs), self._inside))
-
-    def _inside(self) -> bool:
-        return any(self.tags[i] in ("article", "main") for i in self.open)
+        self.by_name.append(cut_by_name(tag, words, inside))
+        self.inside.append(inside or tag in ("article", "main"))
 
     def cuts(self) -> list[bool]:
         n = len(self.tags)
-        own, hard, link, comments = [0] * n, list(self.by_tag), [False] * n, list(self.comments)
+        own, linked, hard, link, comments = [0] * n, [0] * n, list(self.by_tag), [False] * n, list(self.comments)
         weight = [4 if tag in ("article", "main") else 1 for tag in self.tags]  # text of an article counts four times
         for i in range(1, n):
             up = self.parents[i]
             hard[i], link[i], comments[i] = hard[i] or hard[up], link[up] or self.tags[i] == "a", comments[i] or comments[up]
             weight[i] = max(weight[i], weight[up])
-        texts = [(i, sum(map(len, x.split()))) for i, x in filter(None, self.pieces) if not hard[i] and not link[i]]
-        rest = any(size for i, size in texts if not comments[i])
+        texts = [(i, sum(map(len, x.split()))) for i, x in filter(None, self.pieces) if not hard[i]]
+        rest = any(size for i, size in texts if not comments[i] and not link[i])
         for i, size in texts:
-            own[i] += size * weight[i] * (not rest or not comments[i])
+            if link[i]:
+                linked[i] += size * weight[i]
+            else:
+                own[i] += size * weight[i] * (not rest or not comments[i])
         for i in range(n - 1, 0, -1):
             own[self.parents[i]] += own[i]
+            linked[self.parents[i]] += linked[i]
         out = []
         for i, up in enumerate(self.parents):
-            weak = (self.by_name[i] and own[i] <= (0.75 if self.plain[i] else 0.5) * own[0]) or (rest and self.comments[i])
-            out.append(self.by_tag[i] or weak or (up >= 0 and out[up]))
+            named = (self.by_name[i] == 2 and own[i] <= 0.75 * own[0]) or (self.by_name[i] == 1 and linked[i] > own[i])
+            form = self.tags[i] == "form" and own[i] <= 0.5 * own[0]
+            out.append(self.by_tag[i] or named or form or (rest and self.comments[i]) or (up >= 0 and out[up]))
         return out
 
     def _close(self, tags: set[str] | frozenset[str], stop: set[str] | frozenset[str]) -> None:
@@ -159,21 +178,16 @@ def density(c: float, t: float, lc: float, lt: float, body_c: float, body_lc: fl
     return c / t * math.log(max(c / links * t / link_tags, 1.0)) / math.log(base)
 
 
-def main_text(html: str | None) -> str:
-    """The main text: a line for each block, white space in it as single spaces; empty if there is none."""
-    if not html:
-        return ""
-    tree = Tree()
-    tree.feed(html)
-    tree.close()
-    tags, parents, cut = tree.tags, tree.parents, tree.cuts()
-    n = len(tags)
+def densities(tree: Tree, cut: list[bool]) -> tuple[list[float], list[float]]:
+    """The density of every DOM node, and the sum of its children's; nodes that are cut have none."""
+    tags, parents, n = tree.tags, tree.parents, len(tree.tags)
     chars, links, count, link_count, total = [0] * n, [0] * n, [0] * n, [0] * n, [0.0] * n
-    linked = [False] * n
+    linked, control = [False] * n, [False] * n
     for i in range(1, n):
         linked[i] = linked[parents[i]] or tags[i] == "a"
+        control[i] = control[parents[i]] or tags[i] in CONTROLS
     for piece in tree.pieces:
-        if piece and not cut[piece[0]]:
+        if piece and not cut[piece[0]] and not control[piece[0]]:
             size = sum(map(len, piece[1].split()))
             chars[piece[0]] += size
             links[piece[0]] += size * linked[piece[0]]
@@ -184,13 +198,22 @@ def main_text(html: str | None) -> str:
             links[up] += links[i]
             count[up] += count[i] + 1
             link_count[up] += link_count[i] + (tags[i] == "a")
-    dense = [density(chars[i], count[i], links[i], link_count[i], chars[0], links[0]) for i in range(n)]
+    dense = [0.0 if cut[i] else density(chars[i], count[i], links[i], link_count[i], chars[0], links[0]) for i in range(n)]
     for i in range(1, n):
-        if not cut[i] and tags[i] in BLOCK:
-            up = parents[i]
-            while up and tags[up] not in BLOCK:
-                up = parents[up]
-            total[up] += dense[i]
+        total[parents[i]] += dense[i]
+    return dense, total
+
+
+def main_text(html: str | None) -> str:
+    """The main text: a line for each block, white space in it as single spaces; empty if there is none."""
+    if not html:
+        return ""
+    tree = Tree()
+    tree.feed(html)
+    tree.close()
+    tags, parents, cut = tree.tags, tree.parents, tree.cuts()
+    n = len(tags)
+    dense, total = densities(tree, cut)
     best = list(range(n))
     for i in range(n - 1, 0, -1):
         if not cut[i] and total[best[i]] > total[best[parents[i]]]:
@@ -198,21 +221,46 @@ def main_text(html: str | None) -> str:
     at, least = best[0], math.inf
     while at >= 0:
         least, at = min(least, dense[at]), parents[at]
+    block = list(range(n))  # the block that a node is or stands in
+    for i in range(1, n):
+        if tags[i] not in BLOCK:
+            block[i] = block[parents[i]]
     main = [False] * n
     for i in range(n):
-        if not cut[i] and (i == 0 or tags[i] in BLOCK) and dense[i] >= least:
-            main[best[i]] = True
+        if not cut[i] and dense[i] >= least:
+            main[block[best[i]]] = True
+    around = block[best[0]]
+    while around and tags[around] not in ("article", "main"):
+        around = parents[around]
+    near, linked, control = [False] * n, [False] * n, [False] * n
+    near[around] = True
     for i in range(1, n):
-        main[i] = not cut[i] and (main[i] or main[parents[i]])
-    blocks, now = [], []
+        up = parents[i]
+        main[i], near[i] = main[i] or main[up], near[i] or near[up]
+        linked[i], control[i] = linked[up] or tags[i] == "a", control[up] or tags[i] in CONTROLS
+    lines, now = [], []
     for piece in [*tree.pieces, None]:
         if piece is None:
-            if now and (line := " ".join("".join(now).split())):
-                blocks.append(line)
+            if now and (line := _line(now, main, linked, control)):
+                lines.append(line)
             now = []
-        elif main[piece[0]]:
-            now.append(piece[1])
-    return "\n".join(blocks)
+        elif not cut[piece[0]] and (main[piece[0]] or near[piece[0]]):
+            now.append(piece)
+    return "\n".join(lines)
+
+
+def _line(pieces: list[tuple[int, str]], main: list[bool], linked: list[bool], control: list[bool]) -> str:
+    """The text of one block, or nothing if it is links or a copyright line beside the main text; controls only inside other text."""
+    size = [sum(map(len, x.split())) for _, x in pieces]
+    if sum(k for k, (i, _) in zip(size, pieces, strict=True) if control[i]) * 2 >= sum(size):
+        size = [k for k, (i, _) in zip(size, pieces, strict=True) if not control[i]]
+        pieces = [p for p in pieces if not control[p[0]]]
+    line = " ".join("".join(x for _, x in pieces).split())
+    if pieces and not all(main[i] for i, _ in pieces):
+        links = sum(k for k, (i, _) in zip(size, pieces, strict=True) if linked[i])
+        if 3 * links > sum(size) or line.startswith("\u00a9"):
+            return ""
+    return line
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -220,13 +268,14 @@ def extract(pages: DataFrame) -> DataFrame:
 
     A null or empty html, or one without main text, gives an empty text with 0 characters. Rows are read one by one, so
     repeated rows and null ids or urls need nothing; of nodes with equal sums the first in the page is taken. Broken markup is
-    read as far as it goes. An empty table gives an empty result. Other columns are not looked at.
+    read as far as it goes, bytes that aren't UTF-8 as U+FFFD, and long pages are read whole. An empty table gives an empty
+    result. Other columns are not looked at.
     """
     tx.small_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [main_text(x) for x in b.column(2).to_pylist()]
+            texts = [main_text(x and x.decode("utf-8", "replace")) for x in tx.binaries(b.column(2))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -57,6 +57,59 @@ def test_links_lower_the_density():
     assert got.startswith("Plain words") and "headline" not in got
 
 
+STORY = "Plain words of the story go on. " * 9
+
+
+def test_what_stands_beside_the_story_stays():
+    """Titles, last sentences and blocks whose class merely contains the name of something else."""
+    body = f"<div><p>{STORY}</p><p>{STORY}</p></div>"
+    page = f"<body><nav>Menu</nav><div><div><h1>The title</h1></div>{body}<div>A closing sentence.</div></div><div>&copy; me</div></body>"
+    assert html.main_text(page).split("\n") == ["The title", STORY.strip(), STORY.strip(), "A closing sentence."]
+    for name in ("related-work", "side-by-side", "comments-open", "no-ads"):
+        for wrap in ("<article>{}</article>", "<div>{}</div>"):
+            got = html.main_text("<body>" + wrap.format(f"{body}<div class='{name}'><p>Short but part of it.</p></div>") + "</body>")
+            assert got.split("\n")[-1] == "Short but part of it.", (name, wrap)
+    for name in ("ad", "ad-300x250", "cookie-notice", "site-footer", "sidebar", "widget sidebar-right", "comment-list", "social share"):
+        assert "Short" not in html.main_text(f"<body><article>{body}<div class='{name}'><p>Short but no part of it.</p></div></article></body>"), name
+    links = "<div class='related-links'><a href=x>another story</a> <a href=y>and one more</a></div>"
+    assert html.main_text(f"<body><article>{body}{links}</article></body>").count("\n") == 1
+
+
+def test_controls_in_and_outside_of_text():
+    got = html.main_text(f"<article><p>{STORY}</p><p>The <label>term</label> matters, and so does <button>this</button>.</p><button>Share</button><label>Search</label></article>")
+    assert got.split("\n")[1:] == ["The term matters, and so does this."]
+
+
+def test_densities_of_every_node_against_brute_force():
+    """Every node's characters, tags, link characters and link tags counted over its whole subtree, and its children's sum."""
+    for page in (PAGE, f"<div><p>{STORY}<b>bold <a href=x>and linked</a></b></p><ul><li><a href=y>one</a><li>two <i>three</i></ul></div>tail", "<p>x"):
+        tree = html.Tree()
+        tree.feed(page)
+        tree.close()
+        cut = tree.cuts()
+        up = lambda i: [i, *up(tree.parents[i])] if i >= 0 else []  # noqa: E731, B023
+        size = lambda x: sum(not c.isspace() for c in x)
+
+        def count(i, linked, tree=tree, cut=cut, up=up, size=size):
+            inside = [j for j in range(len(tree.tags)) if i in up(j) and not cut[j]]
+            own = [j for j in inside if not linked or any(tree.tags[k] == "a" for k in up(j))]
+            chars = sum(size(x) for p in tree.pieces if p for j, x in [p] if j in own and not any(tree.tags[k] in html.CONTROLS for k in up(j)))
+            return chars, sum(j != i and (not linked or tree.tags[j] == "a") for j in inside)
+
+        everything = [count(i, False) for i in range(len(tree.tags))]
+        links = [count(i, True) for i in range(len(tree.tags))]
+        want = [0.0 if cut[i] else html.density(*everything[i], *links[i], everything[0][0], links[0][0]) for i in range(len(tree.tags))]
+        dense, total = html.densities(tree, cut)
+        assert dense == want
+        for i in range(len(tree.tags)):
+            assert abs(total[i] - sum(want[j] for j in range(len(want)) if tree.parents[j] == i)) < 1e-9
+
+
+def test_extract_bytes_that_are_not_utf8(spark):
+    bad = spark.sql("SELECT 1L AS page_id, 'u' AS url, CAST(unhex('3C703E61FFC3623C2F703E') AS STRING) AS html")
+    assert [(r.text, r.n_chars) for r in html.extract(bad).collect()] == [("a\ufffd\ufffdb", 4)]
+
+
 def test_extract_rows(spark):
     rows = [(1, "u", PAGE), (2, None, None), (None, "v", ""), (1, "u", PAGE), (3, "w", "é \U0001f600")]
     out = html.extract(pages(spark, rows)).collect()
