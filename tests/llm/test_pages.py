@@ -132,10 +132,64 @@ def test_warc_round_trip(spark):
     want = [(i, len((t or "").encode()), sha(t), *(("response", None) if first[t or ""] == i else ("revisit", first[t or ""]))) for i, _, t in rows]
     assert got == sorted(want)
     found = archive.lookup("HTTPS://h3.EXAMPLE.org/p?q=3#frag")
-    assert [(h["WARC-Type"], h["WARC-Record-ID"], p) for h, p in found] == [("revisit", "<urn:page:3>", b"")]
+    assert [(h["WARC-Type"], h["X-Page-ID"], p) for h, p in found] == [("revisit", "3", b"")]
     assert archive.lookup("https://h1.example.org/p?q=1")[0][1] == texts[1].encode()
     assert archive.lookup("https://nowhere.example.org/") == []
-    assert archive.directory().agg({"lines": "sum"}).first()[0] == len(rows)
+    assert archive.directory.agg({"lines": "sum"}).first()[0] == len(rows) and "data" not in archive.directory.columns
+
+
+def test_lookup_bisects_the_directory_and_reads_only_its_ranges(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BLOCK_LINES", 16)
+    rows = [(i, f"https://h{i % 90}.example.org/p?q={i % 400}", f"<p>page {i}</p>" * 40) for i in range(1200)]
+    archive = warc.write(pages(spark, rows))
+    places, plain = [], warc.read_range
+    monkeypatch.setattr(warc, "read_range", lambda s, f, at, n: places.append((f, at, n)) or plain(s, f, at, n))
+    key = warc.reversed_host_key(rows[37][1])
+    want = sorted(i for i, u, _ in rows if u == rows[37][1])
+    got = archive.lookup(rows[37][1])
+    assert sorted(int(h["X-Page-ID"]) for h, _ in got) == want and all(p.decode() == rows[int(h["X-Page-ID"])][2] for h, p in got)
+    assert len(places) == len(want) and sum(n for _, _, n in places) < len(want) * (len(rows[37][2]) + 600)
+    blocks = archive.blocks_of(key)
+    held = {r.block for r in archive.directory.collect() if r.first_key <= key <= r.last_key}
+    assert set(blocks) == held and len(blocks) <= 3 < archive.directory.count()
+    monkeypatch.setattr(warc, "DIRECTORY", 0)
+    archive._held = None
+    assert set(archive.blocks_of(key)) == held
+
+
+def test_records_are_whole_and_named_once(spark):
+    rows = [(1, "http://a.org/x", "<p>é</p>"), (1, "http://a.org/x", "<p>é</p>"), (2, "http://b.org/", "<p>é</p>"), (3, None, None)]
+    archive = warc.write(pages(spark, rows))
+    data = b"".join(bytes(r.content) for r in spark.read.format("binaryFile").load(archive.path).collect())
+    names, at, kinds = [], 0, []
+    while at < len(data):
+        head = data.index(b"\r\n\r\n", at)
+        fields = warc.head_of(data[at:head])
+        end = head + 8 + int(fields["Content-Length"])
+        names.append(fields["WARC-Record-ID"])
+        kinds.append(fields["WARC-Type"])
+        assert data[head + 4 :].startswith(b"HTTP/1.1 200 OK\r\n") and fields["Content-Type"] == "application/http; msgtype=response"
+        at = end
+    assert len(set(names)) == 4 and sorted(kinds) == ["response"] * 3 + ["revisit"]
+
+
+def test_warc_of_bytes_that_are_not_utf8(spark):
+    bad = spark.sql("SELECT id AS page_id, CAST(unhex('687474703A2F2F612E6F72672FFF') AS STRING) AS url, CAST(unhex('3C703E61FFC3623C2F703E') AS STRING) AS html FROM range(2)")
+    got = sorted((r.page_id, r.payload_bytes, r.payload_digest, r.refers_to) for r in warc.write(bad).records().collect())
+    raw = base64.b32encode(hashlib.sha1(b"<p>a\xff\xc3b</p>").digest()).decode()
+    assert got == [(0, 11, raw, None), (1, 11, raw, 0)]
+
+
+def test_payloads_shared_by_many_rows_without_a_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(warc, "REPEATS", 0)
+    rows = [(i, f"http://h{i % 5}.org/{i}", "hot" if i % 3 else f"text {i // 6}") for i in range(900)] + [(None, None, "hot"), (5000, None, None)]
+    first = {}
+    for i, _, t in rows:
+        if i is not None:
+            first.setdefault(t, i)
+    got = sorted(((r.page_id, r.record_type, r.refers_to) for r in warc.write(pages(spark, rows)).records().collect()), key=str)
+    want = [(i, *(("response", None) if i is None or first[t] == i else ("revisit", first[t]))) for i, _, t in rows]
+    assert got == sorted(want, key=str)
 
 
 def test_warc_of_nulls_repeats_and_nothing(spark):
