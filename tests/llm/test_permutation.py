@@ -51,4 +51,33 @@ def test_awkward_and_empty(spark):
 def test_pivots_lie_apart():
     rng = np.random.default_rng(1)
     sample = np.concatenate([np.tile(rng.normal(size=8), (1500, 1)), rng.normal(size=(300, 8))])
-    assert len(permutation.choose(sample)) == 256
+    assert len(permutation.choose(sample, 256)) == 256
+
+
+def test_footrule_is_the_sum_of_moves():
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        x, q = rng.permutation(30)[:8], rng.permutation(30)[:8]
+        at = lambda order, p: list(order).index(p) if p in order else len(order)
+        want = sum(abs(at(x, p) - at(q, p)) for p in set(x) | set(q))
+        seen = permutation.placed(q[None, :].astype(np.int16), 30)[0][x]
+        assert permutation.footrule(seen) == want
+
+
+def test_recall_on_the_drivers_vectors(spark):
+    """Nearly uniform vectors, the hardest case: many files are asked, and no fewer than 0.9 of the true neighbours found."""
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").collect()]
+    want = brute(rows, 50, 5)
+    got = permutation.neighbours(table(spark, rows), 50).collect()
+    assert len(got) == sum(map(len, want.values()))
+    assert sum(r.vec_id in want[r.query_id] for r in got) >= 0.9 * len(got)
+
+
+def test_a_file_asked_by_few_finds_what_it_holds(spark):
+    """Far outliers share no file with their neighbours among the trials; they still get as many as there are."""
+    rng = np.random.default_rng(3)
+    rows = [(i + 1, (np.eye(16)[0] + 0.01 * rng.normal(size=16)).tolist()) for i in range(400)]
+    rows += [(5000 + 50 * i, (-np.eye(16)[i % 16]).tolist()) for i in range(6)]
+    got = permutation.neighbours(table(spark, rows), 50).collect()
+    assert all(sum(r.query_id == q for r in got) == 5 for q in {r.query_id for r in got})
+    assert len({r.query_id for r in got}) == 8 + 6
