@@ -3,7 +3,8 @@
 Each document's shingle set gets 128 minima. Bands of four minima make candidates; the low four bits of every minimum,
 packed into eight longs, give a collision-corrected estimate of the similarity by bit counts and throw out the
 candidates that are clearly too far apart; what is left is compared on the full sets. Documents with equal sets are one
-node from the start, so groups of copies cost one node. A pair at the threshold of 0.8 shares none of 32 bands with
+node from the start and bands are made of nodes, so groups of copies cost one node. Joins by a band, a hub, a set or a component,
+any of which may have most of the rows, broadcast the few values that do (``skew.spread``). A pair at the threshold of 0.8 shares none of 32 bands with
 probability 5e-8, and the estimate drops it with probability under 1e-8.
 
 In a bucket, every node is compared with the bucket's smallest one only; then those that this left in other components
@@ -28,10 +29,11 @@ from pyspark.sql import types as T
 
 from strandlake.llm import text as tx
 from strandlake.llm.components import components
+from strandlake.llm.skew import spread
 from strandlake.scratch import Scratch
 
 HASHES, BITS, ROWS = 128, 4, 4
-LONGS = HASHES * BITS // 64
+LONGS, BANDS = HASHES * BITS // 64, HASHES // ROWS
 #: How far under the threshold an estimate may lie: six standard deviations of 128 draws at 0.8.
 MARGIN = 0.22
 #: Nodes on the two sides of a tile, and bytes of their sets, about.
@@ -76,22 +78,17 @@ def fingerprint(items: np.ndarray) -> int:
 def _signatures(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ns, fs, keys, sigs = [], [], [], []
-            for data in tx.binaries(batch.column(1)):
+            ns, fs = [], []
+            keys, sigs = np.zeros((len(batch), BANDS), np.int64), np.zeros((len(batch), LONGS), np.int64)
+            for i, data in enumerate(tx.binaries(batch.column(2))):
                 items = shingle_set(data, width)
                 ns.append(len(items))
+                fs.append(fingerprint(items) if len(items) else None)
                 if len(items):
                     m = minima(items)
-                    fs.append(fingerprint(items))
-                    keys.append(band_keys(m))
-                    sigs.append(packed(m))
-                else:
-                    fs.append(None)
-                    keys.append(np.zeros(0, np.int64))
-                    sigs.append(np.zeros(LONGS, np.int64))
-            s = np.stack(sigs) if sigs else np.zeros((0, LONGS), np.int64)
-            columns = [batch.column(0), pa.array(ns, pa.int64()), pa.array(fs, pa.int64()), pa.array(keys, pa.list_(pa.int64())), *(pa.array(s[:, i]) for i in range(LONGS))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "f", "keys", *(f"s{i}" for i in range(LONGS))])
+                    keys[i], sigs[i] = band_keys(m), packed(m)
+            columns = [batch.column(0), batch.column(1), pa.array(ns, pa.int64()), pa.array(fs, pa.int64()), *(pa.array(keys[:, i]) for i in range(BANDS)), *(pa.array(sigs[:, i]) for i in range(LONGS))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "n", "f", *(f"k{i}" for i in range(BANDS)), *(f"s{i}" for i in range(LONGS))])
 
     return run
 
@@ -103,7 +100,7 @@ def _sets(width: int):
             own = []
             for want, data in zip(f, tx.binaries(batch.column(1)), strict=True):
                 items = shingle_set(data, width)
-                if len(items) and fingerprint(items) == want:  # another text under the same id isn't the one meant
+                if len(items) and fingerprint(items) == want:
                     own.append(want)
                     blobs.append(items.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(blobs, pa.binary())], ["f", "items"])
@@ -158,13 +155,13 @@ def _tile(percent: int):
     return run
 
 
-def _tiles(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _tiles(mixed: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Links ``(a, b)`` between components of a bucket, from ``mixed(key, f, c, out)`` and ``sets(f, bands, items)``."""
     sized = mixed.join(sets.select("f", F.octet_length("items").alias("b")), "f")
     blocks = lambda n, b, most: (F.floor(F.greatest(n / most, b / TILE_BYTES)) + 1).cast("long")
     some = F.coalesce(F.sum(F.when(F.col("out"), F.col("b"))), F.lit(0))
-    counts = sized.groupBy("key").agg(blocks(F.count_if("out"), some, OUT).alias("outs"), blocks(F.count("*"), F.sum("b"), ALL).alias("alls"))
-    rows = mixed.join(counts, "key")
+    counts = sized.groupBy("key").agg(blocks(F.count_if("out"), some, OUT).alias("outs"), blocks(F.count("*"), F.sum("b"), ALL).alias("alls"), F.count("*").alias("rows"))
+    rows = spread(mixed, scratch.save(counts, "counts"), "key", "rows")
     at = lambda n: F.pmod(F.xxhash64("f", F.lit(n)), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     left = rows.where("out").select("key", "f", "c", "out", F.lit(True).alias("left"), at("outs").alias("i"), every("alls").alias("j"))
@@ -198,41 +195,56 @@ def estimate(x: str, y: str, hashes: int = HASHES, bits: int = BITS) -> Column:
     """The similarity from packed signatures: the share of equal parts, less what chance makes equal."""
     ones = sum(1 << k for k in range(0, 64, bits))
     fold = lambda d: F.bit_count(reduce(lambda p, q: p.bitwiseOR(q), (F.shiftright(d, k) for k in range(1, bits)), d).bitwiseAND(F.lit(ones)))
-    off = reduce(lambda p, q: p + q, (fold(F.col(f"{x}.s{i}").bitwiseXOR(F.col(f"{y}.s{i}"))) for i in range(hashes * bits // 64)))
+    off = reduce(lambda p, q: p + q, (fold(F.col(f"{x}s{i}").bitwiseXOR(F.col(f"{y}s{i}"))) for i in range(hashes * bits // 64)))
     chance = 2.0**-bits
     return ((hashes - off) / F.lit(float(hashes)) - chance) / (1 - chance)
 
 
 def _sizes_near(x: str, y: str, percent: int) -> Column:
     """An exact bound: the similarity is at most the ratio of the sizes."""
-    small, large = F.least(F.col(f"{x}.n"), F.col(f"{y}.n")), F.greatest(F.col(f"{x}.n"), F.col(f"{y}.n"))
+    small, large = F.least(F.col(f"{x}n"), F.col(f"{y}n")), F.greatest(F.col(f"{x}n"), F.col(f"{y}n"))
     return small * 100 >= large * percent
 
 
-def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+def _mixed(members: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     """``(key, f, c, out)`` of the buckets that hold several components; ``out`` if f's component isn't the hub's."""
+    heads = members.groupBy("hub").agg(F.count("*").alias("rows")).join(labels, F.col("hub") == F.col("v"), "left")
+    heads = scratch.save(heads.select("hub", F.coalesce("label", "hub").alias("hc"), "rows"), "heads")
     placed = members.join(labels, members.f == labels.v, "left").select("key", "hub", "f", F.coalesce("label", "f").alias("c"))
-    heads = labels.select(F.col("v").alias("hv"), F.col("label").alias("hc"))
-    placed = placed.join(heads, F.col("hub") == F.col("hv"), "left").select("key", "f", "c", (F.col("c") != F.coalesce("hc", "hub")).alias("out"))
-    mixed = placed.groupBy("key").agg(F.max("out").alias("out"), F.count("*").alias("k")).where("out and k > 1").select("key")
-    return placed.join(mixed, "key")
+    placed = spread(placed, heads, "hub", "rows").select("key", "f", "c", (F.col("c") != F.col("hc")).alias("out"))
+    placed = scratch.save(placed, "placed")
+    mixed = placed.groupBy("key").agg(F.max("out").alias("off"), F.count("*").alias("k")).where("off and k > 1").select("key", "k")
+    return spread(placed, scratch.save(mixed, "keys"), "key", "k")
 
 
-def _texts(nodes: DataFrame, wanted: DataFrame, docs: DataFrame) -> DataFrame:
-    """``(f, text)`` for the nodes ``wanted(f)``: of the rows with the node's smallest id, of which one at least has its set."""
-    need = nodes.join(wanted.distinct(), "f").select("f", "min_id")
-    return docs.join(need, docs.doc_id.eqNullSafe(need.min_id)).select("f", "text")
+def _row(doc_id: Column, text: Column) -> Column:
+    """Tells rows apart by id and text, null ids too; those that agree in both are alike."""
+    return F.xxhash64(doc_id, text)
+
+
+def _texts(nodes: DataFrame, wanted: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """``(f, text)`` for the nodes ``wanted(f)``: the row that stands for the node, and what agrees with it in id and text."""
+    need = scratch.save(nodes.join(wanted.distinct(), "f").select("f", "row", "copies"), "need")
+    rows = docs.select(_row(F.col("doc_id").cast("long"), F.col("text")).alias("row"), "text")
+    return spread(rows, need, "row", "copies").select("f", "text")
+
+
+def _once(sets: DataFrame) -> DataFrame:
+    """One row for each node, where a row of the table is repeated."""
+    return sets if sets.groupBy("f").count().where("count > 1").isEmpty() else sets.dropDuplicates(["f"])
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
     """Of ``pairs(a, b)``, those whose full sets are near enough. Sets are made anew from texts, for the nodes in pairs only."""
     wanted = pairs.select(F.col("a").alias("f")).union(pairs.select(F.col("b").alias("f")))
-    sets = scratch.save(_texts(nodes, wanted, docs).mapInArrow(_sets(width), "f long, items binary"), "sets")
-    salts = pairs.groupBy("a").agg(F.count("*").alias("c")).select("a", F.explode(F.sequence(F.lit(0), F.floor(F.col("c") / RUN).cast("int"))).alias("salt"))
-    counts = pairs.groupBy("a").agg((F.floor(F.count("*") / RUN) + 1).cast("int").alias("runs"))
-    dealt = pairs.join(counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("runs")).cast("int").alias("salt"))
+    sets = scratch.save(_texts(nodes, wanted, docs, scratch).mapInArrow(_sets(width), "f long, items binary"), "sets")
+    counts = pairs.groupBy("a").agg((F.floor(F.count("*") / RUN) + 1).cast("int").alias("runs"), F.count("*").alias("pairs"))
+    counts = scratch.save(counts, "runs")
+    salts = counts.select("a", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).alias("salt"))
+    dealt = spread(pairs, counts, "a", "pairs").select("a", "b", F.pmod(F.xxhash64("b"), F.col("runs")).cast("int").alias("salt"))
     rows = salts.select("a", F.col("a").alias("b"), "salt").unionByName(dealt)
-    rows = rows.join(sets, rows.b == sets.f).select("a", "b", "items", "salt", (F.col("a") != F.col("b")).alias("member"))
+    one = _once(sets)
+    rows = rows.join(one, rows.b == one.f).select("a", "b", "items", "salt", (F.col("a") != F.col("b")).alias("member"))
     rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "member").select("a", "b", "items")
     found = scratch.save(rows.mapInArrow(_compare(percent), "a long, b long"), "links")
     scratch.drop(sets)
@@ -260,36 +272,43 @@ def classes(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     tx.small_batches(spark)
     scratch = Scratch(spark)
     docs = docs.select("doc_id", "text")
-    kinds = "doc_id long, n long, f long, keys array<long>, " + ", ".join(f"s{i} long" for i in range(LONGS))
-    sigs = scratch.save(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_signatures(shingle), kinds), "signatures")
+    kinds = "doc_id long, row long, n long, f long, " + ", ".join([f"k{i} long" for i in range(BANDS)] + [f"s{i} long" for i in range(LONGS)])
+    doc_id = F.col("doc_id").cast("long")
+    sigs = scratch.save(docs.select(doc_id, _row(doc_id, F.col("text")).alias("row"), "text").mapInArrow(_signatures(shingle), kinds), "signatures")
     full = sigs.where("f is not null")
-    own = [F.first(f"s{i}").alias(f"s{i}") for i in range(LONGS)]
-    nodes = scratch.save(full.groupBy("f").agg(F.min("doc_id").alias("min_id"), F.first("n").alias("n"), *own), "nodes")
-    bands = full.select("f", F.explode("keys").alias("key"))
-    hubs = bands.groupBy("key").agg(F.min("f").alias("hub"), F.max("f").alias("top")).where("hub <> top")
-    members = scratch.save(bands.join(hubs.select("key", "hub"), "key").where("f <> hub").distinct(), "members")
+    # "first" takes all of them from the same row
+    own = [F.first(c).alias(c) for c in ["row", "n", *(f"k{i}" for i in range(BANDS)), *(f"s{i}" for i in range(LONGS))]]
+    nodes = scratch.save(full.groupBy("f").agg(F.min("doc_id").alias("min_id"), F.count("*").alias("copies"), *own), "nodes")
+    bands = nodes.select("f", F.explode(F.array(*(f"k{i}" for i in range(BANDS)))).alias("key"))
+    hubs = bands.groupBy("key").agg(F.min("f").alias("hub"), F.max("f").alias("top"), F.count("*").alias("rows")).where("hub <> top")
+    hubs = scratch.save(hubs.drop("top"), "hubs")
+    members = scratch.save(spread(bands, hubs, "key", "rows").where("f <> hub"), "members")
 
     stars = members.select("hub", "f").distinct()
-    a, b = nodes.alias("x"), nodes.alias("y")
-    near = stars.join(a, stars.hub == F.col("x.f")).join(b, stars.f == F.col("y.f")).where(_sizes_near("x", "y", percent) & (estimate("x", "y") >= percent / 100 - MARGIN))
-    near = scratch.save(near.select(F.col("hub").alias("a"), F.col("y.f").alias("b")), "pairs")
+    signed = [F.col("n"), *(F.col(f"s{i}") for i in range(LONGS))]
+    heads = nodes.select(F.col("f").alias("hub"), *(c.alias("h" + n) for c, n in zip(signed, ["n", *(f"s{i}" for i in range(LONGS))], strict=True)))
+    heads = scratch.save(stars.groupBy("hub").agg(F.count("*").alias("rows")).join(heads, "hub"), "heads")
+    near = spread(stars.join(nodes.select("f", *signed), "f"), heads, "hub", "rows")
+    near = near.where(_sizes_near("h", "", percent) & (estimate("h", "") >= percent / 100 - MARGIN))
+    near = scratch.save(near.select(F.col("hub").alias("a"), F.col("f").alias("b")), "pairs")
     links = _verified(near, nodes, docs, shingle, percent, scratch)
     labels = components(links, scratch)
 
-    mixed = scratch.save(_mixed(members, labels), "mixed")
-    sets = _texts(nodes, mixed.select("f"), docs).mapInArrow(_sets_and_bands(shingle), "f long, bands binary, items binary")
-    sets = scratch.save(sets.dropDuplicates(["f"]), "sets")
-    more = scratch.save(_tiles(mixed, sets, percent), "more")
+    mixed = scratch.save(_mixed(members, labels, scratch), "mixed")
+    sets = _texts(nodes, mixed.select("f"), docs, scratch).mapInArrow(_sets_and_bands(shingle), "f long, bands binary, items binary")
+    sets = scratch.save(_once(scratch.save(sets, "sets")), "sets")
+    more = scratch.save(_tiles(mixed, sets, percent, scratch), "more")
     scratch.drop(mixed, sets)
     if not more.isEmpty():
         labels = components(links.union(more), scratch)
 
-    tops = nodes.join(labels, nodes.f == labels.v, "left").select("f", "min_id", F.coalesce("label", "f").alias("c"))
-    least = tops.groupBy("c").agg(F.min("min_id").alias("component_id"))
-    found = tops.join(least, "c").select(F.col("f").alias("g"), "c", "component_id")
-    out = sigs.select("doc_id", F.col("n").alias("n_shingles"), "f").join(found, F.col("f") == F.col("g"), "left")
-    component = F.when(F.col("f").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "f", "c")
+    tops = nodes.join(labels, nodes.f == labels.v, "left").select("f", "min_id", "copies", F.coalesce("label", "f").alias("c"))
+    least = scratch.save(tops.groupBy("c").agg(F.min("min_id").alias("component_id"), F.count("*").alias("nodes")), "least")
+    found = scratch.save(spread(tops, least, "c", "nodes").select("f", "c", "component_id", "copies"), "found")
+    some = spread(sigs.select("doc_id", "n", "f"), found, "f", "copies").select("doc_id", "n", "f", "c", "component_id")
+    none = sigs.where("f is null").select("doc_id", "n", "f", F.lit(None).cast("long").alias("c"), F.col("doc_id").alias("component_id"))
+    out = some.unionByName(none)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "f", "c")
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:

@@ -1,7 +1,12 @@
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from strandlake.llm import minhash
+from strandlake.llm.components import components
+from strandlake.llm.skew import spread
+from strandlake.scratch import Scratch
 from tests.llm.common import awkward, documents, edited, prose
 
 
@@ -90,7 +95,33 @@ def test_estimate_is_close(spark):
     a, b = (minhash.shingle_set(t.encode(), 2) for t in (base, near))
     true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
     pa_, pb = (minhash.packed(minhash.minima(x)) for x in (a, b))
-    x = spark.createDataFrame([tuple(map(int, pa_))], ", ".join(f"s{i} long" for i in range(minhash.LONGS))).alias("x")
-    y = spark.createDataFrame([tuple(map(int, pb))], ", ".join(f"s{i} long" for i in range(minhash.LONGS))).alias("y")
-    got = x.crossJoin(y).select(minhash.estimate("x", "y")).first()[0]
+    x = spark.createDataFrame([tuple(map(int, pa_))], ", ".join(f"hs{i} long" for i in range(minhash.LONGS)))
+    y = spark.createDataFrame([tuple(map(int, pb))], ", ".join(f"s{i} long" for i in range(minhash.LONGS)))
+    got = x.crossJoin(y).select(minhash.estimate("h", "")).first()[0]
     assert abs(got - true) < 0.15
+
+
+def test_rows_without_an_id_or_with_the_same_one_stay_apart(spark):
+    """Different texts under one id, null or not: a text for each node, not for each pair of rows."""
+    texts = [prose(12, 500 + k) for k in range(600)] + [edited(prose(80, 3), 1, k) for k in range(40)]
+    rows = [(None, t) for t in texts] + [(7, t + " more") for t in texts]
+    docs = documents(spark, rows)
+    scratch = Scratch(spark)
+    nodes = docs.select(minhash._row(F.col("doc_id"), F.col("text")).alias("row"), F.xxhash64("text").alias("f"), F.lit(1).alias("copies"))
+    assert minhash._texts(nodes, nodes.select("f"), docs, scratch).count() == len(rows)
+    got = minhash.near_duplicates(docs, 2, 80).collect()
+    assert len(got) == len(rows)
+    assert {(r.doc_id, r.component_id) for r in got if r.doc_id} == {(7, 7)}
+
+
+def test_spread_is_a_join(spark):
+    rows = spark.createDataFrame([(k % 3 if k % 2 else 99, k) for k in range(300)] + [(None, -1)], "key long, x long")
+    values = rows.groupBy("key").count().withColumn("y", F.col("key") * 2).where("key <> 2")
+    want = sorted(rows.join(values.drop("count"), "key").collect())
+    assert sorted(spread(rows, values, "key", "count").collect()) == want
+
+
+def test_components_of_a_star_and_a_path(spark):
+    edges = [(5, 100 + k) for k in range(400)] + [(k, k + 1) for k in range(1000, 1040)] + [(3, 3)]
+    got = {r.v: r.label for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark)).collect()}
+    assert got == {5: 5} | {100 + k: 5 for k in range(400)} | {k: 1000 for k in range(1000, 1041)}
