@@ -17,7 +17,7 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_table(spark, sf_dir, "documents")).taken().select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(_table(spark, sf_dir, "documents")).taken().select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,8 +100,21 @@ placed AS (
   SELECT z.*, t.s, t.target, CAST(round(t.target) AS BIGINT) AS q,
     sum(size) OVER (PARTITION BY z.source ORDER BY h, size, doc_id ROWS UNBOUNDED PRECEDING) - size AS o
   FROM sizes z JOIN targets t ON z.source IS NOT DISTINCT FROM t.source)
+quotas AS (SELECT source, CAST(round(target) AS BIGINT) AS q, CAST(ceil(round(target) / 2048) AS BIGINT) AS slots FROM targets),
+cuts AS (
+  SELECT *, coalesce(CAST(sum(q) OVER (ORDER BY source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS DOUBLE) / nullif(CAST(sum(q) OVER () AS DOUBLE), 0), 0) AS lo,
+    CAST(sum(slots) OVER () AS BIGINT) AS total FROM quotas),
+stretches AS (SELECT *, lead(lo, 1, 1.0::DOUBLE) OVER (ORDER BY source NULLS LAST) AS hi FROM cuts),
+points AS (SELECT n, n * 0.6180339887498949::DOUBLE - floor(n * 0.6180339887498949::DOUBLE) AS x FROM (SELECT unnest(range((SELECT max(total) FROM cuts))) AS n)),
+ranked AS (SELECT source, slots, n, row_number() OVER (PARTITION BY source ORDER BY n) - 1 AS r FROM points JOIN stretches ON x >= lo AND x < hi),
+had AS (SELECT c.source, c.slots, total, count(r.n) AS had FROM cuts c LEFT JOIN ranked r ON c.source IS NOT DISTINCT FROM r.source GROUP BY ALL),
+short AS (SELECT source, total, unnest(range(had, slots)) AS r FROM had WHERE had < slots),
+schedule AS (
+  SELECT source, r, n AS position FROM ranked WHERE r < slots UNION ALL
+  SELECT source, r, total + row_number() OVER (ORDER BY r, coalesce('=' || source, '')) - 1 FROM short)
 SELECT doc_id, size, s AS source_size, CAST(target AS DOUBLE) AS target,
-  CAST(greatest(0, least(size, q - o)) + greatest(0, least(size, q - s - o)) AS BIGINT) AS taken FROM placed
+  CAST(greatest(0, least(size, q - o)) + greatest(0, least(size, q - s - o)) AS BIGINT) AS taken, CAST(position AS BIGINT) AS position
+FROM placed p LEFT JOIN schedule c ON size > 0 AND o < q AND c.source IS NOT DISTINCT FROM p.source AND c.r = o // 2048
 """
 
 ORACLE["op7_lm_scoring"] = rf"""

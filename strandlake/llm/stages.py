@@ -6,12 +6,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandlake.llm import knn, minhash, mixing, sharding, simhash
 from strandlake.llm import text as tx
-from strandlake.scratch import Scratch
 
 #: Scores under this are rejected.
 QUALITY = 0.3
@@ -47,21 +45,12 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A document comes as often as the mix begins it: twice, once or not at all. Texts stay whole."""
-    taken = mixing.mix(docs).taken()
-    times = F.when(F.col("taken") > F.col("size"), 2).when(F.col("taken") > 0, 1).otherwise(0)
-    taken = taken.select(F.col("h").alias("__h"), times.alias("__times")).groupBy("__h").agg(F.sum("__times").alias("__times"), F.count("*").alias("__rows"))
-    names = docs.columns
-    keyed = docs.withColumn("__key", mixing.order_key(F.col("doc_id"), F.col("text")))
-    picked = Scratch(spark).save(taken.where("__times > 0"), "picked")
-    rows = keyed.join(picked, F.col("__key") == F.col("__h"))
-    one = rows.where("__rows = 1")
-    if not picked.where("__rows > 1").isEmpty():
-        # rows that agree in id and text: the first of them come the oftener
-        n = F.row_number().over(W.partitionBy("__key").orderBy("__times"))
-        share = F.floor((F.col("__times") + F.col("__rows") - n) / F.col("__rows"))
-        one = one.unionByName(rows.where("__rows > 1").withColumn("__times", share))
-    return one.where("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times")))).select(*names)
+    """A document comes as often as the mix begins it, twice, once or not at all, in the order of the schedule. Texts stay whole.
+
+    Null, empty and blank texts have no words to take and aren't in the mix. Rows that agree in all columns are taken like different
+    ones. An empty table gives an empty result; other columns are carried along.
+    """
+    return mixing.rows_in_order(docs, mixing.mix(docs))
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -69,9 +69,32 @@ def test_empty_and_wordless(spark):
 
 
 def test_stage_repeats_whole_documents(spark):
-    rows = [(i, prose(100, i), "en", f"s{i % 4}") for i in range(80)] + [(5, prose(100, 5), "en", "s1")]
+    """Repeated rows, rows that agree in id and text only, and one id and text in two sources."""
+    rows = [(i, prose(100, i), "en", f"s{i % 4}") for i in range(80)] + [(5, prose(100, 5), "en", "s1")] * 9 + [(5, prose(100, 5), "de", "s1")] * 10
+    rows += [(5, prose(100, 5), "en", "s2"), (6, None, "en", "s2"), (7, " ", None, None), (None, prose(30, 7), None, None)] * 2
     docs = documents(spark, rows)
     out = stages.mix(spark, docs, "")
     assert out.columns == docs.columns
     taken = mixing.mix(docs).taken().collect()
-    assert out.count() == sum(2 if r.taken > r["size"] else int(r.taken > 0) for r in taken)
+    want, got = defaultdict(int), defaultdict(int)
+    for r in taken:
+        want[r.doc_id, r.source] += 2 if r.taken > r["size"] else int(r.taken > 0)
+    langs = defaultdict(int)
+    for r in out.collect():
+        got[r.doc_id, r.source] += 1
+        langs[r.doc_id, r.source, r.lang] += 1
+    assert got == {k: n for k, n in want.items() if n}
+    assert abs(langs[5, "s1", "en"] - langs[5, "s1", "de"]) <= 4
+
+
+def test_stage_follows_the_schedule(spark):
+    """Rows come out in the order of their stretches of the schedule, so each run of rows holds the sources in their shares."""
+    rows = [(i, prose(200 + i % 300, i % 50), None, f"s{i % 3}") for i in range(600)]
+    docs = documents(spark, rows)
+    place = {r.doc_id: r.position for r in mixing.mix(docs).taken().collect()}
+    out = [r.doc_id for r in stages.mix(spark, docs, "").collect()]
+    first = list(dict.fromkeys(out))
+    stretch = [place[i] for i in first]
+    assert sum(a > b for a, b in zip(stretch, stretch[1:])) <= len(stretch) // 20
+    share = lambda ids: sum(i % 3 == 0 for i in ids) / len(ids)
+    assert all(abs(share(out[k : k + 120]) - share(out)) < 0.15 for k in range(0, len(out) - 120, 60))
