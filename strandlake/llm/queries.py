@@ -99,7 +99,7 @@ targets AS (SELECT source, s, CASE WHEN full_ THEN 2.0 * s ELSE w * (open_ / res
 placed AS (
   SELECT z.*, t.s, t.target, CAST(round(t.target) AS BIGINT) AS q,
     sum(size) OVER (PARTITION BY z.source ORDER BY h, size, doc_id ROWS UNBOUNDED PRECEDING) - size AS o
-  FROM sizes z JOIN targets t ON z.source IS NOT DISTINCT FROM t.source)
+  FROM sizes z JOIN targets t ON z.source IS NOT DISTINCT FROM t.source),
 quotas AS (SELECT source, CAST(round(target) AS BIGINT) AS q, CAST(ceil(round(target) / 2048) AS BIGINT) AS slots FROM targets),
 cuts AS (
   SELECT *, coalesce(CAST(sum(q) OVER (ORDER BY source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS DOUBLE) / nullif(CAST(sum(q) OVER () AS DOUBLE), 0), 0) AS lo,
