@@ -7,6 +7,12 @@ from strandlake.llm import text as tx
 from tests.llm.common import awkward, documents, edited, prose
 
 
+def similar(a, b):
+    a, b = Counter(a.tolist()), Counter(b.tolist())
+    both = sum((a & b).values())
+    return both / (sum(a.values()) + sum(b.values()) - both)
+
+
 def brute(docs, items):
     """Every window of every item's size against the item, by weighted similarity."""
     out = set()
@@ -16,11 +22,9 @@ def brute(docs, items):
             v = simhash.words((u or "").encode())
             if not len(v) or not len(w):
                 continue
-            bag = Counter(tx.ngrams(v, 5).tolist())
-            for s in range(max(1, len(w) - len(v) + 1)):
-                if simhash.similarity(Counter(tx.ngrams(w[s : s + len(v)], 5).tolist()), bag) >= 0.8:
-                    out.add((d, i))
-                    break
+            bag = tx.ngrams(v, 5)
+            if any(similar(tx.ngrams(w[s : s + len(v)], 5), bag) >= 0.8 for s in range(max(1, len(w) - len(v) + 1))):
+                out.add((d, i))
     return out
 
 
@@ -38,15 +42,27 @@ def test_brute_force(spark):
     assert {r.start_word for r in got if r.doc_id == 100} == {30}
 
 
+def flipped(code, places):
+    bits = np.unpackbits(code.view(np.uint8))
+    bits[places] ^= 1
+    return np.packbits(bits).view(np.uint64)
+
+
 def test_index_finds_all_within_the_radius():
     rng = np.random.default_rng(3)
-    items = [(k, prose(30, k).encode()) for k in range(60)]
-    index = simhash.Index(items)
-    for _ in range(300):
-        code = index.items[int(rng.integers(60))][2]
-        for bit in rng.choice(64, int(rng.integers(0, 40)), replace=False):
-            code ^= 1 << int(bit)
-        assert index.within(30, code) == {i for i, x in enumerate(index.items) if (x[2] ^ code).bit_count() <= simhash.RADIUS}
+    index = simhash.Index([(k, prose(30, k).encode()) for k in range(60)])
+    codes = np.stack([flipped(index.codes[int(rng.integers(60))], rng.choice(192, int(rng.integers(0, 70)), replace=False)) for _ in range(300)])
+    # the worst case: the radius spread evenly over the blocks
+    codes[0] = flipped(index.codes[7], [16 * k + j for k in range(12) for j in range(4)][:47])
+    apart = np.bitwise_count(codes[:, None, :] ^ index.codes[None, :, :]).sum(axis=2)
+    want = set(zip(*(x.tolist() for x in np.nonzero(apart <= simhash.RADIUS))))
+    assert set(zip(*(x.tolist() for x in index.within(codes, 30)))) == want and (0, 7) in want
+
+
+def test_index_leaves_most_items_aside():
+    index = simhash.Index([(k, prose(30, k, 5000).encode()) for k in range(400)])
+    others = np.stack([simhash.simhash(tx.ngrams(simhash.words(prose(30, 9000 + k, 5000).encode()), 5)) for k in range(200)])
+    assert len(index.met(others)[0]) < 0.15 * 400 * 200
 
 
 def test_radius_holds_what_the_threshold_asks():
@@ -57,8 +73,8 @@ def test_radius_holds_what_the_threshold_asks():
         w = text.split()
         w[k % len(w)] = "other"
         a, b = (tx.ngrams(simhash.words(x.encode()), 5) for x in (text, " ".join(w)))
-        if simhash.similarity(Counter(a.tolist()), Counter(b.tolist())) >= 0.8:
-            far.append((simhash.simhash(a) ^ simhash.simhash(b)).bit_count())
+        if similar(a, b) >= 0.8:
+            far.append(int(np.bitwise_count(simhash.simhash(a) ^ simhash.simhash(b)).sum()))
     assert len(far) > 50 and max(far) <= simhash.RADIUS
 
 
