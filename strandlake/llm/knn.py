@@ -22,6 +22,8 @@ DIM = 4096
 #: Labelled documents the model is fitted on, at most: those whose ids have the smallest hashes.
 SAMPLE = 2500
 RANK, NEIGHBOURS, POWER = 48, 25, 8.0
+#: Decimals of a cosine that count: products in doubles agree in them whatever the batch, so scores don't depend on it.
+DIGITS = 10
 _OWN = 16
 
 
@@ -66,7 +68,7 @@ def terms(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _weigh(at: np.ndarray, n: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    v = np.sqrt(n / n.sum()) * idf[at]
+    v = np.sqrt(n.astype(float) / n.sum()) * idf[at]
     return v / max(float(np.linalg.norm(v)), 1e-9)
 
 
@@ -75,22 +77,22 @@ class Model:
 
     def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], labels: list[int]):
         keep = [i for i, (at, _) in enumerate(rows) if len(at)]
-        rows, self.labels = [rows[i] for i in keep], np.array([labels[i] for i in keep], np.float32)
+        rows, self.labels = [rows[i] for i in keep], np.array([labels[i] for i in keep], float)
         have = np.zeros(DIM)
         for at, _ in rows:
             have[at] += 1
-        self.idf = (np.log((1 + len(rows)) / (1 + have)) + 0.3).astype(np.float32)
-        x = np.zeros((len(rows), DIM), np.float32)
+        self.idf = (np.log((1 + len(rows)) / (1 + have)) + 0.3).astype(float)
+        x = np.zeros((len(rows), DIM), float)
         for i, (at, n) in enumerate(rows):
             x[i, at] = _weigh(at, n, self.idf)
         rank = min(RANK, len(rows))
         if rank:
             rng = np.random.default_rng(8)
-            q = np.linalg.qr(x @ (x.T @ (x @ rng.standard_normal((DIM, min(rank + 16, DIM))).astype(np.float32))))[0]
-            self.axes = np.linalg.svd(q.T @ x, full_matrices=False)[2][:rank].T.astype(np.float32).copy()
+            q = np.linalg.qr(x @ (x.T @ (x @ rng.standard_normal((DIM, min(rank + 16, DIM))).astype(float))))[0]
+            self.axes = np.linalg.svd(q.T @ x, full_matrices=False)[2][:rank].T.astype(float).copy()
             self.vectors = self._unit(x @ self.axes)
         else:
-            self.axes, self.vectors = np.zeros((DIM, 0), np.float32), np.zeros((0, 0), np.float32)
+            self.axes, self.vectors = np.zeros((DIM, 0), float), np.zeros((0, 0), float)
 
     @staticmethod
     def _unit(v: np.ndarray) -> np.ndarray:
@@ -102,7 +104,7 @@ class Model:
             return out
         for k in range(0, len(texts), block):
             own = texts[k : k + block]
-            v = np.zeros((len(own), self.axes.shape[1]), np.float32)
+            v = np.zeros((len(own), self.axes.shape[1]), float)
             some = np.zeros(len(own), bool)
             for i, data in enumerate(own):
                 if data and data.strip():
@@ -110,9 +112,12 @@ class Model:
                     if len(at):
                         v[i] = _weigh(at, n, self.idf) @ self.axes[at]
                         some[i] = True
-            near = self._unit(v) @ self.vectors.T
+            near = np.round(self._unit(v) @ self.vectors.T, DIGITS)
             m = min(NEIGHBOURS, near.shape[1])
-            top = np.argpartition(-near, m - 1, axis=1)[:, :m]
+            # equal cosines go to the sample's earlier document; the votes are added nearest first
+            order = near - np.arange(near.shape[1]) * (10.0 ** -(DIGITS + 5))
+            top = np.argpartition(-order, m - 1, axis=1)[:, :m]
+            top = np.take_along_axis(top, np.argsort(-np.take_along_axis(order, top, 1), axis=1), 1)
             w = np.maximum(np.take_along_axis(near, top, 1), 1e-3) ** POWER
             out[k : k + block] = np.where(some, (w * self.labels[top]).sum(1) / w.sum(1), 0)
         return np.clip(out, 0, 1)

@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandlake.llm import text as tx
+from strandlake.operators.joins import broadcast_if_small
 
 DIM = 2**14
 #: Labelled texts of a language that the model is fitted on, at most: those whose ids have the smallest hashes.
@@ -112,16 +113,14 @@ class Model:
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on the rows of ``docs(doc_id, text, lang)`` whose lang isn't null; at most ``sample`` of each language.
 
-    The driver holds a count for each language and the sample's term counts.
+    The driver holds the sample's term counts.
     """
     known = docs.where("lang is not null").select("doc_id", "lang")
-    counts = known.groupBy("lang").count().collect()
+    counts = known.groupBy("lang").agg(F.count("*").alias("rows"))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(2**30)) / 2.0**30
-    share = F.lit(0.0)
-    for r in counts:  # a row for each language
-        share = F.when(F.col("lang") == r["lang"], min(1.0, 3.0 * sample / r["count"] + 30.0 / r["count"])).otherwise(share)
+    share = F.least(F.lit(1.0), (3.0 * sample + 30.0) / F.col("rows"))
     first = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(2)), "doc_id"))
-    ids = known.where(draw < share).withColumn("i", first).where(F.col("i") <= sample).select("doc_id").distinct()
+    ids = known.join(broadcast_if_small(counts), "lang").where(draw < share).withColumn("i", first).where(F.col("i") <= sample).select("doc_id").distinct()
     texts = docs.where("lang is not null").select("doc_id", "text", "lang").join(F.broadcast(ids), "doc_id")  # sample * languages ids at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +129,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
             rows = [terms(x or b"", table) for x in tx.binaries(b.column(0))]
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array([x.tobytes() for x, _ in rows], pa.binary()), pa.array([x.tobytes() for _, x in rows], pa.binary())], ["lang", "at", "n"])
 
-    rows = texts.select("text", "lang").mapInArrow(run, "lang string, at binary, n binary").orderBy("lang", "at", "n").limit(2 * sample * max(1, len(counts))).collect()
+    rows = texts.select("text", "lang").mapInArrow(run, "lang string, at binary, n binary").orderBy("lang", "at", "n").limit(2 * sample * max(1, counts.count())).collect()
     return Model([(r["lang"], np.frombuffer(r["at"], np.int32), np.frombuffer(r["n"], np.float32)) for r in rows])
 
 
@@ -140,7 +139,7 @@ def identify(docs: DataFrame, training: DataFrame, sample: int = SAMPLE) -> Data
     Learns from ``training(doc_id, text, lang)``. ``lang_pred`` is the nearest centroid's language, ``score`` its share among
     the languages (0 to 1), ``rejected`` whether the text is too far from it. A text that is null or has no letter gets
     ``und``, score 0, a null distance, and is rejected; so does every text if nothing was learned. Rows are judged one by one
-    and whole, so ties (the language that sorts first wins), repeated rows and null ids need nothing. An empty table gives an
+    and whole, however long, so ties (the language that sorts first wins), repeated rows and null ids need nothing. An empty table gives an
     empty result. Other columns are not looked at.
     """
     tx.small_batches(docs.sparkSession)

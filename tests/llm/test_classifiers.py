@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -74,5 +75,46 @@ def test_quality_awkward(spark):
 def test_scores_do_not_depend_on_blocks(block):
     texts = [text("en", 30, i).encode() for i in range(40)] + [junk("en", 30, i).encode() for i in range(40)]
     model = knn.Model([knn.terms(t) for t in texts], [1] * 40 + [0] * 40)
-    got = model.scores(texts[::3] + [None, b"", b"  "], block)
-    assert abs(got - model.scores(texts[::3] + [None, b"", b"  "])).max() < 1e-4 and list(got[-3:]) == [0, 0, 0]
+    some = texts[::3] + [texts[0], None, b"", b"  "]
+    got = model.scores(some, block)
+    assert (got == model.scores(some)).all() and list(got[-3:]) == [0, 0, 0] and got[0] == got[-4]
+
+
+def test_votes_against_brute_force():
+    """The vote by plain loops: all neighbours sorted by cosine, then by their place in the sample."""
+    texts = [text("en", 30, i).encode() for i in range(40)] * 2 + [junk("en", 30, i).encode() for i in range(40)]
+    labels = [1] * 40 + [0] * 10 + [1] * 30 + [0] * 40  # copies with other labels: ties
+    model = knn.Model([knn.terms(t) for t in texts], labels)
+    asked = [text("de", 20, i).encode() for i in range(20)] + [junk("de", 20, i).encode() for i in range(20)] + texts[:15]
+    for data, got in zip(asked, model.scores(asked), strict=True):
+        at, n = knn.terms(data)
+        v = sum(w * model.axes[i] for i, w in zip(at, knn._weigh(at, n, model.idf)))
+        length = sum(float(x) ** 2 for x in v) ** 0.5
+        cosine = [round(sum(float(x) * float(y) for x, y in zip(v, u)) / length, knn.DIGITS) for u in model.vectors]
+        best = sorted(range(len(cosine)), key=lambda i: (-cosine[i], i))[: knn.NEIGHBOURS]
+        weight = [max(cosine[i], 1e-3) ** knn.POWER for i in best]
+        assert abs(got - sum(w * model.labels[i] for w, i in zip(weight, best)) / sum(weight)) < 1e-6
+
+
+def test_languages_against_brute_force():
+    """The nearest of all centroids by plain loops, in whatever language it is."""
+    table = langid.letters()
+    model = langid.Model([(lang, *langid.terms(text(lang, 30, i).encode(), table)) for i in range(40) for lang in SYLLABLES])
+    for i in range(60):
+        data = text(list(SYLLABLES)[i % 3], 1 + i % 7, 700 + i).encode()
+        at, n = langid.terms(data, table)
+        weights = {int(k): (1 + math.log(c)) * float(model.idf[k]) for k, c in zip(at, n)}
+        length = math.sqrt(sum(w * w for w in weights.values()))
+        cosine = [sum(w * float(c[k]) for k, w in weights.items()) / length for c in model.centroids.T]
+        lang, score, far, rejected = model.predict(data, table)
+        best = max(range(len(cosine)), key=cosine.__getitem__)
+        assert lang == model.langs[model.owner[best]] and abs(far - (1 - cosine[best])) < 1e-5
+        top = {o: max(c for c, p in zip(cosine, model.owner) if p == o) for o in set(model.owner.tolist())}
+        votes = {o: math.exp(langid.SHARPNESS * (c - max(top.values()))) for o, c in top.items()}
+        assert abs(score - votes[int(model.owner[best])] / sum(votes.values())) < 1e-4 and rejected == (far > model.limits[best])
+
+
+def test_many_languages(spark):
+    rows = [(i, text("en", 10, i), f"x{i}", "s") for i in range(300)]
+    out = langid.identify(documents(spark, rows[:20]), documents(spark, rows)).collect()
+    assert all(r.lang_pred == f"x{r.doc_id}" for r in out)

@@ -1,3 +1,5 @@
+import bisect
+import hashlib
 import zlib
 from collections import Counter, defaultdict
 
@@ -35,6 +37,39 @@ def test_more_rows_move_few(spark):
     assert sum(a[i] != b[i] for i in a) < 0.05 * len(a)
 
 
+def test_against_a_ring_walked_row_by_row(spark):
+    """Row by row: to its arc's shard while that has room, then clockwise to the next node of a shard that has."""
+    rows = [(i, prose(1 + i % 9, i)) for i in range(3000)] + [(5, "again")] * 400
+    at = [(int(hashlib.md5(f"shard {s} node {v}".encode()).hexdigest()[:8], 16), s) for s in range(16) for v in range(64)]
+    at.sort()
+    room = [len(rows) // 16 + (s < len(rows) % 16) for s in range(16)]
+    point = lambda i: int(hashlib.md5(str(i).encode()).hexdigest()[:8], 16)
+    arcs = sorted(bisect.bisect_left([p for p, _ in at], point(i)) % len(at) for i, _ in rows)
+    want, over = Counter(), []
+    for arc in arcs:
+        if room[at[arc][1]]:
+            room[at[arc][1]] -= 1
+            want[arc, at[arc][1]] += 1
+        else:
+            over.append(arc)
+    for arc in over:
+        step = arc
+        while not room[at[step][1]]:
+            step = (step + 1) % len(at)
+        room[at[step][1]] -= 1
+        want[arc, at[step][1]] += 1
+    out = sharding.shard_rows(documents(spark, rows)).collect()
+    assert Counter((bisect.bisect_left([p for p, _ in at], point(r.doc_id)) % len(at), r.shard) for r in out) == want
+
+
+def test_movement_for_one_more_shard(spark):
+    """A seventeenth shard has to take 1/17 of the rows; bounds that shrink for all move a few more, between old shards."""
+    docs = documents(spark, [(i, "x") for i in range(20_000)])
+    a, b = ({r.doc_id: r.shard for r in sharding.shard_rows(docs, n).collect()} for n in (16, 17))
+    new, old = sum(b[i] == 16 for i in a), sum(b[i] != 16 and a[i] != b[i] for i in a)
+    assert abs(new - len(a) / 17) <= 1 and old < 0.05 * len(a)
+
+
 def test_a_further_shard_moves_no_node():
     assert set(sharding.ring(16, 64)) < set(sharding.ring(17, 64))
 

@@ -23,6 +23,8 @@ def brute(docs, items):
             if not len(v) or not len(w):
                 continue
             bag = tx.ngrams(v, 5)
+            if not np.isin(tx.ngrams(w, min(5, len(v))), bag).any() and len(w) >= len(v):
+                continue
             if any(similar(tx.ngrams(w[s : s + len(v)], 5), bag) >= 0.8 for s in range(max(1, len(w) - len(v) + 1))):
                 out.add((d, i))
     return out
