@@ -27,7 +27,7 @@ GOLDEN = 0.6180339887498949
 BLOCK, CELLS, CHUNK = 2048, 4096, 65536
 #: Digits of the hash that prefix sums and ranges are cut by; rows that agree and are dealt together; parts of the schedule that
 #: rows are put in order by.
-FINE, CUT, RUN, STRETCHES = 4, 3, 8192, 1024
+COARSE, FINE, CUT, RUN, STRETCHES = 2, 4, 3, 8192, 1024
 
 
 def word_count(text: Column) -> Column:
@@ -131,9 +131,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
     sizes = sizes.groupBy("doc_id", "source", "size", "h", "k").agg(F.count("*").alias("copies")).withColumn("words", F.col("size") * F.col("copies"))
     sizes = scratch.save(sizes.withColumn("fine", F.substring("h", 1, FINE)), "sizes")
     sources = scratch.save(_targets(sizes, weights, share, most), "sources")
-    fine = sizes.groupBy("k", "fine").agg(F.sum("words").alias("c"))
-    upto = F.sum("c").over(W.partitionBy("k").orderBy("fine").rowsBetween(W.unboundedPreceding, -1))
-    fine = fine.select("k", "fine", F.coalesce(upto, F.lit(0)).alias("before")).join(sources.drop("lo", "hi", "slots"), "k")
+    # prefix sums in three steps, over 256 parts of a source, 256 of a part, and the rows of one
+    fine = sizes.groupBy("k", "fine").agg(F.sum("words").alias("c")).withColumn("coarse", F.substring("fine", 1, COARSE))
+    coarse = fine.groupBy("k", "coarse").agg(F.sum("c").alias("c"))
+    upto = lambda key, by: F.coalesce(F.sum("c").over(W.partitionBy(*key).orderBy(by).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    coarse = coarse.select("k", "coarse", upto(["k"], "coarse").alias("parts")).join(sources.drop("lo", "hi", "slots"), "k")
+    fine = fine.withColumn("part", upto(["k", "coarse"], "fine")).join(coarse, ["k", "coarse"])
+    fine = fine.withColumn("before", F.col("parts") + F.col("part")).drop("c", "coarse", "parts", "part")
     within = W.partitionBy("k", "fine").orderBy("h", "size", "doc_id").rowsBetween(W.unboundedPreceding, 0)
     placed = sizes.join(fine, ["k", "fine"]).withColumn("o", F.col("before") + F.sum("words").over(within) - F.col("words"))
     placed = placed.drop("before", "fine", "words")
