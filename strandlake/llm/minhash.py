@@ -108,21 +108,11 @@ def _sets(width: int):
     return run
 
 
-def _sets_and_bands(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = [(f, x) for f, data in zip(batch.column(0).to_pylist(), tx.binaries(batch.column(1)), strict=True) if len(x := shingle_set(data, width)) and fingerprint(x) == f]
-            columns = [pa.array([f for f, _ in own], pa.int64()), pa.array([band_keys(minima(x)).tobytes() for _, x in own], pa.binary()), pa.array([x.tobytes() for _, x in own], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["f", "bands", "items"])
-
-    return run
-
-
 def _tile(percent: int):
     def run(table: pa.Table) -> pa.Table:
         key, left = table.column("key")[0].as_py(), table.column("left").to_numpy()
         f, c, out = (table.column(n).to_numpy() for n in ("f", "c", "out"))
-        bands = np.stack([np.frombuffer(x, np.int64) for x in table.column("bands").to_pylist()])
+        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(f), -1)
         items = [np.frombuffer(x, np.uint64) for x in table.column("items").to_pylist()]
         sizes, here = np.array([len(x) for x in items]), np.flatnonzero(~left)
         root = {int(x): int(x) for x in np.unique(c)}
@@ -155,8 +145,8 @@ def _tile(percent: int):
     return run
 
 
-def _tiles(mixed: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """Links ``(a, b)`` between components of a bucket, from ``mixed(key, f, c, out)`` and ``sets(f, bands, items)``."""
+def _tiles(mixed: DataFrame, sets: DataFrame, bands: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Links ``(a, b)`` between components of a bucket, from ``mixed(key, f, c, out)``, ``sets(f, items)`` and ``bands(f, bands)``."""
     sized = mixed.join(sets.select("f", F.octet_length("items").alias("b")), "f")
     blocks = lambda n, b, most: (F.floor(F.greatest(n / most, b / TILE_BYTES)) + 1).cast("long")
     some = F.coalesce(F.sum(F.when(F.col("out"), F.col("b"))), F.lit(0))
@@ -166,7 +156,8 @@ def _tiles(mixed: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) ->
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     left = rows.where("out").select("key", "f", "c", "out", F.lit(True).alias("left"), at("outs").alias("i"), every("alls").alias("j"))
     right = rows.select("key", "f", "c", "out", F.lit(False).alias("left"), at("alls").alias("j"), every("outs").alias("i"))
-    both = left.unionByName(right).join(sets, "f").select("key", "i", "j", "f", "c", "out", "left", "bands", "items")
+    own = scratch.save(sets.join(mixed.select("f").distinct(), "f", "left_semi").join(bands, "f"), "own")
+    both = left.unionByName(right).join(own, "f").select("key", "i", "j", "f", "c", "out", "left", "bands", "items")
     return both.groupBy("key", "i", "j").applyInArrow(_tile(percent), "a long, b long")
 
 
@@ -229,26 +220,21 @@ def _texts(nodes: DataFrame, wanted: DataFrame, docs: DataFrame, scratch: Scratc
     return spread(rows, need, "row", "copies").select("f", "text")
 
 
-def _once(sets: DataFrame) -> DataFrame:
-    """One row for each node, where a row of the table is repeated."""
-    return sets if sets.groupBy("f").count().where("count > 1").isEmpty() else sets.dropDuplicates(["f"])
+def _repeated(sets: DataFrame) -> bool:
+    """Whether a node's row is repeated in the table."""
+    return not sets.groupBy("f").count().where("count > 1").isEmpty()
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
-    """Of ``pairs(a, b)``, those whose full sets are near enough. Sets are made anew from texts, for the nodes in pairs only."""
-    wanted = pairs.select(F.col("a").alias("f")).union(pairs.select(F.col("b").alias("f")))
-    sets = scratch.save(_texts(nodes, wanted, docs, scratch).mapInArrow(_sets(width), "f long, items binary"), "sets")
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Of ``pairs(a, b)``, those whose full sets are near enough, from ``sets(f, items)``."""
     counts = pairs.groupBy("a").agg((F.floor(F.count("*") / RUN) + 1).cast("int").alias("runs"), F.count("*").alias("pairs"))
     counts = scratch.save(counts, "runs")
     salts = counts.select("a", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).alias("salt"))
     dealt = spread(pairs, counts, "a", "pairs").select("a", "b", F.pmod(F.xxhash64("b"), F.col("runs")).cast("int").alias("salt"))
     rows = salts.select("a", F.col("a").alias("b"), "salt").unionByName(dealt)
-    one = _once(sets)
-    rows = rows.join(one, rows.b == one.f).select("a", "b", "items", "salt", (F.col("a") != F.col("b")).alias("member"))
+    rows = rows.join(sets, rows.b == sets.f).select("a", "b", "items", "salt", (F.col("a") != F.col("b")).alias("member"))
     rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "member").select("a", "b", "items")
-    found = scratch.save(rows.mapInArrow(_compare(percent), "a long, b long"), "links")
-    scratch.drop(sets)
-    return found
+    return scratch.save(rows.mapInArrow(_compare(percent), "a long, b long"), "links")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -279,7 +265,8 @@ def classes(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     # "first" takes all of them from the same row
     own = [F.first(c).alias(c) for c in ["row", "n", *(f"k{i}" for i in range(BANDS)), *(f"s{i}" for i in range(LONGS))]]
     nodes = scratch.save(full.groupBy("f").agg(F.min("doc_id").alias("min_id"), F.count("*").alias("copies"), *own), "nodes")
-    bands = nodes.select("f", F.explode(F.array(*(f"k{i}" for i in range(BANDS)))).alias("key"))
+    keys = nodes.select("f", F.array(*(f"k{i}" for i in range(BANDS))).alias("bands"))
+    bands = keys.select("f", F.explode("bands").alias("key"))
     hubs = bands.groupBy("key").agg(F.min("f").alias("hub"), F.max("f").alias("top"), F.count("*").alias("rows")).where("hub <> top")
     hubs = scratch.save(hubs.drop("top"), "hubs")
     members = scratch.save(spread(bands, hubs, "key", "rows").where("f <> hub"), "members")
@@ -291,13 +278,15 @@ def classes(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     near = spread(stars.join(nodes.select("f", *signed), "f"), heads, "hub", "rows")
     near = near.where(_sizes_near("h", "", percent) & (estimate("h", "") >= percent / 100 - MARGIN))
     near = scratch.save(near.select(F.col("hub").alias("a"), F.col("f").alias("b")), "pairs")
-    links = _verified(near, nodes, docs, shingle, percent, scratch)
+    # the sets of all nodes that share a band, made anew from their texts, which are shuffled this once
+    wanted = members.select(F.col("hub").alias("f")).union(members.select("f"))
+    made = scratch.save(_texts(nodes, wanted, docs, scratch).mapInArrow(_sets(shingle), "f long, items binary"), "sets")
+    sets = scratch.save(made.dropDuplicates(["f"]), "sets") if _repeated(made) else made
+    links = _verified(near, sets, percent, scratch)
     labels = components(links, scratch)
 
     mixed = scratch.save(_mixed(members, labels, scratch), "mixed")
-    sets = _texts(nodes, mixed.select("f"), docs, scratch).mapInArrow(_sets_and_bands(shingle), "f long, bands binary, items binary")
-    sets = scratch.save(_once(scratch.save(sets, "sets")), "sets")
-    more = scratch.save(_tiles(mixed, sets, percent, scratch), "more")
+    more = scratch.save(_tiles(mixed, sets, keys, percent, scratch), "more")
     scratch.drop(mixed, sets)
     if not more.isEmpty():
         labels = components(links.union(more), scratch)

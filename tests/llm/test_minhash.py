@@ -82,7 +82,7 @@ def test_tiles_compare_what_hubs_leave(spark):
     import pyarrow as pa
 
     f, key = [1, 2, 3, 4], 5
-    bands = [np.array([key] + [100 + i] * 31, np.int64).tobytes() for i in range(4)]
+    bands = [[key] + [100 + i] * 31 for i in range(4)]
     rows = {"key": [key] * 8, "f": f * 2, "c": f * 2, "out": [False, True, True, True] * 2, "left": [True] * 4 + [False] * 4, "bands": bands * 2, "items": [x.tobytes() for x in items] * 2}
     rows["left"][0] = False
     got = minhash._tile(80)(pa.table(rows)).to_pydict()
