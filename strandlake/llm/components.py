@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.skew import spread
 from strandlake.scratch import Scratch
 
 
@@ -13,21 +12,19 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """``edges(a, b)`` of longs -> ``(v, label)``: for each vertex that has an edge, the smallest vertex it can reach.
 
     Each round takes the neighbours' smallest label and then the label's own label, so that rounds grow with the
-    logarithm of a component's diameter in the usual case. Labels live in scratch tables; the driver sees a few counts
-    a round. A vertex with most of the edges, or a label of most vertices, is joined by broadcast. No edges: no rows.
+    logarithm of a component's diameter in the usual case. Labels live in scratch tables; the driver sees one count
+    a round. A label that most vertices have is one row on its side of a join of longs, whose other side adaptive execution splits. No edges: no rows.
     """
     both = scratch.save(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct(), "edges")
-    labels = scratch.save(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.col("v")).alias("label"), F.count("*").alias("degree")), "labels")
+    labels = scratch.save(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.col("v")).alias("label")), "labels")
     while True:
-        far = labels.select(F.col("v").alias("b"), "label", "degree")
-        near = spread(both, far, "b", "degree").groupBy(F.col("a").alias("v")).agg(F.min("label").alias("near"))
-        step = scratch.save(labels.join(near, "v").select("v", "degree", F.col("label").alias("was"), F.least("label", "near").alias("label")), "step")
-        held = step.groupBy("label").agg(F.count("*").alias("held"))
-        up = scratch.save(held.join(step.select(F.col("v").alias("label"), F.col("label").alias("up")), "label"), "up")
-        jumped = spread(step, up, "label", "held").select("v", "degree", "was", F.least("label", "up").alias("label"))
-        jumped = scratch.save(jumped, "labels")
+        near = both.join(labels, both.b == labels.v).groupBy("a").agg(F.min("label").alias("near"))
+        step = labels.join(near, labels.v == near.a).select("v", F.col("label").alias("was"), F.least("label", "near").alias("label"))
+        step = scratch.save(step, "step")
+        up = step.select(F.col("v").alias("u"), F.col("label").alias("up"))
+        jumped = scratch.save(step.join(up, step.label == up.u).select("v", "was", F.least("label", "up").alias("label")), "labels")
         changed = not jumped.where("label <> was").isEmpty()
-        scratch.drop(step, labels, up)
+        scratch.drop(step, labels)
         labels = jumped
         if not changed:
             scratch.drop(both)
