@@ -81,9 +81,15 @@ def lowered(seq: Column, runs: Column) -> Column:
 
 
 def wrapped(seq: Column, width: Column) -> Column:
-    """Lines of ``width`` characters, each with a line end; nothing for an empty sequence. For sequences of a chunk or so."""
-    lines = F.transform(F.sequence(F.lit(0), F.floor((F.length(seq) - 1) / width).cast("int")), lambda i: F.substring(seq, (i * width + 1).cast("int"), width.cast("int")))
-    return F.when(F.length(seq) == 0, F.lit("")).otherwise(F.concat(F.array_join(lines, "\n"), F.lit("\n")))
+    """Lines of ``width`` characters, each with a line end; nothing for an empty sequence. One pass over the sequence."""
+    full = F.regexp_replace(seq, F.concat(F.lit("(?s).{"), width.cast("string"), F.lit("}")), F.lit("$0\n"))
+    end = F.when(F.length(seq) % width == 0, F.lit("")).otherwise(F.lit("\n"))
+    return F.when(F.length(seq) == 0, F.lit("")).otherwise(F.concat(full, end))
+
+
+def drawn(key: Column, seed: int, k: int = 0) -> Column:
+    """The ``k``-th draw of a key: a number under 2^60, the first 15 digits of an md5 of key, seed and k, the same on any cluster."""
+    return F.conv(F.substring(F.md5(F.concat(key.cast("string"), F.lit(f" {seed} {k}"))), 1, 15), 16, 10).cast("long")
 
 
 def entropy(seq: Column) -> Column:

@@ -183,15 +183,14 @@ class Cohort:
     def sample_coordinates(self, n: int, w: int, seed: int = 0, rc_percent: int = 0) -> DataFrame:
         """``(id, asm_id, contig_ix, start0, start, length, rc)``: ``n`` windows, uniform over all starts in all contigs.
 
-        The draw is integer arithmetic on (id, seed), so it is the same on any cluster: u = (id * 7919 + seed * 104729 + 1) *
-        15485863 mod the number of starts; the strand likewise.
+        A draw is a hash of (id, seed), so it is the same on any cluster: ``bases.drawn`` mod the number of starts, for any number of
+        draws and starts up to some 2^50; the strand likewise.
         """
         starts = self.starts(w)
         total = starts.agg(F.coalesce(F.sum("valid"), F.lit(0))).first()[0]
         if not total:
             raise ValueError(f"no contig has {w} bases")
-        mixed = (F.col("id") * 7919 + seed * 104729 + 1) % 1_000_003 * 15_485_863 + F.col("id")
-        ids = self.spark.range(n).withColumn("pos", mixed % total).withColumn("rc", (F.col("id") * 31 + seed * 17) % 100 < rc_percent)
+        ids = self.spark.range(n).withColumn("pos", B.drawn(F.col("id"), seed) % total).withColumn("rc", B.drawn(F.col("id"), seed, 1) % 100 < rc_percent)
         drawn = joins.point_join(ids, starts, [], max(1, total // 4096))
         start0 = F.col("pos") - F.col("lo")
         return drawn.select("id", "asm_id", "contig_ix", start0.alias("start0"), (F.col("boff") + start0).alias("start"), F.lit(w).cast("long").alias("length"), "rc")
@@ -202,9 +201,9 @@ class Cohort:
     def sample_variable(self, n: int, seed: int = 0) -> DataFrame:
         """Requests for ``fetch``: contigs weighted by length, lengths uniform over octaves up to 2^20, starts uniform.
 
-        ``(id, assembly, contig, start0, length, rc)``, by integer arithmetic on (id, seed) like ``sample_coordinates``.
+        ``(id, assembly, contig, start0, length, rc)``, by hashes of (id, seed) like ``sample_coordinates``.
         """
-        mixed = lambda k: (F.col("id") * 7919 + (seed * 31 + k) * 104729 + 1) % 1_000_003 * 15_485_863 + F.col("id")
+        mixed = lambda k: B.drawn(F.col("id"), seed, k)
         starts = self.starts(1)
         total = starts.agg(F.coalesce(F.sum("valid"), F.lit(0))).first()[0]
         if not total:

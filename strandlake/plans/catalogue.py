@@ -150,8 +150,9 @@ def windows_stream(spark, sf_dir):
     return c.windows(r, case=False)
 
 
+_DRAWN = "CAST('0x' || substr(md5(id || ' {0} {1}'), 1, 15) AS BIGINT)"
 _SAMPLE = f"""WITH {_TEXT}, v AS (SELECT *, len - 255 AS valid, coalesce(sum(len - 255) OVER (ORDER BY asm_id, contig_ix ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo FROM contigs WHERE len >= 256),
-u AS (SELECT id, ((id * 7919 + 7 * 104729 + 1) % 1000003 * 15485863 + id) % (SELECT sum(valid) FROM v) AS pos, (id * 31 + 7 * 17) % 100 < 50 AS rc FROM range(2000) t(id)),
+u AS (SELECT id, {_DRAWN.format(7, 0)} % (SELECT sum(valid) FROM v) AS pos, {_DRAWN.format(7, 1)} % 100 < 50 AS rc FROM range(2000) t(id)),
 s AS (SELECT id, asm_id, contig_ix, CAST(pos - lo AS BIGINT) AS start0, rc, substr(seq, CAST(pos - lo + 1 AS INT), 256) AS w FROM u JOIN v ON pos >= lo AND pos < lo + valid)"""
 
 
@@ -166,13 +167,13 @@ def sample_windows(spark, sf_dir):
     return rows.select("id", "asm_id", "contig_ix", "start0", "rc", F.col("seq").alias("tokens"))
 
 
-@query(f"{_SAMPLE.replace('(id * 31', '(id * 31')}, b AS (SELECT (c.boff + s.start0 + 255) // 1024 - (c.boff + s.start0) // 1024 + 1 AS blocks FROM s JOIN contigs c USING (asm_id, contig_ix)) SELECT CAST(blocks AS BIGINT) AS blocks, count(*) AS windows FROM b GROUP BY ALL")
+@query(f"{_SAMPLE}, b AS (SELECT (c.boff + s.start0 + 255) // 1024 - (c.boff + s.start0) // 1024 + 1 AS blocks FROM s JOIN contigs c USING (asm_id, contig_ix)) SELECT CAST(blocks AS BIGINT) AS blocks, count(*) AS windows FROM b GROUP BY ALL")
 def blocks_touched(spark, sf_dir):
     rows = D.world(spark, sf_dir).text.sample_coordinates(2000, 256, seed=7, rc_percent=50)
     return rows.groupBy(B.blocks_touched(F.col("start"), F.col("length"), D.Q).alias("blocks")).agg(F.count("*").alias("windows"))
 
 
-_MIX = "((id * 7919 + (5 * 31 + {0}) * 104729 + 1) % 1000003 * 15485863 + id)"
+_MIX = _DRAWN.replace("{0} {1}", "5 {0}")
 
 
 @query(f"""WITH {_TEXT}, v AS (SELECT *, coalesce(sum(len) OVER (ORDER BY asm_id, contig_ix ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo FROM contigs WHERE len > 0),
@@ -310,7 +311,7 @@ def unique_contexts(spark, sf_dir):
     return edits.contexts(w.text, kmers.search(w.text, w.patterns), kmers.K)
 
 
-@query(f"WITH {_REF}, {_PATTERNS}, {_kmers('ref')}, k AS (SELECT kmer, count(*) AS n FROM kmers GROUP BY kmer) SELECT p.seq, CAST(coalesce(a.n, 0) + coalesce(b.n, 0) AS BIGINT) AS occurrences FROM patterns p LEFT JOIN k a ON a.kmer = p.seq LEFT JOIN k b ON b.kmer = {_RC.format('p.seq')}")
+@query(f"WITH {_REF}, {_PATTERNS}, {_kmers('ref')}, k AS (SELECT kmer, count(*) AS n FROM kmers WHERE kmer IN (SELECT seq FROM patterns UNION ALL SELECT {_RC.format('seq')} FROM patterns) GROUP BY kmer) SELECT p.seq, CAST(coalesce(a.n, 0) + coalesce(b.n, 0) AS BIGINT) AS occurrences FROM patterns p LEFT JOIN k a ON a.kmer = p.seq LEFT JOIN k b ON b.kmer = {_RC.format('p.seq')}")
 def kmerscan(spark, sf_dir):
     w = D.world(spark, sf_dir)
     return kmers.kmer_counts(w.reference, w.patterns)

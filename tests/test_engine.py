@@ -1,5 +1,6 @@
 """The sequence engine on a small cohort, against plain Python and its own other ways."""
 
+import hashlib
 import random
 import re
 
@@ -148,6 +149,22 @@ def test_samples_are_spread_over_all_starts(cohort):
         cohort.sample_coordinates(1, 10**6)
 
 
+def test_lines_of_a_whole_contig_take_one_pass(spark):
+    s = dna(1000, 5) * 20_000
+    cases = [("", 60), ("A", 60), (s[:60], 60), (s[:61], 60), (s[:120], 60), (s[:10], 10**6), (s, 61), (s, len(s))]
+    rows = spark.createDataFrame([(i, x, w) for i, (x, w) in enumerate(cases)], "i int, x string, w int")
+    got = {r.i: r.h for r in rows.select("i", F.sha2(B.wrapped(F.col("x"), F.col("w")), 256).alias("h")).collect()}
+    for i, (x, w) in enumerate(cases):
+        want = "".join(x[k : k + w] + "\n" for k in range(0, len(x), w))
+        assert got[i] == hashlib.sha256(want.encode()).hexdigest()
+
+
+def test_draws_are_not_on_a_lattice(spark):
+    n, most = 200_000, 10**12
+    got = spark.range(n).select((B.drawn(F.col("id"), 3) % most).alias("x")).agg(F.countDistinct("x"), F.countDistinct(F.floor(F.col("x") / (most // 1000)))).first()
+    assert got[0] == n and got[1] == 1000
+
+
 def test_fasta_round_trip_through_files(spark, cohort, tmp_path):
     for a, c in ASM.items():
         s, at, records = stream(a), 0, []
