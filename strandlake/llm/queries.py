@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import html, knn, langid, minhash, mixing, ngram_lm, permutation, sharding, simhash, stages, warc
+from strandlake.llm import digest, html, kmeans, knn, langid, minhash, mixing, ngram_lm, periodic, permutation, sharding, simhash, stages, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,7 +59,39 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", "n_words", F.round("log2_score", 3).alias("log2_score"))
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op3_minhash_near_dedup": op3_minhash_near_dedup, "op4_sharding": op4_sharding, "op5_decontamination": op5_decontamination, "op8_quality": op8_quality, "op2_language_id": op2_language_id, "op6_permutation_index": op6_permutation_index, "op7_lm_scoring": op7_lm_scoring, "op9_warc": op9_warc, "op10_html_extraction": op10_html_extraction}
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmeans.clusters(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest.fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def with_periods(docs: DataFrame) -> DataFrame:
+    """``docs(doc_id, text)`` with a planted repetition where crc32 of the id ends in 0: from word a on, the p words at a over and over."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.filter(F.split(F.translate("text", "\t\n\x0b\x0c\r", " " * 5), " "), lambda w: w != "")
+    rows = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, words).alias("w")).withColumn("n", F.size("w"))
+    a = (F.col("g") % F.col("n")).cast("int")
+    p = (1 + F.floor((F.col("n") - a) / (3 + F.col("g") % 8))).cast("int")
+    rows = rows.withColumn("a", F.when(F.col("n") > 0, a)).withColumn("p", F.when(F.col("n") > 0, p))
+    rest = F.col("n") - F.col("a")
+    again = F.slice(F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), F.ceil(rest / F.col("p")).cast("int"))), F.lit(1), rest)
+    return rows.select("doc_id", F.when(F.col("p").isNotNull(), F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a")), again), " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.runs(with_periods(_table(spark, sf_dir, "documents")), least=12)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    rows = found.select("doc_id", "runs", "collapsed", best.alias("best"))
+    return rows.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.period")).alias("period"),
+        F.floor(1000 * F.col("best.length") / -F.col("best.period")).alias("exponent_milli"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+QUERIES = {"op1_mixing": op1_mixing, "op3_minhash_near_dedup": op3_minhash_near_dedup, "op4_sharding": op4_sharding, "op5_decontamination": op5_decontamination, "op8_quality": op8_quality, "op2_language_id": op2_language_id, "op6_permutation_index": op6_permutation_index, "op7_lm_scoring": op7_lm_scoring, "op9_warc": op9_warc, "op10_html_extraction": op10_html_extraction, "op11_centroid_clustering": op11_centroid_clustering, "op12_quartile_digest": op12_quartile_digest, "op13_periodic_runs": op13_periodic_runs}
 ORACLE: dict[str, str] = {}
 
 WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
@@ -161,3 +193,83 @@ SELECT page_id, payload_bytes,
   CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
 FROM d
 """
+
+
+def _rounds(k: int, rounds: int) -> str:
+    """The assignments a0 ... and the centroids c1 ... of each round, from the vectors v and the centroids c0."""
+    square = "list_sum(list_transform(range(1, 65), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i])))"
+    out = []
+    for t in range(rounds + 1):
+        out.append(f"a{t} AS MATERIALIZED (SELECT r, min(({square}, c.k)) AS m FROM v, c{t} c GROUP BY r)")
+        if t < rounds:
+            out.append(f"""c{t + 1} AS MATERIALIZED (
+  SELECT c.k, coalesce(any_value(n.x), any_value(c.x)) AS x FROM c{t} c LEFT JOIN (
+    SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY i) AS x
+    FROM (SELECT m[2] AS k, i, CAST(sum(e) AS HUGEINT) AS s, count(*) AS n FROM (SELECT a{t}.m, unnest(v.x) AS e, unnest(range(64)) AS i FROM v JOIN a{t} USING (r)) GROUP BY ALL) GROUP BY k) n USING (k) GROUP BY c.k)""")
+    return ",\n".join(out)
+
+
+ORACLE["op11_centroid_clustering"] = f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS HUGEINT)) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h NULLS LAST, x) - 1 AS k, x FROM (SELECT sha256('3:' || vec_id) AS h, x FROM v ORDER BY h NULLS LAST, x LIMIT 8)),
+{_rounds(8, 10)},
+f AS (SELECT vec_id, m[2] AS k, m[1] AS d FROM v JOIN a10 USING (r))
+SELECT vec_id, CAST(f.k AS INT) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY f.k) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM f JOIN c10 c USING (k)
+"""
+
+# crc32 by its rule: eight steps of the polynomial make the table, a fold over the digits the value
+_CRC = "".join(f"t{i + 1} AS (SELECT b, xor(c >> 1, 3988292384 * (c & 1)) AS c FROM t{i}),\n" for i in range(8))
+
+ORACLE["op13_periodic_runs"] = rf"""
+WITH t0 AS (SELECT b, b AS c FROM range(256) r(b)),
+{_CRC}crc AS (SELECT list(c ORDER BY b) AS c FROM t8),
+ids AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(text, '[^ 	-
+]+') AS w FROM documents),
+hashed AS (
+  SELECT r, doc_id, coalesce(w, []) AS w, CAST(len(coalesce(w, [])) AS BIGINT) AS n,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))), lambda h, d: xor(h >> 8, c[(xor(h, d) & 255) + 1])), 4294967295::BIGINT) AS h
+  FROM ids, crc),
+planned AS (SELECT *, (h // 10) % n AS a, 1 + (n - (h // 10) % n) // (3 + (h // 10) % 8) AS p, h % 10 = 0 AND n > 0 AS planted FROM hashed),
+edited AS (SELECT r, doc_id, CASE WHEN coalesce(planted, false) THEN list_transform(range(n), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1]) ELSE w END AS w FROM planned),
+t AS (SELECT r, unnest(w) AS w, unnest(range(len(w))) AS i FROM edited),
+g AS (SELECT r, i, w || chr(1) || lead(w) OVER o || chr(1) || lead(w, 2) OVER o || chr(1) || lead(w, 3) OVER o || chr(1) || lead(w, 4) OVER o || chr(1) || lead(w, 5) OVER o AS g FROM t WINDOW o AS (PARTITION BY r ORDER BY i)),
+same AS (SELECT a.r, a.i, b.i - a.i AS q FROM g a JOIN g b ON a.r = b.r AND a.g = b.g AND a.i < b.i),
+isles AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS isle FROM same),
+stretches AS (SELECT r, q, min(i) AS s, max(i) - min(i) + 6 + q AS n FROM isles GROUP BY r, q, isle),
+runs AS (SELECT r, s, n, min(q) AS q FROM stretches WHERE n >= greatest(12, 2 * q) GROUP BY r, s, n),
+best AS (SELECT r, count(*) AS n_runs, max((n, -s, -q)) AS b, string_agg(s || ',' || n || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM runs GROUP BY r),
+gone AS (SELECT DISTINCT r, unnest(range(s + q, s + n)) AS i FROM runs),
+kept AS (SELECT r, string_agg(w, ' ' ORDER BY i) AS x FROM t ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, CAST(-b[2] AS BIGINT) AS start, CAST(b[1] AS BIGINT) AS length, CAST(-b[3] AS BIGINT) AS period, CAST(1000 * b[1] // -b[3] AS BIGINT) AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(x, '')) AS collapsed_sha256
+FROM edited LEFT JOIN best USING (r) LEFT JOIN kept USING (r)
+"""
+
+_BUCKETS = ", ".join(f"(xor(xor(a, {f'lead(b, {j}) OVER o'}), lead(c, {k}) OVER o) + {37 * n}) % 256" for n, (_, j, k) in enumerate(digest.TRIPLETS))
+_LIKE = """greatest(0, least(1, 1 - (
+  list_sum(list_transform(range(1, 257), lambda i: [0, 1, 2, 6][abs({0}.c[i] - {1}.c[i]) + 1])) / CAST(greatest(1, list_sum(list_transform(range(1, 257), lambda i: [0, 1, 2, 6][greatest({0}.c[i], {1}.c[i]) + 1]))) AS DOUBLE)
+  + (least(0.02::DOUBLE * greatest(abs({0}.l - {1}.l) - 1, 0), 0.1::DOUBLE) + least(0.02::DOUBLE * greatest(abs({0}.u - {1}.u) - 1, 0), 0.1::DOUBLE) + least(0.02::DOUBLE * greatest(abs({0}.v - {1}.v) - 1, 0), 0.1::DOUBLE))) / 0.7::DOUBLE))"""
+
+ORACLE["op12_quartile_digest"] = f"""
+WITH docs AS (SELECT row_number() OVER (ORDER BY doc_id NULLS LAST, md5(coalesce(text, ''))) AS r, count(*) OVER () AS m, doc_id, coalesce(text, '') AS t FROM documents),
+nexts AS (SELECT d.r, d.m, d.doc_id, d.t, CAST(length(d.t) AS BIGINT) AS n, e.t AS after FROM docs d JOIN docs e ON e.r = d.r % d.m + 1),
+texts AS (SELECT r, 0 AS e, t AS x FROM nexts UNION ALL SELECT r, 1, left(t, n - n // 4) || left(after, n // 4) FROM nexts),
+tables AS (SELECT printf('%02X', b) AS h, ('0x' || substr(md5('0:' || b), 1, 2))::INT AS a, ('0x' || substr(md5('1:' || b), 1, 2))::INT AS b, ('0x' || substr(md5('2:' || b), 1, 2))::INT AS c FROM range(256) s(b)),
+pairs AS (SELECT r, e, regexp_extract_all(hex(encode(x)), '..') AS p FROM texts),
+bytes AS (SELECT r, e, unnest(p) AS h, unnest(range(len(p))) AS i FROM pairs),
+triplets AS (SELECT r, e, [{_BUCKETS}] AS k FROM bytes JOIN tables USING (h) WINDOW o AS (PARTITION BY r, e ORDER BY i)),
+counted AS (SELECT r, e, k, count(*) AS n FROM (SELECT r, e, unnest(k) AS k FROM triplets) WHERE k IS NOT NULL GROUP BY ALL),
+rows_ AS (SELECT t.r, t.e, strlen(t.x) AS size, list(coalesce(n, 0) ORDER BY g.k) AS n FROM texts t CROSS JOIN (SELECT unnest(range(256)) AS k) g LEFT JOIN counted c ON c.r = t.r AND c.e = t.e AND c.k = g.k GROUP BY ALL),
+ranked AS (SELECT *, list_sort(n) AS s FROM rows_),
+digests AS (
+  SELECT r, e, list_transform(n, lambda y: CAST(y > s[64] AS INT) + CAST(y > s[128] AS INT) + CAST(y > s[192] AS INT)) AS c,
+    CAST(least(255, floor(ln(size + 1.0::DOUBLE) / ln(1.3::DOUBLE) + 1e-9::DOUBLE)) AS BIGINT) AS l, 15 * s[64] // greatest(s[192], 1) AS u, 15 * s[128] // greatest(s[192], 1) AS v FROM ranked),
+f AS (SELECT *, printf('%02x%x%x', l, u, v) || array_to_string(list_transform(range(64), lambda i: printf('%02x', 64 * c[4 * i + 1] + 16 * c[4 * i + 2] + 4 * c[4 * i + 3] + c[4 * i + 4])), '') AS fp FROM digests)
+SELECT d.doc_id, d.n AS n_chars, sha256(x.x) AS edited_sha256, a.fp AS fingerprint, b.fp AS edited_fingerprint, CAST({_LIKE.format('a', 'b')} AS DOUBLE) AS near_edited, CAST({_LIKE.format('a', 'z')} AS DOUBLE) AS near_next
+FROM nexts d JOIN texts x ON x.r = d.r AND x.e = 1 JOIN f a ON a.r = d.r AND a.e = 0 JOIN f b ON b.r = d.r AND b.e = 1 JOIN f z ON z.r = d.r % d.m + 1 AND z.e = 0
+"""
