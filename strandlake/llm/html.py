@@ -4,13 +4,18 @@ The page becomes a tree; scripts, styles, menus, headers, footers, sidebars, for
 Tags and roles cut for sure. A class or id cuts where one of its tokens is made of such names and of words that say nothing
 ("cookie-notice", "site-footer"), unless the node holds three quarters of the page's text outside links, an article's text
 counted four times; a token that only contains such a name ("related-work", "side-by-side") cuts only what is mostly links. A
-form stays if it holds most of that text, a container of comments only if there is no other text.
+form stays if it holds most of that text, a container of comments only if there is no other text. Inside an article a name is as likely
+what the article is about: there it cuts a section only if that is mostly links and fields or holds comments
+(nodes that are named so, or tags of an author, a date and a reply), and never a heading, a quotation or a paragraph.
 
 Every DOM node then gets its composite text density, characters per tag lowered by the share of links, and the sum of its
 children's densities. The node with the largest sum, or the block that it stands in, is the main text. The smallest density on
 its path to the body is the threshold: of every node that reaches it, the descendant with the largest sum is main text too. Beside
-the path, up to the article that holds it or the body, a line stays unless a third of it is links: a title or a last sentence in
-a node of its own is too short for any density, and nothing but the kinds above may be dropped.
+the path, up to the outermost main element or article that holds it or the body, a line stays unless a third of it is links: a title or a
+last sentence in a node of its own is too short for any density, and nothing but the kinds above may be dropped, and a short
+copyright line at the page's end.
+
+Places of open tags are kept by name, so reading takes time in proportion to the page whatever its markup.
 """
 
 from __future__ import annotations
@@ -52,6 +57,12 @@ COMMENTS = frozenset("comment comments disqus reply replies respond".split())
 #: An open one of the second ends where one of the first begins.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("table td th ul ol dl article section div body main blockquote html".split())
+#: Never cut by their own names inside an article, and cut there only for what they hold.
+CONTENT = frozenset("h1 h2 h3 h4 h5 h6 p blockquote pre figure figcaption table thead tbody tr td th li dl dt dd hgroup caption details summary".split())
+FIELDS = frozenset("input select textarea button".split())
+#: A longer line that begins with the sign is text.
+COPYRIGHT = 120
+_OPENS = re.compile("<[A-Za-z/!?]")
 
 
 def tokens(attrs: dict[str, str | None]) -> list[frozenset[str]]:
@@ -69,9 +80,11 @@ def cut_by_tag(tag: str, attrs: dict[str, str | None], inside: bool) -> bool:
 
 
 def cut_by_name(tag: str, words: list[frozenset[str]], inside: bool) -> int:
-    """2 if the names alone cut this node, 1 if they do so only where it is mostly links, else 0."""
-    if tag in ("article", "main"):
+    """3 if the names cut this node for what it holds, 2 if they alone do, 1 if they do so only where it is mostly links, else 0."""
+    if tag in ("article", "main") or (inside and tag in CONTENT):
         return 0
+    if inside and tag == "section":
+        return 3 * any(not MAYBE.isdisjoint(x) for x in words)
     heads = not inside and any("header" in x and x <= AROUND for x in words)
     if heads or any(made_of(x, NAMES) for x in words):
         return 2
@@ -84,10 +97,18 @@ class Tree(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.tags, self.parents, self.by_tag, self.by_name = ["body"], [-1], [False], [0]
-        self.comments, self.inside = [False], [False]
+        self.comments, self.within, self.inside, self.holds, self.signed = [False], [False], [False], [False], [False]
         self.open = [0]
+        self.at: dict[str, list[int]] = {"body": [0]}  # where in ``open`` each tag stands, and, under "", every block
         self.pieces: list[tuple[int, str] | None] = []
 
+    def read(self, html: str) -> None:
+        """The whole page; a tag that begins after the last end of one is none."""
+        end = html.rfind(">") + 1
+        broken = _OPENS.search(html, end)
+        self.feed(html[: broken.start()] if broken else html)
+        self.close()
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in ("html", "body"):
             return
@@ -100,22 +121,28 @@ class Tree(HTMLParser):
             self.pieces.append((self.open[-1], " "))
         up, own = self.open[-1], dict(attrs)
         words, inside = tokens(own), self.inside[up]
-        comments = tag != "main" and any(made_of(x, COMMENTS) for x in words)
-        if tag in ("article", "main") and not comments and not any(self.comments[i] for i in self.open):
-            for i in self.open:  # what holds the article isn't cut for its name, such as a page "with-sidebar"
-                self.by_name[i] = 0
+        content = inside and (tag in CONTENT or tag == "section")
+        comments = tag != "main" and not content and any(made_of(x, COMMENTS) for x in words)
         if tag not in VOID:
+            self.at.setdefault(tag, []).append(len(self.open))
+            if tag in BLOCK:
+                self.at.setdefault("", []).append(len(self.open))
             self.open.append(len(self.tags))
         self.tags.append(tag)
         self.parents.append(up)
         self.by_tag.append(cut_by_tag(tag, own, inside))
+        # what holds an article isn't cut for its name, such as a page "with-sidebar"
+        self.holds.append(tag in ("article", "main") and not comments and not self.within[up])
         self.comments.append(comments)
+        self.within.append(comments or self.within[up])
         self.by_name.append(cut_by_name(tag, words, inside))
         self.inside.append(inside or tag in ("article", "main"))
+        self.signed.append(tag == "time" or any(not x.isdisjoint(("author", "byline", "date", "avatar", "reply")) for x in words))
 
     def cuts(self) -> list[bool]:
         n = len(self.tags)
         own, linked, hard, link, comments = [0] * n, [0] * n, list(self.by_tag), [False] * n, list(self.comments)
+        holds, fields, remarks, signs = list(self.holds), [0] * n, [0] * n, [0] * n
         weight = [4 if tag in ("article", "main") else 1 for tag in self.tags]  # text of an article counts four times
         for i in range(1, n):
             up = self.parents[i]
@@ -129,27 +156,43 @@ class Tree(HTMLParser):
             else:
                 own[i] += size * weight[i] * (not rest or not comments[i])
         for i in range(n - 1, 0, -1):
-            own[self.parents[i]] += own[i]
-            linked[self.parents[i]] += linked[i]
+            up = self.parents[i]
+            own[up] += own[i]
+            linked[up] += linked[i]
+            holds[up] = holds[up] or holds[i]
+            fields[up] += fields[i] + (self.tags[i] in FIELDS)
+            remarks[up] += remarks[i] + self.comments[i]
+            signs[up] += signs[i] + self.signed[i]
         out = []
         for i, up in enumerate(self.parents):
-            named = (self.by_name[i] == 2 and own[i] <= 0.75 * own[0]) or (self.by_name[i] == 1 and linked[i] > own[i])
+            name = 0 if holds[i] and not self.holds[i] else self.by_name[i]
+            named = (name == 2 and own[i] <= 0.75 * own[0]) or (name == 1 and linked[i] > own[i])
+            named = named or (name == 3 and (linked[i] > own[i] or 40 * fields[i] > own[i] or remarks[i] > 0 or signs[i] > 1))
             form = self.tags[i] == "form" and own[i] <= 0.5 * own[0]
             out.append(self.by_tag[i] or named or form or (rest and self.comments[i]) or (up >= 0 and out[up]))
         return out
 
+    def _cut_from(self, k: int) -> None:
+        """Close what is open from the k-th on."""
+        for i in self.open[k:]:
+            tag = self.tags[i]
+            self.at[tag].pop()
+            if tag in BLOCK:
+                self.at[""].pop()
+        del self.open[k:]
+
+    def _last(self, tags: set[str] | frozenset[str]) -> int:
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
     def _close(self, tags: set[str] | frozenset[str], stop: set[str] | frozenset[str]) -> None:
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.tags[self.open[k]] in tags:
-                del self.open[k:]
-                return
-            if self.tags[self.open[k]] in stop:
-                return
+        k = self._last(tags)
+        if k and k > self._last(stop):
+            self._cut_from(k)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID and tag not in BLOCK and self.tags[self.open[-1]] == tag:
-            self.open.pop()
+            self._cut_from(len(self.open) - 1)
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCK:
@@ -157,13 +200,9 @@ class Tree(HTMLParser):
         if tag in ("html", "body") or tag in VOID:
             return
         # an inline end tag closes nothing beyond the block it stands in
-        for k in range(len(self.open) - 1, 0, -1):
-            name = self.tags[self.open[k]]
-            if name == tag:
-                del self.open[k:]
-                return
-            if name in BLOCK and tag not in BLOCK:
-                return
+        k = self._last({tag})
+        if k and (tag in BLOCK or k > self._last({""})):
+            self._cut_from(k)
 
     def handle_data(self, data: str) -> None:
         self.pieces.append((self.open[-1], data))
@@ -209,8 +248,7 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     tree = Tree()
-    tree.feed(html)
-    tree.close()
+    tree.read(html)
     tags, parents, cut = tree.tags, tree.parents, tree.cuts()
     n = len(tags)
     dense, total = densities(tree, cut)
@@ -229,9 +267,12 @@ def main_text(html: str | None) -> str:
     for i in range(n):
         if not cut[i] and dense[i] >= least:
             main[block[best[i]]] = True
-    around = block[best[0]]
-    while around and tags[around] not in ("article", "main"):
+    around, outer = block[best[0]], 0
+    while around:  # the outermost one
+        if tags[around] in ("article", "main"):
+            outer = around
         around = parents[around]
+    around = outer
     near, linked, control = [False] * n, [False] * n, [False] * n
     near[around] = True
     for i in range(1, n):
@@ -241,26 +282,26 @@ def main_text(html: str | None) -> str:
     lines, now = [], []
     for piece in [*tree.pieces, None]:
         if piece is None:
-            if now and (line := _line(now, main, linked, control)):
+            if now and (line := _line(now, main, linked, control))[0]:
                 lines.append(line)
             now = []
         elif not cut[piece[0]] and (main[piece[0]] or near[piece[0]]):
             now.append(piece)
-    return "\n".join(lines)
+    while lines and not lines[-1][1] and lines[-1][0].startswith("\u00a9") and len(lines[-1][0]) <= COPYRIGHT:
+        lines.pop()
+    return "\n".join(line for line, _ in lines)
 
 
-def _line(pieces: list[tuple[int, str]], main: list[bool], linked: list[bool], control: list[bool]) -> str:
-    """The text of one block, or nothing if it is links or a copyright line beside the main text; controls only inside other text."""
+def _line(pieces: list[tuple[int, str]], main: list[bool], linked: list[bool], control: list[bool]) -> tuple[str, bool]:
+    """The text of one block, or nothing if it is links beside the main text, and whether it is main text; controls only inside other text."""
     size = [sum(map(len, x.split())) for _, x in pieces]
     if sum(k for k, (i, _) in zip(size, pieces, strict=True) if control[i]) * 2 >= sum(size):
         size = [k for k, (i, _) in zip(size, pieces, strict=True) if not control[i]]
         pieces = [p for p in pieces if not control[p[0]]]
-    line = " ".join("".join(x for _, x in pieces).split())
-    if pieces and not all(main[i] for i, _ in pieces):
-        links = sum(k for k, (i, _) in zip(size, pieces, strict=True) if linked[i])
-        if 3 * links > sum(size) or line.startswith("\u00a9"):
-            return ""
-    return line
+    line, own = " ".join("".join(x for _, x in pieces).split()), all(main[i] for i, _ in pieces)
+    if pieces and not own and 3 * sum(k for k, (i, _) in zip(size, pieces, strict=True) if linked[i]) > sum(size):
+        return "", own
+    return line, own
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -268,7 +309,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     A null or empty html, or one without main text, gives an empty text with 0 characters. Rows are read one by one, so
     repeated rows and null ids or urls need nothing; of nodes with equal sums the first in the page is taken. Broken markup is
-    read as far as it goes, bytes that aren't UTF-8 as U+FFFD, and long pages are read whole. An empty table gives an empty
+    read as far as it goes, bytes that aren't UTF-8 as U+FFFD, and long pages are read whole, in time that grows with their length. An empty table gives an empty
     result. Other columns are not looked at.
     """
     tx.small_batches(pages.sparkSession)

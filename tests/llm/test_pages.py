@@ -75,6 +75,80 @@ def test_what_stands_beside_the_story_stays():
     assert html.main_text(f"<body><article>{body}{links}</article></body>").count("\n") == 1
 
 
+def test_names_inside_an_article_are_what_it_is_about():
+    for part in (
+        "<h2 id='comments'>Comments on method</h2>", "<h2 id='notices'>Notices</h2>", "<h3 id='navigation' class='share'>Navigation</h3>", "<section id='sharing'><h2>Sharing</h2><p>How it is shared.</p></section>",
+        "<section id='login'><p>How to log in.</p></section>", "<section class='gdpr'><p>What the law says.</p></section>", "<blockquote class='reply'>They said no.</blockquote>", "<p class='notice'>Mind the gap.</p>",
+    ):
+        for tag in ("article", "main"):
+            got = html.main_text(f"<body><nav>Menu</nav><{tag}><p>{STORY}</p>{part}<p>{STORY}</p></{tag}></body>").split("\n")
+            assert got[0] == got[-1] == STORY.strip() and len(got) == 2 + part.count("</h") + part.count("</p>") + part.count("</blockquote>"), part
+    for part in (
+        "<section id='login'><form><input name=u><button>Go</button></form>Log in</section>", "<section id='share'><a href=x>Send it on</a> <a href=y>and on</a></section>", "<section id='comments'><div class='comment'>Well said.</div></section>",
+        "<section id='replies'><div><span class='author'>Ann</span> <time>May</time><p>Well said.</p></div></section>",
+    ):
+        assert html.main_text(f"<body><article><p>{STORY}</p>{part}<p>{STORY}</p></article></body>").split("\n") == [STORY.strip()] * 2, part
+
+
+def test_copyright_lines_and_second_articles():
+    body = f"<p>{STORY}</p>"
+    assert html.main_text(f"<div><div>{body}{body}</div><div>&copy; is the sign that stands for it.</div><div>And so on.</div></div><div>&copy; me</div>").split("\n")[2:] == ["\u00a9 is the sign that stands for it.", "And so on."]
+    got = html.main_text(f"<body><main><article>{body}{body}</article><article><p>A short second one.</p></article></main><footer>f</footer></body>")
+    assert got.split("\n")[-1] == "A short second one."
+
+
+def test_hostile_markup_takes_time_in_proportion():
+    import time
+
+    pages = ["<span>" * 16_000 + "</b>" * 16_000 + "x", "<a " * 60_000, "<a " * 60_000 + ">x", "<i><p>" + "<span>" * 16_000 + "</i>" * 16_000 + "x", "<article>" * 16_000 + "x", "<ul><li>" * 12_000 + "x", "<!--" * 50_000 + "x"]
+    for page in pages:
+        t = time.time()
+        html.main_text(page)
+        assert time.time() - t < 4, page[:20]
+    assert html.main_text("<p>one</p><p>two <b>bold</b> <a href='x") == "one\ntwo bold"
+
+
+def test_made_pages_give_back_what_was_put_in():
+    """Pages built from known blocks and known junk: the text is the blocks, whatever stands around and between them."""
+    import random
+
+    junk = [
+        "<nav><ul><li><a href=/a>Home</a></li><li><a href=/b>News of the day</a></li></ul></nav>", "<div class='ad'>Buy this now, it is cheap</div>", "<aside><h3>More</h3><p>Other stories</p></aside>", "<script>var x = '<p>no</p>';</script>",
+        "<style>p { color: red }</style>", "<div class='cookie-notice'><p>We use cookies.</p><button>Fine</button></div>", "<form><input name=q><label>Search</label><button>Go</button></form>", "<!-- a note -->", "<div class='share'><a href=x>Send</a></div>",
+        "<div class='related-links'><a href=p>One more story</a> <a href=q>and another</a></div>", "<div id='sidebar'>Weather</div>", "<noscript>Turn it on</noscript>",
+    ]
+    outside = [*junk, "<header><h1>The Daily</h1></header>", "<footer>&copy; us</footer>", "<section id='comments'><article class='comment'><p>First! I liked it very much indeed.</p></article></section>"]
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("aeioulnrst") for _ in range(r.randrange(2, 9)))
+    dress = [lambda w: w, lambda w: f"<b>{w}</b>", lambda w: f"<em>{w}</em>", lambda w: f"<a href=/{w}>{w}</a>", lambda w: w + "&amp;", lambda w: "&eacute;" + w, lambda w: f"<span>{w}<!-- x --></span>"]
+    plain = [lambda w: w] * 3 + [lambda w: w + "&", lambda w: "\u00e9" + w, lambda w: w]
+    order = [0, 1, 2, 4, 5, 6]
+
+    def block(n):
+        shown, want = [], []
+        for _ in range(n):
+            w, k = word(), r.choice([0] * 8 + order)
+            shown.append(dress[k](w))
+            want.append(plain[order.index(k)](w) if k else w)
+        return r.choice([" ", "\n", "  \t"]).join(shown), " ".join(want)
+
+    for _ in range(150):
+        parts, want = [], []
+        for i in range(r.randrange(3, 9)):
+            shown, text = block(r.randrange(15, 60) if i % 3 else r.randrange(2, 7))
+            tag = "h2" if i % 3 == 0 else r.choice(["p", "p", "div", "blockquote"])
+            parts.append(f"<{tag}>{shown}</{tag}>")
+            want.append(text)
+            if r.random() < 0.3:
+                parts.append(r.choice(junk))
+        story = f"<article>{''.join(parts)}</article>"
+        for _ in range(r.randrange(3)):
+            story = f"<div class='{r.choice(['wrap', 'content', 'page with-sidebar', 'col'])}'>{story}</div>"
+        before, after = (r.choices(outside, k=r.randrange(4)) for _ in range(2))
+        page = f"<html><head><title>T</title></head><body>{''.join(before)}{story}{''.join(after)}</body></html>"
+        assert html.main_text(page) == "\n".join(want), page
+
+
 def test_controls_in_and_outside_of_text():
     got = html.main_text(f"<article><p>{STORY}</p><p>The <label>term</label> matters, and so does <button>this</button>.</p><button>Share</button><label>Search</label></article>")
     assert got.split("\n")[1:] == ["The term matters, and so does this."]
