@@ -30,7 +30,8 @@ from pyspark.sql import types as T
 from strandlake.llm import text as tx
 from strandlake.scratch import Scratch
 
-#: Pivots at least and at most; they are chosen among ``SAMPLE`` times as many vectors, those whose ids have the smallest hashes.
+#: Pivots at least and at most; they are chosen among ``SAMPLE`` times as many different usable vectors, those whose ids have the
+#: smallest hashes.
 LEAST, MOST, SAMPLE = 32, 4096, 4
 #: Pivots that a vector is represented by, and those that it is posted under.
 PREFIX, POSTED = 16, 4
@@ -214,7 +215,7 @@ def neighbours(vectors: DataFrame, every: int, k: int = 5) -> DataFrame:
     """``vectors(vec_id, embedding, ...)`` -> ``(query_id, rank, vec_id, score)``: for each row whose vec_id ``every`` divides,
     the ``k`` rows found with the largest cosine, ties to the smaller vec_id; all, if there are fewer.
 
-    Rows whose vector is null, empty, zero, of another length than most of the sample's, or has null or non-finite parts take
+    Rows whose vector is null, empty, zero, of another length than most usable ones (of equally many, the longer), or has null or non-finite parts take
     no part, nor do rows with a null vec_id. A row isn't its own neighbour, nor are rows that repeat its vec_id; other repeated
     rows are neighbours each, and a repeated query is asked once, with the first of its vectors. A query that found fewer than
     ``k`` asks all files and reranks all that they hold. An empty table gives an empty result. Other columns are not looked at.
@@ -225,12 +226,17 @@ def neighbours(vectors: DataFrame, every: int, k: int = 5) -> DataFrame:
     element = getattr(vectors.schema["embedding"].dataType, "elementType", None)
     kind = np.float32 if isinstance(element, T.FloatType) else np.float64
     rows = vectors.where("vec_id is not null").select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
-    most = min(MOST, max(LEAST, round(math.sqrt(rows.count()))))
-    sample = rows.where("embedding is not null").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE * most).collect()
-    sample = [v for r in sample if (v := _usable(r.embedding)) is not None]
-    sizes = [len(v) for v in sample]
-    size = max(set(sizes), key=lambda n: (sizes.count(n), n)) if sizes else 0
-    pivots = choose(np.stack([v for v in sample if len(v) == size]), most) if sample else np.zeros((1, 0))
+    fit = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < math.inf)
+    usable = rows.where(F.forall("embedding", fit) & F.exists("embedding", lambda x: x != 0)).withColumn("size", F.size("embedding"))
+    length = usable.groupBy("size").count().orderBy(F.desc("count"), F.desc("size")).first()
+    size, n = (length["size"], length["count"]) if length else (0, 0)
+    usable = usable.where(F.col("size") == size).select("vec_id", "embedding", F.xxhash64("embedding").alias("h"))
+    most = min(MOST, max(LEAST, round(math.sqrt(n))))
+    # one vector of each id and one id of each vector, as a repeated one would leave no room for others
+    some = usable.groupBy("vec_id").agg(F.min("h").alias("h")).groupBy("h").agg(F.min(F.struct(F.xxhash64("vec_id"), "vec_id")).alias("o"))
+    some = F.broadcast(some.orderBy("o").limit(SAMPLE * most))
+    sample = usable.drop("vec_id").join(some, "h").groupBy("o").agg(F.min("embedding").alias("v")).orderBy("o").collect()  # SAMPLE * MOST rows at most
+    pivots = choose(np.array([r.v for r in sample], np.float64), most) if sample else np.zeros((1, 0))
 
     index = rows.mapInArrow(_index(pivots, kind), "vec_id long, vector binary, perm binary, posted array<int>")
     # of equal vectors, those of the k + 1 smallest ids, k rows of each at most: no other can be among the k nearest of a query

@@ -81,3 +81,19 @@ def test_a_file_asked_by_few_finds_what_it_holds(spark):
     got = permutation.neighbours(table(spark, rows), 50).collect()
     assert all(sum(r.query_id == q for r in got) == 5 for q in {r.query_id for r in got})
     assert len({r.query_id for r in got}) == 8 + 6
+
+
+def test_unusable_and_repeated_rows_take_no_pivots(spark):
+    """60 vectors among 40,000 that take no part, and beside 3,000 rows of one id or of one vector: the same neighbours."""
+    rng = np.random.default_rng(5)
+    real = [(i, rng.normal(size=8).tolist()) for i in range(60)]
+    found = lambda rows: sorted(map(tuple, permutation.neighbours(table(spark, rows), 50).collect()))
+    alone = found(real)
+    assert len(alone) == 10
+    zero = [(100 + i, [0.0] * 8 if i % 2 else [0.0] * 7 + [float("nan")]) for i in range(40_000)]
+    assert found(real + zero) == alone
+    short = [(100 + i, [1.0] * 3) for i in range(59)]
+    assert found(real + short) == alone
+    far = (-np.array(real[0][1]) - np.array(real[50][1])).tolist()
+    got = found(real + [(7001, far)] * 3000)
+    assert [(r[0], r[1], r[2]) for r in got] == [(r[0], r[1], r[2]) for r in alone]
