@@ -18,11 +18,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandlake.llm import text as tx
-from strandlake.operators.joins import broadcast_if_small
 
 DIM = 2**14
-#: Labelled texts of a language that the model is fitted on, at most: those whose ids have the smallest hashes.
-SAMPLE = 300
+#: Labelled texts of a language that the model is fitted on, at most: those whose ids have the smallest hashes. And languages, the
+#: most frequent ones: a label column that is no such thing must not fill the driver.
+SAMPLE, LANGUAGES = 300, 400
 CLUSTERS, ROUNDS, SHARPNESS = 4, 12, 25.0
 NONE = "und"
 
@@ -111,25 +111,28 @@ class Model:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on the rows of ``docs(doc_id, text, lang)`` whose lang isn't null; at most ``sample`` of each language.
+    """Fit on the rows of ``docs(doc_id, text, lang)`` whose lang isn't null; at most ``sample`` different ones of each language.
 
-    The driver holds the sample's term counts.
+    Rows are ranked in their language, so an id or a row that is repeated however often takes no other's place. The driver holds the
+    sample's term counts.
     """
-    known = docs.where("lang is not null").select("doc_id", "lang")
-    counts = known.groupBy("lang").agg(F.count("*").alias("rows"))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(2**30)) / 2.0**30
-    share = F.least(F.lit(1.0), (3.0 * sample + 30.0) / F.col("rows"))
-    first = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(2)), "doc_id"))
-    ids = known.join(broadcast_if_small(counts), "lang").where(draw < share).withColumn("i", first).where(F.col("i") <= sample).select("doc_id").distinct()
-    texts = docs.where("lang is not null").select("doc_id", "text", "lang").join(F.broadcast(ids), "doc_id")  # sample * languages ids at most
+    known = docs.where("lang is not null").select("doc_id", "lang", "text", F.xxhash64("text").alias("h"))
+    counts = known.groupBy("lang").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "lang").limit(LANGUAGES)
+    first = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(2)), "doc_id", "h"))
+    rows = known.select("lang", "doc_id", "h").distinct().join(F.broadcast(counts.select("lang")), "lang")
+    some = rows.withColumn("i", first).where(F.col("i") <= sample)  # tasks keep `sample` rows of a language before they meet
+    some = F.broadcast(some.select("lang", F.col("doc_id").alias("id"), "h", "i"))  # sample * LANGUAGES rows at most
+    texts = known.join(some, ["lang", "h"]).where(F.col("doc_id").eqNullSafe(F.col("id")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = letters()
         for b in batches:
             rows = [terms(x or b"", table) for x in tx.binaries(b.column(0))]
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([x.tobytes() for x, _ in rows], pa.binary()), pa.array([x.tobytes() for _, x in rows], pa.binary())], ["lang", "at", "n"])
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array([x.tobytes() for x, _ in rows], pa.binary()), pa.array([x.tobytes() for _, x in rows], pa.binary())], ["lang", "i", "at", "n"])
 
-    rows = texts.select("text", "lang").mapInArrow(run, "lang string, at binary, n binary").orderBy("lang", "at", "n").limit(2 * sample * max(1, counts.count())).collect()
+    rows = texts.select("text", "lang", "i").mapInArrow(run, "lang string, i int, at binary, n binary")
+    # repeated rows come back as one: sample * LANGUAGES rows at most
+    rows = rows.groupBy("lang", "i").agg(F.min(F.struct("at", "n")).alias("x")).select("lang", "x.at", "x.n").orderBy("lang", "at", "n").collect()
     return Model([(r["lang"], np.frombuffer(r["at"], np.int32), np.frombuffer(r["n"], np.float32)) for r in rows])
 
 
