@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandlake.llm import text as tx
@@ -124,10 +125,15 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on ``labels(doc_id, label)`` of ``docs(doc_id, text)``; at most ``sample`` of them, by the hash of the id."""
+    """Fit on ``labels(doc_id, label)`` of ``docs(doc_id, text)``; at most ``sample`` of them, by the hash of the id.
+
+    Of an id's rows the text with the smallest hash counts, so an id that is repeated however often takes no other's place.
+    """
     label = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
     some = label.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # at most `sample` ids
+    one = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
+    texts = texts.withColumn("i", one).where("i = 1")  # tasks keep one row of an id before they meet
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -135,9 +141,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             columns = [b.column(0), b.column(2).cast(pa.int32()), pa.array([x.tobytes() for x, _ in rows], pa.binary()), pa.array([x.tobytes() for _, x in rows], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "label", "at", "n"])
 
-    # `sample` ids are kept, and repeated rows of an id are cut to the same bound
     rows = texts.select(F.col("doc_id").cast("long"), "text", "label").mapInArrow(run, "doc_id long, label int, at binary, n binary")
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "at", "n").limit(sample).collect()
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").collect()  # `sample` rows at most
     return Model([(np.frombuffer(r.at, np.int32), np.frombuffer(r.n, np.float32)) for r in rows], [r.label for r in rows])
 
 
@@ -145,7 +150,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     """``docs(doc_id, text, ...)`` -> ``(doc_id, score)``: how much of the neighbours' weight has label 1, for each row.
 
     ``labels(doc_id, label)`` are what it learns from; a doc_id with two labels counts as 1, null ones don't count. A null,
-    empty or blank text scores 0, and so does every text if there is no labelled one. Rows are scored one by one, so ties,
+    empty or blank text scores 0, and so does every text if there is no labelled one. Texts are read whole, however long. Rows are scored one by one, so ties,
     repeated rows and null ids need nothing. An empty table gives an empty result. Other columns are not looked at.
     """
     tx.small_batches(docs.sparkSession)

@@ -118,3 +118,36 @@ def test_many_languages(spark):
     rows = [(i, text("en", 10, i), f"x{i}", "s") for i in range(300)]
     out = langid.identify(documents(spark, rows[:20]), documents(spark, rows)).collect()
     assert all(r.lang_pred == f"x{r.doc_id}" for r in out)
+
+
+def test_a_repeated_row_takes_no_other_languages_place(spark):
+    train, unseen = labelled(300), [(1000 + i, text(list(SYLLABLES)[i % 3], 20, 5000 + i)) for i in range(60)]
+    said = lambda extra: sorted((r.doc_id, r.lang_pred) for r in langid.identify(documents(spark, unseen), documents(spark, train + extra), 100).collect())
+    alone = said([])
+    assert said([(5, "aa bb cc dd " * 5, "aa", "s")] * 4000) == alone
+    # all texts of a language under one id, and a row of another language that is half of it
+    one_id = [(5, text("en", 30, 9000 + i), "en2", "s") for i in range(50)] + [(train[0][0], train[0][1], "en", "s")] * 1000
+    got = langid.fit(documents(spark, train + one_id), 100)
+    assert got.langs == ["de", "en", "en2", "fr"]
+    assert sum(p == list(SYLLABLES)[(i - 1000) % 3] or p == "en2" for i, p in said(one_id)) >= 59
+
+
+def test_the_most_frequent_languages_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGES", 3)
+    dirty = [(2000 + i, f"word{i} only here", f"x{i}", "s") for i in range(40)]
+    assert langid.fit(documents(spark, labelled(90) + dirty)).langs == ["de", "en", "fr"]
+
+
+def test_a_repeated_id_takes_no_other_labels_place(spark):
+    train = [(i, junk("en", 40, i) if i % 4 == 0 else text("en", 40, i)) for i in range(400)]
+    labels = [(i, int(i % 4 != 0)) for i in range(400)]
+    unseen = [(5000 + i, junk("de", 30, i) if i % 2 else text("de", 30, i)) for i in range(40)]
+    hot = [(9000, text("en", 40, 7))] * 3000
+
+    def scores(docs, known):
+        out = knn.quality_scores(documents(spark, docs), spark.createDataFrame(known, "doc_id long, label int"), 200).collect()
+        return sorted((r.doc_id, r.score) for r in out if 5000 <= r.doc_id < 9000)
+
+    one = scores(train + unseen + hot[:1], labels + [(9000, 1)])
+    assert scores(train + unseen + hot, labels + [(9000, 1)]) == one
+    assert all((s < 0.5) == (i % 2 == 1) for i, s in one)
