@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandlake.functions import bases as B
-from strandlake.operators import joins
+from strandlake.operators import fold, joins
 from strandlake.scratch import Scratch
 
 #: Bases of the next chunk that a chunk repeats: searches of k-mers up to one more work chunk by chunk.
@@ -39,6 +39,11 @@ def contig_table(meta: DataFrame) -> DataFrame:
     return rows.select("asm_id", "assembly", "contig_ix", name.alias("name"), "header", "len", "boff", "line_width", "order")
 
 
+def _joined(at: str, part: str) -> Column:
+    """An aggregate: the parts of a group end to end, in order of their places."""
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at, part))), lambda s: s[part]), "")
+
+
 @dataclass
 class Cohort:
     spark: SparkSession
@@ -58,19 +63,45 @@ class Cohort:
         """
         if q not in SIZES:
             raise ValueError(f"block size {q} is none of {SIZES}")
-        spark, scratch = contigs.sparkSession, Scratch(contigs.sparkSession)
+        scratch = Scratch(contigs.sparkSession)
         raw = contigs.select("assembly", "order", "header", "line_width", F.col("seq").cast("binary").alias("seq"))
         meta = raw.select("assembly", "order", B.record_name(F.col("header")).alias("name"), "header", F.length("seq").cast("long").alias("len"), "line_width")
         table = scratch.save(contig_table(meta).coalesce(8), "contigs")
         whole = raw.select("assembly", "order", "seq").join(table.drop("header", "name", "line_width"), ["assembly", "order"])
+        chunks = whole.withColumn("chunk", joins.bins(F.lit(0).cast("long"), F.col("len"), q))
+        chunks = chunks.select("asm_id", "contig_ix", (F.col("chunk") * q).alias("cstart"), F.substring("seq", (F.col("chunk") * q + 1).cast("int"), F.lit(q + OVERLAP)).alias("seq"))
+        return cls._of(scratch, q, table, whole.withColumn("lo", F.col("boff")), chunks, case_runs)
+
+    @classmethod
+    def from_pieces(cls, records: DataFrame, pieces: DataFrame, q: int, case_runs: DataFrame | None = None) -> Cohort:
+        """From ``records(assembly, order, header, len, line_width)`` and ``pieces(assembly, order, start, seq)`` of their bases: what
+        ``build`` makes of whole contigs, with no row longer than a piece."""
+        if q not in SIZES:
+            raise ValueError(f"block size {q} is none of {SIZES}")
+        scratch = Scratch(pieces.sparkSession)
+        meta = records.select("assembly", "order", B.record_name(F.col("header")).alias("name"), "header", F.col("len").cast("long"), "line_width")
+        table = scratch.save(contig_table(meta).coalesce(8), "contigs")
+        ids = table.select("assembly", "order", "asm_id", "contig_ix", "boff")
+        own = pieces.select("assembly", "order", "start", F.col("seq").cast("binary").alias("seq")).join(joins.broadcast_if_small(ids), ["assembly", "order"])
+        own = own.withColumn("len", F.length("seq").cast("long")).withColumn("lo", F.col("boff") + F.col("start"))
+        # a chunk is put together from the pieces that reach into it or into the bases it repeats
+        first = F.greatest(F.floor((F.col("start") - (q + OVERLAP)) / q) + 1, F.lit(0))
+        last = F.floor((F.col("start") + F.col("len") - 1) / q)
+        cut = own.where("len > 0").withColumn("chunk", F.explode(F.sequence(first, last))).withColumn("cstart", F.col("chunk") * q)
+        x0, x1 = F.greatest("start", "cstart"), F.least(F.col("start") + F.col("len"), F.col("cstart") + (q + OVERLAP))
+        cut = cut.select("asm_id", "contig_ix", "cstart", x0.alias("at"), F.substring("seq", (x0 - F.col("start") + 1).cast("int"), (x1 - x0).cast("int")).cast("string").alias("part"))
+        chunks = cut.groupBy("asm_id", "contig_ix", "cstart").agg(_joined("at", "part").cast("binary").alias("seq"))
+        return cls._of(scratch, q, table, own, chunks, case_runs)
 
-        piece = joins.bins(F.col("boff"), F.col("boff") + F.col("len"), q)
-        parts = whole.withColumn("block_ix", piece)
-        since = F.greatest(F.col("block_ix") * q, F.col("boff"))
-        until = F.least((F.col("block_ix") + 1) * q, F.col("boff") + F.col("len"))
-        parts = parts.select("asm_id", "block_ix", "contig_ix", F.substring("seq", (since - F.col("boff") + 1).cast("int"), (until - since).cast("int")).cast("string").alias("part"))
-        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("contig_ix", "part"))), lambda s: s["part"]), "")
-        blocks = parts.groupBy("asm_id", "block_ix").agg(joined.alias("seq"))
+    @classmethod
+    def _of(cls, scratch: Scratch, q: int, table: DataFrame, parts: DataFrame, chunks: DataFrame, case_runs: DataFrame | None) -> Cohort:
+        """``parts(asm_id, lo, len, seq)``: bases from place ``lo`` of the stream on."""
+        spark = scratch.spark
+        parts = parts.withColumn("block_ix", joins.bins(F.col("lo"), F.col("lo") + F.col("len"), q))
+        since = F.greatest(F.col("block_ix") * q, F.col("lo"))
+        until = F.least((F.col("block_ix") + 1) * q, F.col("lo") + F.col("len"))
+        parts = parts.select("asm_id", "block_ix", since.alias("at"), F.substring("seq", (since - F.col("lo") + 1).cast("int"), (until - since).cast("int")).cast("string").alias("part"))
+        blocks = parts.groupBy("asm_id", "block_ix").agg(_joined("at", "part").alias("seq"))
         blocks = blocks.select("asm_id", "block_ix", (F.col("block_ix") * q).alias("bstart"), F.length("seq").alias("blen"), F.col("seq").cast("binary").alias("seq"), F.sha2("seq", 256).alias("sha256"))
 
         ids = table.select("assembly", "asm_id").distinct()
@@ -84,9 +115,6 @@ class Cohort:
         none = F.array().cast("array<struct<from:int,n:int>>")
         blocks = blocks.join(cut, ["asm_id", "block_ix"], "left").withColumn("lower", F.coalesce("lower", none))
         blocks = blocks.repartitionByRange("asm_id", "block_ix").sortWithinPartitions("asm_id", "block_ix")
-
-        chunk = joins.bins(F.lit(0).cast("long"), F.col("len"), q)
-        chunks = whole.withColumn("chunk", chunk).select("asm_id", "contig_ix", (F.col("chunk") * q).alias("cstart"), F.substring("seq", (F.col("chunk") * q + 1).cast("int"), F.lit(q + OVERLAP)).alias("seq"))
         chunks = chunks.repartitionByRange("asm_id", "contig_ix", "cstart").sortWithinPartitions("asm_id", "contig_ix", "cstart")
         return cls(spark, q, table.drop("order"), scratch.save(blocks, "blocks"), scratch.save(chunks, "chunks"), runs)
 
@@ -237,16 +265,64 @@ class Cohort:
         rows = self.contig_sequences()
         return rows.select("asm_id", "contig_ix", F.concat(F.lit(">"), "header", F.lit("\n"), B.wrapped(F.col("seq"), F.col("line_width"))).alias("record"))
 
+    def contig_parts(self, case: bool = True) -> DataFrame:
+        """``(asm_id, contig_ix, at, part)``: contigs in parts of a block at most, from place ``at`` of the contig on; an empty contig has none."""
+        c = self.contigs.select("asm_id", "contig_ix", "boff", "len").withColumn("block_ix", joins.bins(F.col("boff"), F.col("boff") + F.col("len"), self.q))
+        both = self.decode(case).join(c, ["asm_id", "block_ix"])
+        x0, x1 = F.greatest("boff", "bstart"), F.least(F.col("boff") + F.col("len"), F.col("bstart") + F.length("seq"))
+        return both.select("asm_id", "contig_ix", (x0 - F.col("boff")).alias("at"), F.substring("seq", (x0 - F.col("bstart") + 1).cast("int"), (x1 - x0).cast("int")).alias("part"))
+
+    def fasta_parts(self) -> DataFrame:
+        """``(asm_id, contig_ix, at, text)``: each contig's FASTA text in parts, the header at -1, line ends where they belong."""
+        c = self.contigs.select("asm_id", "contig_ix", "header", "len", F.greatest("line_width", F.lit(1)).alias("width"))
+        head = c.select("asm_id", "contig_ix", F.lit(-1).cast("long").alias("at"), F.concat(F.lit(">"), "header", F.lit("\n")).alias("text"))
+        rows = self.contig_parts().join(joins.broadcast_if_small(c.drop("header")), ["asm_id", "contig_ix"])
+        # what the line that is open at the part's start still takes, then whole lines, then the beginning of the next one
+        rows = rows.withColumn("left", F.least(F.pmod(-F.col("at"), F.col("width")), F.length("part")).cast("int"))
+        end = F.col("at") + F.length("part")
+        mark = lambda here: F.when(here, F.lit("\n")).otherwise(F.lit(""))
+        lines = F.regexp_replace(F.expr("substring(part, left + 1)"), F.concat(F.lit("(?s).{"), F.col("width").cast("string"), F.lit("}")), F.lit("$0\n"))
+        first = F.concat(F.expr("substring(part, 1, left)"), mark((F.col("left") > 0) & ((F.col("at") + F.col("left")) % F.col("width") == 0)))
+        text = F.concat(first, lines, mark((end == F.col("len")) & (end % F.col("width") != 0)))
+        return head.union(rows.select("asm_id", "contig_ix", "at", text.alias("text")))
+
+    def fasta_lines(self) -> DataFrame:
+        """``(asm_id, contig_ix, at, text)``: headers at -1 and, for each block's part of a contig, the lines that begin in it, without the last line end.
+
+        A line that goes on into the next part is put together by its place: a part hands its first bases to the part where that line begins.
+        """
+        c = self.contigs.select("asm_id", "contig_ix", "boff", "len", F.greatest("line_width", F.lit(1)).cast("long").alias("width"))
+        rows = self.contig_parts().join(joins.broadcast_if_small(c), ["asm_id", "contig_ix"])
+        left = F.least(F.pmod(-F.col("at"), F.col("width")), F.length("part")).cast("int")
+        rows = rows.withColumn("left", left)
+        part = lambda lo, n, at: F.struct(F.expr(f"substring(part, {lo}, {n})").alias("bases"), at.alias("pos"))
+        two = F.array(part("1", "left", F.col("at")), part("left + 1", "length(part)", F.col("at") + F.col("left")))
+        rows = rows.select("asm_id", "contig_ix", "boff", "width", F.explode(two).alias("p")).where("length(p.bases) > 0")
+        line = F.col("p.pos") - F.pmod(F.col("p.pos"), F.col("width"))
+        block = F.floor((F.col("boff") + line) / self.q)
+        rows = rows.select("asm_id", "contig_ix", "width", block.alias("block"), F.col("p.pos").alias("pos"), F.col("p.bases").alias("bases"))
+        rows = rows.groupBy("asm_id", "contig_ix", "width", "block").agg(F.min("pos").alias("at"), _joined("pos", "bases").alias("bases"))
+        lines = rows.select("asm_id", "contig_ix", "at", B.wrapped(F.col("bases"), F.col("width")).alias("text")).withColumn("text", F.expr("substring(text, 1, length(text) - 1)"))
+        head = self.contigs.select("asm_id", "contig_ix", F.lit(-1).cast("long").alias("at"), F.concat(F.lit(">"), "header").alias("text"))
+        return head.union(lines)
+
     def write_fasta(self, path: str) -> None:
-        """A folder for each assembly with its records in order; records that sort together share a file."""
-        rows = self.fasta_records().join(joins.broadcast_if_small(self.names()), "asm_id").withColumn("value", F.expr("substring(record, 1, length(record) - 1)"))
-        rows = rows.repartitionByRange("assembly", "contig_ix").sortWithinPartitions("assembly", "contig_ix")
-        rows.select("assembly", "value").write.partitionBy("assembly").text(path)
+        """A folder for each assembly with its records in order, its files' order being that of their names. No row is longer than a block
+        and a line, so a contig is written by as many tasks as its size asks for."""
+        rows = self.fasta_lines().join(joins.broadcast_if_small(self.names()), "asm_id")
+        rows = rows.repartitionByRange("assembly", "contig_ix", "at").sortWithinPartitions("assembly", "contig_ix", "at")
+        rows.select("assembly", F.col("text").alias("value")).write.partitionBy("assembly").text(path)
+
+    def fasta_digests(self) -> DataFrame:
+        """``(asm_id, contig_ix, n, sha256)`` of every record's FASTA text."""
+        return fold.sha256_in_order(self.fasta_parts(), ["asm_id", "contig_ix"], "at", "text")
 
     def check_full(self) -> DataFrame:
-        """``(asm_id, contig_ix, len, sha256)`` of every contig's bases, case kept, and whether the length is the table's."""
-        rows = self.contig_sequences().join(self.contigs.select("asm_id", "contig_ix", "len"), ["asm_id", "contig_ix"])
-        return rows.select("asm_id", "contig_ix", "len", F.sha2("seq", 256).alias("sha256"), (F.length("seq") == F.col("len")).alias("complete"))
+        """``(asm_id, contig_ix, len, sha256)`` of every contig's bases, case kept, and whether their number is the table's."""
+        none = self.contigs.where("len = 0").select("asm_id", "contig_ix", F.lit(0).cast("long").alias("at"), F.lit("").alias("part"))
+        rows = fold.sha256_in_order(self.contig_parts().union(none), ["asm_id", "contig_ix"], "at", "part")
+        rows = self.contigs.select("asm_id", "contig_ix", "len").join(rows, ["asm_id", "contig_ix"], "left")
+        return rows.select("asm_id", "contig_ix", "len", "sha256", F.coalesce(F.col("n") == F.col("len"), F.lit(False)).alias("complete"))
 
     def tiles(self, w: int) -> DataFrame:
         """``(asm_id, contig_ix, start0)``: windows of ``w`` end to end in every contig."""

@@ -28,12 +28,45 @@ def documents(cohort: Cohort) -> DataFrame:
 
 
 def document_tokens(cohort: Cohort, ids: tuple[int, ...] = IDS, eod: int = EOD) -> DataFrame:
-    """``(asm_id, contig_ix, name, tokens)`` with the end token."""
+    """``(asm_id, contig_ix, name, tokens)`` with the end token, a document a row: for documents under 2^31 tokens. See ``token_pieces``."""
     rows = cohort.contig_sequences()
     tokens = F.when(F.length("seq") > 0, B.token_ids(F.col("seq"), ids)).otherwise(F.array().cast("array<int>"))
     return rows.select("asm_id", "contig_ix", "name", F.concat(tokens, F.array(F.lit(eod))).alias("tokens"))
 
 
+def token_pieces(cohort: Cohort, ids: tuple[int, ...] = IDS, eod: int = EOD) -> DataFrame:
+    """``(asm_id, contig_ix, at, tokens)``: every document's tokens in pieces of a block at most, from place ``at`` on; the end token is a piece of its own."""
+    rows = cohort.contig_parts(case=False)
+    rows = rows.select("asm_id", "contig_ix", "at", B.token_ids(F.col("part"), ids).alias("tokens"))
+    return rows.union(cohort.contigs.select("asm_id", "contig_ix", F.col("len").alias("at"), F.array(F.lit(eod)).alias("tokens")))
+
+
+def get(cohort: Cohort, requests: DataFrame, subset: DataFrame | None = None, ids: tuple[int, ...] = IDS, eod: int = EOD) -> DataFrame:
+    """``requests(id, doc_ix, offset, length)`` -> ``(id, doc_ix, offset, length, tokens, ends)``: a document's tokens from ``offset`` on.
+
+    ``subset(doc_ix)`` numbers the documents anew, in order, and only those can be asked for. A document's last token is its end token; ``ends``
+    tells whether it is among those asked for (if not, a window of the bases alone answers). A request outside its document is an error.
+    """
+    docs = documents(cohort).select("doc_ix", "asm_id", "contig_ix", "n_tokens")
+    if subset is not None:
+        docs = docs.join(subset.select("doc_ix").distinct(), "doc_ix", "left_semi")
+        by = W.orderBy("doc_ix")  # a row for each document of the subset, no bases
+        docs = docs.withColumn("doc_ix", (F.row_number().over(by) - 1).cast("long"))
+    r = requests.select("id", "doc_ix", "offset", "length").join(joins.broadcast_if_small(docs), "doc_ix", "left")
+    label = F.concat_ws(" ", F.lit("no such tokens:"), *(F.col(c).cast("string") for c in ("id", "doc_ix", "offset", "length")))
+    bad = F.col("n_tokens").isNull() | (F.col("offset") < 0) | (F.col("length") < 0) | (F.col("offset") + F.col("length") > F.col("n_tokens"))
+    r = r.withColumn("ends", F.when(bad, F.raise_error(label).cast("boolean")).otherwise((F.col("length") > 0) & (F.col("offset") + F.col("length") == F.col("n_tokens"))))
+    c = cohort.contigs.select("asm_id", "contig_ix", "boff")
+    # what was asked is one struct, so that a window's key carries it
+    asked = F.struct("id", "doc_ix", "offset", "length", "ends").alias("id")
+    r = r.withColumn("asm_id", F.when(F.col("ends").isNotNull(), F.col("asm_id"))).join(joins.broadcast_if_small(c), ["asm_id", "contig_ix"])
+    r = r.select(asked, "asm_id", (F.col("boff") + F.col("offset")).alias("start"), (F.col("length") - F.col("ends").cast("long")).alias("length"), F.lit(False).alias("rc"))
+    rows = cohort.windows(r, case=False)
+    bases = F.when(F.length("seq") > 0, B.token_ids(F.col("seq"), ids)).otherwise(F.array().cast("array<int>"))
+    tokens = F.when(F.col("id.ends"), F.concat(bases, F.array(F.lit(eod)))).otherwise(bases)
+    return rows.select("id.id", "id.doc_ix", "id.offset", F.col("id.length").alias("length"), tokens.alias("tokens"), "id.ends")
+
+
 def batches(cohort: Cohort, size: int, mask_eod: bool = True, reset: bool = True) -> DataFrame:
     """``(row, tokens, labels, loss_mask, position_ids)``: the documents end to end, cut into rows of ``size`` tokens and the next.
 

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandlake.functions import bases as B
-from strandlake.operators import edits, joins, kmers, timings, training
+from strandlake.operators import edits, fold, joins, kmers, timings, training
 from strandlake.operators.cohort import Cohort
 from strandlake.plans import datasets as D
 
@@ -207,7 +207,8 @@ def check_full(spark, sf_dir):
 
 @query(f"{_WHOLE} SELECT asm_id, contig_ix, sha256('>' || header || chr(10) || regexp_replace(s, '(.{{1,60}})', '\\1' || chr(10), 'g')) AS sha256 FROM z")
 def rebuild_fasta(spark, sf_dir):
-    return D.world(spark, sf_dir).text.fasta_records().select("asm_id", "contig_ix", F.sha2("record", 256).alias("sha256"))
+    """Every record's FASTA text hashed as it streams by."""
+    return D.world(spark, sf_dir).text.fasta_digests().drop("n")
 
 
 @query(f"WITH {_TEXT} SELECT asm_id, base, CAST(sum(n) AS BIGINT) AS n FROM (SELECT asm_id, base, length(seq) - length(replace(seq, base, '')) AS n FROM contigs, (SELECT unnest(['A', 'C', 'G', 'T', 'N']) AS base)) GROUP BY ALL")
@@ -588,8 +589,51 @@ _TOKENS = "list_transform(string_split(seq, ''), lambda c: CASE c WHEN 'A' THEN
 
 @query(f"WITH {_TEXT} SELECT asm_id, contig_ix, name, CAST(len + 1 AS BIGINT) AS n_tokens, sha256(array_to_string(list_append({_TOKENS}, 12), ',')) AS sha256 FROM contigs")
 def training_documents(spark, sf_dir):
-    rows = training.document_tokens(D.world(spark, sf_dir).text)
-    return rows.select("asm_id", "contig_ix", "name", F.size("tokens").cast("long").alias("n_tokens"), F.sha2(F.array_join("tokens", ","), 256).alias("sha256"))
+    """The tokens' hash and number, piece by piece."""
+    c = D.world(spark, sf_dir).text
+    comma = F.when(F.col("at") > 0, F.lit(",")).otherwise(F.lit(""))
+    pieces = training.token_pieces(c).select("asm_id", "contig_ix", "at", F.concat(comma, F.array_join("tokens", ",")).alias("text"), F.size("tokens").alias("k"))
+    hashed = fold.sha256_in_order(pieces, ["asm_id", "contig_ix"], "at", "text").drop("n")
+    n = pieces.groupBy("asm_id", "contig_ix").agg(F.sum(F.col("k").cast("long")).alias("n_tokens"))
+    names = c.contigs.select("asm_id", "contig_ix", "name")
+    return names.join(n, ["asm_id", "contig_ix"]).join(hashed, ["asm_id", "contig_ix"]).select("asm_id", "contig_ix", "name", "n_tokens", "sha256")
+
+
+_DOCS = """d AS (SELECT row_number() OVER (ORDER BY asm_id, contig_ix) - 1 AS doc_ix, contigs.* FROM contigs)"""
+
+
+def _token_requests(docs: DataFrame) -> DataFrame:
+    """Two for each document: one that begins at a third of it and takes its end token, one of the 40 tokens, or what there is, from a place by its number."""
+    third = F.floor(F.col("n_tokens") / 3)
+    lo = F.col("doc_ix") * 101 % F.col("n_tokens")
+    two = F.array(F.struct(F.lit(0).alias("k"), third.alias("offset"), (F.col("n_tokens") - third).alias("length")), F.struct(F.lit(1).alias("k"), lo.alias("offset"), F.least(F.lit(40).cast("long"), F.col("n_tokens") - lo).alias("length")))
+    rows = docs.select("doc_ix", F.explode(two).alias("r"))
+    return rows.select((F.col("doc_ix") * 2 + F.col("r.k")).alias("id"), "doc_ix", "r.offset", "r.length")
+
+
+_GET = f"""WITH {_TEXT}, {_DOCS}, {{subset}}
+q AS (SELECT *, len + 1 AS n, (len + 1) // 3 AS third, doc_ix * 101 % (len + 1) AS lo FROM s),
+r AS (SELECT doc_ix * 2 AS id, doc_ix, third AS "offset", n - third AS length, seq, n FROM q UNION ALL SELECT doc_ix * 2 + 1, doc_ix, lo, least(40, n - lo), seq, n FROM q)
+SELECT id, doc_ix, "offset", length, "offset" + length = n AS ends,
+  sha256(array_to_string(list_transform(string_split(substr(seq || 'E', CAST("offset" + 1 AS INT), CAST(length AS INT)), ''), lambda c: CASE c WHEN 'A' THEN 8 WHEN 'C' THEN 5 WHEN 'G' THEN 6 WHEN 'T' THEN 7 WHEN 'E' THEN 12 ELSE 9 END), ',')) AS sha256 FROM r"""
+
+
+@query(_GET.format(subset="s AS (SELECT * FROM d),"))
+def training_get(spark, sf_dir):
+    """Random access to documents' tokens, by number, offset and length."""
+    c = D.world(spark, sf_dir).text
+    rows = training.get(c, _token_requests(training.documents(c)))
+    return rows.select("id", "doc_ix", "offset", "length", "ends", F.sha2(F.array_join("tokens", ","), 256).alias("sha256"))
+
+
+@query(_GET.format(subset="s AS (SELECT * EXCLUDE (doc_ix), row_number() OVER (ORDER BY doc_ix) - 1 AS doc_ix FROM d WHERE len >= 2000),"))
+def training_get_subset(spark, sf_dir):
+    """The same over the documents of 2,000 bases and more, numbered anew."""
+    c = D.world(spark, sf_dir).text
+    some = training.documents(c).where("n_tokens > 2000")
+    asked = _token_requests(some.withColumn("doc_ix", (F.row_number().over(W.orderBy("doc_ix")) - 1).cast("long")))
+    rows = training.get(c, asked, some)
+    return rows.select("id", "doc_ix", "offset", "length", "ends", F.sha2(F.array_join("tokens", ","), 256).alias("sha256"))
 
 
 @query(f"""WITH {_TEXT}, s AS (SELECT string_agg(seq || 'E', '' ORDER BY asm_id, contig_ix) AS s, sum(len + 1) AS n FROM contigs),

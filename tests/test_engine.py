@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from strandlake.functions import bases as B
 from strandlake.operators import edits, joins, kmers, training
 from strandlake.operators.cohort import Cohort
-from strandlake.sources import archive, codec, fasta, tables
+from strandlake.sources import archive, codec, fasta, fasta_scan, tables
 from strandlake.streaming.serve import serve
 
 Q = 1024
@@ -433,3 +433,111 @@ def test_requests_from_a_stream(spark, cohort, tmp_path):
     q = serve(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), cohort, str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination()
     assert {r.id: len(r.seq) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"a": 100, "b": 5}
+
+
+def _write_files(folder, files):
+    for name, data in files.items():
+        (folder / name).write_bytes(data)
+    return str(folder)
+
+
+def _rows(df, *columns):
+    return sorted(tuple(bytes(x) if isinstance(x, bytearray) else x for x in r) for r in df.select(*columns).collect())
+
+
+def test_scan_of_splits_equals_the_reader(spark, tmp_path):
+    """Files cut every 700 bytes: records across many splits, headers at their ends, empty records, case, gzip."""
+    import gzip
+
+    files = {}
+    for a, c in ASM.items():
+        lower = lambda s: "".join(x.lower() if i % 97 < 30 else x for i, x in enumerate(s))
+        records = [fasta.Record(f"{n} of {a}", lower(s).encode(), 61 if s else 0) for n, s in c.items()]
+        files[f"{a}.fa"] = fasta.render(records)
+    files["z.fa.gz"] = gzip.compress(files["y1_P1.1.fa"])
+    files["empty.fa"] = b""
+    path = _write_files(tmp_path, files)
+    want, want_runs = fasta.read_fasta(spark, path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        scan = fasta_scan.scan_fasta(spark, path)
+        assert scan.pieces.count() > 300
+        together = scan.pieces.groupBy("assembly", "order").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", F.col("seq").cast("string").alias("s")))), lambda x: x["s"]), "").alias("seq"))
+        got = scan.records.join(together, ["assembly", "order"], "left").withColumn("seq", F.coalesce("seq", F.lit("")))
+        assert _rows(got, "assembly", "order", "header", "line_width", "seq") == _rows(want.withColumn("seq", F.col("seq").cast("string")), "assembly", "order", "header", "line_width", "seq")
+        assert _rows(scan.case_runs, "assembly", "start", "len") == _rows(want_runs, "assembly", "start", "len")
+        a, b = Cohort.build(want, Q, want_runs), Cohort.from_pieces(scan.records, scan.pieces, Q, scan.case_runs)
+        for t in ("contigs", "blocks", "chunks", "case_runs"):
+            columns = getattr(a, t).columns
+            assert _rows(getattr(b, t), *columns) == _rows(getattr(a, t), *columns), t
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    b.write_fasta(str(tmp_path / "out"))
+    again = fasta_scan.scan_fasta(spark, str(tmp_path / "out"), "*", folders=True)
+    assert _rows(again.records, "assembly", "order", "header", "len") == _rows(scan.records, "assembly", "order", "header", "len")
+    assert _rows(again.case_runs, "assembly", "start", "len") == _rows(want_runs, "assembly", "start", "len")
+
+
+def test_scan_refuses_what_the_reader_refuses(spark, tmp_path):
+    for i, (bad, what) in enumerate([(b"ACGT\n", "no header"), (b">a\nACG\nAC\nACG\n", "irregular"), (b">a\nAC\nACG\n", "irregular"), (b">a\nACG\n\n", "irregular"), (b">a\nACG", "no final line end"), (b">a\n\nAC\n", "irregular")]):
+        folder = tmp_path / str(i)
+        folder.mkdir()
+        with pytest.raises(Exception, match=what):
+            fasta_scan.scan_fasta(spark, _write_files(folder, {"x.fa": bad})).records.collect()
+
+
+def test_data_source_reads_by_index(spark, tmp_path):
+    records = {a: [fasta.Record(f"{n} of {a}", s.encode(), 50 if s else 0) for n, s in c.items()] for a, c in ASM.items()}
+    path = _write_files(tmp_path, {f"{a}.fa": fasta.render(r) for a, r in records.items()})
+    fasta_scan.write_index(fasta_scan.scan_fasta(spark, path), str(tmp_path / "index"))
+    fasta_scan.register(spark)
+    all_ = spark.read.format("strandlake_fasta").option("path", str(tmp_path / "index")).option("piece", 500).option("split", 1500).load()
+    want = sorted((a, i, r.name, s, r.bases[s : s + 500].decode()) for a, c in records.items() for i, r in enumerate(c) for s in range(0, len(r.bases), 500))
+    assert _rows(all_, *all_.columns) == want and all_.rdd.getNumPartitions() > 20
+    again = spark.read.format("strandlake_fasta").option("path", str(tmp_path / "index")).option("piece", 500).option("split", 1500).load()
+    some = again.where("assembly = 'y1_P2.1' and name in ('ctg2', 'ctg3') and start >= 700 and start < 2100")
+    assert _rows(some, *some.columns) == [w for w in want if w[0] == "y1_P2.1" and w[2] in ("ctg2", "ctg3") and 700 <= w[3] < 2100]
+    assert some.rdd.getNumPartitions() <= 4
+
+
+def test_hashes_of_parts_that_stream_by(spark, cohort):
+    assert {(r.asm_id, r.contig_ix): (r.sha256, r.complete) for r in cohort.check_full().collect()} == {(r.asm_id, r.contig_ix): (hashlib.sha256(r.seq.encode()).hexdigest(), True) for r in cohort.contig_sequences().collect()}
+    want = {(r.asm_id, r.contig_ix): hashlib.sha256(r.record.encode()).hexdigest() for r in cohort.fasta_records().collect()}
+    assert {(r.asm_id, r.contig_ix): r.sha256 for r in cohort.fasta_digests().collect()} == want
+    # lines far longer than a block, and shorter than one
+    for width in (1, 7, 1024, 2500, 100_000):
+        other = Cohort(cohort.spark, cohort.q, cohort.contigs.withColumn("line_width", F.lit(width)), cohort.blocks, cohort.chunks, cohort.case_runs)
+        want = {(r.asm_id, r.contig_ix): r.record for r in other.fasta_records().collect()}
+        assert {(r.asm_id, r.contig_ix): r.sha256 for r in other.fasta_digests().collect()} == {k: hashlib.sha256(v.encode()).hexdigest() for k, v in want.items()}
+        lines = {}
+        for r in sorted(other.fasta_lines().collect(), key=lambda r: (r.asm_id, r.contig_ix, r.at)):
+            lines[r.asm_id, r.contig_ix] = lines.get((r.asm_id, r.contig_ix), "") + r.text + "\n"
+        assert lines == want
+
+
+def test_token_access(spark, cohort):
+    docs = {r.doc_ix: r for r in training.documents(cohort).collect()}
+    whole = {(r.asm_id, r.contig_ix): r.tokens for r in training.document_tokens(cohort).collect()}
+    tokens = {d: whole[r.asm_id, r.contig_ix] for d, r in docs.items()}
+    r = random.Random(3)
+    asked = []
+    for d, t in tokens.items():
+        for lo in (0, len(t) - 1, r.randrange(len(t))):
+            asked += [(len(asked), d, lo, n) for n in (0, 1, len(t) - lo)]
+    schema = "id int, doc_ix long, offset long, length long"
+    got = {x.id: (x.tokens, x.ends) for x in training.get(cohort, spark.createDataFrame(asked, schema)).collect()}
+    assert got == {i: (tokens[d][lo : lo + n], n > 0 and lo + n == len(tokens[d])) for i, d, lo, n in asked}
+    some = sorted(tokens)[1::3]
+    sub = spark.createDataFrame([(d,) for d in some], "doc_ix long")
+    got = training.get(cohort, spark.createDataFrame([(i, i, 0, len(tokens[d])) for i, d in enumerate(some)], schema), sub).collect()
+    assert {x.id: x.tokens for x in got} == {i: tokens[d] for i, d in enumerate(some)}
+    for bad in ((0, 10**9, 0, 1), (0, 0, -1, 1), (0, 0, 0, len(tokens[0]) + 1), (0, len(some), 0, 1)):
+        with pytest.raises(PySparkException, match="no such tokens"):
+            training.get(cohort, spark.createDataFrame([bad], schema), sub if bad[1] == len(some) else None).collect()
+    pieces = {}
+    for p in sorted(training.token_pieces(cohort).collect(), key=lambda p: (p.asm_id, p.contig_ix, p.at)):
+        pieces.setdefault((p.asm_id, p.contig_ix), []).extend(p.tokens)
+    assert pieces == whole
