@@ -378,17 +378,73 @@ def leak(tiles: DataFrame, w: int, train: DataFrame) -> DataFrame:
     )
 
 
-def by_people(tiles: DataFrame, names: DataFrame) -> DataFrame:
-    """Tiles with ``train``: individuals, in order of their names, go to training and test in turn."""
+def by_people(tiles: DataFrame, names: DataFrame, seed: int | None = None) -> DataFrame:
+    """Tiles with ``train``: half of the individuals (one fewer, if they are odd in number) train, the first in the order of a seeded hash of
+    their names; without a seed they go to training and test in turn, in order of their names.
+
+    Individuals are ranked in one task, a row each.
+    """
     people = names.withColumn("person", B.individual(F.col("assembly")))
-    order = people.select("person").distinct().withColumn("train", F.row_number().over(W.orderBy("person")) % 2 == 1)
+    each = people.select("person").distinct()
+    if seed is None:
+        order = each.withColumn("train", F.row_number().over(W.orderBy("person")) % 2 == 1)
+    else:
+        rank, n = F.row_number().over(W.orderBy(B.drawn(F.col("person"), seed), "person")), F.count("*").over(W.partitionBy())
+        order = each.select("person", (rank <= F.floor(n / 2)).alias("train"))
     return tiles.join(joins.broadcast_if_small(people.join(order, "person").select("asm_id", "train")), "asm_id")
 
 
-def by_locus(tiles: DataFrame, chunk: int) -> DataFrame:
-    """Tiles with ``train``: every other stretch of ``chunk`` reference bases; tiles that cross stretches go."""
+def by_locus(tiles: DataFrame, chunk: int, seed: int | None = None) -> DataFrame:
+    """Tiles with ``train``: a seeded coin for each stretch of ``chunk`` reference bases, or every other one without a seed; tiles that cross stretches go."""
     at = F.floor(F.col("ref_lo") / chunk)
-    return tiles.where(at == F.floor((F.col("ref_hi") - 1) / chunk)).withColumn("train", at % 2 == 0)
+    coin = at % 2 == 0 if seed is None else B.drawn(at, seed) % 2 == 0
+    return tiles.where(at == F.floor((F.col("ref_hi") - 1) / chunk)).withColumn("train", coin)
+
+
+def tile_summary(tiles: DataFrame, w: int) -> DataFrame:
+    """One row: windows, those with both ends located on one strand, those with an end in a literal, those of the first whose hull is over 10 % off."""
+    both = F.col("ref_lo").isNotNull()
+    literal = (F.col("cls_start") == 0) | (F.col("cls_end") == 0)
+    off = both & (F.abs(F.col("ref_hi") - F.col("ref_lo") - w) > w // 10)
+    return tiles.agg(F.count("*").alias("windows"), F.count_if(both).alias("both_ends"), F.count_if(literal).alias("literal_end"), F.count_if(off).alias("span_off"))
+
+
+def copy_shares(ops: DataFrame) -> DataFrame:
+    """One row: bases, the percentages that are copies of the reference, of those on its other strand, copies within a block and literals; copies of the
+    reference and their mean length."""
+    n = F.col("len").cast("long")
+    of = lambda *kinds: F.coalesce(F.sum(F.when(F.col("kind").isin(*kinds), n)), F.lit(0))
+    rows = ops.agg(F.sum(n).alias("bases"), of(1, 3).alias("ref"), of(3).alias("rc"), of(2).alias("own"), of(0).alias("lit"), F.count_if(F.col("kind").isin(1, 3)).alias("copies"))
+    share = lambda c: (100 * F.col(c) / F.col("bases")).alias(f"{c}_percent")
+    return rows.select("bases", share("ref"), share("rc"), share("own"), share("lit"), "copies", F.try_divide("ref", "copies").alias("mean_copy"))
+
+
+def code_lengths(ops: DataFrame) -> DataFrame:
+    """``(field, context, symbols, bits)``: what each field of the ops costs under models that count it, the sum of -log2 of each symbol's share.
+
+    Fields are kind, log2 of the length, and the distance in bits to where the copy before in the block leads; contexts are none,
+    the kind before, and the op's own kind. Grouped counts only: symbols and contexts are a few dozen.
+    """
+    by = W.partitionBy("asm_id", "block_ix").orderBy("op_ix")
+    locus = F.when(F.col("kind") == 3, F.col("src") + F.col("len") - 1).when(F.col("kind") == 1, F.col("src"))
+    leads = F.when(F.col("kind") == 3, F.col("src") - 1).when(F.col("kind") == 1, F.col("src") + F.col("len"))
+    rows = ops.select("*", locus.alias("locus"), leads.alias("leads")).withColumn("was", F.coalesce(F.lag("kind").over(by), F.lit(-1)))
+    rows = rows.withColumn("near", F.last("leads", ignorenulls=True).over(by.rowsBetween(W.unboundedPreceding, -1)))
+    jump = F.when(F.col("locus").isNotNull(), F.coalesce(F.length(F.bin(F.abs(F.col("locus") - F.col("near")))).cast("int"), F.lit(-1)))
+    fields = F.array(*(F.struct(F.lit(n).alias("field"), v.cast("int").alias("symbol")) for n, v in (("kind", F.col("kind")), ("length", F.length(F.bin(F.col("len").cast("long")))), ("jump", jump))))
+    contexts = F.array(F.struct(F.lit("none").alias("context"), F.lit(0).alias("c")), F.struct(F.lit("kind before").alias("context"), F.col("was").alias("c")), F.struct(F.lit("own kind").alias("context"), F.col("kind").alias("c")))
+    each = rows.select(F.explode(fields).alias("f"), contexts.alias("x")).where("f.symbol is not null").select("f.field", "f.symbol", F.explode("x").alias("x"))
+    n = each.groupBy("field", F.col("x.context").alias("context"), F.col("x.c").alias("c"), "symbol").agg(F.count("*").alias("n"))
+    total = F.sum("n").over(W.partitionBy("field", "context", "c"))
+    n = n.withColumn("bits", F.col("n") * (F.log2(total) - F.log2("n")))
+    return n.groupBy("field", "context").agg(F.sum("n").alias("symbols"), F.sum("bits").alias("bits"))
+
+
+def haplotype_coverage(cohort: Cohort, spans: DataFrame) -> DataFrame:
+    """``(asm_id, length, covered, uncovered_share)``: the bases of each assembly that its runs cover."""
+    c = cohort.contigs.select("asm_id", "contig_ix", "boff")
+    own = spans.join(joins.broadcast_if_small(c), ["asm_id", "contig_ix"]).select("asm_id", (F.col("boff") + F.col("a")).alias("lo"), (F.col("boff") + F.col("a") + F.col("len")).alias("hi"))
+    return joins.covered(own, ["asm_id"], cohort.contigs.groupBy("asm_id").agg(F.sum("len").alias("length")))
 
 
 def copy_statistics(ops: DataFrame) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strandlake.scratch import Scratch
+
 #: Rows that a broadcast may have; more are joined by a shuffle.
 SMALL = 200_000
 
@@ -39,22 +43,62 @@ def point_join(points: DataFrame, spans: DataFrame, on: list[str], size: int) ->
     return a.join(b, [*on, "__bin"]).where("pos >= lo and pos < hi").drop("__bin")
 
 
-def merged(spans: DataFrame, on: list[str]) -> DataFrame:
-    """The union of ``spans(.., lo, hi)`` for each key; touching ones coalesce, empty ones go.
+#: Distinct starts of a key that one task merges; a key with more is cut into ranges of its starts.
+MERGE = 200_000
 
-    Only intervals that begin a new run of their coarse bin cross the window, so that a key's intervals are first merged within
-    bins, in parallel, and then across bins.
-    """
 
-    def step(df: DataFrame, keys: list[str]) -> DataFrame:
-        before = W.partitionBy(*keys).orderBy("lo", "hi").rowsBetween(W.unboundedPreceding, -1)
-        upto = W.partitionBy(*keys).orderBy("lo", "hi").rowsBetween(W.unboundedPreceding, 0)
-        df = df.withColumn("__top", F.max("hi").over(before))
-        df = df.withColumn("__run", F.sum((F.col("__top").isNull() | (F.col("lo") > F.col("__top"))).cast("long")).over(upto))
-        return df.groupBy(*keys, "__run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("__run")
+def merged(spans: DataFrame, on: list[str], most: int = MERGE) -> DataFrame:
+    """The union of ``spans(.., lo, hi)`` for each key; touching ones coalesce, empty ones go. Keys may be null.
 
-    coarse = spans.where("hi > lo").select(*on, "lo", "hi", F.floor(F.col("lo") / 2**20).alias("__coarse"))
-    return step(step(coarse, [*on, "__coarse"]).drop("__coarse"), on).select(*on, "lo", "hi")
+    Of the spans that begin at one place the longest stays, before anything is shuffled by key. A key of more than ``most`` places is
+    cut into ranges by quantiles of them; each range is merged by a task of its own. What earlier ranges reach is a
+    prefix maximum over the ranges, a row each: spans within that reach belong to the last run that an earlier range began.
+    """
+    rows = spans.where("hi > lo").groupBy(*on, "lo").agg(F.max("hi").alias("hi"))
+    sizes = rows.groupBy(*on).agg(F.count("*").alias("__n")).where(F.col("__n") > most)
+    scratch = Scratch(spans.sparkSession)
+    large = scratch.save(sizes.select(*(F.col(k).alias(f"__{k}") for k in on), "__n"), "large")
+    if large.isEmpty():
+        return _merged_in(rows, on).select(*on, "lo", "hi")
+    same = lambda left, right: reduce(lambda x, y: x & y, (left[k].eqNullSafe(right[f"__{k}"]) for k in on), F.lit(True))
+    rows = scratch.save(rows, "starts")
+    large = broadcast_if_small(large)
+    parts = F.least(F.ceil(F.col("__n") / most), F.lit(4096)).cast("int")
+    own = rows.join(large, same(rows, large))
+    cuts = own.groupBy(*(F.col(f"__{k}") for k in on)).agg(F.percentile_approx("lo", [i / 4096 for i in range(1, 4096)], 20_000).alias("q"), F.first(parts).alias("p"))
+    # of the key's 4095 quantiles as many as it has ranges
+    some = F.transform(F.sequence(F.lit(1), F.col("p") - 1), lambda i: F.element_at("q", F.greatest(F.floor(i * 4096 / F.col("p")), F.lit(1)).cast("int")))
+    cuts = scratch.save(cuts.withColumn("__cuts", F.array_distinct(some)).drop("q", "p"), "cuts")
+    cuts = broadcast_if_small(cuts)
+    ranged = rows.join(cuts, same(rows, cuts), "left").withColumn("__bin", F.coalesce(F.size(F.filter("__cuts", lambda c: c <= F.col("lo"))), F.lit(0)))
+    local = scratch.save(_merged_in(ranged.select(*on, "__bin", "lo", "hi"), [*on, "__bin"]), "merged")
+
+    # narrow from here: a row a range, then the merged spans
+    before = W.partitionBy(*on).orderBy("__bin").rowsBetween(W.unboundedPreceding, -1)
+    tops = local.groupBy(*on, "__bin").agg(F.max("hi").alias("__top")).withColumn("__reach", F.max("__top").over(before)).drop("__top")
+    flat = lambda df: df.select(*(F.col(k).alias(f"__{k}") for k in on), F.col("__bin").alias("__b"), *(c for c in df.columns if c not in (*on, "__bin")))
+    tops = broadcast_if_small(flat(tops))
+    new = local.join(tops, same(local, tops) & (local["__bin"] == tops["__b"])).select(*on, "__bin", "lo", "hi", (F.col("__reach").isNull() | (F.col("lo") > F.col("__reach"))).alias("__new"))
+    new = scratch.save(new, "new")
+    last = new.groupBy(*on, "__bin").agg(F.max(F.when(F.col("__new"), F.col("lo"))).alias("__last")).withColumn("__run", F.max("__last").over(before)).drop("__last")
+    last = broadcast_if_small(flat(last))
+    runs = new.join(last, same(new, last) & (new["__bin"] == last["__b"])).select(*on, "lo", "hi", F.when(F.col("__new"), F.col("lo")).otherwise(F.col("__run")).alias("__run"))
+    return runs.groupBy(*on, "__run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).select(*on, "lo", "hi")
+
+
+def _merged_in(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The union of each key's spans, one key a task."""
+    order = W.partitionBy(*keys).orderBy("lo", "hi")
+    df = df.withColumn("__top", F.max("hi").over(order.rowsBetween(W.unboundedPreceding, -1)))
+    df = df.withColumn("__run", F.sum((F.col("__top").isNull() | (F.col("lo") > F.col("__top"))).cast("long")).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    return df.groupBy(*keys, "__run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("__run")
+
+
+def covered(spans: DataFrame, on: list[str], lengths: DataFrame) -> DataFrame:
+    """``(*on, length, covered, uncovered_share)``: how much of ``lengths(*on, length)`` the spans' union covers; without spans nothing is."""
+    union = merged(spans, on).groupBy(*on).agg(F.sum(F.col("hi") - F.col("lo")).alias("covered"))
+    rows = lengths.join(union, on, "left").withColumn("covered", F.coalesce("covered", F.lit(0)))
+    return rows.select(*on, "length", "covered", (1 - F.col("covered") / F.col("length")).alias("uncovered_share"))
 
 
 def as_of(left: DataFrame, right: DataFrame, on: list[str], value: str) -> DataFrame:

@@ -231,6 +231,50 @@ def answers_against_truth(spark, sf_dir):
     return answers.join(truth, "id").select("id", "sha256", (F.col("sha256") == F.col("truth")).alias("ok"))
 
 
+def _scan(spark: SparkSession, sf_dir: str):
+    """The text cohort written as FASTA and read again split by split, with its index."""
+    from strandlake.scratch import new_path
+    from strandlake.sources import fasta_scan
+
+    key = (spark.sparkContext.applicationId, sf_dir, "scan")
+    if key not in _cache:
+        path, index = new_path(spark, "fasta"), new_path(spark, "index")
+        D.world(spark, sf_dir).text.write_fasta(path)
+        scan = fasta_scan.scan_fasta(spark, path, "*", folders=True)
+        fasta_scan.write_index(scan, index)
+        _cache[key] = (scan, index)
+    return _cache[key]
+
+
+@query(f"""WITH {_TEXT} SELECT assembly, CAST(contig_ix AS BIGINT) AS "order", header, len, CAST(least(len, 60) AS INT) AS line_width, sha256(seq) AS sha256 FROM contigs""")
+def fasta_scan(spark, sf_dir):
+    """Records of FASTA files that are read in splits, their bases hashed piece by piece."""
+    scan, _ = _scan(spark, sf_dir)
+    hashed = fold.sha256_in_order(scan.pieces, ["assembly", "order"], "start", "seq").drop("n")
+    rows = scan.records.join(hashed, ["assembly", "order"], "left")
+    return rows.select("assembly", "order", "header", "len", "line_width", F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("sha256"))
+
+
+@query(f"""WITH {_TEXT} SELECT asm_id, assembly, block_ix, sha256(substr(seq, CAST(block_ix * 1024 + 1 AS INT), 1024)) AS sha256 FROM (SELECT *, unnest(range((n + 1023) // 1024)) AS block_ix FROM streams)""")
+def fasta_scan_cohort(spark, sf_dir):
+    """The blocks of a cohort built from pieces of such files."""
+    scan, _ = _scan(spark, sf_dir)
+    c = Cohort.from_pieces(scan.records, scan.pieces, D.Q, scan.case_runs)
+    return c.blocks.join(joins.broadcast_if_small(c.names()), "asm_id").select("asm_id", "assembly", "block_ix", "sha256")
+
+
+@query(f"""WITH {_TEXT}, p AS (SELECT assembly, CAST(contig_ix AS BIGINT) AS "order", name, unnest(range(0, len, 1000)) AS start, seq FROM contigs WHERE assembly = '{D.REF}' AND name <> 'doc0')
+SELECT assembly, "order", name, start, sha256(substr(seq, CAST(start + 1 AS INT), 1000)) AS sha256 FROM p WHERE start < 3000""")
+def fasta_source(spark, sf_dir):
+    """Pieces of one assembly's contigs up to a place, read by index: the filters decide which bytes are."""
+    from strandlake.sources import fasta_scan
+
+    fasta_scan.register(spark)
+    rows = spark.read.format("strandlake_fasta").option("path", _scan(spark, sf_dir)[1]).option("piece", 1000).load()
+    rows = rows.where((F.col("assembly") == D.REF) & (F.col("start") < 3000) & (F.col("name") != "doc0"))
+    return rows.select("assembly", "order", "name", "start", F.sha2("seq", 256).alias("sha256"))
+
+
 # ---------------------------------------------------------------- exact search
 
 
@@ -481,13 +525,103 @@ def tilemap(spark, sf_dir):
 @query()
 def leak_people(spark, sf_dir):
     w = D.world(spark, sf_dir).mutated
-    return edits.leak(None, 256, edits.by_people(edits.tilemap(w, _ops(spark, sf_dir, "mutated"), 256), w.names()))
+    return edits.leak(None, 256, edits.by_people(edits.tilemap(w, _ops(spark, sf_dir, "mutated"), 256), w.names(), seed=11))
 
 
 @query()
 def leak_locus(spark, sf_dir):
     w = D.world(spark, sf_dir).mutated
-    return edits.leak(None, 256, edits.by_locus(edits.tilemap(w, _ops(spark, sf_dir, "mutated"), 256), 8192))
+    return edits.leak(None, 256, edits.by_locus(edits.tilemap(w, _ops(spark, sf_dir, "mutated"), 256), 8192, seed=11))
+
+
+@query()
+def haplotype_coverage(spark, sf_dir):
+    return edits.haplotype_coverage(D.world(spark, sf_dir).mutated, _spans(spark, sf_dir))
+
+
+# the mutated cohort's edits as the rule that made it tells them: a literal base at each substitution, copies between; what reads edits has an oracle over these
+_KNOWN = f"""{_MUTATED},
+subs AS (SELECT asm_id, boff + p AS g FROM (SELECT c.asm_id, r.boff, unnest(list_filter(range(c.len), lambda p: (p * 7919 + c.asm_id * 104729) % 300 = 0)) AS p FROM contigs c JOIN ref r USING (contig_ix))),
+size AS (SELECT CAST(sum(len) AS BIGINT) AS n FROM ref),
+grid AS (SELECT CAST(a AS INT) AS asm_id, unnest(range((n + 1023) // 1024)) AS block_ix, n FROM size, range({D.HAPLOTYPES}) t(a)),
+marks AS (SELECT asm_id, block_ix, -1 AS o, n FROM grid UNION ALL SELECT asm_id, g // 1024, g % 1024, n FROM subs, size UNION ALL SELECT asm_id, block_ix, least(1024, n - block_ix * 1024), n FROM grid),
+gaps AS (SELECT *, lag(o) OVER (PARTITION BY asm_id, block_ix ORDER BY o) + 1 AS since, least(1024, n - block_ix * 1024) AS blen FROM marks),
+pieces AS (
+  SELECT asm_id, block_ix, 1 AS kind, since AS dst, o - since AS len, block_ix * 1024 + since AS src FROM gaps WHERE o > since
+  UNION ALL SELECT asm_id, block_ix, 0, o, 1, 0 FROM gaps WHERE o >= 0 AND o < blen),
+ops AS (SELECT asm_id, CAST(block_ix AS BIGINT) AS block_ix, CAST(row_number() OVER (PARTITION BY asm_id, block_ix ORDER BY dst) - 1 AS INT) AS op_ix, kind, CAST(dst AS INT) AS dst, CAST(len AS INT) AS len, CAST(src AS BIGINT) AS src FROM pieces)"""
+_KNOWN_TILES = f"""{_KNOWN},
+tiles AS (SELECT c.asm_id, contig_ix, unnest(range(0, c.len - 255, 256)) AS start0, r.boff FROM contigs c JOIN ref r USING (contig_ix) WHERE c.len >= 256),
+ends AS (SELECT t.*, t.boff + start0 AS g, t.boff + start0 + 255 AS h FROM tiles t),
+t AS (SELECT e.asm_id, contig_ix, start0, CASE WHEN a.g IS NULL THEN 1 ELSE 0 END AS cls_start, CASE WHEN b.g IS NULL THEN 1 ELSE 0 END AS cls_end, e.g AS lo, e.h + 1 AS hi
+  FROM ends e LEFT JOIN subs a ON a.asm_id = e.asm_id AND a.g = e.g LEFT JOIN subs b ON b.asm_id = e.asm_id AND b.g = e.h),
+good AS (SELECT * FROM t WHERE cls_start = 1 AND cls_end = 1)"""
+
+
+def _known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = (spark.sparkContext.applicationId, sf_dir, "known")
+    if key not in _cache:
+        from strandlake.scratch import Scratch
+
+        w = D.world(spark, sf_dir)
+        _cache[key] = Scratch(spark).save(D.known_edits(w.mutated), "known")
+    return _cache[key]
+
+
+@query(f"WITH {_KNOWN} SELECT asm_id, block_ix, op_ix, kind, dst, len, src FROM ops")
+def known_edits(spark, sf_dir):
+    return _known(spark, sf_dir).drop("lit")
+
+
+@query(f"""WITH {_KNOWN} SELECT CAST(sum(len) AS BIGINT) AS bases, round(100.0::DOUBLE * sum(CASE WHEN kind = 1 THEN len ELSE 0 END) / sum(len), 9) AS ref_percent, 0.0::DOUBLE AS rc_percent, 0.0::DOUBLE AS own_percent,
+round(100.0::DOUBLE * sum(CASE WHEN kind = 0 THEN len ELSE 0 END) / sum(len), 9) AS lit_percent, count(*) FILTER (kind = 1) AS copies, round(sum(CASE WHEN kind = 1 THEN len ELSE 0 END) / CAST(count(*) FILTER (kind = 1) AS DOUBLE), 9) AS mean_copy FROM ops""")
+def copy_shares(spark, sf_dir):
+    rows = edits.copy_shares(_known(spark, sf_dir))
+    return rows.select(*(F.round(c, 9).alias(c) if c not in ("bases", "copies") else F.col(c) for c in rows.columns))
+
+
+@query(f"""WITH {_KNOWN}, w AS (SELECT *, coalesce(lag(kind) OVER b, -1) AS was, last_value(CASE WHEN kind = 1 THEN src + len END IGNORE NULLS) OVER (b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS near FROM ops WINDOW b AS (PARTITION BY asm_id, block_ix ORDER BY op_ix)),
+f AS (SELECT 'kind' AS field, kind AS s, was, kind FROM w UNION ALL SELECT 'length', length(bin(CAST(len AS BIGINT))), was, kind FROM w UNION ALL SELECT 'jump', CASE WHEN near IS NULL THEN -1 ELSE length(bin(CAST(abs(src - near) AS BIGINT))) END, was, kind FROM w WHERE kind = 1),
+x AS (SELECT field, s, 'none' AS context, 0 AS c FROM f UNION ALL SELECT field, s, 'kind before', was FROM f UNION ALL SELECT field, s, 'own kind', kind FROM f),
+n AS (SELECT field, context, c, s, count(*) AS n FROM x GROUP BY ALL), t AS (SELECT *, sum(n) OVER (PARTITION BY field, context, c) AS m FROM n)
+SELECT field, context, CAST(sum(n) AS BIGINT) AS symbols, round(sum(n * (log2(m) - log2(n))), 3) AS bits FROM t GROUP BY ALL""")
+def op_code_lengths(spark, sf_dir):
+    """Bits that each field of the edits takes under several context models."""
+    return edits.code_lengths(_known(spark, sf_dir)).withColumn("bits", F.round("bits", 3))
+
+
+@query(f"WITH {_KNOWN_TILES} SELECT count(*) AS windows, count(*) FILTER (cls_start + cls_end = 2) AS both_ends, count(*) FILTER (cls_start + cls_end < 2) AS literal_end, CAST(0 AS BIGINT) AS span_off FROM t")
+def tile_summary(spark, sf_dir):
+    w = D.world(spark, sf_dir).mutated
+    return edits.tile_summary(edits.tilemap(w, _known(spark, sf_dir), 256), 256)
+
+
+_LEAK = """u AS (SELECT lo, hi, max(hi) OVER (ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM side WHERE train),
+v AS (SELECT lo, hi, sum(CASE WHEN top IS NULL OR lo > top THEN 1 ELSE 0 END) OVER (ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS run FROM u), m AS (SELECT min(lo) AS lo, max(hi) AS hi FROM v GROUP BY run),
+e AS (SELECT s.asm_id, s.contig_ix, s.start0, coalesce(sum(CASE WHEN m.lo IS NULL THEN 0 ELSE least(s.hi, m.hi) - greatest(s.lo, m.lo) END), 0) AS n FROM (SELECT * FROM side WHERE NOT train) s LEFT JOIN m ON s.lo < m.hi AND m.lo < s.hi GROUP BY ALL)
+SELECT count(*) AS test_windows, count(*) FILTER (n >= 128) AS half, count(*) FILTER (n / 256.0 >= 0.9) AS ninety, count(*) FILTER (n = 0) AS zero, round(avg(n / 256.0::DOUBLE), 9) AS mean_share, round(median(n / 256.0::DOUBLE), 9) AS median_share, CAST(coalesce(sum(n), 0) AS BIGINT) AS bases_covered FROM e"""
+_SEEDED = "CAST('0x' || substr(md5({key} || ' 11 0'), 1, 15) AS BIGINT)"
+
+
+@query(f"""WITH {_KNOWN_TILES}, people AS (SELECT 'P' || i AS person, row_number() OVER (ORDER BY {_SEEDED.format(key="('P' || i)")}, 'P' || i) AS k, count(*) OVER () AS n FROM range({D.HAPLOTYPES} // 2) t(i)),
+side AS (SELECT g.*, k <= n // 2 AS train FROM good g JOIN people ON person = 'P' || (asm_id // 2)), {_LEAK}""")
+def leak_people_known(spark, sf_dir):
+    """Half of the individuals, drawn with a seed, train."""
+    w = D.world(spark, sf_dir).mutated
+    return edits.leak(None, 256, edits.by_people(edits.tilemap(w, _known(spark, sf_dir), 256), w.names(), seed=11))
+
+
+@query(f"""WITH {_KNOWN_TILES}, side AS (SELECT *, {_SEEDED.format(key="(lo // 8192)")} % 2 = 0 AS train FROM good WHERE lo // 8192 = (hi - 1) // 8192), {_LEAK}""")
+def leak_locus_known(spark, sf_dir):
+    """A seeded coin for each stretch of the reference."""
+    w = D.world(spark, sf_dir).mutated
+    return edits.leak(None, 256, edits.by_locus(edits.tilemap(w, _known(spark, sf_dir), 256), 8192, seed=11))
+
+
+@query(f"WITH {_KNOWN} SELECT asm_id, n AS length, n - count(g) AS covered, round(1 - (n - count(g)) / CAST(n AS DOUBLE), 12) AS uncovered_share FROM size, subs GROUP BY asm_id, n")
+def haplotype_coverage_known(spark, sf_dir):
+    w = D.world(spark, sf_dir).mutated
+    return edits.haplotype_coverage(w, edits.runs(w, _known(spark, sf_dir))).withColumn("uncovered_share", F.round("uncovered_share", 12))
 
 
 # ---------------------------------------------------------------- intervals
@@ -517,6 +651,22 @@ def interval_coverage(spark, sf_dir):
     return t.join(hit, "id", "left").select("id", F.coalesce("covered", F.lit(0)).alias("covered"))
 
 
+@query(f"""WITH {_UNION.replace("l_suppkey AS k", "'all' AS k").replace("l_partkey * 7", "l_orderkey * 41")} SELECT k, CAST(lo AS BIGINT) AS lo, CAST(hi AS BIGINT) AS hi FROM u""")
+def interval_union_one_key(spark, sf_dir):
+    """One key for all: its ranges are merged by many tasks."""
+    lo = F.col("l_orderkey") * 41 + F.col("l_linenumber")
+    rows = _rows(spark, sf_dir, "lineitem").select(F.lit("all").alias("k"), lo.alias("lo"), (lo + F.col("l_quantity").cast("long") % 40).alias("hi"))
+    return joins.merged(rows, ["k"], most=5_000)
+
+
+@query(f"""WITH {_UNION}, c AS (SELECT k, CAST(sum(hi - lo) AS BIGINT) AS covered FROM u GROUP BY k)
+SELECT s_suppkey AS k, CAST(15000 AS BIGINT) AS length, coalesce(covered, 0) AS covered, round(1 - coalesce(covered, 0) / 15000.0::DOUBLE, 12) AS uncovered_share FROM supplier LEFT JOIN c ON k = s_suppkey""")
+def coverage_share(spark, sf_dir):
+    """How much of each key's length its intervals leave uncovered."""
+    lengths = _rows(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.lit(15000).cast("long").alias("length"))
+    return joins.covered(_intervals(spark, sf_dir), ["k"], lengths).withColumn("uncovered_share", F.round("uncovered_share", 12))
+
+
 _TYPE = "(SELECT min(event_type) FROM events)"
 
 

@@ -96,3 +96,24 @@ def guides_of(reference: Cohort, n: int) -> DataFrame:
     rows = sites.select(F.substring("kmer", 1, 20).alias("spacer"), spread.alias("o"), "contig_ix", "pos").groupBy("spacer").agg(F.min(F.struct("o", "contig_ix", "pos")).alias("at"))
     rows = rows.orderBy("at", "spacer").limit(n)
     return rows.select((F.col("at.o") * 1000 + F.col("at.pos") % 1000).alias("gid"), "spacer")
+
+
+def known_edits(mutated: Cohort) -> DataFrame:
+    """The ``ops`` of the mutated cohort by the rule that made it: the stream is the reference's but for a literal base at each substitution."""
+    q = mutated.q
+    first = F.pmod(-F.col("asm_id") * 104729 * 179, F.lit(300)).cast("long")
+    at = F.when(F.col("len") > first, F.sequence(first, F.col("len") - 1, F.lit(300).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    subs = mutated.contigs.select("asm_id", "boff", F.explode(at).alias("p")).select("asm_id", (F.col("boff") + F.col("p")).alias("g"))
+    lits = mutated.blocks.select("asm_id", "block_ix", "blen", F.col("seq").cast("string").alias("seq"))
+    marks = subs.groupBy("asm_id", F.floor(F.col("g") / q).alias("block_ix")).agg(F.array_sort(F.collect_list((F.col("g") % q).cast("int"))).alias("at"))
+    rows = lits.join(marks, ["asm_id", "block_ix"], "left").withColumn("at", F.coalesce("at", F.array().cast("array<int>")))
+    ends = F.concat(F.array(F.lit(-1)), F.col("at"), F.array(F.col("blen").cast("int")))
+    gap = lambda i: F.struct(F.lit(1).alias("kind"), (F.get("ends", i) + 1).alias("dst"), (F.get("ends", i + 1) - F.get("ends", i) - 1).alias("len"))
+    rows = rows.withColumn("ends", ends)
+    copies = F.transform(F.sequence(F.lit(0), F.size("at")), gap)
+    singles = F.transform("at", lambda o: F.struct(F.lit(0).alias("kind"), o.alias("dst"), F.lit(1).alias("len")))
+    both = F.array_sort(F.transform(F.filter(F.concat(copies, singles), lambda x: x["len"] > 0), lambda x: F.struct(x["dst"].alias("dst"), x["kind"].alias("kind"), x["len"].alias("len"))))
+    each = rows.select("asm_id", "block_ix", "seq", F.posexplode(both).alias("op_ix", "x"))
+    src = F.when(F.col("x.kind") == 1, F.col("block_ix") * q + F.col("x.dst")).otherwise(F.lit(0)).cast("long")
+    lit = F.when(F.col("x.kind") == 0, F.expr("substring(seq, x.dst + 1, 1)").cast("binary"))
+    return each.select("asm_id", "block_ix", "op_ix", "x.kind", "x.dst", "x.len", src.alias("src"), lit.alias("lit"))

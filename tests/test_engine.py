@@ -526,7 +526,8 @@ def test_token_access(spark, cohort):
     asked = []
     for d, t in tokens.items():
         for lo in (0, len(t) - 1, r.randrange(len(t))):
-            asked += [(len(asked), d, lo, n) for n in (0, 1, len(t) - lo)]
+            for n in (0, 1, len(t) - lo):
+                asked.append((len(asked), d, lo, n))
     schema = "id int, doc_ix long, offset long, length long"
     got = {x.id: (x.tokens, x.ends) for x in training.get(cohort, spark.createDataFrame(asked, schema)).collect()}
     assert got == {i: (tokens[d][lo : lo + n], n > 0 and lo + n == len(tokens[d])) for i, d, lo, n in asked}
@@ -541,3 +542,66 @@ def test_token_access(spark, cohort):
     for p in sorted(training.token_pieces(cohort).collect(), key=lambda p: (p.asm_id, p.contig_ix, p.at)):
         pieces.setdefault((p.asm_id, p.contig_ix), []).extend(p.tokens)
     assert pieces == whole
+
+
+def _union(rows):
+    out = []
+    for k, lo, hi in sorted((x for x in rows if x[2] > x[1]), key=lambda x: (str(x[0]), *x[1:])):
+        if out and out[-1][0] == k and lo <= out[-1][2]:
+            out[-1][2] = max(out[-1][2], hi)
+        else:
+            out.append([k, lo, hi])
+    return sorted(map(tuple, out), key=str)
+
+
+def test_a_key_is_merged_in_ranges(spark):
+    """Spans over many ranges, ranges without a new run, a null key, one place with most rows: as in one go."""
+    r = random.Random(8)
+    rows = [(r.choice([0, 0, 0, 0, 1, None]), s := r.randrange(0, 20_000, 3), s + r.choice([0, 1, 3, 5, 40])) for _ in range(2500)]
+    rows += [(0, 900, 4200), (0, 4200, 4201), (0, 15_000, 15_000), (None, 5, 9000), (0, 19_000, 30_000)] + [(0, 77, 78 + i % 3) for i in range(1000)]
+    table = spark.createDataFrame(rows, "k int, lo long, hi long")
+    for most in (40, 300, 10**6):
+        assert sorted(map(tuple, joins.merged(table, ["k"], most).collect()), key=str) == _union(rows), most
+    plain = table.select("lo", "hi")
+    assert sorted(map(tuple, joins.merged(plain, [], 50).collect())) == [x[1:] for x in sorted(_union([(0, *x[1:]) for x in rows]))]
+    lengths = spark.createDataFrame([(0, 40_000), (1, 40_000), (9, 10)], "k int, length long")
+    got = {x.k: (x.covered, x.uncovered_share) for x in joins.covered(table, ["k"], lengths).collect()}
+    size = {k: sum(hi - lo for j, lo, hi in _union(rows) if j == k) for k in (0, 1)}
+    assert got == {0: (size[0], 1 - size[0] / 40_000), 1: (size[1], 1 - size[1] / 40_000), 9: (0, 1.0)}
+
+
+def test_seeded_splits_are_exact(spark, cohort, ops):
+    names = spark.createDataFrame([(i, f"y1_P{i // 2}.{i % 2 + 1}") for i in range(26)], "asm_id int, assembly string")
+    tiles = spark.createDataFrame([(i, 0, k, 100 * k, 100 * k + 50) for i in range(26) for k in range(40)], "asm_id int, contig_ix int, start0 long, ref_lo long, ref_hi long")
+    seen = set()
+    for seed in range(6):
+        side = {}
+        for r in edits.by_people(tiles, names, seed).collect():
+            side.setdefault(r.asm_id // 2, set()).add(r.train)
+        assert all(len(x) == 1 for x in side.values()) and sum(x == {True} for x in side.values()) == 6
+        seen.add(frozenset(k for k, x in side.items() if x == {True}))
+        coins = {}
+        for r in edits.by_locus(tiles, 200, seed).collect():
+            coins.setdefault(r.ref_lo // 200, set()).add(r.train)
+        assert all(len(x) == 1 for x in coins.values()) and 2 <= sum(x == {True} for x in coins.values()) <= 18
+    assert len(seen) > 3
+
+
+def test_summaries_of_tiles_and_copies(spark, cohort, ops, spans):
+    w = 256
+    tiles = edits.tilemap(cohort, ops, w)
+    rows = tiles.collect()
+    got = edits.tile_summary(tiles, w).first()
+    both = [t for t in rows if t.ref_lo is not None]
+    assert got.windows == len(rows) and got.both_ends == len(both) and got.literal_end == sum(0 in (t.cls_start, t.cls_end) for t in rows)
+    assert got.span_off == sum(abs(t.ref_hi - t.ref_lo - w) > w // 10 for t in both)
+    shares, each = edits.copy_shares(ops).first(), {r.kind: r for r in edits.copy_statistics(ops).collect()}
+    total = sum(r.bases for r in each.values())
+    assert shares.bases == total and abs(shares.rc_percent - 100 * each[3].bases / total) < 1e-9 and shares.own_percent == 0
+    assert abs(shares.ref_percent + shares.lit_percent - 100) < 1e-9 and shares.copies == each[1].ops + each[3].ops
+    bits = {(r.field, r.context): r.bits for r in edits.code_lengths(ops).collect()}
+    assert all(bits[f, "own kind"] <= bits[f, "none"] + 1e-6 and bits[f, "kind before"] <= bits[f, "none"] + 1e-6 for f in ("kind", "length", "jump"))
+    assert bits["kind", "own kind"] == 0
+    for r in edits.haplotype_coverage(cohort, spans).collect():
+        mine = {(x.contig_ix, p) for x in spans.where(F.col("asm_id") == r.asm_id).collect() for p in range(x.a, x.a + x.len)}
+        assert r.covered == len(mine) and abs(r.uncovered_share - (1 - len(mine) / r.length)) < 1e-12
