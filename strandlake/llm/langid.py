@@ -118,9 +118,14 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """
     known = docs.where("lang is not null").select("doc_id", "lang", "text", F.xxhash64("text").alias("h"))
     counts = known.groupBy("lang").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "lang").limit(LANGUAGES)
-    first = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(2)), "doc_id", "h"))
-    rows = known.select("lang", "doc_id", "h").distinct().join(F.broadcast(counts.select("lang")), "lang")
-    some = rows.withColumn("i", first).where(F.col("i") <= sample)  # tasks keep `sample` rows of a language before they meet
+    rows = known.select("lang", "doc_id", "h").distinct().join(F.broadcast(counts.select("lang")), "lang").withColumn("o", F.xxhash64("doc_id", F.lit(2)))
+    # counts of 1024 ranges of the hash tell up to which one a language has enough, so that few more rows than the sample meet in a task
+    rows = rows.withColumn("range", F.shiftright("o", 54))
+    upto = F.sum("n").over(W.partitionBy("lang").orderBy("range"))
+    ranges = rows.groupBy("lang", "range").agg(F.count("*").alias("n")).withColumn("before", upto - F.col("n")).where(F.col("before") < sample)
+    rows = rows.join(F.broadcast(ranges.groupBy("lang").agg(F.max("range").alias("last"))), "lang").where("range <= last")
+    first = F.row_number().over(W.partitionBy("lang").orderBy("o", "doc_id", "h"))
+    some = rows.withColumn("i", first).where(F.col("i") <= sample)
     some = F.broadcast(some.select("lang", F.col("doc_id").alias("id"), "h", "i"))  # sample * LANGUAGES rows at most
     texts = known.join(some, ["lang", "h"]).where(F.col("doc_id").eqNullSafe(F.col("id")))
 
