@@ -1,14 +1,16 @@
 """Quality by nearest-neighbour voting over latent-semantic vectors of labelled documents.
 
-A text's terms are 1- to 5-grams of its shape: its characters with letters, digits and white space folded into classes and
-runs of one class shortened; beside them stand the repeats of words and lines. Terms are hashed, weighed by TF-IDF and
-projected to a few dozen dimensions by a singular value decomposition of the labelled sample. The sample's vectors go to
+A text's terms are its words and pairs of neighbouring words, and 1- to 5-grams of its shape: its characters with letters, digits and
+white space folded into classes and runs of one class shortened; beside them stand the repeats of words and lines. Words and shapes are hashed
+to terms of their own, weighed by TF-IDF, each kind scaled to its share of a vector of length one, and
+projected together to a few dozen dimensions by a singular value decomposition of the labelled sample. The sample's vectors go to
 every task (their number is a parameter, so their size is bounded), and each batch of documents is multiplied with all of
 them, block by block.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +21,8 @@ from pyspark.sql import functions as F
 
 from strandlake.llm import text as tx
 
-DIM = 4096
+#: Terms of shapes, and all terms: those of words follow. The share of a text's squared length that its words have.
+SHAPES, DIM, WORDS = 4096, 8192, 0.3
 #: Labelled documents the model is fitted on, at most: those whose ids have the smallest hashes.
 SAMPLE = 2500
 RANK, NEIGHBOURS, POWER = 48, 25, 8.0
@@ -55,7 +58,7 @@ def terms(data: bytes) -> tuple[np.ndarray, np.ndarray]:
         if not len(h):
             break
         found.append((h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B) >> np.uint32(20))
-    counts = np.bincount(np.concatenate(found), minlength=DIM) if found else np.zeros(DIM, np.int64)
+    counts = np.bincount(np.concatenate(found), minlength=DIM) if found else np.zeros(DIM, np.int64)  # 12 bits: under SHAPES
     counts[:_OWN] = 0
     words = tx.hashed(tx.ascii_words(data))
     for lag in (1, 2, 3):
@@ -64,12 +67,17 @@ def terms(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     counts[4] = 4 * (len(lines) - len(set(lines)))
     grams = tx.ngrams(words, 3)
     counts[5] = len(grams) - len(np.unique(grams))
+    both = np.concatenate([tx.mix(words), tx.ngrams(words, 2)]) if len(words) > 1 else tx.mix(words)
+    counts[SHAPES:] = np.bincount((both >> np.uint64(52)).astype(np.int64), minlength=DIM - SHAPES)  # 12 bits
     at = np.flatnonzero(counts)
     return at.astype(np.int32), counts[at].astype(np.float32)
 
 
 def _weigh(at: np.ndarray, n: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    v = np.sqrt(n.astype(float) / n.sum()) * idf[at]
+    v = np.sqrt(n.astype(float)) * idf[at]
+    shapes = int(np.searchsorted(at, SHAPES))
+    for part, share in ((v[:shapes], 1 - WORDS), (v[shapes:], WORDS)):
+        part *= math.sqrt(share) / max(float(np.linalg.norm(part)), 1e-9)
     return v / max(float(np.linalg.norm(v)), 1e-9)
 
 

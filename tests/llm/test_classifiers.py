@@ -151,3 +151,17 @@ def test_a_repeated_id_takes_no_other_labels_place(spark):
     one = scores(train + unseen + hot[:1], labels + [(9000, 1)])
     assert scores(train + unseen + hot, labels + [(9000, 1)]) == one
     assert all((s < 0.5) == (i % 2 == 1) for i, s in one)
+
+
+def test_content_counts_beside_shape(spark):
+    """Fluent nonsense: texts and their rot13 have one shape, so only their words can tell them apart."""
+    import codecs
+
+    said = lambda i: text("en", 60, i) if i % 2 else codecs.encode(text("en", 60, i), "rot13")
+    train = [(i, said(i)) for i in range(300)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, label int")
+    unseen = [(1000 + i, said(5000 + i)) for i in range(100)]
+    out = {r.doc_id: r.score for r in knn.quality_scores(documents(spark, train + unseen), labels).collect()}
+    assert sum((out[1000 + i] >= 0.3) == (i % 2 == 1) for i in range(100)) >= 95
+    shapes = lambda t: [x[x_at < knn.SHAPES].tolist() for x_at, x in [knn.terms(t.encode())]]
+    assert shapes(text("en", 30, 1)) == shapes(codecs.encode(text("en", 30, 1), "rot13"))
