@@ -25,9 +25,10 @@ from strandlake.scratch import Scratch
 GOLDEN = 0.6180339887498949
 #: Words of a block; cells that the cumulative targets are looked up by; slots that are ranked together.
 BLOCK, CELLS, CHUNK = 2048, 4096, 65536
-#: Digits of the hash that prefix sums and ranges are cut by; rows that agree and are dealt together; parts of the schedule that
-#: rows are put in order by.
-COARSE, FINE, CUT, RUN, STRETCHES = 2, 4, 3, 8192, 1024
+#: Digits of the hash that prefix sums and ranges are cut by; rows that agree and are dealt together.
+COARSE, FINE, CUT, RUN = 2, 4, 3, 8192
+#: Parts of the schedule that rows are put in order by, for each shuffle partition; bounds of them, at 16 bytes, that go to every task.
+STRETCHES, BOUNDS = 16, 1_000_000
 
 
 def word_count(text: Column) -> Column:
@@ -163,24 +164,52 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
     return Mix(placed, scratch.save(pieces.drop("start", "end"), "pieces"), slots)
 
 
+def _number(h: Column) -> Column:
+    """The first 15 hexadecimal digits."""
+    return F.conv(F.substring(h, 1, 15), 16, 10).cast("long")
+
+
+def _last_not_above(bounds: Column, x: Column) -> Column:
+    """Which of the sorted ``bounds``, counted from 1, is the last that isn't above ``x`` (the first, if all are), by bisection."""
+    mid = lambda s: F.floor((s["lo"] + s["hi"] + 1) / 2).cast("int")
+    pair = lambda lo, hi: F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
+    step = lambda s, _: F.when(s["lo"] >= s["hi"], s).when(F.element_at(bounds, mid(s)) <= x, pair(mid(s), s["hi"])).otherwise(pair(s["lo"], mid(s) - 1))
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(bounds))).cast("int"))
+    return F.aggregate(steps, pair(F.lit(1), F.size(bounds)), step, lambda s: s["lo"])
+
+
+def _in_stretches(rows: DataFrame, begun: DataFrame, scratch: Scratch) -> DataFrame:
+    """``rows(__h, __k, ..)`` with ``__stretch``, once for each time that the mix begins the row.
+
+    A source's documents follow in the order of their hashes, and each epoch begins those up to some hash. So for each source and epoch
+    that hash and the sorted hashes at which stretches begin tell where a row goes, by bisection. With more than ``BOUNDS`` of them
+    (sources times stretches), rows are joined to ranges of hashes by source and first digits instead.
+    """
+    ranges = scratch.save(begun.groupBy("k", "epoch", "stretch").agg(F.min("h").alias("since"), F.max("h").alias("last")), "ranges")
+    if ranges.limit(BOUNDS + 1).count() <= BOUNDS:
+        each = F.array_sort(F.collect_list(F.struct(_number(F.col("since")).alias("since"), "stretch")))
+        bounds = ranges.groupBy("k", "epoch").agg(each.alias("x"), F.max("last").alias("__last"))
+        bounds = bounds.select(F.col("k").alias("__k"), "__last", F.col("x.since").alias("__bounds"), F.col("x.stretch").alias("__stretches"))
+        placed = rows.join(F.broadcast(bounds), "__k").where("__h <= __last")
+        return placed.withColumn("__stretch", F.element_at("__stretches", _last_not_above(F.col("__bounds"), _number(F.col("__h")))))
+    cell = lambda c: F.conv(F.substring(c, 1, CUT), 16, 10).cast("int")
+    ranges = ranges.select(F.col("k").alias("__k"), F.col("stretch").alias("__stretch"), F.col("since").alias("__since"), F.col("last").alias("__last"), F.explode(F.sequence(cell("since"), cell("last"))).alias("__cell"))
+    return rows.withColumn("__cell", cell("__h")).join(ranges, ["__k", "__cell"]).where("__h >= __since and __h <= __last")
+
+
 def rows_in_order(docs: DataFrame, mixed: Mix) -> DataFrame:
     """The rows of ``docs(doc_id, text, source, ...)``, whole and with all their columns, in the order of the mix: a row comes as
     often as the mix begins it, twice, once or not at all.
 
-    The schedule is cut into ``STRETCHES`` of slots. As a source's documents follow in the order of their hashes, each stretch holds one
-    range of hashes of each source and epoch, so a table of the ranges (some for each source and stretch, whatever the rows) tells
-    on the map side where a row goes, and texts are shuffled once, to their stretch. Rows that agree in id and text are
-    counted first and come as often as all of them do.
+    The schedule is cut into stretches, ``STRETCHES`` for each shuffle partition, so work is dealt as finely as the shuffle is. Where a row goes is
+    told on the map side (``_in_stretches``), and texts are shuffled once, to their stretch; within one they come by their hashes.
+    Rows that agree in id and text are counted first and come as often as all of them do.
     """
     scratch = Scratch(docs.sparkSession)
     names = docs.columns
-    length = max(1, -(-mixed.slots // STRETCHES))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    length = max(1, -(-mixed.slots // (STRETCHES * parts)))
     begun = scratch.save(mixed.begun().withColumn("stretch", F.floor(F.col("position") / length)), "begun")
-    # [since, until) of hashes for each stretch of a source's epoch; ranges are cut at the first digits, by which they are joined
-    ranges = begun.groupBy("k", "epoch", "stretch").agg(F.min("h").alias("since"), F.max("h").alias("last"))
-    cell = lambda c: F.conv(F.substring(c, 1, CUT), 16, 10).cast("int")
-    ranges = ranges.select("k", "stretch", "since", "last", F.explode(F.sequence(cell("since"), cell("last"))).alias("cell"))
-    ranges = scratch.save(ranges.select(*(F.col(c).alias(f"__{c}") for c in ranges.columns)), "ranges")
     repeats = begun.where("copies > 1").groupBy("h", "k", "stretch").agg(F.count("*").alias("times"))
     repeats = scratch.save(repeats.select(*(F.col(c).alias(f"__{c}") for c in repeats.columns)), "repeats")
     again = scratch.save(mixed.documents.where("copies > 1 and size > 0").select(F.col("h").alias("__h"), F.col("k").alias("__k")).distinct(), "again")
@@ -190,8 +219,7 @@ def rows_in_order(docs: DataFrame, mixed: Mix) -> DataFrame:
     entry = ["__h", "__k"]
     repeated = not again.isEmpty()
     single = keyed.join(broadcast_if_small(again), entry, "left_anti") if repeated else keyed
-    placed = single.withColumn("__cell", cell("__h")).join(broadcast_if_small(ranges), ["__k", "__cell"]).where("__h >= __since and __h <= __last")
-    placed = placed.select(*names, "__h", "__stretch", F.lit(1).cast("long").alias("__times"))
+    placed = _in_stretches(single, begun, scratch).select(*names, "__h", "__stretch", F.lit(1).cast("long").alias("__times"))
     if repeated:
         # counted where they are read; kinds of them that differ in other columns take their entry's places in proportion
         alike = keyed.join(broadcast_if_small(again), entry, "left_semi").groupBy(*entry, *names).agg(F.count("*").alias("__rows"))
@@ -201,7 +229,8 @@ def rows_in_order(docs: DataFrame, mixed: Mix) -> DataFrame:
         share = lambda upto: F.floor(F.col("__times") * upto / F.col("__all"))
         alike = alike.withColumn("__times", share(F.col("__upto")) - share(F.col("__upto") - F.col("__rows"))).where("__times > 0")
         placed = placed.unionByName(alike.select(*names, "__h", "__stretch", "__times"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = placed.repartitionById(parts, F.pmod(F.floor(F.col("__stretch") * parts / STRETCHES), F.lit(parts)).cast("int"))
+    # slots that the schedule's discrepancy left open come after the last stretch
+    own = F.least(F.floor(F.col("__stretch") / STRETCHES), F.lit(parts - 1)).cast("int")
+    placed = placed.repartitionById(parts, own)
     out = placed.withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times"))))
     return out.sortWithinPartitions("__stretch", "__h").select(*names)

@@ -98,3 +98,25 @@ def test_stage_follows_the_schedule(spark):
     assert sum(a > b for a, b in zip(stretch, stretch[1:])) <= len(stretch) // 20
     share = lambda ids: sum(i % 3 == 0 for i in ids) / len(ids)
     assert all(abs(share(out[k : k + 120]) - share(out)) < 0.15 for k in range(0, len(out) - 120, 60))
+
+
+def test_bisected_bounds_and_ranges_agree(spark, monkeypatch):
+    """A hot source, repeated rows and a source of one row: the same rows either way, one source's stretch by stretch in order of hashes."""
+    rows = [(i, prose(30 + i % 200, i % 70), "en", "hot" if i % 3 else f"s{i % 7}") for i in range(400)] + [(9, prose(80, 9), "en", "hot")] * 30 + [(1000, prose(50, 1), None, None)]
+    docs = documents(spark, rows)
+    a = stages.mix(spark, docs, "").collect()
+    monkeypatch.setattr(mixing, "BOUNDS", 0)
+    b = stages.mix(spark, docs, "").collect()
+    key = lambda r: (str(r.doc_id), str(r.source), r.text)
+    assert sorted(map(key, a)) == sorted(map(key, b)) and len(a) > 400
+    assert [key(r) for r in a] == [key(r) for r in b]
+
+
+def test_bisection(spark):
+    from pyspark.sql import functions as F
+
+    for n in (1, 2, 3, 7, 8, 1000):
+        bounds = [3 * i for i in range(n)]
+        rows = spark.createDataFrame([(bounds, x) for x in range(-2, 3 * n + 4)], "b array<long>, x long")
+        got = rows.select("x", mixing._last_not_above(F.col("b"), F.col("x")).alias("i")).collect()
+        assert all(r.i == max(1, sum(b <= r.x for b in bounds)) for r in got)
