@@ -25,6 +25,8 @@ SEED, STRIDE, CANDIDATES, MIN_COPY = 24, 8, 32, 20
 PASS = 1024
 #: Bases of a reference that goes to every executor, with an eighth as many seeds of 16 bytes.
 LOCAL = 2**26
+#: Hits in the reference that go to every task.
+PLACED = 1_000_000
 OPS = "asm_id int, block_ix long, op_ix int, kind int, dst int, len int, src long, lit binary"
 TURNED = 2**40  # added to diagonals of the other strand, to sort them after the rest
 _COMP = np.arange(256, dtype=np.uint8)
@@ -290,34 +292,78 @@ def residual_chunks(cohort: Cohort, gaps: DataFrame) -> DataFrame:
 def transfer(hits: DataFrame, spans: DataFrame, reference: Cohort, k: int, flip: bool = True, reverse: bool = True) -> DataFrame:
     """Hits in the reference carried to every run that holds them: each is found once and copied, not searched again.
 
-    ``flip`` and ``reverse`` are there for negative controls: without the one, hits on reversed runs keep the reference's strand;
-    without the other they are dropped.
+    Up to PLACED hits, which is checked, go to every task in order of their places, and each run takes its slice of them where it is read; more are
+    joined to runs by bins of their places. ``flip`` and ``reverse`` are there for negative controls: without the one, hits on reversed runs
+    keep the reference's strand; without the other they are dropped.
     """
     c = reference.contigs.select("contig_ix", "boff")
     points = hits.drop("asm_id").join(joins.broadcast_if_small(c), "contig_ix").withColumn("pos", F.col("boff") + F.col("pos")).drop("boff", "contig_ix")
+    rest = [x for x in hits.columns if x not in ("asm_id", "contig_ix", "pos", "strand")]
+    points = points.select("pos", "strand", *rest)
+    few = points.limit(PLACED + 1).toArrow()
+    if len(few) <= PLACED:
+        return _transfer_few(few.sort_by([(n, "ascending") for n in few.column_names]), spans, k, flip, reverse, hits)
     held = spans.where(F.col("len") >= k).withColumn("lo", F.col("ref_lo")).withColumn("hi", F.col("ref_lo") + F.col("len") - k + 1)
     both = joins.point_join(points, held, [], 4 * reference.q)
     if not reverse:
         both = both.where("dir = 0")
     at = F.when(F.col("dir") == 0, F.col("a") + F.col("pos") - F.col("ref_lo")).otherwise(F.col("a") + F.col("ref_lo") + F.col("len") - k - F.col("pos"))
     strand = F.col("strand").bitwiseXOR(F.col("dir")) if flip else F.col("strand")
-    rest = [x for x in hits.columns if x not in ("asm_id", "contig_ix", "pos", "strand")]
     return both.select("asm_id", "contig_ix", at.alias("pos"), *rest, strand.alias("strand")).select(*hits.columns)
 
 
-def search_by_transfer(cohort: Cohort, reference: Cohort, spans: DataFrame, patterns: DataFrame) -> DataFrame:
-    """The hits of a full scan, with ``origin``: carried from the reference, or found in the windows that no run holds."""
+def _transfer_few(points: pa.Table, spans: DataFrame, k: int, flip: bool, reverse: bool, hits: DataFrame) -> DataFrame:
+    names, where = hits.columns, points.column("pos").to_numpy()
+    shared = hits.sparkSession.sparkContext.broadcast(points)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        points = shared.value.combine_chunks()
+        where = points.column("pos").to_numpy()
+        for b in batches:
+            asm, contig, a, n, ref, turned = (b.column(i).to_numpy() for i in range(6))
+            lo, hi = np.searchsorted(where, ref, "left"), np.searchsorted(where, ref + n - k, "right")
+            size = np.maximum(hi - lo, 0)
+            own = np.repeat(np.arange(len(n)), size)
+            which = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(len(own))
+            got = points.take(pa.array(which))
+            off = where[which] - ref[own]
+            at = np.where(turned[own] == 0, a[own] + off, a[own] + n[own] - k - off)
+            strand = got.column("strand").to_numpy()
+            columns = {"asm_id": pa.array(asm[own]), "contig_ix": pa.array(contig[own]), "pos": pa.array(at), "strand": pa.array((strand ^ turned[own]) if flip else strand, pa.int32())}
+            yield pa.RecordBatch.from_arrays([columns[c] if c in columns else got.column(c).combine_chunks() for c in names], names)
+
+    if not len(where):
+        return hits.where("false")
+    # runs that no hit can stand on are left out by their places before they reach a worker
+    held = spans.where((F.col("len") >= k) & (F.col("ref_lo") <= int(where[-1])) & (F.col("ref_lo") + F.col("len") - k >= int(where[0])))
+    if not reverse:
+        held = held.where("dir = 0")
+    return held.select("asm_id", "contig_ix", F.col("a").cast("long"), F.col("len").cast("long"), F.col("ref_lo").cast("long"), F.col("dir").cast("int")).mapInArrow(run, hits.schema)
+
+
+def search_by_transfer(cohort: Cohort, reference: Cohort, spans: DataFrame, patterns: DataFrame, gaps: DataFrame | None = None) -> DataFrame:
+    """The hits of a full scan, with ``origin``: carried from the reference, or found in the windows that no run holds.
+
+    ``gaps`` are those windows' bases (``residual_chunks``), if they are stored; else they are cut out here.
+    """
+    gaps = residual_chunks(cohort, residual(cohort, spans, kmers.K)) if gaps is None else gaps
     carried = transfer(kmers.search(reference, patterns), spans, reference, kmers.K).withColumn("origin", F.lit("transfer"))
-    found = kmers.search(cohort, patterns, residual_chunks(cohort, residual(cohort, spans, kmers.K))).withColumn("origin", F.lit("residual"))
+    found = kmers.search(cohort, patterns, gaps).withColumn("origin", F.lit("residual"))
     return carried.unionByName(found)
 
 
-def sites_by_transfer(cohort: Cohort, reference: Cohort, spans: DataFrame, guides: DataFrame, most: int) -> DataFrame:
+def sites_by_transfer(cohort: Cohort, reference: Cohort, spans: DataFrame, guides: DataFrame, most: int, gaps: DataFrame | None = None) -> DataFrame:
+    gaps = residual_chunks(cohort, residual(cohort, spans, kmers.K)) if gaps is None else gaps
     carried = transfer(kmers.guide_sites(reference, guides, most), spans, reference, kmers.K).withColumn("origin", F.lit("transfer"))
-    found = kmers.guide_sites(cohort, guides, most, residual_chunks(cohort, residual(cohort, spans, kmers.K))).withColumn("origin", F.lit("residual"))
+    found = kmers.guide_sites(cohort, guides, most, gaps).withColumn("origin", F.lit("residual"))
     return carried.unionByName(found)
 
 
+def stored_gaps(cohort: Cohort, spans: DataFrame, k: int = kmers.K) -> DataFrame:
+    """The bases of the windows that no run holds, stored once for a cohort and its runs: all that a search by transfer reads of it."""
+    return Scratch(cohort.spark).save(residual_chunks(cohort, residual(cohort, spans, k)), "gaps")
+
+
 def origin_split(hits: DataFrame, key: str) -> DataFrame:
     """For each pattern or guide: hits in all, carried, residual, the residual share, and the assemblies that have residual ones."""
     gone = F.col("origin") == "residual"

@@ -59,7 +59,8 @@ def get(cohort: Cohort, requests: DataFrame, subset: DataFrame | None = None, id
     c = cohort.contigs.select("asm_id", "contig_ix", "boff")
     # what was asked is one struct, so that a window's key carries it
     asked = F.struct("id", "doc_ix", "offset", "length", "ends").alias("id")
-    r = r.withColumn("asm_id", F.when(F.col("ends").isNotNull(), F.col("asm_id"))).join(joins.broadcast_if_small(c), ["asm_id", "contig_ix"])
+    # a request for a document that isn't there must fail, not drop out of the joins
+    r = r.withColumn("asm_id", F.when(F.col("ends").isNotNull(), F.coalesce("asm_id", F.lit(-1)))).join(joins.broadcast_if_small(c), ["asm_id", "contig_ix"], "left")
     r = r.select(asked, "asm_id", (F.col("boff") + F.col("offset")).alias("start"), (F.col("length") - F.col("ends").cast("long")).alias("length"), F.lit(False).alias("rc"))
     rows = cohort.windows(r, case=False)
     bases = F.when(F.length("seq") > 0, B.token_ids(F.col("seq"), ids)).otherwise(F.array().cast("array<int>"))

@@ -321,8 +321,23 @@ def hits_digest(spark, sf_dir):
 def hits_by_transfer(spark, sf_dir):
     """The reference scanned once and its hits carried through the edits, and the windows that no run holds scanned."""
     w = D.world(spark, sf_dir)
-    spans = _spans(spark, sf_dir)
-    return edits.search_by_transfer(w.mutated, w.reference, spans, w.patterns).drop("origin")
+    return edits.search_by_transfer(w.mutated, w.reference, _spans(spark, sf_dir), w.patterns, _gaps(spark, sf_dir)).drop("origin")
+
+
+#: 64 haplotypes, numbered in order of their names; 7919 * 179 is 1 mod 300, so the substitutions are those of one remainder. A window of 23
+#: bases holds one of them at most, so each window is the reference's with a base changed
+_MANY = f"""{_REF},
+kmers0 AS (SELECT contig_ix, pos, substr(seq, CAST(pos + 1 AS INT), 23) AS kmer FROM (SELECT *, unnest(range(greatest(length(seq) - 22, 0))) AS pos FROM ref)),
+people AS (SELECT CAST(row_number() OVER (ORDER BY 'y1_P' || (i // 2) || '.' || (i % 2 + 1)) - 1 AS INT) AS asm_id, (300 - i * 104729 * 179 % 300) % 300 AS f FROM range(64) s(i)),
+placed AS (SELECT asm_id, contig_ix, pos, kmer, CAST((f - pos % 300 + 300) % 300 AS INT) AS o FROM kmers0, people),
+whole AS (SELECT contig_ix, pos, asm_id, CASE WHEN o < 23 THEN substr(kmer, 1, o) || translate(substr(kmer, o + 1, 1), 'ACGT', 'TGCA') || substr(kmer, o + 2) ELSE kmer END AS kmer FROM placed)"""
+
+
+@query(f"WITH {_MANY}, {_PATTERNS}, kmers AS (SELECT * FROM whole), {_HITS} SELECT asm_id, contig_ix, pos, pid, strand FROM hits")
+def hits_of_many(spark, sf_dir):
+    """64 haplotypes, by transfer."""
+    w, m = D.world(spark, sf_dir), D.many(spark, sf_dir)
+    return edits.search_by_transfer(m.cohort, w.reference, m.spans, w.patterns, m.gaps).drop("origin")
 
 
 @query(f"{_TEXT_HITS} SELECT asm_id, contig_ix, pos, pid, strand FROM hits")
@@ -411,7 +426,14 @@ def guide_sites(spark, sf_dir):
 @query(f"{_MUTATED_SITES} SELECT asm_id, contig_ix, pos, gid, strand, mm FROM found")
 def guide_sites_by_transfer(spark, sf_dir):
     w = D.world(spark, sf_dir)
-    return edits.sites_by_transfer(w.mutated, w.reference, _spans(spark, sf_dir), w.guides, 4).drop("origin")
+    return edits.sites_by_transfer(w.mutated, w.reference, _spans(spark, sf_dir), w.guides, 4, _gaps(spark, sf_dir)).drop("origin")
+
+
+@query(f"WITH {_MANY}, kmers AS (SELECT * FROM kmers0), {_GUIDES}, kmers2 AS (SELECT * FROM whole WHERE kmer LIKE '%GG' OR kmer LIKE 'CC%'), {_SITES} SELECT asm_id, contig_ix, pos, gid, strand, mm FROM found")
+def guide_sites_of_many(spark, sf_dir):
+    """64 haplotypes, by transfer."""
+    w, m = D.world(spark, sf_dir), D.many(spark, sf_dir)
+    return edits.sites_by_transfer(m.cohort, w.reference, m.spans, w.guides, 4, m.gaps).drop("origin")
 
 
 @query(f"{_MUTATED_SITES} SELECT asm_id, contig_ix, pos, gid, strand, mm FROM found")
@@ -469,6 +491,13 @@ def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cache[key]
 
 
+def _gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = (spark.sparkContext.applicationId, sf_dir, "gaps")
+    if key not in _cache:
+        _cache[key] = edits.stored_gaps(D.world(spark, sf_dir).mutated, _spans(spark, sf_dir))
+    return _cache[key]
+
+
 @query(f"""WITH {_MUTATED}, s AS (SELECT asm_id, string_agg(seq, '' ORDER BY contig_ix) AS seq, sum(len) AS n FROM contigs GROUP BY asm_id), b AS (SELECT asm_id, unnest(range(CAST((n + 1023) // 1024 AS BIGINT))) AS block_ix, seq FROM s)
 SELECT asm_id, CAST(block_ix AS BIGINT) AS block_ix, sha256(substr(seq, CAST(block_ix * 1024 + 1 AS INT), 1024)) AS sha256 FROM b""")
 def edits_executed(spark, sf_dir):

@@ -34,6 +34,7 @@ class World:
     reference: Cohort
     patterns: DataFrame
     guides: DataFrame
+    contigs: DataFrame  # those of the reference
     people: DataFrame  # the contigs of the mutated cohort, for cohorts of other block sizes
 
 
@@ -58,6 +59,38 @@ def mutated(seq: Column, individual: Column) -> Column:
     return F.concat(F.array_join(pieces, ""), rest)
 
 
+def haplotypes(ref: DataFrame, n: int) -> DataFrame:
+    """The contigs of ``n`` haplotypes, two an individual."""
+    people = ref.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    label = F.concat(F.lit("y1_P"), F.floor(F.col("i") / 2).cast("string"), F.lit("."), (F.col("i") % 2 + 1).cast("string"))
+    return people.select(label.alias("assembly"), "order", "header", "line_width", mutated(F.col("seq"), F.col("i")).alias("seq"))
+
+
+@dataclass
+class Many:
+    """A cohort of many haplotypes with its runs and the bases that no run holds."""
+
+    cohort: Cohort
+    spans: DataFrame
+    gaps: DataFrame
+
+
+_many: dict[tuple[str, str], Many] = {}
+
+
+def many(spark: SparkSession, sf_dir: str, n: int = 64) -> Many:
+    """64 haplotypes of the reference; their assemblies are numbered by name, so the edits' rule takes the haplotype from it."""
+    from strandlake.operators import edits
+
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _many:
+        w = world(spark, sf_dir)
+        c = Cohort.build(haplotypes(w.contigs, n), Q)
+        spans = Scratch(spark).save(edits.runs(c, known_edits(c)), "runs")
+        _many[key] = Many(c, spans, edits.stored_gaps(c, spans))
+    return _many[key]
+
+
 def world(spark: SparkSession, sf_dir: str) -> World:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _made:
@@ -69,16 +102,14 @@ def world(spark: SparkSession, sf_dir: str) -> World:
         turned = F.when(F.col("order") % 4 == 3, B.reverse_complement(F.col("fwd"))).otherwise(F.col("fwd"))
         text = base.select("assembly", "order", "header", "line_width", turned.alias("seq"))
         ref = base.where(F.col("assembly") == REF).select("assembly", "order", "header", "line_width", F.col("fwd").alias("seq"))
-        people = ref.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(HAPLOTYPES - 1))))
-        label = F.concat(F.lit("y1_P"), F.floor(F.col("i") / 2).cast("string"), F.lit("."), (F.col("i") % 2 + 1).cast("string"))
-        people = people.select(label.alias("assembly"), "order", "header", "line_width", mutated(F.col("seq"), F.col("i")).alias("seq"))
+        people = haplotypes(ref, HAPLOTYPES)
         items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", projected(F.col("text")).alias("seq"))
         windows = items.select("item_id", "seq", F.explode(F.when(F.length("seq") >= 23, F.sequence(F.lit(0), F.length("seq") - 23, F.lit(16))).otherwise(F.array().cast("array<int>"))).alias("at"))
         windows = windows.select((F.col("item_id") * 1000 + F.col("at")).alias("n"), F.when(F.col("item_id") % 2 == 0, "even").otherwise("odd").alias("class"), F.substring("seq", F.col("at") + 1, F.lit(23)).alias("seq"))
         patterns = scratch.save(first_of_each(windows.where(B.is_acgt(F.col("seq")))), "patterns")
         reference = Cohort.build(ref, Q)
         guides = scratch.save(guides_of(reference, 40), "guides")
-        _made[key] = World(Cohort.build(text, Q, case_runs(text)), Cohort.build(people, Q), reference, patterns, guides, people)
+        _made[key] = World(Cohort.build(text, Q, case_runs(text)), Cohort.build(people, Q), reference, patterns, guides, ref, people)
     return _made[key]
 
 
@@ -101,7 +132,8 @@ def guides_of(reference: Cohort, n: int) -> DataFrame:
 def known_edits(mutated: Cohort) -> DataFrame:
     """The ``ops`` of the mutated cohort by the rule that made it: the stream is the reference's but for a literal base at each substitution."""
     q = mutated.q
-    first = F.pmod(-F.col("asm_id") * 104729 * 179, F.lit(300)).cast("long")
+    parts = F.regexp_extract("assembly", r"P(\d+)\.(\d+)$", 1).cast("long"), F.regexp_extract("assembly", r"P(\d+)\.(\d+)$", 2).cast("long")
+    first = F.pmod(-(2 * parts[0] + parts[1] - 1) * 104729 * 179, F.lit(300)).cast("long")
     at = F.when(F.col("len") > first, F.sequence(first, F.col("len") - 1, F.lit(300).cast("long"))).otherwise(F.array().cast("array<bigint>"))
     subs = mutated.contigs.select("asm_id", "boff", F.explode(at).alias("p")).select("asm_id", (F.col("boff") + F.col("p")).alias("g"))
     lits = mutated.blocks.select("asm_id", "block_ix", "blen", F.col("seq").cast("string").alias("seq"))

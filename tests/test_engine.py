@@ -605,3 +605,22 @@ def test_summaries_of_tiles_and_copies(spark, cohort, ops, spans):
     for r in edits.haplotype_coverage(cohort, spans).collect():
         mine = {(x.contig_ix, p) for x in spans.where(F.col("asm_id") == r.asm_id).collect() for p in range(x.a, x.a + x.len)}
         assert r.covered == len(mine) and abs(r.uncovered_share - (1 - len(mine) / r.length)) < 1e-12
+
+
+def test_transfer_by_joins_and_by_slices_agree(spark, cohort, ref, spans, monkeypatch):
+    table = spark.createDataFrame([(k, REF["chrA"][p : p + 23]) for k, p in enumerate(range(0, 8900, 90))] + [(5000, "A" * 23)], "pid long, seq string")
+    hits = kmers.search(ref, table)
+    full = kmers.search(cohort, table)
+    stored = edits.stored_gaps(cohort, spans)
+    for flip, reverse in ((True, True), (False, True), (True, False)):
+        few = edits.transfer(hits, spans, ref, 23, flip, reverse)
+        with monkeypatch.context() as m:
+            m.setattr(edits, "PLACED", 3)
+            joined = edits.transfer(hits, spans, ref, 23, flip, reverse)
+        assert few.columns == joined.columns == hits.columns and few.dtypes == hits.dtypes
+        assert kmers.same_hits(few, joined).isEmpty() and not few.isEmpty()
+    assert kmers.same_hits(edits.search_by_transfer(cohort, ref, spans, table, stored).drop("origin"), full).isEmpty()
+    nothing = spark.createDataFrame([(1, "ACGT" * 5 + "AAA")], "pid long, seq string")
+    assert edits.search_by_transfer(cohort, ref, spans, nothing, stored).drop("origin").exceptAll(kmers.search(cohort, nothing)).isEmpty()
+    guides = spark.createDataFrame([(k, REF["chrA"][p : p + 20]) for k, p in enumerate(range(50, 8000, 800))], "gid long, spacer string")
+    assert kmers.same_hits(edits.sites_by_transfer(cohort, ref, spans, guides, 4, stored).drop("origin"), kmers.guide_sites(cohort, guides, 4)).isEmpty()
