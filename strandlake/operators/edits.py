@@ -1,7 +1,7 @@
 """Assemblies as edits against the reference, and what can be answered through them.
 
 ``ops(asm_id, block_ix, op_ix, kind, dst, len, src, lit)`` tile each block: kind 0 a literal run, 1 a copy of the reference,
-3 one of its other strand (src is the lowest reference position); 2, a copy within the block, is read but never written.
+3 one of its other strand (src is the lowest reference position); 2, a copy within the block, is written by ``chains.own_copies``.
 ``runs(asm_id, contig_ix, a, len, ref_lo, dir)`` are maximal spans of a contig that are one span of the reference.
 """
 
@@ -382,11 +382,16 @@ def contexts(cohort: Cohort, hits: DataFrame, k: int, flank: int = 20) -> DataFr
 
 
 def locate(cohort: Cohort, ops: DataFrame, points: DataFrame) -> DataFrame:
-    """``points(.., asm_id, pos)`` on the stream -> with ``cls`` (0 literal, 1 copy, 3 copy of the other strand), ``ref_pos`` and ``ref_strand``."""
+    """``points(.., asm_id, pos)`` on the stream -> with ``cls`` (0 literal, 1 copy, 3 copy of the other strand), ``ref_pos`` and ``ref_strand``.
+
+    Given the pieces that ``chains.resolved`` makes of ops, also 2 (reached through copies within the block) and ``hops``.
+    """
     p = points.withColumn("block_ix", F.floor(F.col("pos") / cohort.q)).withColumn("o", (F.col("pos") % cohort.q).cast("int"))
-    both = p.join(ops.select("asm_id", "block_ix", "kind", "dst", "len", "src"), ["asm_id", "block_ix"]).where("o >= dst and o < dst + len")
+    hops = ["hops"] if "hops" in ops.columns else []
+    both = p.join(ops.select("asm_id", "block_ix", "kind", "dst", "len", "src", *hops), ["asm_id", "block_ix"]).where("o >= dst and o < dst + len")
     at = F.when(F.col("kind") == 1, F.col("src") + F.col("o") - F.col("dst")).when(F.col("kind") == 3, F.col("src") + F.col("len") - 1 - (F.col("o") - F.col("dst")))
-    return both.select(*points.columns, F.col("kind").alias("cls"), at.alias("ref_pos"), F.when(F.col("kind") == 1, "+").when(F.col("kind") == 3, "-").alias("ref_strand"))
+    cls = F.when((F.col("hops") > 0) & (F.col("kind") != 0), 2).otherwise(F.col("kind")) if hops else F.col("kind")
+    return both.select(*points.columns, cls.alias("cls"), at.alias("ref_pos"), F.when(F.col("kind") == 1, "+").when(F.col("kind") == 3, "-").alias("ref_strand"), *hops)
 
 
 def tilemap(cohort: Cohort, ops: DataFrame, w: int) -> DataFrame:
@@ -508,7 +513,7 @@ def pattern_candidates(cohort: Cohort, ops: DataFrame, spans: DataFrame, k: int
     """``(class, asm_id, contig_ix, pos)``: places for test patterns by what the edits are there.
 
     ``lit`` inside a literal run, ``boundary`` across a run's end, ``short_ins`` across a literal run shorter than k between two
-    runs, ``ref`` inside a run, ``contig_end`` at a contig's last window, ``block_edge`` across a block's end.
+    runs, ``self_copy`` inside a copy within a block, ``ref`` inside a run, ``contig_end`` at a contig's last window, ``block_edge`` across a block's end.
     """
     c = cohort.contigs.where(F.col("len") >= k).select("asm_id", "contig_ix", "len", "boff")
     by = W.partitionBy("asm_id", "contig_ix").orderBy("a", "end")
@@ -524,6 +529,8 @@ def pattern_candidates(cohort: Cohort, ops: DataFrame, spans: DataFrame, k: int
         pick(after.where(gap >= k), "lit", F.col("end") + F.floor((gap - k) / 2)),
         pick(c, "contig_end", F.col("len") - k),
     ]
+    own = ops.where((F.col("kind") == 2) & (F.col("len") >= k)).select("asm_id", (F.col("block_ix") * cohort.q + F.col("dst") + F.floor((F.col("len") - k) / 2)).alias("pos"))
+    parts.append(pick(cohort.contig_of(own), "self_copy", F.col("start0")))
     edges = c.withColumn("b", joins.bins(F.col("boff") + 1, F.col("boff") + F.col("len"), cohort.q)).where("b > 0")
     parts.append(pick(edges, "block_edge", F.col("b") * cohort.q - F.col("boff") - k // 2))
     out = parts[0]

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandlake.functions import bases as B
-from strandlake.operators import edits, fold, joins, kmers, timings, training
+from strandlake.operators import chains, edits, fold, joins, kmers, timings, training
 from strandlake.operators.cohort import Cohort
 from strandlake.plans import datasets as D
 
@@ -479,6 +479,8 @@ def _ops(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
     if key not in _cache:
         w = D.world(spark, sf_dir)
         _cache[key] = edits.align(getattr(w, which), w.reference)
+        if which == "text":  # documents repeat themselves
+            _cache[key] = chains.own_copies(w.text, _cache[key])
     return _cache[key]
 
 
@@ -491,6 +493,35 @@ def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cache[key]
 
 
+# the mutated cohort's edits as the rule that made it tells them: a literal base at each substitution, copies between; what reads edits has an oracle over these
+_KNOWN = f"""{_MUTATED},
+subs AS (SELECT asm_id, boff + p AS g FROM (SELECT c.asm_id, r.boff, unnest(list_filter(range(c.len), lambda p: (p * 7919 + c.asm_id * 104729) % 300 = 0)) AS p FROM contigs c JOIN ref r USING (contig_ix))),
+size AS (SELECT CAST(sum(len) AS BIGINT) AS n FROM ref),
+grid AS (SELECT CAST(a AS INT) AS asm_id, unnest(range((n + 1023) // 1024)) AS block_ix, n FROM size, range({D.HAPLOTYPES}) t(a)),
+marks AS (SELECT asm_id, block_ix, -1 AS o, n FROM grid UNION ALL SELECT asm_id, g // 1024, g % 1024, n FROM subs, size UNION ALL SELECT asm_id, block_ix, least(1024, n - block_ix * 1024), n FROM grid),
+gaps AS (SELECT *, lag(o) OVER (PARTITION BY asm_id, block_ix ORDER BY o) + 1 AS since, least(1024, n - block_ix * 1024) AS blen FROM marks),
+pieces AS (
+  SELECT asm_id, block_ix, 1 AS kind, since AS dst, o - since AS len, block_ix * 1024 + since AS src FROM gaps WHERE o > since
+  UNION ALL SELECT asm_id, block_ix, 0, o, 1, 0 FROM gaps WHERE o >= 0 AND o < blen),
+ops AS (SELECT asm_id, CAST(block_ix AS BIGINT) AS block_ix, CAST(row_number() OVER (PARTITION BY asm_id, block_ix ORDER BY dst) - 1 AS INT) AS op_ix, kind, CAST(dst AS INT) AS dst, CAST(len AS INT) AS len, CAST(src AS BIGINT) AS src FROM pieces)"""
+_KNOWN_TILES = f"""{_KNOWN},
+tiles AS (SELECT c.asm_id, contig_ix, unnest(range(0, c.len - 255, 256)) AS start0, r.boff FROM contigs c JOIN ref r USING (contig_ix) WHERE c.len >= 256),
+ends AS (SELECT t.*, t.boff + start0 AS g, t.boff + start0 + 255 AS h FROM tiles t),
+t AS (SELECT e.asm_id, contig_ix, start0, CASE WHEN a.g IS NULL THEN 1 ELSE 0 END AS cls_start, CASE WHEN b.g IS NULL THEN 1 ELSE 0 END AS cls_end, e.g AS lo, e.h + 1 AS hi
+  FROM ends e LEFT JOIN subs a ON a.asm_id = e.asm_id AND a.g = e.g LEFT JOIN subs b ON b.asm_id = e.asm_id AND b.g = e.h),
+good AS (SELECT * FROM t WHERE cls_start = 1 AND cls_end = 1)"""
+
+
+def _known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = (spark.sparkContext.applicationId, sf_dir, "known")
+    if key not in _cache:
+        from strandlake.scratch import Scratch
+
+        w = D.world(spark, sf_dir)
+        _cache[key] = Scratch(spark).save(D.known_edits(w.mutated), "known")
+    return _cache[key]
+
+
 def _gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir, "gaps")
     if key not in _cache:
@@ -506,6 +537,14 @@ def edits_executed(spark, sf_dir):
     return rows.select("asm_id", "block_ix", F.sha2("seq", 256).alias("sha256"))
 
 
+@query(f"""WITH {_TEXT}, b AS (SELECT asm_id, unnest(range((n + 1023) // 1024)) AS block_ix, seq FROM streams)
+SELECT asm_id, block_ix, sha256(substr(seq, CAST(block_ix * 1024 + 1 AS INT), 1024)) AS sha256 FROM b""")
+def edits_executed_text(spark, sf_dir):
+    """The same of the text cohort, with copies within blocks."""
+    rows = chains.execute(_ops(spark, sf_dir, "text"), D.world(spark, sf_dir).reference)
+    return rows.select("asm_id", "block_ix", F.sha2("seq", 256).alias("sha256"))
+
+
 @query()
 def copy_statistics(spark, sf_dir):
     return edits.copy_statistics(_ops(spark, sf_dir, "text"))
@@ -526,7 +565,7 @@ def generated_patterns(spark, sf_dir):
     """Test patterns by class of place: in literals, across run ends, short insertions, contig ends and block edges."""
     w = D.world(spark, sf_dir).text
     ops = _ops(spark, sf_dir, "text")
-    return edits.generate_patterns(w, edits.pattern_candidates(w, ops, edits.runs(w, ops)), {"ref": 1000, "lit": 1000, "boundary": 200, "short_ins": 200, "contig_end": 200, "block_edge": 200})
+    return edits.generate_patterns(w, edits.pattern_candidates(w, ops, edits.runs(w, ops)), {"ref": 1000, "lit": 1000, "boundary": 200, "short_ins": 200, "contig_end": 200, "block_edge": 200, "self_copy": 200})
 
 
 @query()
@@ -536,14 +575,16 @@ def literal_records(spark, sf_dir):
 
 @query()
 def located_bases(spark, sf_dir):
-    """Every hundredth base by class, and how many of those located have the base that the reference has there."""
+    """All bases by class, their hops, and how many of those located have the base that the reference has there."""
     w = D.world(spark, sf_dir)
-    blocks = w.text.decode(case=False).select("asm_id", "bstart", "seq", F.explode(F.sequence(F.lit(0), F.length("seq") - 1, F.lit(100))).alias("o"))
-    points = blocks.select("asm_id", (F.col("bstart") + F.col("o")).alias("pos"), F.substring("seq", F.col("o") + 1, F.lit(1)).alias("base"))
-    found = edits.locate(w.text, _ops(spark, sf_dir, "text"), points)
-    ask = found.where("ref_pos is not null").select(F.struct("asm_id", "pos").alias("id"), F.lit(0).alias("asm_id"), F.col("ref_pos").alias("start"), F.lit(1).cast("long").alias("length"), (F.col("ref_strand") == "-").alias("rc"))
-    there = w.reference.windows(ask, case=False).select("id.asm_id", "id.pos", F.col("seq").alias("ref_base"))
-    return found.join(there, ["asm_id", "pos"], "left").groupBy("cls").agg(F.count("*").alias("n"), F.count_if(F.col("base") == F.col("ref_base")).alias("same"))
+    return chains.located(w.text, chains.resolved(_ops(spark, sf_dir, "text")), w.reference)
+
+
+@query(f"""WITH {_KNOWN} SELECT kind AS cls, CAST(sum(len) AS BIGINT) AS n, CAST(0 AS BIGINT) AS hops, CAST(CASE WHEN kind = 1 THEN sum(len) ELSE 0 END AS BIGINT) AS same FROM ops GROUP BY kind""")
+def located_known(spark, sf_dir):
+    """The same over the known edits."""
+    w = D.world(spark, sf_dir)
+    return chains.located(w.mutated, chains.resolved(_known(spark, sf_dir)), w.reference)
 
 
 @query()
@@ -568,35 +609,6 @@ def haplotype_coverage(spark, sf_dir):
     return edits.haplotype_coverage(D.world(spark, sf_dir).mutated, _spans(spark, sf_dir))
 
 
-# the mutated cohort's edits as the rule that made it tells them: a literal base at each substitution, copies between; what reads edits has an oracle over these
-_KNOWN = f"""{_MUTATED},
-subs AS (SELECT asm_id, boff + p AS g FROM (SELECT c.asm_id, r.boff, unnest(list_filter(range(c.len), lambda p: (p * 7919 + c.asm_id * 104729) % 300 = 0)) AS p FROM contigs c JOIN ref r USING (contig_ix))),
-size AS (SELECT CAST(sum(len) AS BIGINT) AS n FROM ref),
-grid AS (SELECT CAST(a AS INT) AS asm_id, unnest(range((n + 1023) // 1024)) AS block_ix, n FROM size, range({D.HAPLOTYPES}) t(a)),
-marks AS (SELECT asm_id, block_ix, -1 AS o, n FROM grid UNION ALL SELECT asm_id, g // 1024, g % 1024, n FROM subs, size UNION ALL SELECT asm_id, block_ix, least(1024, n - block_ix * 1024), n FROM grid),
-gaps AS (SELECT *, lag(o) OVER (PARTITION BY asm_id, block_ix ORDER BY o) + 1 AS since, least(1024, n - block_ix * 1024) AS blen FROM marks),
-pieces AS (
-  SELECT asm_id, block_ix, 1 AS kind, since AS dst, o - since AS len, block_ix * 1024 + since AS src FROM gaps WHERE o > since
-  UNION ALL SELECT asm_id, block_ix, 0, o, 1, 0 FROM gaps WHERE o >= 0 AND o < blen),
-ops AS (SELECT asm_id, CAST(block_ix AS BIGINT) AS block_ix, CAST(row_number() OVER (PARTITION BY asm_id, block_ix ORDER BY dst) - 1 AS INT) AS op_ix, kind, CAST(dst AS INT) AS dst, CAST(len AS INT) AS len, CAST(src AS BIGINT) AS src FROM pieces)"""
-_KNOWN_TILES = f"""{_KNOWN},
-tiles AS (SELECT c.asm_id, contig_ix, unnest(range(0, c.len - 255, 256)) AS start0, r.boff FROM contigs c JOIN ref r USING (contig_ix) WHERE c.len >= 256),
-ends AS (SELECT t.*, t.boff + start0 AS g, t.boff + start0 + 255 AS h FROM tiles t),
-t AS (SELECT e.asm_id, contig_ix, start0, CASE WHEN a.g IS NULL THEN 1 ELSE 0 END AS cls_start, CASE WHEN b.g IS NULL THEN 1 ELSE 0 END AS cls_end, e.g AS lo, e.h + 1 AS hi
-  FROM ends e LEFT JOIN subs a ON a.asm_id = e.asm_id AND a.g = e.g LEFT JOIN subs b ON b.asm_id = e.asm_id AND b.g = e.h),
-good AS (SELECT * FROM t WHERE cls_start = 1 AND cls_end = 1)"""
-
-
-def _known(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = (spark.sparkContext.applicationId, sf_dir, "known")
-    if key not in _cache:
-        from strandlake.scratch import Scratch
-
-        w = D.world(spark, sf_dir)
-        _cache[key] = Scratch(spark).save(D.known_edits(w.mutated), "known")
-    return _cache[key]
-
-
 @query(f"WITH {_KNOWN} SELECT asm_id, block_ix, op_ix, kind, dst, len, src FROM ops")
 def known_edits(spark, sf_dir):
     return _known(spark, sf_dir).drop("lit")

@@ -9,7 +9,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from strandlake.functions import bases as B
-from strandlake.operators import edits, joins, kmers, training
+from strandlake.operators import chains, edits, joins, kmers, training
 from strandlake.operators.cohort import Cohort
 from strandlake.sources import archive, codec, fasta, fasta_scan, tables
 from strandlake.streaming.serve import serve
@@ -624,3 +624,73 @@ def test_transfer_by_joins_and_by_slices_agree(spark, cohort, ref, spans, monkey
     assert edits.search_by_transfer(cohort, ref, spans, nothing, stored).drop("origin").exceptAll(kmers.search(cohort, nothing)).isEmpty()
     guides = spark.createDataFrame([(k, REF["chrA"][p : p + 20]) for k, p in enumerate(range(50, 8000, 800))], "gid long, spacer string")
     assert kmers.same_hits(edits.sites_by_transfer(cohort, ref, spans, guides, 4, stored).drop("origin"), kmers.guide_sites(cohort, guides, 4)).isEmpty()
+
+
+def _plain(ops):
+    """What a block's ops stand for, base by base: (kind, place, hops) of each, a literal's place being its base."""
+    out = []
+    for o in ops:
+        for j in range(o["len"]):
+            if o["kind"] == 2:
+                kind, place, hops = out[o["src"] + j]
+                out.append((kind, place, hops + 1))
+            else:
+                place = o["lit"][j] if o["kind"] == 0 else o["src"] + j if o["kind"] == 1 else o["src"] + o["len"] - 1 - j
+                out.append((o["kind"], place, 0))
+    return out
+
+
+def test_chains_of_copies_base_by_base():
+    r = random.Random(6)
+    for _ in range(300):
+        ops, at = [], 0
+        for _ in range(r.randrange(1, 12)):
+            kind, n = r.choice([0, 1, 2, 2, 2, 3]) if at else r.choice([0, 1, 3]), r.randrange(1, 30)
+            ops.append({"kind": kind, "dst": at, "len": n, "src": r.randrange(at) if kind == 2 else r.randrange(1000), "lit": dna(n, r.random()).encode() if kind == 0 else None})
+            at += n
+        got = []
+        for lo, n, kind, src, hops, lit in chains.chase(ops):
+            assert lo == len(got)
+            got += [(kind, lit[j] if kind == 0 else src + j if kind == 1 else src + n - 1 - j, hops) for j in range(n)]
+        assert got == _plain(ops)
+    with pytest.raises(ValueError, match="before"):
+        chains.chase([{"kind": 0, "dst": 0, "len": 2, "src": 0, "lit": b"AC"}, {"kind": 2, "dst": 2, "len": 2, "src": 2, "lit": None}])
+
+
+def test_the_parse_scores_most():
+    """Against all ways to write a literal run by the copies found at its places."""
+    r = random.Random(7)
+    for _ in range(60):
+        unit = dna(r.randrange(20, 40), r.random())
+        x = (dna(30, r.random()) + unit + dna(r.randrange(25), r.random()) + unit[r.randrange(5) :] + unit).encode()
+        best, back = chains._earlier(x)
+        assert all(x[i - back[i] :][: best[i]] == x[i : i + best[i]] for i in range(len(x)) if best[i])
+        ops = chains._parsed(x, [{"kind": 0, "dst": 0, "len": len(x), "src": 0, "lit": x}])
+        score = [0.0] * (len(x) + 1)
+        for i in range(len(x) - 1, -1, -1):
+            score[i] = max([score[i + 1]] + [chains.GAIN * k - chains.COST + score[i + k] for k in range(1, int(best[i]) + 1)])
+        assert abs(sum(chains.GAIN * o["len"] - chains.COST for o in ops if o["kind"] == 2) - score[0]) < 1e-9
+        assert [o["dst"] for o in ops] == [sum(o["len"] for o in ops[:i]) for i in range(len(ops))]
+        assert bytes(p for _, p, _ in _plain(ops)) == x and any(o["kind"] == 2 for o in ops)
+
+
+def test_copies_within_blocks(spark, cohort, ref, ops):
+    own = chains.own_copies(cohort, ops)
+    literal = lambda o: o.where("kind = 0").agg(F.sum("len")).first()[0]
+    assert own.where("kind = 2").count() > 0 and literal(own) < literal(ops)
+    a = chains.execute(own, ref)
+    b = cohort.blocks.select("asm_id", "block_ix", F.col("seq").cast("string").alias("seq"))
+    assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    pieces = chains.resolved(own)
+    rows = {r.cls: r for r in chains.located(cohort, pieces, ref).collect()}
+    assert sum(r.n for r in rows.values()) == sum(len(s) for c in ASM.values() for s in c.values())
+    assert all(r.same == (r.n if c else 0) for c, r in rows.items()) and rows[1].hops == rows[3].hops == 0
+    points = spark.createDataFrame([(k, p) for k, a in enumerate(ASM) for p in range(0, len(stream(a)), 11)], "asm_id int, pos long")
+    whole, seen = "".join(REF.values()), 0
+    for r in edits.locate(cohort, pieces, points).collect():
+        seen += r.hops > 0
+        if r.ref_pos is not None:
+            base = stream(list(ASM)[r.asm_id], False)[r.pos]
+            assert base == (whole[r.ref_pos] if r.ref_strand == "+" else rc(whole[r.ref_pos])) and r.cls == (2 if r.hops else {"+": 1, "-": 3}[r.ref_strand])
+    assert seen
+    assert not edits.pattern_candidates(cohort, own, edits.runs(cohort, own)).where("class = 'self_copy'").isEmpty()
