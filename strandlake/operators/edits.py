@@ -20,10 +20,11 @@ from strandlake.operators import joins, kmers
 from strandlake.operators.cohort import Cohort
 from strandlake.scratch import Scratch
 
-SEED, STRIDE, CANDIDATES, MIN_COPY = 24, 8, 32, 20
+SEED, WINDOW, CANDIDATES, MIN_COPY = 24, 8, 32, 20
+_NONE = np.uint64(2**63)  # over every hash
 #: Diagonals of a block that one pass tries at most; passes go on until none is left.
 PASS = 1024
-#: Bases of a reference that goes to every executor, with an eighth as many seeds of 16 bytes.
+#: Bases of a reference that goes to every executor, with two ninths as many seeds of 24 bytes.
 LOCAL = 2**26
 #: Hits in the reference that go to every task.
 PLACED = 1_000_000
@@ -33,17 +34,49 @@ _COMP = np.arange(256, dtype=np.uint8)
 _COMP[[65, 67, 71, 84]] = [84, 71, 67, 65]
 
 
-def reference_seeds(reference: Cohort) -> DataFrame:
-    """``(kmer, rpos)``: the reference stream's k-mers at every STRIDE-th place of a contig."""
-    c = reference.contigs.select("asm_id", "contig_ix", "boff")
-    rows = kmers.extract(reference, SEED).where((F.col("pos") % STRIDE == 0) & B.is_acgt(F.col("kmer")))
-    return rows.join(joins.broadcast_if_small(c), ["asm_id", "contig_ix"]).select("kmer", (F.col("boff") + F.col("pos")).alias("rpos"))
+def minimizers(seq: bytes, own: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(hash, place, turned)`` of the k-mers of SEED bases that are least by hash among WINDOW neighbouring ones; of equal ones all.
+
+    A k-mer and its reverse complement have one hash; ``turned`` says which of them is there, 2 that they are the same. Two sequences that agree
+    in WINDOW + SEED - 1 bases, on either strand, have such a k-mer of them in common. ``own``: only windows that begin before it.
+    """
+    c, ok = kmers.codes(seq, SEED)
+    r = kmers.rc_codes(c, SEED)
+    low = np.minimum(c, r)
+    h = low * np.uint64(0x9E3779B97F4A7C15)
+    h = np.where(ok, (h ^ (h >> np.uint64(29))) >> np.uint64(1), _NONE)
+    n = len(h)
+    w = min(WINDOW, n)
+    if not n:
+        return h, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    least = np.lib.stride_tricks.sliding_window_view(h, w).min(1)[:own]
+    # the largest of the minima of a place's windows is its own value where one of them chose it
+    padded = np.zeros(n + w - 1, np.uint64)
+    padded[w - 1 : w - 1 + len(least)] = least
+    at = np.flatnonzero((np.lib.stride_tricks.sliding_window_view(padded, w).max(1) == h) & ok)
+    return h[at], at, np.where(c[at] == r[at], 2, (c[at] > r[at]).astype(np.int64))
+
+
+def _seeds(tables: DataFrame, keys: str, own: int | None):
+    """``(*keys, place, h, turned)`` of the sequences in the last column of ``tables``."""
+    names = [k.split()[0] for k in keys.split(", ")]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [minimizers(x, own) for x in b.column(len(names)).to_pylist()]
+            of = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
+            h, at, turned = (np.concatenate([np.zeros(0, t), *(f[i] for f in found)]) for i, t in enumerate((np.uint64, np.int64, np.int64)))
+            yield pa.RecordBatch.from_arrays([*(b.column(i).take(of) for i in range(len(names))), pa.array(at), pa.array(h.astype(np.int64)), pa.array(turned.astype(np.int32))], [*names, "place", "h", "turned"])
 
-def _block_windows(cohort: Cohort) -> DataFrame:
-    seq = F.col("seq").cast("string")
-    rows = cohort.blocks.where(F.col("blen") >= SEED).select("asm_id", "block_ix", seq.alias("seq"), F.explode(F.sequence(F.lit(0), F.col("blen") - SEED)).alias("o"))
-    return rows.select("asm_id", "block_ix", "o", F.substring("seq", F.col("o") + 1, F.lit(SEED)).alias("kmer"))
+    return tables.mapInArrow(run, f"{keys}, place long, h long, turned int")
+
+
+def reference_seeds(reference: Cohort) -> DataFrame:
+    """``(h, rpos, turned)``: the minimizers of the reference's contigs, by their places in the stream, each once."""
+    c = reference.contigs.select("asm_id", "contig_ix", "boff")
+    rows = _seeds(reference.chunks.select("asm_id", "contig_ix", "cstart", "seq"), "asm_id int, contig_ix int, cstart long", reference.q)
+    rows = rows.join(joins.broadcast_if_small(c), ["asm_id", "contig_ix"])
+    return rows.select("h", (F.col("boff") + F.col("cstart") + F.col("place")).alias("rpos"), "turned").distinct()
 
 
 def _runs_of_true(x: np.ndarray) -> np.ndarray:
@@ -125,7 +158,7 @@ def _ops_batch(covers: Iterator[tuple[int, int, _Cover]]) -> pa.RecordBatch:
 
 
 def align(cohort: Cohort, reference: Cohort) -> DataFrame:
-    """``ops`` for every block: diagonals from seeds that occur in the reference, then a greedy cover.
+    """``ops`` for every block: diagonals from minimizers that the reference has too, then a greedy cover.
 
     A block tries its 32 diagonals with the most seeds, then, pass by pass, twice as many (up to PASS at once) of those with the
     most seeds that touch what is still literal, until no such seed has a diagonal untried. A seed has the first 32 of its places
@@ -142,31 +175,27 @@ def align(cohort: Cohort, reference: Cohort) -> DataFrame:
 def _hinted_locally(cohort: Cohort, reference: Cohort) -> DataFrame:
     seq = b"".join(bytes(r.seq) for r in reference.blocks.orderBy("block_ix").select("seq").toLocalIterator())
     bounds = [(r.boff, r.boff + r.len) for r in reference.contigs.orderBy("contig_ix").select("boff", "len").collect()]
-    c, ok = kmers.codes(seq, SEED)
-    places = [np.arange(lo, hi - SEED + 1, STRIDE) for lo, hi in bounds if hi - lo >= SEED]
-    places = np.concatenate([np.zeros(0, np.int64), *places]).astype(np.int64)
-    places = places[ok[places]] if len(places) else places
-    order = np.argsort(c[places], kind="stable") if len(places) else places
-    places = places[order]
-    known = c[places] if len(places) else np.zeros(0, np.uint64)
-    first = np.searchsorted(known, known, "left")
-    keep = np.arange(len(known)) - first < CANDIDATES
-    shared = cohort.spark.sparkContext.broadcast((seq, known[keep], places[keep]))
+    each = [(lo, minimizers(seq[lo:hi])) for lo, hi in bounds]
+    known, places, facing = (np.concatenate([np.zeros(0, t), *(m[i] + (lo if i == 1 else 0) for lo, m in each)]).astype(t) for i, t in enumerate((np.uint64, np.int64, np.int64)))
+    order = np.lexsort((places, known))
+    known, places, facing = known[order], places[order], facing[order]
+    keep = np.arange(len(known)) - np.searchsorted(known, known, "left") < CANDIDATES
+    shared = cohort.spark.sparkContext.broadcast((seq, known[keep], places[keep], facing[keep]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ref, codes, at = shared.value
-
-        def found(c: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            lo, hi = np.searchsorted(codes, c, "left"), np.searchsorted(codes, c, "right")
-            n = hi - lo
-            return np.repeat(where, n), at[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        ref, known, at, facing = shared.value
 
         def covered(x: bytes) -> _Cover:
-            c, ok = kmers.codes(x, SEED)
-            where = np.flatnonzero(ok)
-            o, p = found(c[where], where)
-            o2, p2 = found(kmers.rc_codes(c[where], SEED), where)
-            keys, of = np.unique(np.concatenate([p - o, TURNED + p2 + (SEED - 1) + o2]), return_inverse=True)
+            h, where, turned = minimizers(x)
+            lo, hi = np.searchsorted(known, h, "left"), np.searchsorted(known, h, "right")
+            n = hi - lo
+            own = np.repeat(np.arange(len(h)), n)
+            which = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            o, p = where[own], at[which]
+            even = (turned[own] == 2) | (facing[which] == turned[own])
+            odd = (turned[own] == 2) | (facing[which] != turned[own])
+            keys, of = np.unique(np.concatenate([(p - o)[even], (TURNED + p + (SEED - 1) + o)[odd]]), return_inverse=True)
+            o, o2 = o[even], o[odd]
             turn = (keys >= TURNED // 2).astype(np.int64)
             cover = _Cover(x, turn, keys - TURNED * turn, of, np.concatenate([o, o2]))
             while len(best := cover.pick()):
@@ -186,12 +215,12 @@ def _hinted_locally(cohort: Cohort, reference: Cohort) -> DataFrame:
 def _hinted_by_join(cohort: Cohort, reference: Cohort, total: int) -> DataFrame:
     scratch = Scratch(cohort.spark)
     seeds = reference_seeds(reference)
-    first = F.row_number().over(W.partitionBy("kmer").orderBy("rpos"))
-    seeds = scratch.save(seeds.withColumn("i", first).where(F.col("i") <= CANDIDATES).drop("i"), "seeds")
-    mine = _block_windows(cohort)
-    fwd = mine.join(seeds, "kmer").select("asm_id", "block_ix", "o", F.lit(0).alias("dir"), (F.col("rpos") - F.col("o")).alias("diag"))
-    back = mine.withColumn("kmer", B.reverse_complement(F.col("kmer"))).join(seeds, "kmer")
-    back = back.select("asm_id", "block_ix", "o", F.lit(1).alias("dir"), (F.col("rpos") + (SEED - 1) + F.col("o")).alias("diag"))
+    first = F.row_number().over(W.partitionBy("h").orderBy("rpos"))
+    seeds = scratch.save(seeds.withColumn("i", first).where(F.col("i") <= CANDIDATES).select("h", "rpos", F.col("turned").alias("facing")), "seeds")
+    mine = _seeds(cohort.blocks.select("asm_id", "block_ix", "seq"), "asm_id int, block_ix long", None)
+    both = scratch.save(mine.join(seeds, "h").select("asm_id", "block_ix", F.col("place").cast("int").alias("o"), "rpos", "turned", "facing"), "met")
+    fwd = both.where("turned = 2 or facing = turned").select("asm_id", "block_ix", "o", F.lit(0).alias("dir"), (F.col("rpos") - F.col("o")).alias("diag"))
+    back = both.where("turned = 2 or facing <> turned").select("asm_id", "block_ix", "o", F.lit(1).alias("dir"), (F.col("rpos") + (SEED - 1) + F.col("o")).alias("diag"))
     hits = fwd.union(back).groupBy("asm_id", "block_ix", "dir", "diag").agg(F.collect_list("o").alias("at"))
     hits = hits.groupBy("asm_id", "block_ix").agg(F.array_sort(F.collect_list(F.struct("dir", "diag", "at"))).alias("hits"))
     todo = cohort.blocks.select("asm_id", "block_ix", "seq").join(hits, ["asm_id", "block_ix"], "left")

@@ -694,3 +694,30 @@ def test_copies_within_blocks(spark, cohort, ref, ops):
             assert base == (whole[r.ref_pos] if r.ref_strand == "+" else rc(whole[r.ref_pos])) and r.cls == (2 if r.hops else {"+": 1, "-": 3}[r.ref_strand])
     assert seen
     assert not edits.pattern_candidates(cohort, own, edits.runs(cohort, own)).where("class = 'self_copy'").isEmpty()
+
+
+def test_minimizers_of_common_stretches_meet():
+    """Stretches of WINDOW + SEED - 1 bases that two sequences share, on either strand, share a minimizer at the same place; and chunks give what whole contigs do."""
+    r = random.Random(9)
+    for _ in range(150):
+        n = edits.WINDOW + edits.SEED - 1
+        common = r.choice([dna(n, r.random()), "ACGT" * (n // 4) + "ACG", dna(5, r.random()) * (n // 5) + "A", "A" * n])
+        x, y = dna(r.randrange(60), r.random()) + common + dna(r.randrange(60), r.random()), dna(r.randrange(60), r.random(), "ACGTN") + common + dna(r.randrange(60), r.random())
+        i, j = x.index(common), y.index(common)
+        h, at, turned = edits.minimizers(x.encode())
+        g, to, facing = edits.minimizers(y.encode())
+        assert {(a, p - i, t) for a, p, t in zip(h.tolist(), at.tolist(), turned.tolist()) if i <= p <= i + n - 24} & {(a, p - j, t) for a, p, t in zip(g.tolist(), to.tolist(), facing.tolist())}
+        g, to, facing = edits.minimizers(rc(y).encode())
+        back = {(a, len(y) - 24 - p - j, t if t == 2 else 1 - t) for a, p, t in zip(g.tolist(), to.tolist(), facing.tolist())}
+        assert {(a, p - i, t) for a, p, t in zip(h.tolist(), at.tolist(), turned.tolist())} & back
+    assert [len(v) for v in edits.minimizers(b"ACGT")] == [0, 0, 0] and len(edits.minimizers(b"N" * 100)[0]) == 0
+    long = dna(40_000, 12)
+    assert len(edits.minimizers(long.encode())[0]) < len(long) * 0.26
+
+
+def test_seeds_of_chunks_are_those_of_contigs(ref):
+    want, at = set(), 0
+    for s in REF.values():
+        want |= {(int(h), at + int(p), int(t)) for h, p, t in zip(*edits.minimizers(s.encode()))}
+        at += len(s)
+    assert {tuple(r) for r in edits.reference_seeds(ref).collect()} == want
