@@ -10,7 +10,8 @@ the directory, reads the few blocks that it names, bisects their lines, and read
 
 Reading everything takes the same way from the blocks on: their lines are dealt by file and offset, and every task reads its
 ranges, in order, from the archives, which are never shuffled nor loaded whole. Executors open them with ``pyarrow.fs``
-(local or mounted folders, hdfs, s3, gs).
+(local or mounted folders, hdfs, s3 and s3a, gs, abfs). On any other file system Spark's own reader brings each archive to the task
+that cuts its ranges, one file of ``FILE_RECORDS`` records at a time.
 """
 
 from __future__ import annotations
@@ -113,16 +114,21 @@ def parse(data: bytes) -> tuple[dict[str, str], int, bytes]:
     return headers, int(re.search(rb"\r\nContent-Length: (\d+)", http)[1]), payload
 
 
+def _arrow_opens(path: str) -> bool:
+    """Is this a file system that executors can open with Arrow?"""
+    return re.match("[a-z0-9]*", path.lower())[0] in ("file", "hdfs", "s3", "s3a", "s3n", "gs", "gcs", "abfs", "abfss") or ":/" not in path
+
+
 def _opened(path: str) -> pa.NativeFile:
-    system, name = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+    system, name = fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", re.sub("^file:/+", "file:///", path)))
     return system.open_input_file(name)
 
 
 class Reader:
-    """Byte ranges of files, asked for in order: what stands behind one is read with it and kept for the next."""
+    """Byte ranges of files, asked for in order: what stands behind one is read with it and kept for the next. Or of a file's bytes, if they are given."""
 
-    def __init__(self) -> None:
-        self.path, self.file, self.at, self.data = None, None, 0, b""
+    def __init__(self, path: str | None = None, data: bytes = b"") -> None:
+        self.path, self.file, self.at, self.data = path, None, 0, data
 
     def get(self, path: str, at: int, length: int) -> bytes:
         if path != self.path:
@@ -142,8 +148,9 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The index lines of archives, from the records' heads."""
     kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
     for b in batches:
-        for path, size in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            reader, at, out = Reader(), 0, []
+        whole = b.column(2).to_pylist() if b.num_columns > 2 else [None] * len(b)
+        for path, size, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), whole, strict=True):
+            reader, at, out = Reader() if data is None else Reader(path, data), 0, []
             while at < size:
                 some = 1024
                 while (end := (data := reader.get(path, at, min(some, size - at))).find(b"\r\n\r\n")) < 0:
@@ -190,22 +197,37 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([r[2] for r in rows]), pa.array([int(r[3]) for r in rows], pa.int64()), pa.array([int(r[4]) for r in rows], pa.int64())], ["file", "at", "length"])
 
 
+RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
+
+
+def _record(path: str, at: int, data: bytes) -> tuple:
+    headers, size, payload = parse(data)
+    page, refers, sha = headers.get("X-Page-ID"), headers.get("X-Refers-To-Page-ID"), headers["WARC-Payload-Digest"][5:]
+    if headers["WARC-Type"] == "response" and (len(payload) != size or digest(payload) != sha):
+        raise ValueError(f"the payload at byte {at} of {path} isn't the one that was written")
+    return int(page) if page else None, headers["WARC-Target-URI"], size, sha, headers["WARC-Type"], int(refers) if refers else None
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], [c.split()[0] for c in RECORD.split(", ")])
+
+
 def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The records at the given places, sorted by file and offset."""
-    kinds = {"page_id": pa.int64(), "url": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64()}
     reader = Reader()
     for b in batches:
-        out = []
-        for path, at, length in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-            headers, size, payload = parse(reader.get(path, at, length))
-            page, refers, sha = headers.get("X-Page-ID"), headers.get("X-Refers-To-Page-ID"), headers["WARC-Payload-Digest"][5:]
-            if headers["WARC-Type"] == "response" and (len(payload) != size or digest(payload) != sha):
-                raise ValueError(f"the payload at byte {at} of {path} isn't the one that was written")
-            out.append((int(page) if page else None, headers["WARC-Target-URI"], size, sha, headers["WARC-Type"], int(refers) if refers else None))
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds.values())], list(kinds))
+        yield _batch([_record(path, at, reader.get(path, at, length)) for path, at, length in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)])
     reader.close()
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The records at the places that stand beside each archive's bytes."""
+    for b in batches:
+        for path, places, data in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            yield _batch([_record(path, x["at"], data[x["at"] : x["at"] + x["length"]]) for x in places])
+
+
 @dataclass
 class Archive:
     """A folder of archives and its index: ``blocks(block, first_key, last_key, lines, data)`` in key order, numbered in that
@@ -222,8 +244,12 @@ class Archive:
         A response's payload is held against its length and digest; a revisit states those of its response.
         """
         wanted = self.blocks.select("data").mapInArrow(_unpacked, "file string, at long, length long")
+        if not _arrow_opens(self.path):
+            files = self.blocks.sparkSession.read.format("binaryFile").load(self.path).select(F.col("path").alias("file"), "content")
+            places = wanted.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("at", "length"))).alias("places"))  # FILE_RECORDS places at most
+            return places.join(files, "file").select("file", "places", "content").mapInArrow(_slices, RECORD)
         wanted = wanted.repartitionByRange("file", "at").sortWithinPartitions("file", "at")
-        return wanted.mapInArrow(_ranges, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
+        return wanted.mapInArrow(_ranges, RECORD)
 
     def blocks_of(self, key: str) -> list[int]:
         """The blocks that may hold a key, by bisection of the directory."""
@@ -237,7 +263,7 @@ class Archive:
 
     def lookup(self, url: str) -> list[tuple[dict[str, str], bytes]]:
         """The records of a URL, on the driver: the directory, then its blocks, then the bytes of each record."""
-        spark, key = self.blocks.sparkSession, reversed_host_key(url)
+        spark, key = self.blocks.sparkSession, reversed_host_key(_uri(url))  # as it was written
         near = self.blocks_of(key)
         out = []
         for row in self.blocks.where(F.col("block").isin(near)).select("data").toLocalIterator() if near else ():
@@ -281,7 +307,7 @@ def write(pages: DataFrame, date: str = DATE) -> Archive:
     columns = ["page_id", "url", "html", "sha", "first", "there"]
     values = _joined(rows, repeated).select(*columns).mapInArrow(_records(date), "value binary").select(F.col("value").cast("string"))
     values.write.option("lineSep", END).option("maxRecordsPerFile", FILE_RECORDS).text(path)
-    files = spark.read.format("binaryFile").load(path).select("path", "length")
+    files = spark.read.format("binaryFile").load(path).select("path", "length", *([] if _arrow_opens(path) else ["content"]))
     entries = scratch.save(files.mapInArrow(_entries, "key string, page_id long, file string, at long, length long"), "entries")
     ordered = entries.repartitionByRange("key", "page_id", "file", "at").sortWithinPartitions("key", "page_id", "file", "at")
     blocks = scratch.save(ordered.mapInArrow(_blocks, "block long, first_key string, last_key string, lines int, data binary"), "blocks")

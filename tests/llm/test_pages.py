@@ -276,3 +276,19 @@ def test_warc_of_nulls_repeats_and_nothing(spark):
 def test_keys_sort_by_reversed_host():
     assert warc.reversed_host_key("https://www.A.b.COM:8080/x?y=1#z") == "com,b,a:8080)/x?y=1"
     assert warc.reversed_host_key(None) == warc.reversed_host_key("") == ")"
+
+
+def test_lookup_of_escaped_urls(spark):
+    rows = [(1, "http://a.com/x y", "one"), (2, "http://a.com/<b>\t", "two"), (3, "http://a.com/x%20y", "three"), (4, None, "four")]
+    archive = warc.write(pages(spark, rows))
+    found = lambda url: sorted(h["X-Page-ID"] for h, _ in archive.lookup(url))
+    assert found("http://a.com/x y") == found("http://a.com/x%20y") == ["1", "3"]
+    assert found("http://a.com/<b>\t") == ["2"] and found(None) == ["4"]
+
+
+def test_archives_where_only_spark_reads(spark, monkeypatch):
+    rows = [(i, f"https://h{i % 7}.example.org/p?q={i}", f"<p>{i % 40} ü</p>" * (i % 9)) for i in range(2500)]
+    want = sorted(map(str, warc.write(pages(spark, rows)).records().collect()))
+    assert [warc._arrow_opens(p) for p in ("file:/tmp/x", "s3a://b/x", "hdfs://h/x", "/tmp/x", "dbfs:/x", "viewfs://c/x")] == [True, True, True, True, False, False]
+    monkeypatch.setattr(warc, "_arrow_opens", lambda path: False)
+    assert sorted(map(str, warc.write(pages(spark, rows)).records().collect())) == want
