@@ -22,6 +22,9 @@ def test_entry(spark):
 
 def test_without_the_llm_folders(tmp_path):
     to = tmp_path / "repo"
-    shutil.copytree(REPO, to, ignore=shutil.ignore_patterns(".git", "__pycache__", "llm", "corpus_pipeline.py"))
+    # with and without corpus_pipeline.py beside them
+    shutil.copytree(REPO, to, ignore=shutil.ignore_patterns(".git", "__pycache__", "llm"))
     code = "import __spark_entry__ as e; q = e.queries(); assert q and not [n for n in q if n.startswith('op') and n[2].isdigit() or n == 'pipeline']; e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=to, check=True, timeout=100)
+    (to / "corpus_pipeline.py").unlink()
+    subprocess.run([sys.executable, "-c", code], cwd=to, check=True, timeout=100)
