@@ -226,8 +226,8 @@ class Cohort:
     def sample(self, n: int, w: int, seed: int = 0, rc_percent: int = 0, tokens: bool = False) -> DataFrame:
         return self.windows(self.sample_coordinates(n, w, seed, rc_percent), tokens=tokens)
 
-    def sample_variable(self, n: int, seed: int = 0) -> DataFrame:
-        """Requests for ``fetch``: contigs weighted by length, lengths uniform over octaves up to 2^20, starts uniform.
+    def sample_variable(self, n: int, seed: int = 0, log_uniform: bool = False) -> DataFrame:
+        """Requests for ``fetch``: contigs weighted by length, lengths uniform over octaves up to 2^20 (or, ``log_uniform``, 1 + floor(2^(20 u))), starts uniform.
 
         ``(id, assembly, contig, start0, length, rc)``, by hashes of (id, seed) like ``sample_coordinates``.
         """
@@ -239,7 +239,8 @@ class Cohort:
         ids = self.spark.range(n).withColumn("pos", mixed(0) % total)
         drawn = joins.point_join(ids, starts, [], max(1, total // 4096))
         octave = F.element_at(F.array(*(F.lit(2**k).cast("long") for k in range(20))), (mixed(1) % 20 + 1).cast("int"))
-        drawn = drawn.withColumn("length", F.least(F.col("len"), octave + mixed(2) % octave))
+        size = 1 + F.floor(F.pow(F.lit(2.0), 20.0 * (mixed(1) / F.lit(2.0**60)))) if log_uniform else octave + mixed(2) % octave
+        drawn = drawn.withColumn("length", F.least(F.col("len"), size))
         start0 = mixed(3) % (F.col("len") - F.col("length") + 1)
         return drawn.select("id", "assembly", F.col("name").alias("contig"), start0.alias("start0"), "length", (mixed(4) % 2 == 1).alias("rc"))
 

@@ -112,3 +112,29 @@ def as_of(left: DataFrame, right: DataFrame, on: list[str], value: str) -> DataF
     first = F.first("__hit", ignorenulls=True).over(order.rowsBetween(0, W.unboundedFollowing))
     both = both.withColumn("__hit", F.coalesce(last, first)).where("__side = 1")
     return both.select(*left.columns, F.col("__hit.at").alias("at"), F.col("__hit.value").alias(value))
+
+
+def as_of_longest(left: DataFrame, right: DataFrame, on: list[str], back: int = 16) -> DataFrame:
+    """Each row of ``left(.., pos)`` with one of ``right(.., at, len, value)``: of the last ``back`` entries in order of (at, value) with at <= pos the
+    longest that holds pos (of equally long ones the last); if none does, the last one with at <= pos; if there is none, the first of its key.
+
+    Every entry carries those before it, ``back`` in all, so that one sort of both sides by (key, position) finds them; a key without
+    entries gives nulls. Adds ``at``, ``len`` and ``value``.
+    """
+    one = F.struct(F.col("at").cast("long").alias("at"), F.col("value").cast("long").alias("value"), F.col("len").cast("long").alias("len"))
+    order = W.partitionBy(*on).orderBy("at", "value", "len")
+    held = right.select(*on, "at", "value", "len", one.alias("__one"))
+    held = held.withColumn("__near", F.collect_list("__one").over(order.rowsBetween(1 - back, 0)))
+    a = left.select(*left.columns, F.col("pos").alias("__p"), F.lit(1).alias("__side"), F.lit(None).cast("long").alias("__v"), F.lit(None).cast("long").alias("__l"), F.lit(None).cast(held.schema["__near"].dataType).alias("__hit"))
+    b = held.select(*on, F.col("at").cast("long").alias("__p"), F.lit(0).alias("__side"), F.col("value").cast("long").alias("__v"), F.col("len").cast("long").alias("__l"), F.col("__near").alias("__hit"))
+    both = a.unionByName(b, allowMissingColumns=True)
+    order = W.partitionBy(*on).orderBy("__p", "__side", "__v", "__l")
+    last = F.last("__hit", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))
+    first = F.first("__hit", ignorenulls=True).over(order.rowsBetween(0, W.unboundedFollowing))
+    both = both.withColumn("__last", last).withColumn("__first", first).where("__side = 1")
+    # (length, place in the list) decides; places count from the oldest
+    holds = F.filter(F.transform("__last", lambda x, i: F.struct(x["len"].alias("l"), i.alias("i"), x.alias("x"))), lambda y: F.col("pos") < y["x"]["at"] + y["x"]["len"])
+    best = F.array_max(holds)["x"]
+    chosen = F.coalesce(best, F.try_element_at("__last", F.lit(-1)), F.try_element_at("__first", F.lit(1)))
+    both = both.withColumn("__c", chosen)
+    return both.select(*left.columns, F.col("__c.at").alias("at"), F.col("__c.len").alias("len"), F.col("__c.value").alias("value"))

@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandlake.functions import bases as B
@@ -176,6 +177,17 @@ def kmer_counts(cohort: Cohort, wanted: DataFrame) -> DataFrame:
     return ids.join(hits, "pid", "left").select("seq", F.coalesce("n", F.lit(0)).alias("occurrences"))
 
 
+def bits_per_base(cohort: Cohort, context: int) -> DataFrame:
+    """``(asm_id, bases, bits_per_base)``: the mean of -log2 of each base's share after the ``context`` bases before it, shares counted over the assembly.
+
+    Windows of A, C, G and T alone count; counts are 4^(context + 1) rows an assembly at most.
+    """
+    rows = extract(cohort, context + 1).where(B.is_acgt(F.col("kmer"))).groupBy("asm_id", "kmer").agg(F.count("*").alias("n"))
+    total = F.sum("n").over(W.partitionBy("asm_id", F.substring("kmer", 1, context)))
+    rows = rows.withColumn("bits", F.col("n") * (F.log2(total) - F.log2("n")))
+    return rows.groupBy("asm_id").agg(F.sum("n").alias("bases"), (F.sum("bits") / F.sum("n")).alias("bits_per_base"))
+
+
 def digest(hits: DataFrame, by: list[str]) -> DataFrame:
     """The number of hits of each group and the SHA-256 of its sorted lines of contig, position, pattern and strand.
 

@@ -185,6 +185,32 @@ def sample_variable(spark, sf_dir):
     return D.world(spark, sf_dir).text.sample_variable(1000, seed=5)
 
 
+@query(f"""WITH {_TEXT}, v AS (SELECT *, coalesce(sum(len) OVER (ORDER BY asm_id, contig_ix ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo FROM contigs WHERE len > 0),
+u AS (SELECT id, {_MIX.format(0)} % (SELECT sum(len) FROM v) AS pos, 1 + CAST(floor(pow(2.0::DOUBLE, 20.0::DOUBLE * ({_MIX.format(1)} / 1152921504606846976.0::DOUBLE))) AS BIGINT) AS size FROM range(1000) t(id)),
+s AS (SELECT *, least(len, size) AS length FROM u JOIN v ON pos >= lo AND pos < lo + len)
+SELECT id, assembly, name AS contig, {_MIX.format(3)} % (len - length + 1) AS start0, length, {_MIX.format(4)} % 2 = 1 AS rc FROM s""")
+def sample_log_uniform(spark, sf_dir):
+    """Regions of log-uniform lengths, contigs weighted by length."""
+    return D.world(spark, sf_dir).text.sample_variable(1000, seed=5, log_uniform=True)
+
+
+@query(f"WITH {_TEXT} SELECT asm_id, md5(string_agg(name, ',' ORDER BY contig_ix)) AS selection_key, count(*) AS contigs FROM contigs WHERE len >= 500 GROUP BY asm_id")
+def selection_keys(spark, sf_dir):
+    """A key for the contigs of 500 bases and more of each assembly: the md5 of their names in order, a row a contig."""
+    rows = D.world(spark, sf_dir).text.contigs.where("len >= 500").groupBy("asm_id")
+    names = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("contig_ix", "name"))), lambda x: x["name"]), ",")
+    return rows.agg(F.md5(names).alias("selection_key"), F.count("*").alias("contigs"))
+
+
+@query(f"""WITH {_MUTATED.replace("WITH", "")}, c AS (SELECT DISTINCT 'c' || (c_custkey % 40) AS person FROM customer), p AS (SELECT DISTINCT 'c' || (asm_id * 5) AS person FROM contigs)
+SELECT person FROM c INTERSECT SELECT person FROM p""")
+def shared_people(spark, sf_dir):
+    """Names that two sets of people share, each set's names once."""
+    c = _rows(spark, sf_dir, "customer").select(F.concat(F.lit("c"), (F.col("c_custkey") % 40).cast("string")).alias("person"))
+    p = D.world(spark, sf_dir).mutated.names().select(F.concat(F.lit("c"), (F.col("asm_id") * 5).cast("string")).alias("person"))
+    return c.intersect(p)
+
+
 @query(f"""WITH {_TEXT}, p AS (SELECT asm_id, unnest(range(0, n, 997)) AS pos FROM streams)
 SELECT p.asm_id, p.pos, contig_ix, p.pos - boff AS start0 FROM p JOIN contigs c ON c.asm_id = p.asm_id AND p.pos >= boff AND p.pos < boff + len""")
 def contig_of_position(spark, sf_dir):
@@ -454,6 +480,21 @@ def guide_mm_histogram(spark, sf_dir):
     return kmers.guide_sites(w.mutated, w.guides, 4).groupBy("gid", "mm").agg(F.count("*").alias("sites"), F.countDistinct("asm_id").alias("assemblies"))
 
 
+@query(f"{_MUTATED_SITES} SELECT 'y1_P' || (asm_id // 2) || '.' || (asm_id % 2 + 1) AS assembly, 'doc' || doc_id AS contig, pos, gid, CASE strand WHEN 0 THEN '+' ELSE '-' END AS strand, mm FROM found JOIN ref USING (contig_ix)")
+def guide_sites_named(spark, sf_dir):
+    """Sites with the names of their assemblies and contigs."""
+    w = D.world(spark, sf_dir)
+    names = w.mutated.contigs.select("asm_id", "contig_ix", "assembly", F.col("name").alias("contig"))
+    rows = kmers.guide_sites(w.mutated, w.guides, 4).join(joins.broadcast_if_small(names), ["asm_id", "contig_ix"])
+    return rows.select("assembly", "contig", "pos", "gid", F.when(F.col("strand") == 0, "+").otherwise("-").alias("strand"), "mm")
+
+
+@query(f"WITH {_TEXT}, {_kmers('contigs', 4)}, n AS (SELECT asm_id, kmer, count(*) AS n FROM kmers WHERE regexp_matches(kmer, '^[ACGT]+$') GROUP BY ALL), t AS (SELECT *, sum(n) OVER (PARTITION BY asm_id, substr(kmer, 1, 3)) AS m FROM n) SELECT asm_id, CAST(sum(n) AS BIGINT) AS bases, round(sum(n * (log2(m) - log2(n))) / sum(n), 9) AS bits_per_base FROM t GROUP BY asm_id")
+def bits_per_base(spark, sf_dir):
+    """Under shares after the three bases before."""
+    return kmers.bits_per_base(D.world(spark, sf_dir).text, 3).withColumn("bits_per_base", F.round("bits_per_base", 9))
+
+
 @query()
 def guide_origin(spark, sf_dir):
     w = D.world(spark, sf_dir)
@@ -723,6 +764,20 @@ def as_of_anchor(spark, sf_dir):
     return joins.as_of(e.where("event_type <> t").select("user_id", F.col("event_id").alias("pos")), right, ["user_id"], "value")
 
 
+_ENTRIES = """r AS (SELECT l_suppkey AS k, l_partkey * 3 AS p, l_orderkey AS v, CAST(l_quantity AS BIGINT) * 5 AS n FROM lineitem WHERE l_linenumber = 1), i AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY p, v, n) AS i FROM r),
+l AS (SELECT o_custkey % 100 + 1 AS k, o_orderkey AS pos FROM orders WHERE o_orderkey % 3 = 0), m AS (SELECT l.k, pos, (SELECT max(i) FROM i WHERE i.k = l.k AND p <= pos % 6500) AS top FROM l)"""
+
+
+@query(f"""WITH {_ENTRIES}, b AS (SELECT m.k, m.pos, max((n, i.i)) AS best FROM m JOIN i ON i.k = m.k AND i.i > top - 16 AND i.i <= top AND pos % 6500 < p + n GROUP BY m.k, m.pos),
+c AS (SELECT m.k, m.pos, coalesce(best[2], top, 1) AS i FROM m LEFT JOIN b ON b.k = m.k AND b.pos = m.pos)
+SELECT c.k, c.pos AS id, c.pos % 6500 AS pos, p AS "at", n AS len, v AS value FROM c LEFT JOIN i ON i.k = c.k AND i.i = c.i""")
+def longest_containing(spark, sf_dir):
+    """Of the last 16 entries at or before a position the longest that holds it."""
+    right = _rows(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.col("l_suppkey").alias("k"), (F.col("l_partkey") * 3).alias("at"), F.col("l_orderkey").alias("value"), (F.col("l_quantity").cast("long") * 5).alias("len"))
+    left = _rows(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select((F.col("o_custkey") % 100 + 1).alias("k"), F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 6500).alias("pos"))
+    return joins.as_of_longest(left, right, ["k"])
+
+
 # ---------------------------------------------------------------- timings
 
 _TIMES = """times AS (SELECT l_returnflag AS label, [1, 8192, 65536][l_linenumber % 3 + 1] AS w, CAST(floor(l_extendedprice) AS BIGINT) + [20000, 26000, 60000][l_linenumber % 3 + 1] AS ns FROM lineitem),

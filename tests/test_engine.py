@@ -721,3 +721,16 @@ def test_seeds_of_chunks_are_those_of_contigs(ref):
         want |= {(int(h), at + int(p), int(t)) for h, p, t in zip(*edits.minimizers(s.encode()))}
         at += len(s)
     assert {tuple(r) for r in edits.reference_seeds(ref).collect()} == want
+
+
+def test_longest_of_the_last_entries(spark):
+    r = random.Random(10)
+    right = [(k, r.randrange(400), i, r.choice([1, 5, 40, 200])) for k in (0, 1) for i in range(90)] + [(2, 50, 1, 10)] + [(0, 100, 900 + i, 3) for i in range(20)]
+    left = [(r.randrange(4), i, r.randrange(-20, 450)) for i in range(400)]
+    got = {x.id: (x["at"], x["len"], x.value) for x in joins.as_of_longest(spark.createDataFrame(left, "k int, id int, pos long"), spark.createDataFrame(right, "k int, at long, value long, len long"), ["k"]).collect()}
+    for k, i, pos in left:
+        own = sorted((at, v, n) for j, at, v, n in right if j == k)
+        before = [e for e in own if e[0] <= pos]
+        holds = [(n, j, (at, v, n)) for j, (at, v, n) in enumerate(before) if j >= len(before) - 16 and pos < at + n]
+        want = max(holds)[2] if holds else before[-1] if before else own[0] if own else (None, None, None)
+        assert got[i] == (want[0], want[2], want[1]), (k, pos)
