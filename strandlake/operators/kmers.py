@@ -26,6 +26,8 @@ from strandlake.operators.cohort import OVERLAP, Cohort
 K, SPACER, PAM = 23, 20, 3
 #: Patterns, and guides, that go to every task.
 PATTERNS, GUIDES = 200_000, 5_000
+#: Bases of chunks that are scanned together.
+TOGETHER = 2**19
 HITS = "asm_id int, contig_ix int, pos long, pid long, strand int"
 SITES = "asm_id int, contig_ix int, pos long, gid long, strand int, mm int"
 
@@ -68,21 +70,29 @@ def _bucket(c: np.ndarray) -> np.ndarray:
 
 
 def _scan(cohort: Cohort, chunks: DataFrame, find: Callable, schema: str, k: int) -> DataFrame:
-    """``find(codes, valid)`` -> positions and columns, over every chunk; only the starts that are the chunk's own."""
+    """``find(codes, valid)`` -> positions and columns, over many chunks at once, which an N divides; only the starts that are a chunk's own."""
     q, names = cohort.q, [x.split()[0] for x in schema.split(", ")]
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parts = []
-            for asm, contig, start, seq in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                c, ok = codes(seq, k)
-                at, *rest = find(c[:q], ok[:q])
+            asm, contig, start = (b.column(i).to_numpy() for i in range(3))
+            seqs = b.column(3).to_pylist()
+            ends = np.cumsum([len(x) + 1 for x in seqs])
+            lo = 0
+            while lo < len(seqs):
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + TOGETHER, "right")))
+                first = ends[lo:hi] - ends[lo] + len(seqs[lo]) + 1  # where the next chunk begins
+                first = np.concatenate(([0], first[:-1]))
+                c, ok = codes(b"N".join(seqs[lo:hi]), k)
+                size = np.diff(np.append(first, len(c)).clip(max=len(c)))
+                ok &= np.arange(len(c)) - np.repeat(first.clip(max=len(c)), size) < q
+                at, *rest = find(c, ok)
                 if len(at):
-                    parts.append([np.full(len(at), asm, np.int32), np.full(len(at), contig, np.int32), at + start, *rest])
-            if parts:
-                columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
-                kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=False)], names)
+                    own = np.searchsorted(first, at, "right") - 1
+                    columns = [asm[lo + own], contig[lo + own], at - first[own] + start[lo + own], *rest]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=False)], names)
+                lo = hi
 
     return chunks.select("asm_id", "contig_ix", "cstart", "seq").mapInArrow(run, schema)
 
