@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 _OUT = "n long, sha256 string"
 
 
-def sha256_in_order(parts: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:
-    """``(*keys, n, sha256)``: for each key the hash of its ``value`` parts end to end in order of ``at``, and their bytes.
+def sha256_in_order(parts: DataFrame, keys: list[str], at: str, value: str, between: bytes = b"") -> DataFrame:
+    """``(*keys, n, sha256)``: for each key the hash of its ``value`` parts in order of ``at``, with ``between`` between them, and the parts' bytes.
 
     Parts are shuffled by key and sorted, which spills as it must; a task holds a batch of parts and one state. SHA-256 goes
     through a sequence from its start to its end, so one sequence is one task's work, but no row and no value is as long as it. Null parts count as
@@ -38,6 +38,8 @@ def sha256_in_order(parts: DataFrame, keys: list[str], at: str, value: str) -> D
                     if state is not None:
                         yield row()
                     key, n, state = k, 0, hashlib.sha256()
+                elif between:
+                    state.update(between)
                 if part.is_valid:
                     data = part.as_buffer()
                     state.update(data)

@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandlake.functions import bases as B
-from strandlake.operators import joins
+from strandlake.operators import fold, joins
 from strandlake.operators.cohort import OVERLAP, Cohort
 
 K, SPACER, PAM = 23, 20, 3
@@ -201,10 +201,14 @@ def bits_per_base(cohort: Cohort, context: int) -> DataFrame:
 def digest(hits: DataFrame, by: list[str]) -> DataFrame:
     """The number of hits of each group and the SHA-256 of its sorted lines of contig, position, pattern and strand.
 
-    Lines are sorted and hashed in one task a group: for comparing result sets of a size that fits, as the tools do.
+    Lines are sorted, which spills as it must, and hashed as they stream by: a group is one task's work, as a digest of sorted lines is, but held nowhere whole.
     """
     line = F.concat_ws(":", F.lpad(F.col("contig_ix").cast("string"), 8, "0"), F.lpad(F.col("pos").cast("string"), 12, "0"), F.lpad(F.col("pid").cast("string"), 12, "0"), F.col("strand").cast("string"))
-    return hits.withColumn("line", line).groupBy(*by).agg(F.count("*").alias("hits"), F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256).alias("digest"))
+    lines = hits.select(*by, line.alias("line"))
+    hashed = fold.sha256_in_order(lines, by, "line", "line", b"\n")
+    # a line has 35 bytes or more, so bytes don't tell their number
+    counts = lines.groupBy(*by).agg(F.count("*").alias("hits"))
+    return counts.join(hashed, by).select(*by, "hits", F.col("sha256").alias("digest"))
 
 
 def same_hits(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -29,7 +30,9 @@ def window_law(timings: DataFrame, rates: DataFrame, q: int) -> DataFrame:
 
 def summary(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Count, median, mean, least, most, and the value at index int(0.9 * (n - 1)) of the sorted ones."""
-    at = F.element_at(F.array_sort(F.collect_list(value)), (F.floor(0.9 * (F.count("*") - 1)) + 1).cast("int"))
+    group = W.partitionBy(*by)
+    df = df.withColumn("__i", F.row_number().over(group.orderBy(value))).withColumn("__n", F.count("*").over(group))
+    at = F.max(F.when(F.col("__i") == F.floor(0.9 * (F.col("__n") - 1)) + 1, F.col(value)))
     return df.groupBy(*by).agg(F.count("*").alias("n"), F.median(value).alias("median"), F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"), at.alias("p90"))
 
 
