@@ -9,8 +9,10 @@ probability 5e-8, and the estimate drops it with probability under 1e-8.
 
 In a bucket, every node is compared with the bucket's smallest one only; then those that this left in other components
 than it are compared with all of their bucket that are in other components than theirs, in tiles of bounded size, each pair
-in the first band that it shares. A tile gives one link for each two components that it finds linked, no pairs. So no two
-nodes of a bucket stay apart untested.
+in the first band that it shares. A tile first has signatures alone; texts come only to the nodes that an estimate leaves near
+another. It gives one link for each two components that it finds linked, no pairs. So no two nodes of a bucket stay apart untested.
+
+Texts travel packed, a fraction of what their sets would take, and sets are made from them where they are compared.
 
 Nodes are 64-bit fingerprints of sets: among n different sets, about n^2 / 2^65 pairs would be taken as equal.
 """
@@ -23,6 +25,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -93,28 +96,63 @@ def _signatures(width: int):
     return run
 
 
-def _sets(width: int):
+def _packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    pack = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        data = [None if x is None else pack.compress(x) for x in tx.binaries(batch.column(1))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], ["row", "data"])
+
+
+def _set_of(data: bytes, width: int) -> np.ndarray:
+    return shingle_set(zstandard.ZstdDecompressor().decompress(data), width)
+
+
+def _agreeing(width: int):
+    """Of ``(f, data)``, what has the set that f stands for."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            f, blobs = batch.column(0).to_pylist(), []
-            own = []
-            for want, data in zip(f, tx.binaries(batch.column(1)), strict=True):
-                items = shingle_set(data, width)
-                if len(items) and fingerprint(items) == want:
-                    own.append(want)
-                    blobs.append(items.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(blobs, pa.binary())], ["f", "items"])
+            sets = (_set_of(x, width) for x in batch.column(1).to_pylist())
+            fine = [len(x) > 0 and fingerprint(x) == f for f, x in zip(batch.column(0).to_pylist(), sets, strict=True)]
+            yield batch.filter(pa.array(fine, pa.bool_()))
+
+    return run
+
+
+def _near(table: pa.Table, percent: int, skip=None) -> Iterator[tuple[int, np.ndarray]]:
+    """Each left row of a tile and the others that it may be linked with; ``skip(i, own)`` tells which of them needn't be looked at."""
+    key, left = table.column("key")[0].as_py(), table.column("left").to_numpy()
+    f, c, out, n = (table.column(x).to_numpy() for x in ("f", "c", "out", "n"))
+    bands, sigs = (table.column(x).combine_chunks().flatten().to_numpy().reshape(len(f), -1) for x in ("bands", "sigs"))
+    ones, here = np.uint64(sum(1 << k for k in range(0, 64, BITS))), np.flatnonzero(~left)
+    for i in np.flatnonzero(left).tolist():
+        own = here[(c[here] != c[i]) & ~(out[here] & (f[here] < f[i]))]
+        own = own[100 * np.minimum(n[own], n[i]) >= percent * np.maximum(n[own], n[i])]
+        own = own[bands[i][(bands[own] == bands[i]).argmax(axis=1)] == key] if len(own) else own
+        own = own[~skip(i, own)] if skip and len(own) else own
+        off = (sigs[own] ^ sigs[i]).view(np.uint64)
+        off = np.bitwise_count(reduce(np.bitwise_or, (off >> np.uint64(k) for k in range(BITS))) & ones).sum(axis=1)
+        own = own[((HASHES - off) / HASHES - 2.0**-BITS) / (1 - 2.0**-BITS) >= percent / 100 - MARGIN]
+        if len(own):
+            yield i, own
+
+
+def _met(percent: int):
+    """The rows of a tile that an estimate leaves near another."""
+
+    def run(table: pa.Table) -> pa.Table:
+        some = np.zeros(len(table), bool)
+        for i, own in _near(table, percent):
+            some[i] = some[own] = True
+        return table.filter(pa.array(some))
 
     return run
 
 
-def _tile(percent: int):
+def _tile(percent: int, width: int):
     def run(table: pa.Table) -> pa.Table:
-        key, left = table.column("key")[0].as_py(), table.column("left").to_numpy()
-        f, c, out = (table.column(n).to_numpy() for n in ("f", "c", "out"))
-        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(f), -1)
-        items = [np.frombuffer(x, np.uint64) for x in table.column("items").to_pylist()]
-        sizes, here = np.array([len(x) for x in items]), np.flatnonzero(~left)
+        f, c = (table.column(x).to_numpy() for x in ("f", "c"))
+        data, sets = table.column("data"), {}
         root = {int(x): int(x) for x in np.unique(c)}
 
         def top(x: int) -> int:
@@ -122,21 +160,21 @@ def _tile(percent: int):
                 x = root[x]
             return x
 
+        def items(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = _set_of(data[i].as_py(), width)
+            return sets[i]
+
         a, b = [], []
-        for i in np.flatnonzero(left).tolist():
-            own = here[(c[here] != c[i]) & ~(out[here] & (f[here] < f[i]))]
-            own = own[(100 * np.minimum(sizes[own], sizes[i]) >= percent * np.maximum(sizes[own], sizes[i]))]
-            same = bands[own] == bands[i]
-            own = own[bands[i][same.argmax(axis=1)] == key] if len(own) else own
-            own = own[np.array([top(int(x)) != top(int(c[i])) for x in c[own]], bool)] if len(own) else own
-            if not len(own):
-                continue
-            flat = np.concatenate([items[j] for j in own])
-            hit = items[i][np.minimum(np.searchsorted(items[i], flat), sizes[i] - 1)] == flat
-            both = np.add.reduceat(hit, np.concatenate(([0], np.cumsum(sizes[own])[:-1])), dtype=np.int64)
-            for j in own[100 * both >= percent * (sizes[i] + sizes[own] - both)].tolist():
+        for i, own in _near(table, percent, lambda i, own: np.array([top(int(x)) == top(int(c[i])) for x in c[own]], bool)):
+            mine = items(i)
+            for j in own.tolist():
                 x, y = top(int(c[i])), top(int(c[j]))
-                if x != y:
+                if x == y:
+                    continue
+                small, large = sorted((mine, items(j)), key=len)
+                both = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+                if 100 * both >= percent * (len(small) + len(large) - both):
                     root[max(x, y)] = min(x, y)
                     a.append(int(f[i]))
                     b.append(int(f[j]))
@@ -145,9 +183,10 @@ def _tile(percent: int):
     return run
 
 
-def _tiles(mixed: DataFrame, sets: DataFrame, bands: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """Links ``(a, b)`` between components of a bucket, from ``mixed(key, f, c, out)``, ``sets(f, items)`` and ``bands(f, bands)``."""
-    sized = mixed.join(sets.select("f", F.octet_length("items").alias("b")), "f")
+def _tiles(mixed: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int, width: int, scratch: Scratch) -> DataFrame:
+    """Links ``(a, b)`` between components of a bucket, from ``mixed(key, f, c, out)``, ``nodes(f, n, bands, sigs)`` and ``texts(f, data)``."""
+    own = scratch.save(nodes.join(mixed.select("f").distinct(), "f", "left_semi"), "own")
+    sized = mixed.join(own.select("f", (F.col("n") * 8).alias("b")), "f")
     blocks = lambda n, b, most: (F.floor(F.greatest(n / most, b / TILE_BYTES)) + 1).cast("long")
     some = F.coalesce(F.sum(F.when(F.col("out"), F.col("b"))), F.lit(0))
     counts = sized.groupBy("key").agg(blocks(F.count_if("out"), some, OUT).alias("outs"), blocks(F.count("*"), F.sum("b"), ALL).alias("alls"), F.count("*").alias("rows"))
@@ -156,18 +195,18 @@ def _tiles(mixed: DataFrame, sets: DataFrame, bands: DataFrame, percent: int, sc
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     left = rows.where("out").select("key", "f", "c", "out", F.lit(True).alias("left"), at("outs").alias("i"), every("alls").alias("j"))
     right = rows.select("key", "f", "c", "out", F.lit(False).alias("left"), at("alls").alias("j"), every("outs").alias("i"))
-    own = scratch.save(sets.join(mixed.select("f").distinct(), "f", "left_semi").join(bands, "f"), "own")
-    both = left.unionByName(right).join(own, "f").select("key", "i", "j", "f", "c", "out", "left", "bands", "items")
-    return both.groupBy("key", "i", "j").applyInArrow(_tile(percent), "a long, b long")
+    both = left.unionByName(right).join(own, "f").select("key", "i", "j", "f", "c", "out", "left", "n", "bands", "sigs")
+    met = scratch.save(both.groupBy("key", "i", "j").applyInArrow(_met(percent), both.schema), "met")
+    return met.join(texts, "f").select(*met.columns, "data").groupBy("key", "i", "j").applyInArrow(_tile(percent, width), "a long, b long")
 
 
-def _compare(percent: int):
+def _compare(percent: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, items = None, None
         for batch in batches:
             a, b = [], []
             for h, f, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                own = np.frombuffer(blob, np.uint64)
+                own = _set_of(blob, width)
                 if f == h:  # a hub comes before what is compared with it
                     hub, items = h, own
                 elif hub == h:
@@ -214,27 +253,28 @@ def _row(doc_id: Column, text: Column) -> Column:
 
 
 def _texts(nodes: DataFrame, wanted: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """``(f, text)`` for the nodes ``wanted(f)``: the row that stands for the node, and what agrees with it in id and text."""
+    """``(f, data)``, texts packed, for the nodes ``wanted(f)``: the row that stands for the node, and what agrees with it in id and text."""
     need = scratch.save(nodes.join(wanted.distinct(), "f").select("f", "row", "copies"), "need")
     rows = docs.select(_row(F.col("doc_id").cast("long"), F.col("text")).alias("row"), "text")
-    return spread(rows, need, "row", "copies").select("f", "text")
+    rows = rows.where("text is not null").mapInArrow(_packed_texts, "row long, data binary")
+    return spread(rows, need, "row", "copies").select("f", "data")
 
 
-def _repeated(sets: DataFrame) -> bool:
+def _repeated(texts: DataFrame) -> bool:
     """Whether a node's row is repeated in the table."""
-    return not sets.groupBy("f").count().where("count > 1").isEmpty()
+    return not texts.groupBy("f").count().where("count > 1").isEmpty()
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """Of ``pairs(a, b)``, those whose full sets are near enough, from ``sets(f, items)``."""
+def _verified(pairs: DataFrame, texts: DataFrame, percent: int, width: int, scratch: Scratch) -> DataFrame:
+    """Of ``pairs(a, b)``, those whose full sets are near enough, from ``texts(f, data)``."""
     counts = pairs.groupBy("a").agg((F.floor(F.count("*") / RUN) + 1).cast("int").alias("runs"), F.count("*").alias("pairs"))
     counts = scratch.save(counts, "runs")
     salts = counts.select("a", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).alias("salt"))
     dealt = spread(pairs, counts, "a", "pairs").select("a", "b", F.pmod(F.xxhash64("b"), F.col("runs")).cast("int").alias("salt"))
     rows = salts.select("a", F.col("a").alias("b"), "salt").unionByName(dealt)
-    rows = rows.join(sets, rows.b == sets.f).select("a", "b", "items", "salt", (F.col("a") != F.col("b")).alias("member"))
-    rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "member").select("a", "b", "items")
-    return scratch.save(rows.mapInArrow(_compare(percent), "a long, b long"), "links")
+    rows = rows.join(texts, rows.b == texts.f).select("a", "b", "data", "salt", (F.col("a") != F.col("b")).alias("member"))
+    rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "member").select("a", "b", "data")
+    return scratch.save(rows.mapInArrow(_compare(percent, width), "a long, b long"), "links")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -265,7 +305,7 @@ def classes(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     # "first" takes all of them from the same row
     own = [F.first(c).alias(c) for c in ["row", "n", *(f"k{i}" for i in range(BANDS)), *(f"s{i}" for i in range(LONGS))]]
     nodes = scratch.save(full.groupBy("f").agg(F.min("doc_id").alias("min_id"), F.count("*").alias("copies"), *own), "nodes")
-    keys = nodes.select("f", F.array(*(f"k{i}" for i in range(BANDS))).alias("bands"))
+    keys = nodes.select("f", "n", F.array(*(f"k{i}" for i in range(BANDS))).alias("bands"), F.array(*(f"s{i}" for i in range(LONGS))).alias("sigs"))
     bands = keys.select("f", F.explode("bands").alias("key"))
     hubs = bands.groupBy("key").agg(F.min("f").alias("hub"), F.max("f").alias("top"), F.count("*").alias("rows")).where("hub <> top")
     hubs = scratch.save(hubs.drop("top"), "hubs")
@@ -278,16 +318,16 @@ def classes(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     near = spread(stars.join(nodes.select("f", *signed), "f"), heads, "hub", "rows")
     near = near.where(_sizes_near("h", "", percent) & (estimate("h", "") >= percent / 100 - MARGIN))
     near = scratch.save(near.select(F.col("hub").alias("a"), F.col("f").alias("b")), "pairs")
-    # the sets of all nodes that share a band, made anew from their texts, which are shuffled this once
+    # the texts of all nodes that share a band, which are shuffled this once
     wanted = members.select(F.col("hub").alias("f")).union(members.select("f"))
-    made = scratch.save(_texts(nodes, wanted, docs, scratch).mapInArrow(_sets(shingle), "f long, items binary"), "sets")
-    sets = scratch.save(made.dropDuplicates(["f"]), "sets") if _repeated(made) else made
-    links = _verified(near, sets, percent, scratch)
+    made = scratch.save(_texts(nodes, wanted, docs, scratch).mapInArrow(_agreeing(shingle), "f long, data binary"), "texts")
+    texts = scratch.save(made.dropDuplicates(["f"]), "texts") if _repeated(made) else made
+    links = _verified(near, texts, percent, shingle, scratch)
     labels = components(links, scratch)
 
     mixed = scratch.save(_mixed(members, labels, scratch), "mixed")
-    more = scratch.save(_tiles(mixed, sets, keys, percent, scratch), "more")
-    scratch.drop(mixed, sets)
+    more = scratch.save(_tiles(mixed, keys, texts, percent, shingle, scratch), "more")
+    scratch.drop(mixed, texts)
     if not more.isEmpty():
         labels = components(links.union(more), scratch)
 

@@ -11,14 +11,14 @@ def spread(rows: DataFrame, values: DataFrame, key: str, weight: str) -> DataFra
     most, and is left out.
 
     A key with more rows than an even share of the tasks is one of fewer than there are tasks: these few values are broadcast,
-    and their rows stay where they are. The rest is shuffled, in small tables too, as ``values`` grow with the data. Null keys match nothing. ``values`` is read several times.
+    and their rows stay where they are. How the rest is joined is left to Spark, which knows the sizes. Null keys match nothing. ``values`` is read several times.
     """
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     total, most = values.agg(F.coalesce(F.sum(weight), F.lit(0)), F.coalesce(F.max(weight), F.lit(0))).first()
     plain = values.drop(weight)
     if most * tasks <= total:
-        return rows.join(plain.hint("merge"), key)
+        return rows.join(plain, key)
     hot = F.col(weight) * tasks > total
     few = values.where(hot).drop(weight)  # fewer rows than tasks
     rest = rows.join(F.broadcast(few.select(key)), key, "left_anti")
-    return rows.join(F.broadcast(few), key).unionByName(rest.join(values.where(~hot).drop(weight).hint("merge"), key))
+    return rows.join(F.broadcast(few), key).unionByName(rest.join(values.where(~hot).drop(weight), key))

@@ -78,17 +78,33 @@ def test_one_of_each_with_repeated_ids(spark):
 
 def test_tiles_compare_what_hubs_leave(spark):
     """A tile finds a link that no hub has, once for each two components."""
-    items = [np.unique(np.random.default_rng(k // 2).integers(0, 2**63, 100).astype(np.uint64)) for k in range(4)]
     import pyarrow as pa
+    import zstandard
 
+    texts = [prose(100, 70 + k // 2).encode() for k in range(4)]
+    sets = [minhash.shingle_set(x, 2) for x in texts]
     f, key = [1, 2, 3, 4], 5
     bands = [[key] + [100 + i] * 31 for i in range(4)]
-    rows = {"key": [key] * 8, "f": f * 2, "c": f * 2, "out": [False, True, True, True] * 2, "left": [True] * 4 + [False] * 4, "bands": bands * 2, "items": [x.tobytes() for x in items] * 2}
+    rows = {"key": [key] * 8, "f": f * 2, "c": f * 2, "out": [False, True, True, True] * 2, "left": [True] * 4 + [False] * 4, "bands": bands * 2}
+    rows |= {"n": [len(x) for x in sets] * 2, "sigs": [minhash.packed(minhash.minima(x)).tolist() for x in sets] * 2, "data": [zstandard.compress(x) for x in texts] * 2}
     rows["left"][0] = False
-    got = minhash._tile(80)(pa.table(rows)).to_pydict()
+    met = minhash._met(80)(pa.table(rows))
+    assert set(met.column("f").to_pylist()) == {1, 2, 3, 4}
+    got = minhash._tile(80, 2)(met).to_pydict()
     assert {frozenset(x) for x in zip(got["a"], got["b"])} == {frozenset((1, 2)), frozenset((3, 4))}
 
 
+def test_estimates_keep_far_texts_out_of_tiles(spark):
+    """Of nodes that share a band and no more, none goes on to be compared by its text."""
+    import pyarrow as pa
+
+    sets = [minhash.shingle_set(prose(100, 90 + k).encode(), 2) for k in range(6)]
+    bands = [[5] + [100 + i] * 31 for i in range(6)]
+    rows = {"key": [5] * 12, "f": list(range(6)) * 2, "c": list(range(6)) * 2, "out": [False, *[True] * 5] * 2, "left": [True] * 6 + [False] * 6, "bands": bands * 2}
+    rows |= {"n": [len(x) for x in sets] * 2, "sigs": [minhash.packed(minhash.minima(x)).tolist() for x in sets] * 2}
+    assert len(minhash._met(80)(pa.table(rows))) == 0
+
+
 def test_estimate_is_close(spark):
     base = prose(400, 9)
     near = edited(base, 12, 3)
