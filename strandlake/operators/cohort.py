@@ -128,6 +128,17 @@ class Cohort:
         only = F.col("asm_id").isin(list(there.values()))
         return Cohort(self.spark, self.q, *(t.where(only) for t in (self.contigs, self.blocks, self.chunks, self.case_runs)))
 
+    def colocated(self, buckets: int) -> Cohort:
+        """The same cohort, its blocks stored in buckets of (assembly, block), a file each.
+
+        Requests are then shuffled to the blocks that they touch, and blocks not at all; requests of one block meet in one task in
+        whatever order they come. A window that spans blocks is put together by a second shuffle of its parts. Worth it where
+        many batches of requests meet one cohort: the blocks are shuffled once, when they are stored.
+        """
+        keys = ["asm_id", "block_ix"]
+        blocks = Scratch(self.spark).save_by(self.blocks.repartition(buckets, *keys), "blocks", keys, buckets)
+        return Cohort(self.spark, self.q, self.contigs, blocks, self.chunks, self.case_runs)
+
     def names(self) -> DataFrame:
         return self.contigs.select("asm_id", "assembly").distinct()
 

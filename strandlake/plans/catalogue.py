@@ -125,6 +125,13 @@ def fetch_regions(spark, sf_dir):
     return c.fetch(_requests(c))
 
 
+@query(f"{_FETCH} SELECT id, assembly, contig, start0, length, rc, CASE WHEN rc THEN {_RC.format('s')} ELSE s END AS seq FROM z")
+def fetch_colocated(spark, sf_dir):
+    """The same requests over blocks stored in buckets: only requests are shuffled."""
+    c = D.near(spark, sf_dir)
+    return c.fetch(_requests(c))
+
+
 @query(f"{_FETCH} SELECT id, translate(CASE WHEN rc THEN {_RC.format('u')} ELSE u END, 'ACGTN', '01234') AS tokens FROM z")
 def fetch_tokens(spark, sf_dir):
     c = D.world(spark, sf_dir).text

@@ -113,6 +113,17 @@ def world(spark: SparkSession, sf_dir: str) -> World:
     return _made[key]
 
 
+_near: dict[tuple[str, str], Cohort] = {}
+
+
+def near(spark: SparkSession, sf_dir: str) -> Cohort:
+    """The text cohort, stored so that requests go to their blocks."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _near:
+        _near[key] = world(spark, sf_dir).text.colocated(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return _near[key]
+
+
 def first_of_each(candidates: DataFrame) -> DataFrame:
     """``candidates(n, class, seq)`` -> ``patterns(pid, class, seq)``: of equal sequences the first class and number stays."""
     return candidates.groupBy("seq").agg(F.min(F.struct("class", "n")).alias("x")).select(F.col("x.n").alias("pid"), F.col("x.class").alias("class"), "seq")

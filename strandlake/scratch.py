@@ -41,8 +41,8 @@ class Scratch:
         out._scratch_path = path
         return out
 
-    def save_by(self, df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
-        """A table in buckets of ``key``: a join or group by that key doesn't shuffle it again.
+    def save_by(self, df: DataFrame, name: str, key: str | list[str], buckets: int) -> DataFrame:
+        """A table in buckets of ``key``, one column or several: a join or group by that key doesn't shuffle it again.
 
         Only the catalog knows of buckets, so the files get an entry there until the frame is analysed.
         """

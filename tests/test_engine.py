@@ -89,6 +89,27 @@ def stream(a, case=True):
     return "".join(s)
 
 
+def test_colocated_requests_leave_blocks_in_place(spark, cohort):
+    """The same windows, in any order of the requests, and a plan whose one exchange is that of the requests."""
+    near = cohort.colocated(4)
+    asked = cohort.sample_coordinates(200, 700, seed=5, rc_percent=50).select("id", "asm_id", "start", "length", "rc")
+    asked = asked.unionByName(asked.withColumn("id", F.col("id") + 1000).withColumn("length", F.lit(0).cast("long")))
+    want = sorted(cohort.windows(asked).collect())
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for order in ("id", "start"):
+            assert sorted(near.windows(asked.orderBy(order)).collect()) == want
+        rows = spark.createDataFrame([(k, k % 4, 100 * k) for k in range(8)], "id long, asm_id int, start long")
+        rows = rows.withColumn("block_ix", F.floor(F.col("start") / Q))
+        joined = rows.join(near.blocks, ["asm_id", "block_ix"])
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1
+        assert near.windows(asked)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(asm_id") < cohort.windows(asked)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(asm_id")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
 def test_windows_cross_blocks_and_contigs(spark, cohort):
     r = random.Random(1)
     rows = []
