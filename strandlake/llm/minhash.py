@@ -12,7 +12,8 @@ than it are compared with all of their bucket that are in other components than
 in the first band that it shares. A tile first has signatures alone; texts come only to the nodes that an estimate leaves near
 another. It gives one link for each two components that it finds linked, no pairs. So no two nodes of a bucket stay apart untested.
 
-Texts travel packed, a fraction of what their sets would take, and sets are made from them where they are compared.
+Texts travel packed, a fraction of what their sets would take, and sets are made from them where they are compared. They are
+stored in buckets of their nodes, so both comparisons fetch them by a join that shuffles the other side only.
 
 Nodes are 64-bit fingerprints of sets: among n different sets, about n^2 / 2^65 pairs would be taken as equal.
 """
@@ -260,11 +261,6 @@ def _texts(nodes: DataFrame, wanted: DataFrame, docs: DataFrame, scratch: Scratc
     return spread(rows, need, "row", "copies").select("f", "data")
 
 
-def _repeated(texts: DataFrame) -> bool:
-    """Whether a node's row is repeated in the table."""
-    return not texts.groupBy("f").count().where("count > 1").isEmpty()
-
-
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int, width: int, scratch: Scratch) -> DataFrame:
     """Of ``pairs(a, b)``, those whose full sets are near enough, from ``texts(f, data)``."""
     counts = pairs.groupBy("a").agg((F.floor(F.count("*") / RUN) + 1).cast("int").alias("runs"), F.count("*").alias("pairs"))
@@ -307,8 +303,7 @@ def classes(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     nodes = scratch.save(full.groupBy("f").agg(F.min("doc_id").alias("min_id"), F.count("*").alias("copies"), *own), "nodes")
     keys = nodes.select("f", "n", F.array(*(f"k{i}" for i in range(BANDS))).alias("bands"), F.array(*(f"s{i}" for i in range(LONGS))).alias("sigs"))
     bands = keys.select("f", F.explode("bands").alias("key"))
-    hubs = bands.groupBy("key").agg(F.min("f").alias("hub"), F.max("f").alias("top"), F.count("*").alias("rows")).where("hub <> top")
-    hubs = scratch.save(hubs.drop("top"), "hubs")
+    hubs = scratch.save(bands.groupBy("key").agg(F.min("f").alias("hub"), F.count("*").alias("rows")).where("rows > 1"), "hubs")
     members = scratch.save(spread(bands, hubs, "key", "rows").where("f <> hub"), "members")
 
     stars = members.select("hub", "f").distinct()
@@ -318,10 +313,10 @@ def classes(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     near = spread(stars.join(nodes.select("f", *signed), "f"), heads, "hub", "rows")
     near = near.where(_sizes_near("h", "", percent) & (estimate("h", "") >= percent / 100 - MARGIN))
     near = scratch.save(near.select(F.col("hub").alias("a"), F.col("f").alias("b")), "pairs")
-    # the texts of all nodes that share a band, which are shuffled this once
+    # the texts of all nodes that share a band, one each, in buckets of the node: joins by it don't shuffle them again
     wanted = members.select(F.col("hub").alias("f")).union(members.select("f"))
-    made = scratch.save(_texts(nodes, wanted, docs, scratch).mapInArrow(_agreeing(shingle), "f long, data binary"), "texts")
-    texts = scratch.save(made.dropDuplicates(["f"]), "texts") if _repeated(made) else made
+    made = _texts(nodes, wanted, docs, scratch).mapInArrow(_agreeing(shingle), "f long, data binary").dropDuplicates(["f"])
+    texts = scratch.save_by(made, "texts", "f", int(spark.conf.get("spark.sql.shuffle.partitions")))
     links = _verified(near, texts, percent, shingle, scratch)
     labels = components(links, scratch)
 
