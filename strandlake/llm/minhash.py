@@ -91,8 +91,8 @@ def _signatures(width: int):
                 if len(items):
                     m = minima(items)
                     keys[i], sigs[i] = band_keys(m), packed(m)
-            columns = [batch.column(0), batch.column(1), pa.array(ns, pa.int64()), pa.array(fs, pa.int64()), *(pa.array(keys[:, i]) for i in range(BANDS)), *(pa.array(sigs[:, i]) for i in range(LONGS))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "n", "f", *(f"k{i}" for i in range(BANDS)), *(f"s{i}" for i in range(LONGS))])
+            lists = [pa.ListArray.from_arrays(np.arange(len(batch) + 1, dtype=np.int32) * x.shape[1], x.ravel()) for x in (keys, sigs)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ns, pa.int64()), pa.array(fs, pa.int64()), *lists], ["doc_id", "row", "n", "f", "bands", "sigs"])
 
     return run
 
@@ -307,21 +307,23 @@ def classes(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     tx.small_batches(spark)
     scratch = Scratch(spark)
     docs = docs.select("doc_id", "text")
-    kinds = "doc_id long, row long, n long, f long, " + ", ".join([f"k{i} long" for i in range(BANDS)] + [f"s{i} long" for i in range(LONGS)])
+    kinds = "doc_id long, row long, n long, f long, bands array<long>, sigs array<long>"
     doc_id = F.col("doc_id").cast("long")
     sigs = scratch.save(docs.select(doc_id, _row(doc_id, F.col("text")).alias("row"), "text").mapInArrow(_signatures(shingle), kinds), "signatures")
     full = sigs.where("f is not null")
-    # "first" takes all of them from the same row
-    own = [F.first(c).alias(c) for c in ["row", "n", *(f"k{i}" for i in range(BANDS)), *(f"s{i}" for i in range(LONGS))]]
-    nodes = scratch.save(full.groupBy("f").agg(F.min("doc_id").alias("min_id"), F.count("*").alias("copies"), *own), "nodes")
-    keys = nodes.select("f", "n", F.array(*(f"k{i}" for i in range(BANDS))).alias("bands"), F.array(*(f"s{i}" for i in range(LONGS))).alias("sigs"))
+    # all from the same row, as one value: 42 of them make a method that the JVM compiles for seconds, and take more of its memory
+    own = F.first(F.struct("row", "n", "bands", "sigs")).alias("own")
+    nodes = full.groupBy("f").agg(F.min("doc_id").alias("min_id"), F.count("*").alias("copies"), own)
+    nodes = nodes.select("f", "min_id", "copies", "own.row", "own.n", "own.bands", *(F.col("own.sigs")[i].alias(f"s{i}") for i in range(LONGS)))
+    nodes = scratch.save(nodes, "nodes")
+    keys = nodes.select("f", "n", "bands", F.array(*(f"s{i}" for i in range(LONGS))).alias("sigs"))
     bands = keys.select("f", F.explode("bands").alias("key"))
     hubs = scratch.save(bands.groupBy("key").agg(F.min("f").alias("hub"), F.count("*").alias("rows")).where("rows > 1"), "hubs")
     members = scratch.save(spread(bands, hubs, "key", "rows").where("f <> hub"), "members")
 
     stars = members.select("hub", "f").distinct()
-    signed = [F.col("n"), *(F.col(f"s{i}") for i in range(LONGS))]
-    heads = nodes.select(F.col("f").alias("hub"), *(c.alias("h" + n) for c, n in zip(signed, ["n", *(f"s{i}" for i in range(LONGS))], strict=True)))
+    signed = ["n", *(f"s{i}" for i in range(LONGS))]
+    heads = nodes.select(F.col("f").alias("hub"), *(F.col(c).alias("h" + c) for c in signed))
     heads = scratch.save(stars.groupBy("hub").agg(F.count("*").alias("rows")).join(heads, "hub"), "heads")
     near = spread(stars.join(nodes.select("f", *signed), "f"), heads, "hub", "rows")
     near = near.where(_sizes_near("h", "", percent) & (estimate("h", "") >= percent / 100 - MARGIN))

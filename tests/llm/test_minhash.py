@@ -130,6 +130,29 @@ def test_rows_without_an_id_or_with_the_same_one_stay_apart(spark):
     assert {(r.doc_id, r.component_id) for r in got if r.doc_id} == {(7, 7)}
 
 
+def test_generated_methods_stay_small(spark, monkeypatch, capsys):
+    """A method of 42 aggregates had 5,031 bytes: the JVM took seconds to compile it."""
+    import re
+
+    found, save = {}, Scratch.save
+
+    def seen(self, df, name):
+        capsys.readouterr()
+        df.explain(mode="codegen")
+        found[name] = max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)), default=0)
+        return save(self, df, name)
+
+    monkeypatch.setattr(Scratch, "save", seen)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else what will be generated isn't known before it runs
+    try:
+        minhash.near_duplicates(documents(spark, list(enumerate(cloud(20, 1)))), 2, 80)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert max(found.values()) > 0 and "nodes" in found
+    assert {k: v for k, v in found.items() if v > 4500} == {}, found
+
+
 def test_spread_is_a_join(spark):
     rows = spark.createDataFrame([(k % 3 if k % 2 else 99, k) for k in range(300)] + [(None, -1)], "key long, x long")
     values = rows.groupBy("key").count().withColumn("y", F.col("key") * 2).where("key <> 2")
