@@ -3,14 +3,16 @@
 Tables (FIXTURES.md): ``contigs(asm_id, assembly, contig_ix, name, header, len, boff, line_width)``;
 ``blocks(asm_id, block_ix, bstart, blen, seq binary, lower array<struct<from, n>>, sha256)``, Q upper-case bases of an
 assembly's stream each; ``chunks(asm_id, contig_ix, cstart, seq binary)``, Q bases of one contig and the OVERLAP that follow,
-for searches; ``case_runs(asm_id, start, len)``. Blocks and chunks are written in order of (asm_id, position), so that a
-scan prunes row groups by key.
+for searches; ``case_runs(asm_id, start, len)``. Blocks are written in stretches of STRIPE, chunks as their contigs come, both in order of
+(asm_id, position) within a file. Each of the three tables is made when it is first asked for: a search needs no blocks, an alignment no chunks.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,6 +24,8 @@ from strandlake.scratch import Scratch
 #: Bases of the next chunk that a chunk repeats: searches of k-mers up to one more work chunk by chunk.
 OVERLAP = 31
 SIZES = (1024, 2048, 4096, 16384)
+#: Blocks side by side that are put together by one task.
+STRIPE = 256
 
 
 def contig_table(meta: DataFrame) -> DataFrame:
@@ -44,33 +48,89 @@ def _joined(at: str, part: str) -> Column:
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at, part))), lambda s: s[part]), "")
 
 
-@dataclass
+def _glued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(asm_id, block_ix, part)`` in order -> a row a block. Parts lie end to end in a batch's buffer, so whole blocks are new bounds over it."""
+    names, key, held = ["asm_id", "block_ix", "seq"], None, []
+
+    def last() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int64()), pa.array([b"".join(held)], pa.binary())], names)
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        asm, block, part = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).cast(pa.binary())
+        first = np.flatnonzero(np.concatenate(([True], (asm[1:] != asm[:-1]) | (block[1:] != block[:-1]))))
+        ends = np.frombuffer(part.buffers()[1], np.int32)[part.offset : part.offset + len(part) + 1]
+        cut = ends[np.append(first, len(part))]
+        whole = pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(cut.tobytes()), part.buffers()[2]])
+        lo, hi = 0, len(first) - 1  # the last block may go on
+        if key == (int(asm[0]), int(block[0])):
+            held.append(whole[0].as_py())
+            lo = 1
+        if key is not None and (lo == 0 or hi > 0):
+            yield last()
+            key = None
+        if lo < hi:
+            yield pa.RecordBatch.from_arrays([pa.array(asm[first[lo:hi]], pa.int32()), pa.array(block[first[lo:hi]], pa.int64()), whole[lo:hi]], names)
+        if lo <= hi:
+            key, held = (int(asm[-1]), int(block[-1])), [whole[hi].as_py()]
+    if key is not None:
+        yield last()
+
+
 class Cohort:
-    spark: SparkSession
-    q: int
-    contigs: DataFrame
-    blocks: DataFrame
-    chunks: DataFrame
-    case_runs: DataFrame
+    def __init__(self, spark: SparkSession, q: int, contigs: DataFrame, blocks: DataFrame | Callable, chunks: DataFrame | Callable, case_runs: DataFrame | Callable):
+        """A table may be given as a function, which is called when the table is first asked for."""
+        self.spark, self.q, self.contigs = spark, q, contigs
+        self._tables = {"blocks": blocks, "chunks": chunks, "case_runs": case_runs}
+
+    def _table(self, name: str) -> DataFrame:
+        if callable(self._tables[name]):
+            self._tables[name] = self._tables[name]()
+        return self._tables[name]
+
+    @property
+    def blocks(self) -> DataFrame:
+        return self._table("blocks")
+
+    @property
+    def chunks(self) -> DataFrame:
+        return self._table("chunks")
+
+    @property
+    def case_runs(self) -> DataFrame:
+        return self._table("case_runs")
+
+    def with_chunks(self, chunks: DataFrame) -> Cohort:
+        """The same cohort, of which searches read only ``chunks``."""
+        return Cohort(self.spark, self.q, self.contigs, lambda: self.blocks, chunks, lambda: self.case_runs)
 
     # ---- building
 
     @classmethod
-    def build(cls, contigs: DataFrame, q: int, case_runs: DataFrame | None = None) -> Cohort:
+    def build(cls, contigs: DataFrame, q: int, case_runs: DataFrame | None = None, meta: DataFrame | None = None) -> Cohort:
         """From ``contigs(assembly, order, header, seq, line_width)``, one row a contig, into tables of the shared folder.
 
-        A base's case comes from ``case_runs(assembly, start, len)`` over the stream, if given; ``seq`` is upper-case.
+        A base's case comes from ``case_runs(assembly, start, len)`` over the stream, if given; ``seq`` is upper-case. ``meta(assembly, order,
+        header, len, line_width)``, if given, is what the contigs are without their bases.
         """
         if q not in SIZES:
             raise ValueError(f"block size {q} is none of {SIZES}")
         scratch = Scratch(contigs.sparkSession)
-        raw = contigs.select("assembly", "order", "header", "line_width", F.col("seq").cast("binary").alias("seq"))
-        meta = raw.select("assembly", "order", B.record_name(F.col("header")).alias("name"), "header", F.length("seq").cast("long").alias("len"), "line_width")
+        if meta is None:
+            meta = contigs.select("assembly", "order", "header", F.length("seq").cast("long").alias("len"), "line_width")
+        meta = meta.select("assembly", "order", B.record_name(F.col("header")).alias("name"), "header", "len", "line_width")
         table = scratch.save(contig_table(meta).coalesce(8), "contigs")
-        whole = raw.select("assembly", "order", "seq").join(table.drop("header", "name", "line_width"), ["assembly", "order"])
-        chunks = whole.withColumn("chunk", joins.bins(F.lit(0).cast("long"), F.col("len"), q))
-        chunks = chunks.select("asm_id", "contig_ix", (F.col("chunk") * q).alias("cstart"), F.substring("seq", (F.col("chunk") * q + 1).cast("int"), F.lit(q + OVERLAP)).alias("seq"))
-        return cls._of(scratch, q, table, whole.withColumn("lo", F.col("boff")), chunks, case_runs)
+        ids = table.select("assembly", "order", "asm_id", "contig_ix", "len", "boff")
+
+        def whole() -> DataFrame:
+            return contigs.select("assembly", "order", F.col("seq").cast("binary").alias("seq")).join(joins.broadcast_if_small(ids), ["assembly", "order"])
+
+        def chunks() -> DataFrame:
+            rows = whole().withColumn("chunk", joins.bins(F.lit(0).cast("long"), F.col("len"), q))
+            return rows.select("asm_id", "contig_ix", (F.col("chunk") * q).alias("cstart"), F.substring("seq", (F.col("chunk") * q + 1).cast("int"), F.lit(q + OVERLAP)).alias("seq"))
+
+        return cls._of(scratch, q, table, lambda: whole().withColumn("lo", F.col("boff")), chunks, case_runs)
 
     @classmethod
     def from_pieces(cls, records: DataFrame, pieces: DataFrame, q: int, case_runs: DataFrame | None = None) -> Cohort:
@@ -91,32 +151,43 @@ class Cohort:
         x0, x1 = F.greatest("start", "cstart"), F.least(F.col("start") + F.col("len"), F.col("cstart") + (q + OVERLAP))
         cut = cut.select("asm_id", "contig_ix", "cstart", x0.alias("at"), F.substring("seq", (x0 - F.col("start") + 1).cast("int"), (x1 - x0).cast("int")).cast("string").alias("part"))
         chunks = cut.groupBy("asm_id", "contig_ix", "cstart").agg(_joined("at", "part").cast("binary").alias("seq"))
-        return cls._of(scratch, q, table, own, chunks, case_runs)
+        return cls._of(scratch, q, table, lambda: own, lambda: chunks, case_runs)
 
     @classmethod
-    def _of(cls, scratch: Scratch, q: int, table: DataFrame, parts: DataFrame, chunks: DataFrame, case_runs: DataFrame | None) -> Cohort:
+    def _of(cls, scratch: Scratch, q: int, table: DataFrame, parts: Callable[[], DataFrame], chunks: Callable[[], DataFrame], case_runs: DataFrame | None) -> Cohort:
         """``parts(asm_id, lo, len, seq)``: bases from place ``lo`` of the stream on."""
         spark = scratch.spark
-        parts = parts.withColumn("block_ix", joins.bins(F.col("lo"), F.col("lo") + F.col("len"), q))
-        since = F.greatest(F.col("block_ix") * q, F.col("lo"))
-        until = F.least((F.col("block_ix") + 1) * q, F.col("lo") + F.col("len"))
-        parts = parts.select("asm_id", "block_ix", since.alias("at"), F.substring("seq", (since - F.col("lo") + 1).cast("int"), (until - since).cast("int")).cast("string").alias("part"))
-        blocks = parts.groupBy("asm_id", "block_ix").agg(_joined("at", "part").alias("seq"))
-        blocks = blocks.select("asm_id", "block_ix", (F.col("block_ix") * q).alias("bstart"), F.length("seq").alias("blen"), F.col("seq").cast("binary").alias("seq"), F.sha2("seq", 256).alias("sha256"))
-
-        ids = table.select("assembly", "asm_id").distinct()
-        if case_runs is None:
-            case_runs = spark.createDataFrame([], "assembly string, start long, len long")
-        runs = scratch.save(case_runs.join(joins.broadcast_if_small(ids), "assembly").select("asm_id", F.col("start").cast("long"), F.col("len").cast("long")), "case_runs")
-        cut = runs.withColumn("block_ix", joins.bins(F.col("start"), F.col("start") + F.col("len"), q))
-        x0 = F.greatest(F.col("start"), F.col("block_ix") * q)
-        x1 = F.least(F.col("start") + F.col("len"), (F.col("block_ix") + 1) * q)
-        cut = cut.groupBy("asm_id", "block_ix").agg(F.array_sort(F.collect_list(F.struct((x0 - F.col("block_ix") * q).cast("int").alias("from"), (x1 - x0).cast("int").alias("n")))).alias("lower"))
-        none = F.array().cast("array<struct<from:int,n:int>>")
-        blocks = blocks.join(cut, ["asm_id", "block_ix"], "left").withColumn("lower", F.coalesce("lower", none))
-        blocks = blocks.repartitionByRange("asm_id", "block_ix").sortWithinPartitions("asm_id", "block_ix")
-        chunks = chunks.repartitionByRange("asm_id", "contig_ix", "cstart").sortWithinPartitions("asm_id", "contig_ix", "cstart")
-        return cls(spark, q, table.drop("order"), scratch.save(blocks, "blocks"), scratch.save(chunks, "chunks"), runs)
+        stripe = F.floor(F.col("block_ix") / STRIPE).alias("stripe")
+
+        def runs() -> DataFrame:
+            ids = table.select("assembly", "asm_id").distinct()
+            rows = spark.createDataFrame([], "assembly string, start long, len long") if case_runs is None else case_runs
+            return scratch.save(rows.join(joins.broadcast_if_small(ids), "assembly").select("asm_id", F.col("start").cast("long"), F.col("len").cast("long")), "case_runs")
+
+        def blocks() -> DataFrame:
+            own = parts().withColumn("block_ix", joins.bins(F.col("lo"), F.col("lo") + F.col("len"), q))
+            since = F.greatest(F.col("block_ix") * q, F.col("lo"))
+            until = F.least((F.col("block_ix") + 1) * q, F.col("lo") + F.col("len"))
+            own = own.select("asm_id", "block_ix", since.alias("at"), F.substring("seq", (since - F.col("lo") + 1).cast("int"), (until - since).cast("int")).alias("part"))
+            # a task has all of a stripe, so bases are shuffled once and leave it in order
+            own = own.repartition("asm_id", stripe).sortWithinPartitions("asm_id", "block_ix", "at").select("asm_id", "block_ix", "part")
+            rows = own.mapInArrow(_glued, "asm_id int, block_ix long, seq binary")
+            rows = rows.select("asm_id", "block_ix", (F.col("block_ix") * q).alias("bstart"), F.length("seq").alias("blen"), "seq", F.sha2("seq", 256).alias("sha256"))
+            return rows
+
+        def cased() -> DataFrame:
+            none = F.array().cast("array<struct<from:int,n:int>>")
+            order = ["asm_id", "block_ix", "bstart", "blen", "seq", "sha256", "lower"]
+            if case_runs is None:
+                return scratch.save(blocks().withColumn("lower", none).select(*order), "blocks")
+            cut = cohort.case_runs.withColumn("block_ix", joins.bins(F.col("start"), F.col("start") + F.col("len"), q))
+            x0 = F.greatest(F.col("start"), F.col("block_ix") * q)
+            x1 = F.least(F.col("start") + F.col("len"), (F.col("block_ix") + 1) * q)
+            cut = cut.groupBy("asm_id", "block_ix").agg(F.array_sort(F.collect_list(F.struct((x0 - F.col("block_ix") * q).cast("int").alias("from"), (x1 - x0).cast("int").alias("n")))).alias("lower"))
+            return scratch.save(blocks().join(cut, ["asm_id", "block_ix"], "left").withColumn("lower", F.coalesce("lower", none)).select(*order), "blocks")
+
+        cohort = cls(spark, q, table.drop("order"), cased, lambda: scratch.save(chunks().sortWithinPartitions("asm_id", "contig_ix", "cstart"), "chunks"), runs)
+        return cohort
 
     # ---- metadata
 
@@ -126,7 +197,7 @@ class Cohort:
         if missing := [a for a in assemblies if a not in there]:
             raise FileNotFoundError(f"no such assembly: {', '.join(missing)}")
         only = F.col("asm_id").isin(list(there.values()))
-        return Cohort(self.spark, self.q, *(t.where(only) for t in (self.contigs, self.blocks, self.chunks, self.case_runs)))
+        return Cohort(self.spark, self.q, self.contigs.where(only), *(lambda n=n: self._table(n).where(only) for n in ("blocks", "chunks", "case_runs")))
 
     def colocated(self, buckets: int) -> Cohort:
         """The same cohort, its blocks stored in buckets of (assembly, block), a file each.
@@ -137,7 +208,7 @@ class Cohort:
         """
         keys = ["asm_id", "block_ix"]
         blocks = Scratch(self.spark).save_by(self.blocks.repartition(buckets, *keys), "blocks", keys, buckets)
-        return Cohort(self.spark, self.q, self.contigs, blocks, self.chunks, self.case_runs)
+        return Cohort(self.spark, self.q, self.contigs, blocks, lambda: self.chunks, lambda: self.case_runs)
 
     def names(self) -> DataFrame:
         return self.contigs.select("asm_id", "assembly").distinct()

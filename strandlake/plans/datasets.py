@@ -8,8 +8,12 @@ places that arithmetic on the position gives; it is nearly the reference, as rea
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,15 +31,77 @@ def projected(text: Column) -> Column:
     return F.regexp_replace(F.translate(F.lower(text), LETTERS, ("ACGT" * 8)[: len(LETTERS)]), "[^ACGT]", "N")
 
 
-@dataclass
+_BASE = np.full(256, ord("N"), np.uint8)
+_BASE[[ord(c) for c in LETTERS]] = np.frombuffer(("ACGT" * 8)[: len(LETTERS)].encode(), np.uint8)
+_BASE[[65, 67, 71, 84]] = [65, 67, 71, 84]
+_COMP = np.arange(256, dtype=np.uint8)
+_COMP[[65, 67, 71, 84]] = [84, 71, 67, 65]
+
+
+def bases(text: bytes, turned: bool = False) -> bytes:
+    """What ``projected`` makes of a text that is in lower case already, given as UTF-8; the reverse complement of it, if ``turned``."""
+    x = np.frombuffer(text, np.uint8)
+    x = _BASE[x[(x & 0xC0) != 0x80]]  # a character is one base, however many bytes it has
+    return (_COMP[x[::-1]] if turned else x).tobytes()
+
+
+def _contigs(docs: DataFrame, turn: bool) -> DataFrame:
+    """``(assembly, order, header, line_width, len, seq)``; with ``turn`` every fourth one is the reverse complement."""
+    name = F.concat(F.lit("doc"), F.col("doc_id").cast("string"))
+    turned = (F.col("doc_id") % 4 == 3) if turn else F.lit(False)
+    rows = docs.select(F.col("source").alias("assembly"), F.col("doc_id").alias("order"), F.concat_ws(" ", name, "lang").alias("header"), F.lit(WIDTH).alias("line_width"), F.coalesce(turned, F.lit(False)).alias("turned"), F.lower("text").cast("binary").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seqs = [None if x is None else bases(x, t) for x, t in zip(b.column(5).to_pylist(), b.column(4).to_pylist(), strict=True)]
+            n = pa.array([None if x is None else len(x) for x in seqs], pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], n, pa.array(seqs, pa.binary())], ["assembly", "order", "header", "line_width", "len", "seq"])
+
+    return rows.mapInArrow(run, "assembly string, order long, header string, line_width int, len long, seq binary")
+
+
 class World:
-    text: Cohort
-    mutated: Cohort
-    reference: Cohort
-    patterns: DataFrame
-    guides: DataFrame
-    contigs: DataFrame  # those of the reference
-    people: DataFrame  # the contigs of the mutated cohort, for cohorts of other block sizes
+    """Each part is made when it is first asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir, self.scratch = spark, sf_dir, Scratch(spark)
+
+    def _docs(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
+
+    @cached_property
+    def contigs(self) -> DataFrame:
+        """Those of the reference."""
+        return self.scratch.save(_contigs(self._docs().where(F.col("source") == REF), False), "projected")
+
+    @cached_property
+    def people(self) -> tuple[DataFrame, DataFrame]:
+        """The contigs of the mutated cohort, for cohorts of other block sizes, and what they are without their bases."""
+        return haplotypes(self.contigs, HAPLOTYPES)
+
+    @cached_property
+    def text(self) -> Cohort:
+        rows = self.scratch.save(_contigs(self._docs(), True), "projected")
+        return Cohort.build(rows, Q, case_runs(rows), rows.drop("seq"))
+
+    @cached_property
+    def mutated(self) -> Cohort:
+        return Cohort.build(self.people[0], Q, meta=self.people[1])
+
+    @cached_property
+    def reference(self) -> Cohort:
+        return Cohort.build(self.contigs, Q, meta=self.contigs.drop("seq"))
+
+    @cached_property
+    def patterns(self) -> DataFrame:
+        items = self.spark.read.parquet(f"{self.sf_dir}/benchmark.parquet").select("item_id", projected(F.col("text")).alias("seq"))
+        windows = items.select("item_id", "seq", F.explode(F.when(F.length("seq") >= 23, F.sequence(F.lit(0), F.length("seq") - 23, F.lit(16))).otherwise(F.array().cast("array<int>"))).alias("at"))
+        windows = windows.select((F.col("item_id") * 1000 + F.col("at")).alias("n"), F.when(F.col("item_id") % 2 == 0, "even").otherwise("odd").alias("class"), F.substring("seq", F.col("at") + 1, F.lit(23)).alias("seq"))
+        return self.scratch.save(first_of_each(windows.where(B.is_acgt(F.col("seq")))), "patterns")
+
+    @cached_property
+    def guides(self) -> DataFrame:
+        return self.scratch.save(guides_of(self.reference, 40), "guides")
 
 
 _made: dict[tuple[str, str], World] = {}
@@ -43,27 +109,32 @@ _made: dict[tuple[str, str], World] = {}
 
 def case_runs(contigs: DataFrame) -> DataFrame:
     """20 lower-case bases from every 10th of 100 bases of each assembly's stream."""
-    n = contigs.groupBy("assembly").agg(F.sum(F.length("seq")).alias("n"))
+    n = contigs.groupBy("assembly").agg(F.sum("len").alias("n"))
     each = F.explode(F.when(F.col("n") >= 30, F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 30) / 100))).otherwise(F.array().cast("array<bigint>")))
     return n.select("assembly", each.alias("k")).select("assembly", (F.col("k") * 100 + 10).alias("start"), F.lit(20).cast("long").alias("len"))
 
 
-def mutated(seq: Column, individual: Column) -> Column:
+def mutated(seq: bytes, individual: int) -> bytes:
     """A base changes to its complement at every position p (from 0) with (p * 7919 + individual * 104729) mod 300 = 0."""
     # 7919 is 119 mod 300, and 119 * 179 is 1 mod 300: the places are those of one remainder
-    first = F.pmod(-individual * 104729 * 179, F.lit(300)).cast("int")
-    n = F.length(seq)
-    at = F.when(n > first, F.sequence(first, n - 1, F.lit(300))).otherwise(F.array().cast("array<int>"))
-    pieces = F.transform(at, lambda p: F.concat(F.substring(seq, F.greatest(p - 299, F.lit(0)) + 1, F.least(p, F.lit(299))), B.complement_upper(F.substring(seq, p + 1, F.lit(1)))))
-    rest = F.when(F.size(at) > 0, F.substring(seq, F.element_at(at, -1) + 2, n)).otherwise(seq)
-    return F.concat(F.array_join(pieces, ""), rest)
+    x = np.frombuffer(seq, np.uint8).copy()
+    first = -individual * 104729 * 179 % 300
+    x[first::300] = _COMP[x[first::300]]
+    return x.tobytes()
 
 
-def haplotypes(ref: DataFrame, n: int) -> DataFrame:
-    """The contigs of ``n`` haplotypes, two an individual."""
+def haplotypes(ref: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """The contigs of ``n`` haplotypes, two an individual, and what they are without their bases."""
     people = ref.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     label = F.concat(F.lit("y1_P"), F.floor(F.col("i") / 2).cast("string"), F.lit("."), (F.col("i") % 2 + 1).cast("string"))
-    return people.select(label.alias("assembly"), "order", "header", "line_width", mutated(F.col("seq"), F.col("i")).alias("seq"))
+    people = people.select(label.alias("assembly"), "order", "header", "line_width", "len", "i", "seq")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seqs = [None if x is None else mutated(x, i) for x, i in zip(b.column(6).to_pylist(), b.column(5).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(seqs, pa.binary())], ["assembly", "order", "header", "line_width", "seq"])
+
+    return people.mapInArrow(run, "assembly string, order long, header string, line_width int, seq binary"), people.drop("i", "seq")
 
 
 @dataclass
@@ -85,7 +156,8 @@ def many(spark: SparkSession, sf_dir: str, n: int = 64) -> Many:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _many:
         w = world(spark, sf_dir)
-        c = Cohort.build(haplotypes(w.contigs, n), Q)
+        people, meta = haplotypes(w.contigs, n)
+        c = Cohort.build(people, Q, meta=meta)
         spans = Scratch(spark).save(edits.runs(c, known_edits(c)), "runs")
         _many[key] = Many(c, spans, edits.stored_gaps(c, spans))
     return _many[key]
@@ -94,22 +166,7 @@ def many(spark: SparkSession, sf_dir: str, n: int = 64) -> Many:
 def world(spark: SparkSession, sf_dir: str) -> World:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _made:
-        scratch = Scratch(spark)
-        docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
-        name = F.concat(F.lit("doc"), F.col("doc_id").cast("string"))
-        base = docs.select(F.col("source").alias("assembly"), F.col("doc_id").alias("order"), name.alias("name"), F.concat_ws(" ", name, "lang").alias("header"), projected(F.col("text")).alias("fwd"), F.lit(WIDTH).alias("line_width"))
-        base = scratch.save(base, "projected")
-        turned = F.when(F.col("order") % 4 == 3, B.reverse_complement(F.col("fwd"))).otherwise(F.col("fwd"))
-        text = base.select("assembly", "order", "header", "line_width", turned.alias("seq"))
-        ref = base.where(F.col("assembly") == REF).select("assembly", "order", "header", "line_width", F.col("fwd").alias("seq"))
-        people = haplotypes(ref, HAPLOTYPES)
-        items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", projected(F.col("text")).alias("seq"))
-        windows = items.select("item_id", "seq", F.explode(F.when(F.length("seq") >= 23, F.sequence(F.lit(0), F.length("seq") - 23, F.lit(16))).otherwise(F.array().cast("array<int>"))).alias("at"))
-        windows = windows.select((F.col("item_id") * 1000 + F.col("at")).alias("n"), F.when(F.col("item_id") % 2 == 0, "even").otherwise("odd").alias("class"), F.substring("seq", F.col("at") + 1, F.lit(23)).alias("seq"))
-        patterns = scratch.save(first_of_each(windows.where(B.is_acgt(F.col("seq")))), "patterns")
-        reference = Cohort.build(ref, Q)
-        guides = scratch.save(guides_of(reference, 40), "guides")
-        _made[key] = World(Cohort.build(text, Q, case_runs(text)), Cohort.build(people, Q), reference, patterns, guides, ref, people)
+        _made[key] = World(spark, sf_dir)
     return _made[key]
 
 
@@ -133,11 +190,11 @@ def guides_of(reference: Cohort, n: int) -> DataFrame:
     """``guides(gid, spacer)``: ``n`` spacers that NGG follows in the reference, the first in the order of a hash of their place."""
     from strandlake.operators import kmers
 
-    sites = kmers.extract(reference, 23).where(B.is_acgt(F.col("kmer")) & (F.substring("kmer", 22, 2) == "GG"))
     spread = (F.col("contig_ix") * 7919 + F.col("pos") * 104729) % 1_000_003
-    rows = sites.select(F.substring("kmer", 1, 20).alias("spacer"), spread.alias("o"), "contig_ix", "pos").groupBy("spacer").agg(F.min(F.struct("o", "contig_ix", "pos")).alias("at"))
+    # as 2-bit codes, whose order is that of the text
+    rows = kmers.pam_windows(reference, minus=False).select("spacer", spread.alias("o"), "contig_ix", "pos").groupBy("spacer").agg(F.min(F.struct("o", "contig_ix", "pos")).alias("at"))
     rows = rows.orderBy("at", "spacer").limit(n)
-    return rows.select((F.col("at.o") * 1000 + F.col("at.pos") % 1000).alias("gid"), "spacer")
+    return rows.select((F.col("at.o") * 1000 + F.col("at.pos") % 1000).alias("gid"), B.from_code(F.col("spacer"), kmers.SPACER).alias("spacer"))
 
 
 def known_edits(mutated: Cohort) -> DataFrame:

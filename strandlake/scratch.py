@@ -24,7 +24,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 class Scratch:
-    """Tables of one job. ``save`` cuts the lineage: a lost executor costs a reread, not the job so far.
+    """Tables of one job, in zstd, which takes little more than two bits a base. ``save`` cuts the lineage: a lost executor costs a reread, not the job so far.
 
     ``drop`` deletes tables that nothing reads any more; those a result still reads stay until the cluster clears the folder.
     """
@@ -35,7 +35,7 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = new_path(self.spark, name)
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         out._scratch_path = path
@@ -48,7 +48,7 @@ class Scratch:
         """
         path = new_path(self.spark, name)
         table = f"strandlake_{uuid.uuid4().hex}"
-        df.write.bucketBy(buckets, key).option("path", path).format("parquet").saveAsTable(table)
+        df.write.bucketBy(buckets, key).option("compression", "zstd").option("path", path).format("parquet").saveAsTable(table)
         out = self.spark.table(table)
         out.schema  # noqa: B018
         self.spark.sql(f"DROP TABLE {table}")

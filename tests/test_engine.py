@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.errors import PySparkException
@@ -755,3 +756,36 @@ def test_longest_of_the_last_entries(spark):
         holds = [(n, j, (at, v, n)) for j, (at, v, n) in enumerate(before) if j >= len(before) - 16 and pos < at + n]
         want = max(holds)[2] if holds else before[-1] if before else own[0] if own else (None, None, None)
         assert got[i] == (want[0], want[2], want[1]), (k, pos)
+
+
+def test_a_search_makes_no_blocks(spark, monkeypatch):
+    from strandlake.scratch import Scratch
+
+    made, save = [], Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, df, name: made.append(name) or save(self, df, name))
+    c = Cohort.build(contigs(spark, {"a": ASM["y1_P1.1"]}), Q)
+    assert made == ["contigs"]
+    got = {(r.code, r.n) for r in kmers.counted(c, 4).collect()}
+    assert made == ["contigs", "chunks"]
+    windows = [s[i : i + 4] for s in ASM["y1_P1.1"].values() for i in range(len(s) - 3)]
+    assert got == {(kmers.text_code(w), n) for w, n in Counter(w for w in windows if set(w) <= set("ACGT")).items()}
+    assert c.blocks.count() == -(-sum(map(len, ASM["y1_P1.1"].values())) // Q) and made == ["contigs", "chunks", "blocks"]
+
+
+def test_bases_of_texts():
+    from strandlake.plans import datasets as D
+
+    for text in ("", "abc xyz.,", "Ünïcödé 漢字 \U0001f600 A-Z\n\t0"):
+        want = "".join(("ACGT" * 8)[D.LETTERS.index(c)] if c in D.LETTERS else "N" for c in text.lower())
+        assert D.bases(text.lower().encode()).decode() == want
+        assert D.bases(text.lower().encode(), True).decode() == rc(want)
+    s = dna(2000, 5)
+    for i in (0, 1, 7, 63):
+        want = "".join(x.translate(str.maketrans("ACGT", "TGCA")) if (p * 7919 + i * 104729) % 300 == 0 else x for p, x in enumerate(s))
+        assert D.mutated(s.encode(), i).decode() == want
+
+
+def test_windows_for_seeds_are_found_before_rows_are_made(spark, cohort):
+    """Rows are windows with a PAM, not bases."""
+    plan = kmers.seeded_sites(cohort, spark.createDataFrame([(1, "ACGT" * 5)], "gid long, spacer string"), 4)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(" not in plan and "MapInArrow" in plan
