@@ -101,6 +101,12 @@ def covered(spans: DataFrame, on: list[str], lengths: DataFrame) -> DataFrame:
     return rows.select(*on, "length", "covered", (1 - F.col("covered") / F.col("length")).alias("uncovered_share"))
 
 
+def _first_of_key(order) -> Column:
+    """The first entry of a key: what a row without one before it takes. Found once a key, as a frame from each row to the key's end would be read anew
+    for each row."""
+    return F.first("__hit", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+
+
 def as_of(left: DataFrame, right: DataFrame, on: list[str], value: str) -> DataFrame:
     """Each row of ``left(.., pos)`` with ``value`` and ``at`` of the last row of ``right(.., at, value)`` with at <= pos, or the
     first one if there is none before. One sort of both sides by (key, position), no pairs."""
@@ -109,8 +115,7 @@ def as_of(left: DataFrame, right: DataFrame, on: list[str], value: str) -> DataF
     both = a.unionByName(b, allowMissingColumns=True)
     order = W.partitionBy(*on).orderBy("__p", "__side")
     last = F.last("__hit", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))
-    first = F.first("__hit", ignorenulls=True).over(order.rowsBetween(0, W.unboundedFollowing))
-    both = both.withColumn("__hit", F.coalesce(last, first)).where("__side = 1")
+    both = both.withColumn("__hit", F.coalesce(last, _first_of_key(order))).where("__side = 1")
     return both.select(*left.columns, F.col("__hit.at").alias("at"), F.col("__hit.value").alias(value))
 
 
@@ -130,8 +135,7 @@ def as_of_longest(left: DataFrame, right: DataFrame, on: list[str], back: int =
     both = a.unionByName(b, allowMissingColumns=True)
     order = W.partitionBy(*on).orderBy("__p", "__side", "__v", "__l")
     last = F.last("__hit", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))
-    first = F.first("__hit", ignorenulls=True).over(order.rowsBetween(0, W.unboundedFollowing))
-    both = both.withColumn("__last", last).withColumn("__first", first).where("__side = 1")
+    both = both.withColumn("__last", last).withColumn("__first", _first_of_key(order)).where("__side = 1")
     # (length, place in the list) decides; places count from the oldest
     holds = F.filter(F.transform("__last", lambda x, i: F.struct(x["len"].alias("l"), i.alias("i"), x.alias("x"))), lambda y: F.col("pos") < y["x"]["at"] + y["x"]["len"])
     best = F.array_max(holds)["x"]

@@ -789,3 +789,10 @@ def test_windows_for_seeds_are_found_before_rows_are_made(spark, cohort):
     """Rows are windows with a PAM, not bases."""
     plan = kmers.seeded_sites(cohort, spark.createDataFrame([(1, "ACGT" * 5)], "gid long, spacer string"), 4)._jdf.queryExecution().optimizedPlan().toString()
     assert "sequence(" not in plan and "MapInArrow" in plan
+
+
+def test_no_frame_runs_from_each_row_to_its_keys_end(spark):
+    """Such a frame is read anew for each row, so a key's time grows with the square of its rows."""
+    left, right = spark.createDataFrame([(1, 2)], "k int, pos long"), spark.createDataFrame([(1, 1, 5, 3)], "k int, at long, value long, len long")
+    for df in (joins.as_of(left, right, ["k"], "value"), joins.as_of_longest(left, right, ["k"])):
+        assert not re.search(r"(?i)currentrow\$?\(?\)?, unboundedfollowing", df._jdf.queryExecution().optimizedPlan().toString())
