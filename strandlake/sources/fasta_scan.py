@@ -139,10 +139,9 @@ def write_index(scan: Scan, path: str) -> None:
 
 @dataclass
 class _Range(InputPartition):
-    file: str
-    offset: int
-    width: int
-    rows: list[tuple[str, int, str, int, int]]  # assembly, order, name, start, length
+    """Stretches of records: ``(file, offset, line width, assembly, order, name, record's length, from, to)`` each."""
+
+    parts: list[tuple[str, int, int, str, int, str, int, int, int]]
 
 
 class FastaSource(DataSource):
@@ -203,28 +202,40 @@ class _Reader(DataSourceReader):
                         yield json.loads(line)
 
     def partitions(self) -> list[InputPartition]:
+        """Of ``split`` bases each: long records are cut, short ones go together, so tasks grow with bases, not with records."""
         out: list[InputPartition] = []
+        parts, held = [], 0
+        step = max(1, self.split // self.piece) * self.piece
+        first = -(-self.lo // self.piece) * self.piece
         for r in self._index():
             if any(r[c] not in some for c, some in self.equal.items()):
                 continue
-            first = self.lo // self.piece * self.piece
-            if first < self.lo:
-                first += self.piece
             end = r["len"] if self.hi is None else min(r["len"], self.hi)
-            step = max(1, self.split // self.piece) * self.piece
             for lo in range(first, end, step):
-                rows = [(r["assembly"], r["order"], r["name"], s, min(self.piece, r["len"] - s)) for s in range(lo, min(end, lo + step), self.piece)]
-                out.append(_Range(r["path"], r["offset"], r["line_width"], rows))
-        return out
+                to = min(end, lo + step)
+                if parts and held + to - lo > step:
+                    out.append(_Range(parts))
+                    parts, held = [], 0
+                parts.append((r["path"], r["offset"], r["line_width"], r["assembly"], r["order"], r["name"], r["len"], lo, to))
+                held += to - lo
+        return [*out, _Range(parts)] if parts else out
 
     def read(self, partition: _Range) -> Iterator[tuple]:
-        w = partition.width
-        with _opened(partition.file) as f:
-            for assembly, order, name, start, n in partition.rows:
-                f.seek(partition.offset + start + start // w)
-                last = start + n - 1
-                data = f.read(last + last // w - start - start // w + 1)
-                yield assembly, order, name, start, data.replace(b"\n", b"").upper().decode()
+        f, opened = None, None
+        try:
+            for file, offset, w, assembly, order, name, size, lo, to in partition.parts:
+                if file != opened:
+                    if f:
+                        f.close()
+                    f, opened = _opened(file), file
+                for start in range(lo, to, self.piece):
+                    f.seek(offset + start + start // w)
+                    last = min(start + self.piece, size) - 1
+                    data = f.read(last + last // w - start - start // w + 1)
+                    yield assembly, order, name, start, data.replace(b"\n", b"").upper().decode()
+        finally:
+            if f:
+                f.close()
 
 
 def register(spark: SparkSession) -> None:

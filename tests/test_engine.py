@@ -796,3 +796,12 @@ def test_no_frame_runs_from_each_row_to_its_keys_end(spark):
     left, right = spark.createDataFrame([(1, 2)], "k int, pos long"), spark.createDataFrame([(1, 1, 5, 3)], "k int, at long, value long, len long")
     for df in (joins.as_of(left, right, ["k"], "value"), joins.as_of_longest(left, right, ["k"])):
         assert not re.search(r"(?i)currentrow\$?\(?\)?, unboundedfollowing", df._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_short_records_share_a_task(spark, tmp_path):
+    many = {f"c{i}": dna(30 + i, i) for i in range(300)}
+    path = _write_files(tmp_path, {"a.fa": fasta.render([fasta.Record(n, s.encode(), 20) for n, s in many.items()])})
+    fasta_scan.write_index(fasta_scan.scan_fasta(spark, path), str(tmp_path / "index"))
+    fasta_scan.register(spark)
+    rows = spark.read.format("strandlake_fasta").option("path", str(tmp_path / "index")).load()
+    assert {r.name: r.seq for r in rows.collect()} == many and rows.rdd.getNumPartitions() <= 8
