@@ -31,8 +31,13 @@ def _by_block(ops: DataFrame) -> DataFrame:
     return ops.groupBy("asm_id", "block_ix").agg(F.array_sort(F.collect_list(one)).alias("ops"))
 
 
+#: A copy shorter than this costs more than it gains.
+LEAST = int(COST / GAIN) + 1
+
+
 def _earlier(x: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """For each place of a block how long it agrees with an earlier one, the best of those tried, and how far back that is."""
+    """For each place of a block how long it agrees with an earlier one, the best of those tried, and how far back that is; agreements under LEAST
+    bases are left out."""
     n = len(x)
     best, back = np.zeros(n, np.int64), np.zeros(n, np.int64)
     c, ok = kmers.codes(x, WORD)
@@ -40,51 +45,69 @@ def _earlier(x: bytes) -> tuple[np.ndarray, np.ndarray]:
     if not len(where):
         return best, back
     order = where[np.argsort(c[where], kind="stable")]
-    away: set[int] = set()
+    c = c[order]
+    away = np.zeros(n, bool)
     for j in range(1, min(TRIED, len(order) - 1) + 1):
-        same = c[order[j:]] == c[order[:-j]]
-        if not same.any():
+        same = np.flatnonzero(c[j:] == c[:-j])
+        if not len(same):
             break
-        away.update(np.unique(order[j:][same] - order[:-j][same]).tolist())
-    a = np.frombuffer(x, np.uint8)
-    for d in sorted(away):
-        eq = a[d:] == a[:-d]
-        ends = np.where(~eq, np.arange(len(eq)), len(eq))
-        run = np.minimum.accumulate(ends[::-1])[::-1] - np.arange(len(eq))
-        better = run > best[d:]
-        best[d:][better], back[d:][better] = run[better], d
+        away[order[same + j] - order[same]] = True
+    # row d of the matrix has the bases d places before; those before the block are zeros
+    padded = np.concatenate((np.zeros(n, np.uint8), np.frombuffer(x, np.uint8)))
+    before = np.lib.stride_tricks.as_strided(padded[n:], (n, n), (-1, 1), writeable=False)
+    a, here = padded[n:], np.arange(n, dtype=np.int16)
+    tried = np.flatnonzero(away)
+    for k in range(0, len(tried), 64):
+        d = tried[k : k + 64]
+        eq = before[d] == a
+        long, size = eq, 1
+        while size < LEAST:
+            step = min(size, LEAST - size)
+            long = long[:, :-step] & long[:, step:]
+            size += step
+        some = long.any(1)
+        if not some.any():
+            continue
+        d, ends = d[some], np.where(eq[some], np.int16(n), here)
+        run = np.minimum.accumulate(ends[:, ::-1], axis=1)[:, ::-1] - here
+        most = run.max(0)
+        better = (most > best) & (most >= LEAST)
+        best[better], back[better] = most[better], d[(run[:, better] == most[better]).argmax(0)]
     return best, back
 
 
 def _parsed(x: bytes, ops: list[dict], found: tuple[np.ndarray, np.ndarray] | None = None) -> list[dict]:
     """The block's ops with literal runs parsed anew: of all ways to write them by copies and literals the one that scores most, a copy of L bases
     scoring GAIN * L - COST. The longest copy at a place is never worse than a shorter one, as what follows loses no more than GAIN by each base."""
-    least = int(COST / GAIN) + 1
-    if all(o["kind"] != 0 or o["len"] < least for o in ops):
+    if all(o["kind"] != 0 or o["len"] < LEAST for o in ops):
         return ops
     best, back = _earlier(x) if found is None else found
     out = []
     for o in ops:
         lo, n = o["dst"], o["len"]
         size = np.minimum(best[lo : lo + n], n - np.arange(n)) if o["kind"] == 0 else np.zeros(0, np.int64)
-        if not (size >= least).any():
+        at = np.flatnonzero(size >= LEAST)
+        if not len(at):
             out.append(o)
             continue
-        score, take = [0.0] * (n + 1), [0] * n
-        for i in range(n - 1, -1, -1):
-            score[i] = score[i + 1]
-            k = int(size[i])
-            if k >= least and GAIN * k - COST + score[i + k] > score[i]:
-                score[i], take[i] = GAIN * k - COST + score[i + k], k
+        # the score changes only where a copy can begin
+        size = size[at]
+        after, sizes, places = np.searchsorted(at, at + size).tolist(), size.tolist(), at.tolist()
+        score, take = [0.0] * (len(places) + 1), [False] * len(places)
+        for i in range(len(places) - 1, -1, -1):
+            own = GAIN * sizes[i] - COST + score[after[i]]
+            take[i] = own > score[i + 1]
+            score[i] = own if take[i] else score[i + 1]
         i = since = 0
-        while i < n:
+        while i < len(places):
             if not take[i]:
                 i += 1
                 continue
-            if i > since:
-                out.append({"kind": 0, "dst": lo + since, "len": i - since, "src": 0, "lit": x[lo + since : lo + i]})
-            out.append({"kind": 2, "dst": lo + i, "len": take[i], "src": lo + i - int(back[lo + i]), "lit": None})
-            i = since = i + take[i]
+            p = places[i]
+            if p > since:
+                out.append({"kind": 0, "dst": lo + since, "len": p - since, "src": 0, "lit": x[lo + since : lo + p]})
+            out.append({"kind": 2, "dst": lo + p, "len": sizes[i], "src": lo + p - int(back[lo + p]), "lit": None})
+            since, i = p + sizes[i], after[i]
         if n > since:
             out.append({"kind": 0, "dst": lo + since, "len": n - since, "src": 0, "lit": x[lo + since : lo + n]})
     return out

@@ -17,15 +17,19 @@ from pyspark.sql import functions as F
 
 from strandlake.functions import bases as B
 from strandlake.operators import joins, kmers
-from strandlake.operators.cohort import Cohort
+from strandlake.operators.cohort import SIZES, Cohort
 from strandlake.scratch import Scratch
 
 SEED, WINDOW, CANDIDATES, MIN_COPY = 24, 8, 32, 20
 _NONE = np.uint64(2**63)  # over every hash
 #: Diagonals of a block that one pass tries at most; passes go on until none is left.
 PASS = 1024
-#: Bases of a reference that goes to every executor, with two ninths as many seeds of 24 bytes.
-LOCAL = 2**26
+#: Bases of a reference that goes to every worker, and how many of its seeds, of 12 bytes each.
+LOCAL, LOCAL_SEEDS = 2**27, 2**24
+#: Bases of blocks whose minimizers are found together.
+TOGETHER = 2**18
+#: Zeros at the reference's ends: a block's bases at most.
+PAD = max(SIZES)
 #: Hits in the reference that go to every task.
 PLACED = 1_000_000
 OPS = "asm_id int, block_ix long, op_ix int, kind int, dst int, len int, src long, lit binary"
@@ -40,21 +44,58 @@ def minimizers(seq: bytes, own: int | None = None) -> tuple[np.ndarray, np.ndarr
     A k-mer and its reverse complement have one hash; ``turned`` says which of them is there, 2 that they are the same. Two sequences that agree
     in WINDOW + SEED - 1 bases, on either strand, have such a k-mer of them in common. ``own``: only windows that begin before it.
     """
+    return _minimizers(seq, np.zeros(1, np.int64), np.array([len(seq)]), own)[:3]
+
+
+def _least(x: np.ndarray, w: int, f: np.ufunc) -> np.ndarray:
+    """``f`` over each ``w`` values side by side, by doubling."""
+    size = 1
+    while size * 2 <= w:
+        x = f(x[:-size], x[size:])
+        size *= 2
+    return f(x[: len(x) - (w - size)], x[w - size :]) if size < w else x
+
+
+def _minimizers(seq: bytes, first: np.ndarray, size: np.ndarray, own: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of sequences that begin at ``first`` in ``seq``, with an N between them; also of which sequence each is. Places are within it."""
     c, ok = kmers.codes(seq, SEED)
     r = kmers.rc_codes(c, SEED)
     low = np.minimum(c, r)
     h = low * np.uint64(0x9E3779B97F4A7C15)
     h = np.where(ok, (h ^ (h >> np.uint64(29))) >> np.uint64(1), _NONE)
     n = len(h)
-    w = min(WINDOW, n)
     if not n:
-        return h, np.zeros(0, np.int64), np.zeros(0, np.int64)
-    least = np.lib.stride_tricks.sliding_window_view(h, w).min(1)[:own]
-    # the largest of the minima of a place's windows is its own value where one of them chose it
-    padded = np.zeros(n + w - 1, np.uint64)
-    padded[w - 1 : w - 1 + len(least)] = least
-    at = np.flatnonzero((np.lib.stride_tricks.sliding_window_view(padded, w).max(1) == h) & ok)
-    return h[at], at, np.where(c[at] == r[at], 2, (c[at] > r[at]).astype(np.int64))
+        return h, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    chosen = np.zeros(n, bool)
+    # a sequence with fewer k-mers than a window has is one window
+    short = (size >= SEED) & (size < SEED + WINDOW - 1)
+    for lo, k in zip(first[short].tolist(), (size[short] - SEED + 1).tolist(), strict=True):
+        chosen[lo : lo + k] = h[lo : lo + k] == h[lo : lo + k].min()
+    if n >= WINDOW:
+        least = _least(h, WINDOW, np.minimum)
+        # windows that don't lie in a sequence choose nothing
+        edge = np.zeros(len(least) + 1, np.int64)
+        lo, k = first[size >= SEED + WINDOW - 1], size[size >= SEED + WINDOW - 1] - (SEED + WINDOW - 2)
+        np.add.at(edge, lo, 1)
+        np.add.at(edge, lo + (k if own is None else np.minimum(k, own)), -1)
+        # the largest of the minima of a place's windows is its own value where one of them chose it
+        padded = np.zeros(n + WINDOW - 1, np.uint64)
+        padded[WINDOW - 1 : WINDOW - 1 + len(least)] = np.where(np.cumsum(edge[:-1]) > 0, least, np.uint64(0))
+        chosen |= _least(padded, WINDOW, np.maximum) == h
+    at = np.flatnonzero(chosen & ok)
+    of = np.searchsorted(first, at, "right") - 1
+    return h[at], at - first[of], np.where(c[at] == r[at], 2, (c[at] > r[at]).astype(np.int64)), of
+
+
+def _minimizers_of(seqs: list[bytes]) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
+    """``_minimizers`` of many sequences, some at once, with the number of the first of them."""
+    ends = np.cumsum([len(x) + 1 for x in seqs])
+    lo = 0
+    while lo < len(seqs):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + TOGETHER, "right")))
+        size = np.array([len(x) for x in seqs[lo:hi]])
+        yield lo, _minimizers(b"N".join(seqs[lo:hi]), np.concatenate(([0], np.cumsum(size + 1)[:-1])), size)
+        lo = hi
 
 
 def _seeds(tables: DataFrame, keys: str, own: int | None):
@@ -136,6 +177,24 @@ class _Cover:
         better = got > self.best
         self.best[better], self.best_diag[better], self.best_turn[better] = got[better], diag, turn
 
+    def extend_all(self, best: np.ndarray, ref: np.ndarray) -> None:
+        """``extend`` by many diagonals, with the whole reference at hand and PAD zeros at both its ends."""
+        n = len(self.x)
+        turn, diag = self.turn[best].astype(bool), self.diag[best]
+        at = np.where(turn, diag - n + 1, diag) + PAD
+        under = np.lib.stride_tricks.as_strided(ref, (len(ref) - n + 1, n), (1, 1), writeable=False)
+        here = np.arange(n, dtype=np.int16)
+        for k in range(0, len(best), 64):
+            y, back = under[at[k : k + 64]], turn[k : k + 64]
+            if back.any():
+                y[back] = _COMP[y[back][:, ::-1]]
+            ends = np.where(y == self.x, np.int16(n), here)
+            got = np.minimum.accumulate(ends[:, ::-1], axis=1)[:, ::-1] - here
+            most = got.max(0)
+            better = most > self.best
+            which = (got[:, better] == most[better]).argmax(0) + k
+            self.best[better], self.best_diag[better], self.best_turn[better] = most[better], diag[which], turn[which]
+
     def ops(self) -> list[tuple]:
         o, out = 0, []
         for at, size in self.copies():
@@ -164,59 +223,86 @@ def align(cohort: Cohort, reference: Cohort) -> DataFrame:
     most seeds that touch what is still literal, until no such seed has a diagonal untried. A seed has the first 32 of its places
     in the reference, as there.
 
-    A reference of up to LOCAL bases, which is checked, goes to every executor, and blocks are aligned where they are read, without
+    A reference of up to LOCAL bases and LOCAL_SEEDS seeds, which are checked, goes to every worker, and blocks are aligned where they are read, without
     a shuffle. A larger one is joined by seed. Both ways give the same ops.
     """
     total = reference.contigs.agg(F.coalesce(F.sum("len"), F.lit(0))).first()[0]
-    rows = _hinted_locally(cohort, reference) if total <= LOCAL else _hinted_by_join(cohort, reference, total)
+    seeds = stored_seeds(reference)
+    few = total <= LOCAL and seeds.count() <= LOCAL_SEEDS
+    rows = _hinted_locally(cohort, reference, seeds, total) if few else _hinted_by_join(cohort, reference, seeds, total)
     return Scratch(cohort.spark).save(rows, "ops")
 
 
-def _hinted_locally(cohort: Cohort, reference: Cohort) -> DataFrame:
-    seq = b"".join(bytes(r.seq) for r in reference.blocks.orderBy("block_ix").select("seq").toLocalIterator())
-    bounds = [(r.boff, r.boff + r.len) for r in reference.contigs.orderBy("contig_ix").select("boff", "len").collect()]
-    each = [(lo, minimizers(seq[lo:hi])) for lo, hi in bounds]
-    known, places, facing = (np.concatenate([np.zeros(0, t), *(m[i] + (lo if i == 1 else 0) for lo, m in each)]).astype(t) for i, t in enumerate((np.uint64, np.int64, np.int64)))
+def stored_seeds(reference: Cohort) -> DataFrame:
+    """``(h, rpos, facing)``: of each seed the first CANDIDATES places."""
+    first = F.row_number().over(W.partitionBy("h").orderBy("rpos"))
+    seeds = reference_seeds(reference).withColumn("i", first).where(F.col("i") <= CANDIDATES)
+    return Scratch(reference.spark).save(seeds.select("h", "rpos", F.col("turned").alias("facing")), "seeds")
+
+
+def _hinted_locally(cohort: Cohort, reference: Cohort, seeds: DataFrame, total: int) -> DataFrame:
+    spark = cohort.spark
+    seq = np.zeros(total + 2 * PAD, np.uint8)
+    for r in reference.blocks.select("bstart", "seq").toLocalIterator():
+        seq[PAD + r.bstart : PAD + r.bstart + len(r.seq)] = np.frombuffer(r.seq, np.uint8)
+    # place and facing in one number; sorted by both keys, as places of a seed are taken in order
+    table = seeds.select("h", (F.col("rpos") * 4 + F.col("facing")).cast("int").alias("p")).toArrow()
+    known, places = table.column("h").to_numpy().view(np.uint64), table.column("p").to_numpy()
+    del table
     order = np.lexsort((places, known))
-    known, places, facing = known[order], places[order], facing[order]
-    keep = np.arange(len(known)) - np.searchsorted(known, known, "left") < CANDIDATES
-    shared = cohort.spark.sparkContext.broadcast((seq, known[keep], places[keep], facing[keep]))
+    known, places = known[order], places[order]
+    del order
+    shared = spark.sparkContext.broadcast((seq, known, places))
+    del seq, known, places
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ref, known, at, facing = shared.value
-
-        def covered(x: bytes) -> _Cover:
-            h, where, turned = minimizers(x)
-            lo, hi = np.searchsorted(known, h, "left"), np.searchsorted(known, h, "right")
-            n = hi - lo
-            own = np.repeat(np.arange(len(h)), n)
-            which = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            o, p = where[own], at[which]
-            even = (turned[own] == 2) | (facing[which] == turned[own])
-            odd = (turned[own] == 2) | (facing[which] != turned[own])
-            keys, of = np.unique(np.concatenate([(p - o)[even], (TURNED + p + (SEED - 1) + o)[odd]]), return_inverse=True)
-            o, o2 = o[even], o[odd]
+        ref, known, places = shared.value
+
+        def covers(seqs: list[bytes]) -> Iterator[_Cover]:
+            for lo, (h, where, turned, block) in _minimizers_of(seqs):
+                first = np.searchsorted(known, h, "left")
+                met = np.flatnonzero(known[np.minimum(first, len(known) - 1)] == h) if len(known) else np.zeros(0, np.int64)
+                first = first[met]
+                n = np.searchsorted(known, h[met], "right") - first
+                own = np.repeat(met, n)
+                p = places[np.repeat(first - np.cumsum(n) + n, n) + np.arange(len(own))].astype(np.int64)
+                o, p, facing, mine, block = where[own], p >> 2, p & 3, turned[own], block[own]
+                even, odd = (mine == 2) | (facing == mine), (mine == 2) | (facing != mine)
+                # the block, then the diagonal, of either strand: both fit a number
+                key = np.concatenate([(p - o)[even], (TURNED + p + (SEED - 1) + o)[odd]])
+                block, at = (np.concatenate([v[even], v[odd]]) for v in (block, o))
+                near = np.argsort(block, kind="stable")
+                key, at, block = key[near], at[near], block[near]
+                yield lo, key, at, np.searchsorted(block, np.arange(int(block[-1]) + 2)) if len(block) else np.zeros(1, np.int64)
+
+        def covered(x: bytes, key: np.ndarray, at: np.ndarray) -> _Cover:
+            keys, of = np.unique(key, return_inverse=True)
             turn = (keys >= TURNED // 2).astype(np.int64)
-            cover = _Cover(x, turn, keys - TURNED * turn, of, np.concatenate([o, o2]))
+            cover = _Cover(x, turn, keys - TURNED * turn, of, at)
             while len(best := cover.pick()):
-                for d, g in zip(cover.turn[best].tolist(), cover.diag[best].tolist(), strict=True):
-                    lo = g - len(x) + 1 if d else g
-                    start, end = max(lo, 0), min(lo + len(x), len(ref))
-                    cover.extend(d, g, lo + len(x) - end if d else start - lo, ref[start:end])
+                cover.extend_all(best, ref)
             return cover
 
+        def all_of(seqs: list[bytes]) -> Iterator[_Cover]:
+            none, done = np.zeros(0, np.int64), 0
+            for lo, key, at, edges in covers(seqs):
+                for x in seqs[done:lo]:
+                    yield covered(x, none, none)
+                for k in range(len(edges) - 1):
+                    yield covered(seqs[lo + k], key[edges[k] : edges[k + 1]], at[edges[k] : edges[k + 1]])
+                done = lo + len(edges) - 1
+            for x in seqs[done:]:
+                yield covered(x, none, none)
+
         for b in batches:
             asm, block, seq = (b.column(i).to_pylist() for i in range(3))
-            yield _ops_batch((a, k, covered(x)) for a, k, x in zip(asm, block, seq, strict=True))
+            yield _ops_batch(zip(asm, block, all_of(seq), strict=True))
 
     return cohort.blocks.select("asm_id", "block_ix", "seq").mapInArrow(run, OPS)
 
 
-def _hinted_by_join(cohort: Cohort, reference: Cohort, total: int) -> DataFrame:
+def _hinted_by_join(cohort: Cohort, reference: Cohort, seeds: DataFrame, total: int) -> DataFrame:
     scratch = Scratch(cohort.spark)
-    seeds = reference_seeds(reference)
-    first = F.row_number().over(W.partitionBy("h").orderBy("rpos"))
-    seeds = scratch.save(seeds.withColumn("i", first).where(F.col("i") <= CANDIDATES).select("h", "rpos", F.col("turned").alias("facing")), "seeds")
     mine = _seeds(cohort.blocks.select("asm_id", "block_ix", "seq"), "asm_id int, block_ix long", None)
     both = scratch.save(mine.join(seeds, "h").select("asm_id", "block_ix", F.col("place").cast("int").alias("o"), "rpos", "turned", "facing"), "met")
     fwd = both.where("turned = 2 or facing = turned").select("asm_id", "block_ix", "o", F.lit(0).alias("dir"), (F.col("rpos") - F.col("o")).alias("diag"))

@@ -816,3 +816,14 @@ def test_texts_of_sites(spark, cohort, spans):
     assert inside and sorted(got) == sorted((at, every[at]) for at in inside)
     some = spark.createDataFrame(list(every)[::50], "asm_id int, contig_ix int, pos long")
     assert all(every[r.asm_id, r.contig_ix, r.pos] == r.kmer for r in kmers.texts_of(cohort, some, cohort.chunks).collect())
+
+
+def test_minimizers_of_many_are_those_of_each():
+    seqs = [dna(n, n).encode() for n in (0, 5, 23, 24, 27, 31, 32, 1024, 900)] + [(dna(100, 2) + "N" * 30 + dna(90, 3)).encode()]
+    got = {i: [] for i in range(len(seqs))}
+    for lo, (h, at, turned, of) in edits._minimizers_of(seqs):
+        for row in zip(of.tolist(), h.tolist(), at.tolist(), turned.tolist()):
+            got[lo + row[0]].append(row[1:])
+    assert got == {i: list(zip(*(x.tolist() for x in edits.minimizers(s)))) for i, s in enumerate(seqs)}
+    r = random.Random(1)
+    assert all(int(kmers.rc_codes(kmers.codes(s.encode(), k)[0], k)[0]) == kmers.text_code(rc(s)) for k in (1, 4, 23, 31) for s in ["".join(r.choice("ACGT") for _ in range(k))])
