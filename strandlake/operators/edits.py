@@ -531,7 +531,8 @@ def leak(tiles: DataFrame, w: int, train: DataFrame) -> DataFrame:
 
     One row: test windows, the shares covered by half, by 90 % and not at all, the mean and median share, the bases covered.
     """
-    rows = in_hull(train, w)
+    # read by both sides, and in several steps of the union: the tiles are located once
+    rows = Scratch(train.sparkSession).save(in_hull(train, w).select("asm_id", "contig_ix", "start0", "ref_lo", "ref_hi", "train"), "hulls")
     union = joins.merged(rows.where("train").select(F.lit(0).alias("k"), F.col("ref_lo").alias("lo"), F.col("ref_hi").alias("hi")), ["k"])
     test = rows.where("not train").select("asm_id", "contig_ix", "start0", F.col("ref_lo").alias("lo"), F.col("ref_hi").alias("hi"), F.lit(0).alias("k"))
     spans = union.select("k", F.col("lo").alias("rlo"), F.col("hi").alias("rhi"))

@@ -62,12 +62,13 @@ def merged(spans: DataFrame, on: list[str], most: int = MERGE) -> DataFrame:
         return _merged_in(rows, on).select(*on, "lo", "hi")
     same = lambda left, right: reduce(lambda x, y: x & y, (left[k].eqNullSafe(right[f"__{k}"]) for k in on), F.lit(True))
     rows = scratch.save(rows, "starts")
-    large = broadcast_if_small(large)
     parts = F.least(F.ceil(F.col("__n") / most), F.lit(4096)).cast("int")
+    # as many quantiles as the largest key has ranges, and no more: they stand in every plan that reads them
+    p = large.agg(F.max(parts)).first()[0]
+    large = broadcast_if_small(large)
     own = rows.join(large, same(rows, large))
-    cuts = own.groupBy(*(F.col(f"__{k}") for k in on)).agg(F.percentile_approx("lo", [i / 4096 for i in range(1, 4096)], 20_000).alias("q"), F.first(parts).alias("p"))
-    # of the key's 4095 quantiles as many as it has ranges
-    some = F.transform(F.sequence(F.lit(1), F.col("p") - 1), lambda i: F.element_at("q", F.greatest(F.floor(i * 4096 / F.col("p")), F.lit(1)).cast("int")))
+    cuts = own.groupBy(*(F.col(f"__{k}") for k in on)).agg(F.percentile_approx("lo", [i / p for i in range(1, p)], 20_000).alias("q"), F.first(parts).alias("p"))
+    some = F.transform(F.sequence(F.lit(1), F.col("p") - 1), lambda i: F.element_at("q", F.greatest(F.floor(i * p / F.col("p")), F.lit(1)).cast("int")))
     cuts = scratch.save(cuts.withColumn("__cuts", F.array_distinct(some)).drop("q", "p"), "cuts")
     cuts = broadcast_if_small(cuts)
     ranged = rows.join(cuts, same(rows, cuts), "left").withColumn("__bin", F.coalesce(F.size(F.filter("__cuts", lambda c: c <= F.col("lo"))), F.lit(0)))

@@ -827,3 +827,31 @@ def test_minimizers_of_many_are_those_of_each():
     assert got == {i: list(zip(*(x.tolist() for x in edits.minimizers(s)))) for i, s in enumerate(seqs)}
     r = random.Random(1)
     assert all(int(kmers.rc_codes(kmers.codes(s.encode(), k)[0], k)[0]) == kmers.text_code(rc(s)) for k in (1, 4, 23, 31) for s in ["".join(r.choice("ACGT") for _ in range(k))])
+
+
+def test_a_union_in_ranges_asks_for_no_more_quantiles_than_ranges(spark, monkeypatch):
+    from strandlake.scratch import Scratch
+
+    plans, save = {}, Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, df, name: plans.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString()) and save(self, df, name))
+    rows = [(k, p * 9 % 4001, p * 9 % 4001 + p % 11) for k, n in (("a", 700), ("b", 250), ("c", 20)) for p in range(n)]
+    got = sorted(tuple(r) for r in joins.merged(spark.createDataFrame(rows, "k string, lo long, hi long"), ["k"], most=100).collect())
+    want = []
+    for k, lo, hi in sorted(r for r in rows if r[2] > r[1]):
+        if want and want[-1][0] == k and lo <= want[-1][2]:
+            want[-1][2] = max(want[-1][2], hi)
+        else:
+            want.append([k, lo, hi])
+    assert got == [tuple(w) for w in want]
+    assert len(plans["cuts"]) < 5000
+
+
+def test_leak_locates_tiles_once(spark, monkeypatch):
+    from strandlake.scratch import Scratch
+
+    made, save = [], Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, df, name: made.append(name) or save(self, df, name))
+    tiles = spark.createDataFrame([(0, 0, 0, 0, 256, True), (1, 0, 0, 128, 384, False)], "asm_id int, contig_ix int, start0 long, ref_lo long, ref_hi long, train boolean")
+    plan = edits.leak(None, 256, tiles)._jdf.queryExecution().optimizedPlan().toString()
+    assert "hulls" in made and "LogicalRDD" not in plan and "LocalRelation" not in plan
+    assert edits.leak(None, 256, tiles).first().bases_covered == 128
