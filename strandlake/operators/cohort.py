@@ -83,6 +83,8 @@ class Cohort:
         """A table may be given as a function, which is called when the table is first asked for."""
         self.spark, self.q, self.contigs = spark, q, contigs
         self._tables = {"blocks": blocks, "chunks": chunks, "case_runs": case_runs}
+        #: ``(assembly, seq)``, the contigs that a cohort was built from, where it was
+        self.whole: DataFrame | None = None
 
     def _table(self, name: str) -> DataFrame:
         if callable(self._tables[name]):
@@ -130,7 +132,9 @@ class Cohort:
             rows = whole().withColumn("chunk", joins.bins(F.lit(0).cast("long"), F.col("len"), q))
             return rows.select("asm_id", "contig_ix", (F.col("chunk") * q).alias("cstart"), F.substring("seq", (F.col("chunk") * q + 1).cast("int"), F.lit(q + OVERLAP)).alias("seq"))
 
-        return cls._of(scratch, q, table, lambda: whole().withColumn("lo", F.col("boff")), chunks, case_runs)
+        out = cls._of(scratch, q, table, lambda: whole().withColumn("lo", F.col("boff")), chunks, case_runs)
+        out.whole = contigs.select("assembly", F.col("seq").cast("binary").alias("seq"))
+        return out
 
     @classmethod
     def from_pieces(cls, records: DataFrame, pieces: DataFrame, q: int, case_runs: DataFrame | None = None) -> Cohort:

@@ -766,7 +766,8 @@ def test_a_search_makes_no_blocks(spark, monkeypatch):
     c = Cohort.build(contigs(spark, {"a": ASM["y1_P1.1"]}), Q)
     assert made == ["contigs"]
     got = {(r.code, r.n) for r in kmers.counted(c, 4).collect()}
-    assert made == ["contigs", "chunks"]
+    assert made == ["contigs"]
+    assert got == {(r.code, r.n) for r in kmers.counted(c.with_chunks(c.chunks), 4).collect()} and made == ["contigs", "chunks"]
     windows = [s[i : i + 4] for s in ASM["y1_P1.1"].values() for i in range(len(s) - 3)]
     assert got == {(kmers.text_code(w), n) for w, n in Counter(w for w in windows if set(w) <= set("ACGT")).items()}
     assert c.blocks.count() == -(-sum(map(len, ASM["y1_P1.1"].values())) // Q) and made == ["contigs", "chunks", "blocks"]
